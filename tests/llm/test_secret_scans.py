@@ -1,0 +1,51 @@
+"""Secret scans against a brute-force version in plain Python."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import types as T
+
+from quire.llm import secret_scans as S
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("s", T.StringType())])
+KEY = "AKIA" + "Z" * 14
+TEXTS = [
+    "", None, "nothing here", f"é x token = \"{'a1' * 10}\" and {KEY} end", "password=token:abcdefghijklmnop", f"{KEY}{KEY}",
+    "secret: short1 AKIAABCD12 https://host.example/x", "AKIAABCD12 alone", "secret: short1 alone", "https://only.example/",
+    "AKIAABCD12" + " w" * 300 + " secret: short1", "deadbeefdeadbeef0123 " * 3, f"API_KEY={'Q' * 12}.{'q' * 3} aB3" + "xY9z" * 6 + " AKIAABCD12",
+    "word " * 30000 + f"passwd:'{'p' * 40}'",
+]
+
+
+def brute(text):
+    text, out = text or "", []
+    out += [(m.start(), 0, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    base, weak = sorted(out), []
+    weak += [(m.start(), 3, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if 8 <= len(m[0]) < 18]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if 6 <= len(m[1]) < 12]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(S.TOKEN, text) if all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and not re.search(S.HEX, m[0])]
+    weak += [(m.start(), 6, m.end()) for m in re.finditer(S.ENDPOINT, text)]
+    role = {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 1, 6: 2}
+    near = lambda x, r: any(role[k] == r and s <= x[2] + S.SCOPE and e >= x[0] - S.SCOPE for s, k, e in base + weak)
+    kept = [x for x in weak if {0: near(x, 1), 1: near(x, 0), 2: near(x, 0) and near(x, 1)}[role[x[1]]]]
+    say = lambda xs: ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in sorted(xs))
+    return [*(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(say(base).encode()).hexdigest(), say(base + kept)]
+
+
+def test_against_brute_force(spark):
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(3, "AKIAABCD12 secret: short1", "same id"), (3, TEXTS[3], "x"), (None, KEY, None)]
+    got = sorted(map(str, (tuple(r) for r in S.digest(spark.createDataFrame(rows, SCHEMA)).collect())))
+    assert got == sorted(str((i, *brute(t))) for i, t, _ in rows)
+
+
+def test_empty_table(spark):
+    assert S.digest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [(f"a {KEY} b", "a [REDACTED] b"), ("clean", "clean"), (None, None), (f"{KEY}", "[REDACTED]")])
+def test_redact(spark, text, want):
+    df = spark.createDataFrame([(1, text, "k")], SCHEMA)
+    assert [tuple(r) for r in S.redact(df).collect()] == [(1, want, "k")]
