@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, quality_rules, secret_scans
+from quire.llm import chat_format, decontamination, quality_rules, secret_scans, source_mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Books and news count more than the web; a language or source counts as its siblings do, but for src0.
+MIX = source_mixing.Mix(weights={"domain": {"books": 4.0, "news": 2.0, "web": 1.0}, "lang": {"en": 2.0}, "source": {"src0": 0.5}}, share=0.6, max_epochs=3, seed=42)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(_table(spark, sf_dir, "documents"), MIX)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def _op5_sql() -> str:
+    """The same tree, one level after the other."""
+    levels, sql, up = ["domain", "lang", "source"], "", "SELECT floor(sum(tokens) * 0.6)::DOUBLE AS budget FROM sizes"
+    weights = {"domain": "CASE domain WHEN 'books' THEN 4.0 WHEN 'news' THEN 2.0 ELSE 1.0 END", "lang": "CASE lang WHEN 'en' THEN 2.0 ELSE 1.0 END", "source": "CASE source WHEN 'src0' THEN 0.5 ELSE 1.0 END"}
+    for i, level in enumerate(levels):
+        at, parent = ", ".join(levels[: i + 1]), ", ".join(levels[:i]) or "1"
+        sql += f"""
+b{i} AS ({up}),
+n{i} AS (SELECT *, cap / weight AS full_at FROM (SELECT {at}, sum(tokens * 3)::BIGINT AS cap, ({weights[level]})::DOUBLE AS weight FROM sizes GROUP BY {at}) {f"JOIN b{i} USING ({parent})" if i else f"CROSS JOIN b{i}"}),
+l{i} AS (SELECT *, (budget - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER w, 0)) AS line
+  FROM n{i} WINDOW w AS (PARTITION BY {parent} ORDER BY full_at, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g{i} AS (SELECT {at}, CASE WHEN full_at <= line THEN cap::DOUBLE ELSE weight * max(line) FILTER (full_at > line) OVER (PARTITION BY {parent}) END AS got FROM l{i}),"""
+        up = f"SELECT {at}, got AS budget FROM g{i}"
+    return rf"""
+WITH d AS (SELECT doc_id, CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) < 5 THEN 'books' WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) < 10 THEN 'news' ELSE 'web' END AS domain,
+  lang, source, len({_WORDS_SQL})::BIGINT AS n_tokens FROM documents),
+sizes AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),{sql}
+leaf AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS partial, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END * tokens AS rest
+  FROM (SELECT domain, lang, source, tokens, floor(got + 1e-6)::BIGINT AS budget FROM g2 JOIN sizes USING (domain, lang, source))),
+p AS (SELECT d.*, partial, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || partial || ':' || doc_id), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN leaf USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, partial))::INTEGER AS epoch FROM p WHERE partial > 0
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, partial::INTEGER AS epoch FROM p WHERE rest > 0 AND upto <= rest
+"""
+
+
 OP8_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS_SQL} AS w FROM documents),
 lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
@@ -57,13 +91,31 @@ FROM v
 """
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.digest(conversations.unionByName(extra))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.digest(_table(spark, sf_dir, "documents"))
 
+OP9_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>)', '\1\\\2\3', 'g') AS safe FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(safe) + length(role) + 24)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op8_quality_rules, op10_secret_scans)}
+    return {f.__name__: f for f in (op3_decontamination, op5_source_mixing, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL}
