@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontamination, quality_rules, secret_scans, source_mixing
+from quire.llm import chat_format, decontamination, quality_rules, secret_scans, source_mixing, token_counts, warc
+from quire.llm.storage import fresh_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages"))
+
+
 #: Books and news count more than the web; a language or source counts as its siblings do, but for src0.
 MIX = source_mixing.Mix(weights={"domain": {"books": 4.0, "news": 2.0, "web": 1.0}, "lang": {"en": 2.0}, "source": {"src0": 0.5}}, share=0.6, max_epochs=3, seed=42)
 
@@ -23,6 +28,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(_table(spark, sf_dir, "documents"), MIX)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(_table(spark, sf_dir, "documents"), fresh_dir(spark, "token-rollup"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +52,15 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, sha256(p.html) AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN g USING (html)
+"""
+
+
 def _op5_sql() -> str:
     """The same tree, one level after the other."""
     levels, sql, up = ["domain", "lang", "source"], "", "SELECT floor(sum(tokens) * 0.6)::DOUBLE AS budget FROM sizes"
@@ -114,8 +132,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op5_source_mixing, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
+    return {f.__name__: f for f in (op3_decontamination, op4_warc, op5_source_mixing, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL}
