@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontamination, quality_rules, secret_scans, source_mixing, token_counts, warc
+from quire.llm import chat_format, decontamination, license_scans, quality_rules, secret_scans, source_mixing, token_counts, warc
 from quire.llm.storage import fresh_dir
 
 
@@ -28,6 +28,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(_table(spark, sf_dir, "documents"), MIX)
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan(license_scans.as_files(_table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(_table(spark, sf_dir, "documents"), fresh_dir(spark, "token-rollup"))
 
@@ -132,7 +136,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_decontamination, op4_warc, op5_source_mixing, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
+    return {f.__name__: f for f in (op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
