@@ -62,20 +62,26 @@ def reply_chain(conversations: DataFrame) -> DataFrame:
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _strides(messages: DataFrame) -> list[DataFrame]:
-    """By round k: tree, node, ``up`` (the ancestor 2^k up, null beyond the root), ``total`` (scores below ``up``), ``steps``."""
+def _strides(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """By round k the messages with an ancestor ``up`` 2^k replies above: tree, node, up, ``total`` (scores below up), ``steps``.
+
+    Then those whose path is walked to its root: tree, node, total and steps of the whole path. They leave the rounds.
+    """
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     first = nodes.join(there, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
-    out = [cut(first.select("tree", "node", F.col("_n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))]
+    now = cut(first.select("tree", "node", F.col("_n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
+    rooted, out = now.where("up IS NULL"), []
     for _ in range(messages.count().bit_length()):  # longer than any path; only a cycle goes that far
-        last = out[-1]
-        if not last.where("up IS NOT NULL").head(1):
+        active = now.where("up IS NOT NULL")
+        if not active.head(1):
             break
-        above = last.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
-        met = last.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left")
-        out.append(cut(met.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))))
-    return out
+        out.append(active)
+        above = active.unionByName(rooted).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
+        met = active.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")))
+        now = cut(met.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        rooted = rooted.unionByName(now.where("up IS NULL"))
+    return out, rooted
 
 
 def ranked_paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -83,9 +89,9 @@ def ranked_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
     Equal scores rank by length, the longer first, then by leaf.
     """
-    strides = _strides(messages)
+    strides, rooted = _strides(messages)
     parents = messages.where("parent IS NOT NULL").select(F.col("tree").alias("_t"), F.col("parent").alias("_p")).distinct()
-    leaves = strides[-1].where("up IS NULL").join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_p")), "left_anti")
+    leaves = rooted.join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_p")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("steps").desc(), F.col("node"))
     if top == 1:
         best = leaves.groupBy("tree").agg(F.max(F.struct("total", "steps", (-F.col("node")).alias("minus"))).alias("b"))
@@ -93,7 +99,7 @@ def ranked_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     else:
         path = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= top).select("tree", "path", "node", F.col("steps").alias("position"))
     for k in range(len(strides) - 1, -1, -1):
-        up = strides[k].where("up IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
+        up = strides[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         more = path.join(up, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
         path = cut(path.unionByName(more.select("tree", "path", F.col("up").alias("node"), (F.col("position") - 2**k).alias("position"))))
     return path
