@@ -174,7 +174,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate words taken out of ``text``; texts that lose none stay as they are."""
-    joined = _with_spans(docs, duplicate_spans(docs.select("doc_id", "text")), "left").drop("sum")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias("_rest"))
+    joined = _with_spans(packed, duplicate_spans(docs.select("doc_id", "text")), "left")
 
     @F.pandas_udf("string")
     def kept(text, spans):
@@ -188,4 +190,4 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
 
-    return joined.withColumn("text", kept("text", "spans")).select(*docs.columns)
+    return joined.withColumn("text", kept("text", "spans")).select(*(c if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns))
