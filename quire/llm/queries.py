@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontamination, license_scans, quality_rules, secret_scans, source_mixing, substring_dedup, token_counts, warc
+from quire.llm import chat_format, decontamination, jaccard_join, license_scans, quality_rules, secret_scans, source_mixing, substring_dedup, token_counts, warc
 from quire.llm.storage import fresh_dir
 
 
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -151,7 +155,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -50,3 +50,15 @@ def stored_bytes(df: DataFrame) -> int:
 def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
     """A stored table, to be broadcast if its files have at most ``most`` bytes and left to a shuffle otherwise."""
     return F.broadcast(df) if stored_bytes(df) <= most else df.hint("shuffle_merge")
+
+
+#: Rows of an Arrow batch of whole texts: with the usual 10,000 a batch would take hundreds of MB of a worker.
+TEXT_BATCH = 256
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session sends texts to Python in batches of at most ``TEXT_BATCH`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= TEXT_BATCH:
+        df.sparkSession.conf.set(key, TEXT_BATCH)
+    return df

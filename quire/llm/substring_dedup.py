@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
-from quire.llm.storage import sized_broadcast, stored
+from quire.llm.storage import sized_broadcast, stored, text_batches
 
 WINDOW = 35
 ANCHOR = 8
@@ -90,7 +90,7 @@ def phrases(docs: DataFrame) -> DataFrame:
                     names=["a", "c", "doc_id", "sum", "p"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(parse, PHRASE)
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(parse, PHRASE)
 
 
 def boundary_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def boundary_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         names=["w1", "w2", "doc_id", "sum", "p", "weight"],
                     )
 
-    return met.mapInArrow(of, WINDOWS)
+    return text_batches(met).mapInArrow(of, WINDOWS)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -169,13 +169,13 @@ def digest(docs: DataFrame) -> DataFrame:
             n, removed, sha = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return text_batches(joined).mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate words taken out of ``text``; texts that lose none stay as they are."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *rest).alias("_rest"))
+    packed = text_batches(docs).select("doc_id", "text", F.struct(F.lit(0), *rest).alias("_rest"))
     joined = _with_spans(packed, duplicate_spans(docs.select("doc_id", "text")), "left")
 
     @F.pandas_udf("string")

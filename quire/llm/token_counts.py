@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.native import words_of
+from quire.llm.storage import stored, text_batches
 
 GROUP = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -55,7 +56,7 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -
             n = pa.array([len(tokens(x)) if (x := t.as_py()) else 0 for t in batch.column("_text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), n], names=schema.names)
 
-    return slim.mapInArrow(count, schema)
+    return text_batches(slim).mapInArrow(count, schema)
 
 
 def signed(rows: DataFrame, sign: int) -> DataFrame:
@@ -130,8 +131,6 @@ def revised(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Totals after a load, the deletion of exact copies (all but the smallest id), a revision, and a delete sent twice."""
-    from quire.llm.storage import stored
-
     docs = docs.select("doc_id", "source", "lang", "text")
     first = stored(counted(docs.withColumn("_sha", F.sha2("text", 256)), vocabulary), "token-counts")
     roll = Rollup(docs.sparkSession, folder)

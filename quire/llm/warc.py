@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import fresh_dir, stored
+from quire.llm.storage import fresh_dir, stored, text_batches
 
 MIN_DEDUP = 100
 GAP = 64 << 10
@@ -124,7 +124,7 @@ def write(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return stored(records.mapInArrow(archives, INDEX), "warc-index")
+    return stored(text_batches(records).mapInArrow(archives, INDEX), "warc-index")
 
 
 def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = MOST) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
