@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.native import words_of
-from quire.llm.storage import cut
+from quire.llm.storage import cut, sized_broadcast, stored
 
 #: Hex digits of the order hash that name a cell: at most 16^4 cells a leaf.
 CELL_DIGITS = 4
+BROADCAST_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)
@@ -121,3 +122,14 @@ def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and epoch of every chosen document; texts are read once and not moved."""
     slim = cut(docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens")))
     return select(slim, mix)
+
+
+def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of ``docs``, all its columns, that the mix has, with ``epoch``; a row for each epoch.
+
+    What is joined to the texts is their choice, broadcast only if its stored size is at most ``BROADCAST_BYTES``.
+    """
+    slim = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("_h"))
+    chosen = select(cut(slim), mix).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_ch"), "epoch").distinct()
+    side = sized_broadcast(stored(chosen, "chosen"), BROADCAST_BYTES)
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ch"))).select(*docs.columns, "epoch")
