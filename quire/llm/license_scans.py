@@ -20,8 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.native import ascii_lower
-from quire.llm.storage import cut
+from quire.llm.storage import cut, stored
 
 THRESHOLD = 0.6
 COMMON = 0.01
@@ -44,18 +43,20 @@ TERM = r"[^a-z0-9]+"
 
 
 def terms(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(text), TERM, -1), "")
+    """The terms of a text in lower case."""
+    return F.array_remove(F.split(text, TERM, -1), "")
 
 
 def template_terms(docs: DataFrame, templates: Mapping[str, tuple[str, ...]]) -> DataFrame:
     """license, template number, term, tf: a few hundred rows, as many as the templates have terms."""
     rows = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
     t = docs.sparkSession.createDataFrame(rows, "license string, template int, text string")
-    return t.select("license", "template", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
+    return t.select("license", "template", F.explode(terms(F.lower("text"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    """Every line of every text, in lower case."""
+    return docs.select(F.explode(F.split(F.lower("text"), "\n", -1)).alias("line"))
 
 
 def idf(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
@@ -71,24 +72,25 @@ def idf(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return counts.select("term", F.when(seen > F.col("n") * COMMON, 0.0).otherwise(F.log((1.0 + F.col("n")) / (1.0 + seen))).alias("w"))
 
 
-def closest(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def lines_worth_comparing(docs: DataFrame, weighty: list[str]) -> DataFrame:
+    """``docs`` without text, a row for each different ``line`` of a text that has a weighty term."""
+    term = r"(?<![a-z0-9])(?:" + "|".join(weighty) + r")(?![a-z0-9])" if weighty else r"(?!)"
+    rest = [c for c in docs.columns if c != "text"]
+    lower = docs.select(*rest, F.lower("text").alias("text")).where(F.col("text").rlike(term))
+    lines = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: x.rlike(term))
+    return lower.select(*rest, F.explode(lines).alias("line"))
+
+
+def closest(lines: DataFrame, tt: DataFrame, weights: Mapping[str, float], threshold: float = THRESHOLD) -> DataFrame:
     """``line``, ``license``, ``similarity`` of the different lines that are close enough to a template."""
-    tt = cut(template_terms(docs, templates))
-    vocabulary = [r["term"] for r in tt.select("term").distinct().collect()]  # the templates' own terms
-    weights = {r["term"]: r["w"] for r in idf(docs, vocabulary).collect()}
-    if not weights:
-        return docs.sparkSession.createDataFrame([], "line string, license string, similarity double")
-    weighty = sorted(t for t in vocabulary if weights[t] > 0)
-    if not weighty:
-        return docs.sparkSession.createDataFrame([], "line string, license string, similarity double")
-    lines = _lines(docs).where(ascii_lower(F.col("line")).rlike(r"(?<![a-z0-9])(?:" + "|".join(weighty) + r")(?![a-z0-9])")).groupBy("line").agg(F.count("*").alias("n_lines")).select("line")
-    w = docs.sparkSession.createDataFrame([(t, weights[t]) for t in weighty], "term string, w double")
-    tv = tt.join(w, "term").select("license", "template", "term", (F.col("tf") * F.col("w")).alias("tw"))
+    spark = lines.sparkSession
+    lines = lines.groupBy("line").agg(F.count("*").alias("n_lines")).select("line")
+    w = spark.createDataFrame([(t, x) for t, x in sorted(weights.items()) if t], "term string, w double")
+    tv = tt.join(w, "term").where("w > 0").select("license", "template", "term", (F.col("tf") * F.col("w")).alias("tw"))
     norms = tv.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     tv = cut(tv.join(norms, ["license", "template"]))
-    outside = weights[""]
     at = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    lw = at.join(w, "term", "left").select("line", "term", (F.col("tf") * F.coalesce("w", F.when(F.col("term").isin(sorted(set(vocabulary) - set(weighty))), 0.0).otherwise(outside))).alias("lw"))
+    lw = at.join(w, "term", "left").select("line", "term", (F.col("tf") * F.coalesce("w", F.lit(weights.get("", 0.0)))).alias("lw"))
     size = lw.groupBy("line").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
     dots = lw.join(tv, "term").groupBy("line", "license", "template").agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.first("tn").alias("tn"))
     cosine = F.round(F.col("dot") / (F.col("ln") * F.col("tn")), 4)
@@ -111,9 +113,11 @@ def ancestors(directory: Column) -> Column:
 def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, license, similarity, found (``own``, ``inherited`` or null) and licensed_by, for ``docs`` with doc_id, text, path, is_license_file."""
     slim = docs.select("doc_id", "text", "path", "is_license_file", F.xxhash64("path", "text", "is_license_file").alias("_h"))
-    close = closest(slim, templates, threshold)
-    lines = slim.select("doc_id", "_h", "path", "is_license_file", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line"))
-    own = lines.join(close, "line").groupBy("doc_id", "_h", "path", "is_license_file").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b"))
+    tt = cut(template_terms(docs, templates))
+    vocabulary = [r["term"] for r in tt.select("term").distinct().collect()]  # the templates' own terms
+    weights = {r["term"]: r["w"] for r in idf(docs, vocabulary).collect()}
+    lines = stored(lines_worth_comparing(slim, sorted(t for t, w in weights.items() if t and w > 0)), "licence-lines")
+    own = lines.join(closest(lines, tt, weights, threshold), "line").groupBy("doc_id", "_h", "path", "is_license_file").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b"))
     own = cut(own.select("doc_id", "_h", "path", "is_license_file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("similarity")))
     files = own.where("is_license_file").groupBy(parent(F.col("path")).alias("licensed_dir")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license", "path")).alias("f"))
     dirs = slim.select(parent(F.col("path")).alias("dir")).distinct().withColumn("up", F.explode(ancestors(F.col("dir"))))
