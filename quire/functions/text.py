@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions.dates import canonical_date
 
@@ -128,7 +129,7 @@ def magic_type(content: Column) -> Column:
     return F.when(F.octet_length(content) >= 16, kind)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitized_name(names: pd.Series) -> pd.Series:
     """A safe file name: NFKC, base name, no dots in a row, odd characters to _, at most 255 with the ending kept."""
     import re
