@@ -12,7 +12,7 @@ from quire.plans.registry import query
 
 # The domain's own words do not occur in the stand-in texts, so these tables hold words that do.
 SIGNATURES = {"FIRST": (("license", "with from"), ("the", "and", "que", "der"), ("apache",)), "SECOND": (("| ",), ("les", "una", "und"), ()), "THIRD": ((), ("token", "@", "version", "re the"), ("mit",))}
-PATTERNS = {"A": ((r"license", r"\d{4}\s\d"), (r"the\s+and", r"que"), (r"apache",)), "B": ((r"\|",), (r"un[ad]\b", r"\bder\b"), ()), "C": ((r"@\w+",), (r"\d{2,}", r"re\s+the"), (r"\bmit\b",))}
+PATTERNS = {"A": ((r"license", r"\d{4}\s\d"), (r"the\s+and", r"que"), (r"apache",)), "B": ((r"\|",), (r"un[ad]\s", r"\sder\s"), ()), "C": ((r"@\w+",), (r"\d{2,}", r"re\s+the"), (r"\smit\s",))}
 
 
 def _payer_sql(least: float, none: str) -> str:
