@@ -1 +1,8 @@
 """quire: a PySpark-native engine for document-extraction analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
