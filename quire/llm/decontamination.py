@@ -59,13 +59,15 @@ def _hits_by_set(words: str, windows: list) -> Column:
     return F.expr(f"get(transform(array({words}), w -> concat({', '.join(found)})), 0)") if found else F.array().cast(_HITS)
 
 
+def _place(n: int):
+    """A function of a start: the window of ``n`` words there. (A default argument would pass for an index.)"""
+    return lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i + 1, n), " ").alias("k"))
+
+
 def _hits_by_join(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
     """``doc_id``, ``_h``, ``_hits`` of the documents that have benchmark windows; nothing is broadcast by hand."""
-    each = None
-    for n in widths:
-        part = docs.select("doc_id", "_h", F.lit(n).alias("n"), F.explode(F.transform(window_starts(F.size("_w"), n), lambda i, n=n: F.struct(i.alias("i"), F.array_join(F.slice("_w", i + 1, n), " ").alias("k")))).alias("p"))
-        each = part if each is None else each.unionByName(part)
-    met = each.select("doc_id", "_h", "n", "p.i", "p.k").join(windows.select("n", "k", "items"), ["n", "k"])
+    starts = F.flatten(F.array(*(F.transform(window_starts(F.size("_w"), n), _place(n)) for n in widths))) if widths else F.array().cast(_HITS)
+    met = docs.select("doc_id", "_h", F.explode(starts).alias("p")).select("doc_id", "_h", "p.n", "p.i", "p.k").join(windows.select("n", "k", "items"), ["n", "k"])
     hits = F.array_distinct(F.collect_list(F.struct("i", "n", "k")))
     return met.groupBy("doc_id", "_h").agg(hits.alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
 
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
             return docs.withColumn("_items", F.array().cast("array<string>"))
         sql = lambda values: "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
         items = F.expr(f"map_from_arrays({sql(r['k'] for r in rows)}, {sql(','.join(r['items']) for r in rows)})")
-        return docs.withColumn("_items", F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("_hits", lambda x: x["k"])), lambda k: F.split(F.element_at(items, k), ",")))))
+        return docs.withColumn("_items", F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("_hits", lambda x: x["k"])), lambda k: F.array_remove(F.split(F.element_at(items, k), ","), "")))))
     widths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most ``window`` of them
     docs = docs.withColumn("_h", F.xxhash64(text, F.length(text)))
     met = _hits_by_join(docs, windows, widths).withColumnsRenamed({"doc_id": "_id", "_h": "_mh"})

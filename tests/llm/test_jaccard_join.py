@@ -80,6 +80,20 @@ def test_linked_pairs_share_a_signature(level):
             assert len(np.intersect1d(sigs[own == 0], sigs[own == 1])), (size, drop)
 
 
+def test_sketches_rule_no_link_out():
+    r = np.random.default_rng(5)
+    ruled_out = 0
+    for size in (1, 3, 20, 150, 900, 4000):
+        for drop in (0.0, 0.1, 0.13, 0.3, 0.9):
+            base = r.integers(0, 2**63, size, dtype=np.uint64)
+            other = np.concatenate((base[int(size * drop) :], r.integers(0, 2**63, int(size * drop), dtype=np.uint64)))
+            both = size - int(size * drop)
+            open_ = J.may_link(len(base), J.sketch(base), len(other), J.sketch(other))
+            assert open_ or 100 * both < 75 * (len(base) + len(other) - both)
+            ruled_out += not open_
+    assert ruled_out > 4 and not J.may_link(100, b"", 70, b"")
+
+
 def test_shingle_sets():
     (s,) = W.slices(["a b c d e f", "A B C D E F", "a b", None, "a b c d e f a b c d e f"], lower=True)
     g, first = J.shingle_sets(s)
