@@ -12,14 +12,17 @@ set, where both emit:
 * level 2 has so few partitions that one differs in at most k2 shingles, and then some n2 - k2 of its parts are equal.
 
 Level 2 signatures cover more shingles and serve the sets that meet too many others in level 1, as those that share a
-passage that a great many documents have.
-
-Who meets whom: signatures are dealt to buckets in packed form. The sets that share a signature are first compared with
-the least of them only; the links so found make components. What the copies of a text, or a group of near copies, have
-in common thus costs a comparison a member and not a pair. Then, for each group that lies in several components, the
-pairs between different components are compared, directly if the group has at most ``GROUP`` members, through level 2
-if it is larger. Links inside a component are never needed, so no link that matters is lost. Every comparison counts
-the shingles of whole texts.
+passage that a great many documents have. Of these, sets with fewer than 75 % of their shingles in any other of them
+have no link that is still open, and leave before level 2.
+
+Who meets whom: signatures are dealt to buckets in packed form. Of the sets that share a signature the least leads; a
+set is first compared with the one leader it shares most signatures with, and the links so found make components. What
+the copies of a text, or a group of near copies, have in common thus costs a comparison a member and not a pair. Then
+each set is compared with its other leaders in other components, and for each group that still lies in several, the
+pairs between different components are compared, directly if the group has at most ``GROUP`` members, through level 2 if
+it is larger, and block by block, sketches first, where a group is as large even there. Links inside a component are never needed, so no link that matters is lost. Every comparison counts the
+shingles of whole texts; pairs that cannot link by their sizes, or by how many shingles they have in each cell of a
+partition of the domain (sets differ in at least as many as those counts do), are not compared at all.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are components of their own; texts
 of fewer than ``SHINGLE`` words have one shingle, the whole; equal sets link; a null id reaches the ids of its
@@ -33,6 +36,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +50,13 @@ SHINGLE = 5
 PERCENT = 75
 GROUP = 32
 BAND = 1.8
+BLOCK = 256
 BROADCAST_BYTES = 48 << 20
 #: Signatures a task packs before it sends them to the buckets.
 PACK = 1 << 20
-ROWS = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, bucket int, flush long, sigs binary, own binary"
-MET = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, a long, b long, key long, ids array<long>"
-_DOC, _BLOB, _EDGE, _LIST, _HOT = range(5)
+ROWS = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, bucket int, flush long, sigs binary, own binary, sketch binary"
+MET = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, a long, b long, key long, ids array<long>, sketch binary"
+_DOC, _BLOB, _EDGE, _LIST, _HOT, _COUNT = range(6)
 
 
 @dataclass(frozen=True)
@@ -63,6 +68,8 @@ class Level:
 
 
 LEVELS = (Level(0, 1), Level(3, 7))
+#: Not a level: every shingle on its own, to count how many of a set's shingles any other set has.
+SUPPORT = Level(0, 0)
 
 
 def differ(size: np.ndarray | int):
@@ -103,8 +110,9 @@ def shingle_sets(s: W.Slice) -> tuple[np.ndarray, np.ndarray]:
     at = at[(left >= SHINGLE) | whole]
     g = roll.runs(at, at + np.minimum(SHINGLE, left[at]))
     text = s.text_of[at]
-    order = np.lexsort((g, text))
-    g, text = g[order], text[order]
+    cuts = np.searchsorted(text, np.arange(len(n) + 1)).tolist()
+    for x, y in zip(cuts, cuts[1:]):
+        g[x:y].sort()
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])))
     g, text = g[new], text[new]
     return g, np.searchsorted(text, np.arange(len(n) + 1))
@@ -117,10 +125,19 @@ def set_hashes(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of(W.mix(g ^ np.uint64(0xA5A5A5A5DEADBEEF))), of(W.mix(g * np.uint64(0xD6E8FEB86659FD93) + np.uint64(77)))
 
 
+def _sums(values: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums modulo 2^64 by cell, and which cells have any. Halves of 32 bits add up exactly as floats."""
+    low = np.bincount(cell, (values & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
+    high = np.bincount(cell, (values >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
+    return low + (high << np.uint64(32)), np.bincount(cell, minlength=cells) > 0
+
+
 def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of each set: hashes, and the number of the set."""
     size = np.diff(first)
     own = np.arange(len(size))
+    if level == SUPPORT:
+        return W.mix(g), np.repeat(own, size)
     band = band_of(np.maximum(size, 1))
     up = (size > 0) & (size * 100 >= PERCENT * _BANDS[band + 1])  # can link to a set of the next band
     out, whose = [], []
@@ -140,13 +157,7 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
         if level.n2 > 1:
             place = place * level.n2 + ((h >> np.uint64(40)) % np.uint64(level.n2)).astype(np.int64)
         cell = place + np.repeat(offset, total)
-        order = np.argsort(cell, kind="stable")
-        ordered = cell[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        sums = np.zeros(int(cells.sum()), np.uint64)
-        sums[ordered[starts]] = np.add.reduceat(W.mix(h)[order], starts)
-        filled = np.zeros(len(sums), bool)
-        filled[ordered[starts]] = True
+        sums, filled = _sums(W.mix(h), cell, int(cells.sum()))
         label = W.mix(np.repeat(W.mix(inst.astype(np.uint64) * np.uint64(2) + np.uint64(level.n2)), cells) + (np.arange(len(sums)) - np.repeat(offset, cells)).astype(np.uint64))
         if level.n2 == 1:
             full = np.add.reduceat(filled.astype(np.int64), offset)
@@ -175,10 +186,29 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
     return np.concatenate(out), np.concatenate(whose)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each of 2^t cells, one or two in a cell; counts end at 255."""
+    cells = 1 << max(3, min(15, (len(shingles) // 2).bit_length()))
+    return np.minimum(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> bool:
+    """False only if sizes or sketches show that two sets cannot link."""
+    if 100 * min(n1, n2) < PERCENT * max(n1, n2):
+        return False
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int32) for z in (sketch1, sketch2))
+    cells = min(len(x), len(y))
+    x, y = (z.reshape(-1, cells) for z in (x, y))
+    if (x == 255).any() or (y == 255).any():
+        return True  # an ended count says too little once cells are added up
+    apart = int(np.abs(x.sum(axis=0) - y.sum(axis=0)).sum())
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n1 + n2)
+
+
 def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
     """A row per document (its set), and the signatures of each task's sets, packed by bucket."""
     names = [x.split()[0] for x in ROWS.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def batch_of(count: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, t) for c, t in zip(names, types)], names=names)
@@ -193,7 +223,7 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
             if not len(sigs):
                 return
             bucket = (sigs >> np.uint64(48)) % np.uint64(buckets)
-            order = np.lexsort((sigs, bucket))
+            order = np.argsort(bucket << np.uint64(48) | sigs & np.uint64((1 << 48) - 1))
             sigs, own, bucket = sigs[order], own[order].astype(np.uint16), bucket[order]
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             six = np.ascontiguousarray(sigs.view(np.uint8).reshape(-1, 8)[:, :6])
@@ -210,7 +240,7 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                 g, first = shingle_sets(s)
                 one, two = set_hashes(g, first)
                 size = np.diff(first)
-                fresh, numbers = [], [None] * len(size)
+                fresh, numbers, sketches = [], [None] * len(size), [None] * len(size)
                 for j, sid in enumerate(one.tolist()):
                     if size[j] and sid not in seen:
                         if len(seen) >= 1 << 20:
@@ -224,6 +254,7 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                         held, used, flush = [], 0, flush + 1
                     for i, j in enumerate(fresh):
                         numbers[j] = (task << 22 | flush) << 16 | used + i
+                        sketches[j] = sketch(g[first[j] : first[j + 1]])
                     fresh = np.array(fresh)
                     sub = np.cumsum(np.concatenate(([0], size[fresh])))
                     pick = np.repeat(first[fresh] - sub[:-1], size[fresh]) + np.arange(int(sub[-1]))
@@ -232,7 +263,7 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                     used += len(fresh)
                 yield batch_of(
                     len(size), kind=pa.array([_DOC] * len(size), pa.int32()), doc_id=ids.take(pa.array(s.rows)), sum=pa.array([checksum(texts[i]) for i in s.rows], pa.int32()),
-                    n=pa.array(size), sid=pa.array(one.view(np.int64)), s2=pa.array(two.view(np.int64)), g=pa.array(numbers, pa.int64()), bucket=pa.array((s.rows % buckets).astype(np.int32)),
+                    n=pa.array(size), sid=pa.array(one.view(np.int64)), s2=pa.array(two.view(np.int64)), g=pa.array(numbers, pa.int64()), bucket=pa.array((s.rows % buckets).astype(np.int32)), sketch=pa.array(sketches, pa.binary()),
                 )
                 if sum(len(x) for x, _ in held) >= PACK:
                     yield from packed()
@@ -243,11 +274,11 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
     return text_batches(docs.select("doc_id", "text")).mapInArrow(parse, ROWS)
 
 
-def _meet(rows: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, support: bool = False) -> DataFrame:
     """Documents as they are; of each bucket the sets that share a signature: pairs with the least of them, and the groups."""
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     names = [x.split()[0] for x in MET.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def batch_of(count: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, t) for c, t in zip(names, types)], names=names)
@@ -260,18 +291,31 @@ def _meet(rows: DataFrame) -> DataFrame:
             sigs.append(wide.reshape(-1).view(np.uint64))
             ids.append((flush << 16) + np.frombuffer(own, np.uint16).astype(np.int64))
         sigs, ids = np.concatenate(sigs), np.concatenate(ids)
+        order = np.argsort(sigs)
+        sigs, ids = sigs[order], ids[order]
+        same = sigs[1:] == sigs[:-1]
+        several = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+        if not len(several):
+            return
+        sigs, ids = sigs[several], ids[several]
+        if support:
+            who, times = np.unique(ids, return_counts=True)
+            yield batch_of(len(who), kind=pa.array(np.full(len(who), _COUNT, np.int32)), g=pa.array(who), n=pa.array(times))
+            return
         order = np.lexsort((ids, sigs))
         sigs, ids = sigs[order], ids[order]
         cuts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1], [True])))
         lengths = np.diff(cuts)
-        many = np.flatnonzero(lengths > 1)
-        if not len(many):
-            return
+        many = np.arange(len(lengths))
         # The least of a group is its first; the others are paired with it.
         rest = np.concatenate([np.arange(cuts[i] + 1, cuts[i + 1]) for i in many])
-        pairs = np.unique(np.stack((np.repeat(ids[cuts[many]], lengths[many] - 1), ids[rest])), axis=1)
-        pairs = pairs[:, pairs[0] != pairs[1]]
-        yield batch_of(pairs.shape[1], kind=pa.array(np.full(pairs.shape[1], _EDGE, np.int32)), a=pa.array(pairs[0]), b=pa.array(pairs[1]))
+        lead, other = np.repeat(ids[cuts[many]], lengths[many] - 1), ids[rest]
+        order = np.lexsort((other, lead))
+        lead, other = lead[order], other[order]
+        new = np.flatnonzero(np.concatenate(([True], (lead[1:] != lead[:-1]) | (other[1:] != other[:-1]))))
+        times = np.diff(np.concatenate((new, [len(lead)])))
+        lead, other, ok = lead[new], other[new], lead[new] != other[new]
+        yield batch_of(int(ok.sum()), kind=pa.array(np.full(int(ok.sum()), _EDGE, np.int32)), a=pa.array(lead[ok]), b=pa.array(other[ok]), n=pa.array(times[ok]))
         lists, hot = {}, []
         for i in np.flatnonzero(lengths > 2):
             members = np.unique(ids[cuts[i] : cuts[i + 1]])
@@ -290,7 +334,7 @@ def _meet(rows: DataFrame) -> DataFrame:
         for batch in batches:
             docs = batch.filter(pa.compute.equal(batch.column("kind"), _DOC))
             if len(docs):
-                yield batch_of(len(docs), **{c: docs.column(c) for c in ("kind", "doc_id", "sum", "n", "sid", "s2", "g")})
+                yield batch_of(len(docs), **{c: docs.column(c) for c in ("kind", "doc_id", "sum", "n", "sid", "s2", "g", "sketch")})
             blobs = batch.filter(pa.compute.equal(batch.column("kind"), _BLOB))
             for at, flush, six, own in zip(*(blobs.column(c).to_pylist() for c in ("bucket", "flush", "sigs", "own"))):
                 if at != bucket and held:
@@ -306,12 +350,74 @@ def _meet(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, MET)
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _likely(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that sizes and sketches leave open."""
+    @F.pandas_udf("boolean")
+    def open_(n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series) -> pd.Series:
+        return pd.Series([may_link(*x) for x in zip(n1, s1, n2, s2)], dtype=bool)
+
+    one, two = (known.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch{c}")) for c in "ab")
+    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return sized.join(one.drop("na"), "a").join(two.drop("nb"), "b").where(open_("na", "sketcha", "nb", "sketchb")).select("a", "b")
+
+
+def _within_crowds(known: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (sid, root) that may link, across roots, each pair once however many groups it shares.
+
+    Sets that signatures hold together are a crowd; ``edges`` has each set with the leaders of its groups. A crowd is cut
+    into blocks of about ``BLOCK`` sets; two blocks at a time, the sketches are compared as matrices, and only what they
+    leave open is a pair.
+    """
+    members = stored(members, "crowd-members")
+    own = lambda c: members.select(F.col("sid").alias(c))
+    crowds = components(edges.select("a", "b").join(own("a"), "a", "left_semi").join(own("b"), "b", "left_semi"))
+    who = members.select("sid", F.col("root").alias("component")).join(crowds, F.col("sid") == F.col("node"), "left").select("sid", "component", F.coalesce("root", "sid").alias("crowd"))
+    blocks = who.groupBy(F.col("crowd").alias("_crowd")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    who = who.join(known, "sid").join(blocks, F.col("crowd") == F.col("_crowd")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    each = who.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "component", "n", "sketch")
+    dealt = each.repartition("crowd", "x", "y").sortWithinPartitions("crowd", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(rows: list[tuple]) -> pa.RecordBatch:
+            one, two, own, sids, component, n, sketches = (np.array(c) if i != 6 else c for i, c in enumerate(zip(*(r[1:] for r in rows))))
+            same, found, widths = one[0] == two[0], [], np.array([len(k) for k in sketches])
+            for wide in np.unique(widths):
+                for width in np.unique(widths):
+                    p, q = np.flatnonzero((widths == wide) & (own == one[0])), np.flatnonzero((widths == width) & (own == two[0]))
+                    if not len(p) or not len(q):
+                        continue
+                    cells = int(min(wide, width))
+                    fold = lambda at: np.stack([np.frombuffer(sketches[i], np.uint8) for i in at]).astype(np.int32).reshape(len(at), -1, cells).sum(axis=1)  # noqa: B023, E731
+                    ended = np.array([255 in sketches[i] for i in q])
+                    left, right = fold(p), fold(q)
+                    for i, own_cells in zip(p, left):
+                        apart = np.abs(right - own_cells).sum(axis=1)
+                        near = ended | (255 in sketches[i]) | ((100 + PERCENT) * apart <= (100 - PERCENT) * (n[q] + n[i]))
+                        sized = 100 * np.minimum(n[q], n[i]) >= PERCENT * np.maximum(n[q], n[i])
+                        ok = near & sized & (component[q] != component[i]) & ((sids[q] > sids[i]) if same else True)
+                        found += [(min(sids[i], z), max(sids[i], z)) for z in sids[q[ok]]]
+            return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(x) for _, x in found], pa.int64())], names=["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "x", "y", "own", "sid", "component", "n", "sketch"))):
+                if held and held[0][:3] != row[:3]:
+                    yield pairs_of(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield pairs_of(held)
+
+    return text_batches(dealt).mapInArrow(compare, "a long, b long")
+
+
+def _verified(docs: DataFrame, sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: set ids) whose sets link, by counting the shingles of whole texts.
 
     A pair sends the text of ``b`` to where the set of ``a`` is; a set with many partners is sent to several places.
     """
-    pairs = stored(pairs, "pairs")
+    pairs = stored(_likely(known, pairs), "pairs")
     places = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 256)).cast("int").alias("places"))
     dealt = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
     dealt = stored(dealt, "dealt-pairs")
@@ -352,36 +458,56 @@ def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sets`` (doc_id, sum, n, sid) of all documents, and ``links`` (a, b) between set ids that make all components."""
     spark = docs.sparkSession
     met = stored(_meet(_scan(docs, LEVELS[0], _buckets(spark))), "met")
-    sets = met.where(F.col("kind") == _DOC).select("doc_id", "sum", "n", "sid", "s2", "g")
+    all_sets = met.where(F.col("kind") == _DOC)
+    sets = stored(all_sets.select("doc_id", "sum", "n", "sid", "s2", "g"), "sets")  # small beside what it is read from
+    known = stored(all_sets.where("sketch IS NOT NULL").groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
+    names = sets.where("g IS NOT NULL").select("g", "sid")
     clash = sets.groupBy("sid").agg(F.min("s2").alias("x"), F.max("s2").alias("y")).where("x <> y")
     if clash.head(1):
         raise ValueError("two sets have one 64-bit id: change the constants of set_hashes")
     links, level = None, 0
     while True:
-        names = met.where((F.col("kind") == _DOC) & F.col("g").isNotNull()).select("g", "sid")
         of = lambda c: names.select(F.col("g").alias(c), F.col("sid").alias(f"s{c}"))  # noqa: B023, E731
-        edges = met.where(F.col("kind") == _EDGE).select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-        edges = edges.where("sa <> sb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
-        found = _verified(docs, sets, edges)
+        edges = met.where(F.col("kind") == _EDGE).groupBy("a", "b").agg(F.sum("n").alias("n")).join(of("a"), "a").join(of("b"), "b")
+        edges = stored(edges.where("sa <> sb").groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.sum("n").alias("n")), "leaders")
+        found = _verified(docs, sets, known, edges.groupBy("b").agg(F.max(F.struct("n", "a")).alias("one")).select("one.a", "b"))
         links = found if links is None else stored(links.unionByName(found).distinct(), "links")
         roots = stored(components(links), "roots")
-        groups = met.where(F.col("kind").isin(_LIST, _HOT)).select("key", (F.col("kind") == _HOT).alias("hot"), F.explode("ids").alias("g")).distinct()
-        placed = groups.join(names, "g").join(roots, F.col("sid") == F.col("node"), "left").select("key", "hot", "sid", F.coalesce("root", "sid").alias("root")).distinct()
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        rest = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = stored(links.unionByName(_verified(docs, sets, known, rest)), "links")
+        roots = stored(components(links), "roots")
+        groups = met.where(F.col("kind").isin(_LIST, _HOT)).select("key", (F.col("kind") == _HOT).alias("hot"), "ids").distinct().select("key", "hot", F.explode("ids").alias("g"))
+        tagged = names.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
+        placed = groups.join(tagged, "g").select("key", "hot", "sid", "root")
         mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         left = stored(placed.join(mixed, "key"), "mixed-groups")
         last = level + 1 == len(LEVELS)
-        near = left if last else left.where("NOT hot")
+        near = left.where("NOT hot")
         pairs = near.alias("p").join(near.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")))
         pairs = pairs.select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(docs, sets, pairs.join(edges, ["a", "b"], "left_anti"))), "links")
+        if last:
+            pairs = pairs.unionByName(_within_crowds(known, left.where("hot").select("sid", "root").distinct(), edges)).distinct()
+        links = stored(links.unionByName(_verified(docs, sets, known, pairs.join(rest, ["a", "b"], "left_anti"))), "links")
         crowd = left.where("hot").select("sid").distinct()
         if last or not crowd.head(1):
             return sets, links
         level += 1
-        some = sets.join(crowd, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "sum")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.sum").alias("sum"))
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31) == F.col("sum"))
-        few = docs.select("doc_id", "text").join(sized_broadcast(stored(some.distinct(), "crowd"), BROADCAST_BYTES), on, "left_semi")
-        met = stored(_meet(_scan(few, LEVELS[level], _buckets(spark))), "met")
+        few = _texts_of(docs, sets, crowd)
+        held = stored(_meet(_scan(few, SUPPORT, _buckets(spark)), support=True), "support")
+        named = held.where(F.col("kind") == _DOC).select("g", "sid", F.col("n").alias("size"))
+        times = held.where(F.col("kind") == _COUNT).groupBy("g").agg(F.sum("n").alias("n"))
+        crowd = named.join(times, "g").where(100 * F.col("n") >= PERCENT * F.col("size")).select("sid")
+        met = stored(_meet(_scan(_texts_of(docs, sets, crowd), LEVELS[level], _buckets(spark))), "met")
+        names = stored(met.where((F.col("kind") == _DOC) & F.col("g").isNotNull()).select("g", "sid"), "names")
+
+
+def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A document of each set in ``wanted`` (sid)."""
+    one = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "sum")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.sum").alias("sum"))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31) == F.col("sum"))
+    return docs.select("doc_id", "text").join(sized_broadcast(stored(one.distinct(), "crowd"), BROADCAST_BYTES), on, "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
