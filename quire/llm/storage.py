@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_released = 0.0
+
+
+def release(spark: SparkSession, every: float = 3.0) -> None:
+    """Lets Spark delete the shuffle files of steps that are done with, at most once in ``every`` seconds.
+
+    They go once the driver's JVM collects its garbage, which in a driver that holds little may take hours; many short steps
+    would leave all their files until then.
+    """
+    global _released
+    if time.monotonic() - _released >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released = time.monotonic()
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Size of the files that a stored table reads."""
     spark = df.sparkSession
