@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.native import let, window_starts, words_of
+from quire.llm.storage import cut
 
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -137,7 +138,7 @@ class RuleCost:
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[RuleCost]:
     """Every rule's time over, and rejected share of, at most ``sample_rows`` rows."""
-    sample = docs.select(text).limit(sample_rows).repartition(2)
+    sample = cut(docs.select(text).limit(sample_rows))
     n = max(1, sample.count())
     out = []
     for rule in rules:
