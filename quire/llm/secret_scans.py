@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.native import let
+from quire.llm.storage import cut
 
 SCOPE = 200
 
@@ -134,7 +135,7 @@ def link(scanned: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """One row per document: doc_id, ``base`` and ``spans``, sorted arrays of (start, end, kind number)."""
     slim = docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("_h"), text)
-    scanned = scan(slim, text).drop(text)
+    scanned = cut(scan(slim, text).drop(text))  # spans only; three plans read them
     linked = link(scanned, ["doc_id", "_h"], scope).withColumnsRenamed({"doc_id": "_id", "_h": "_lh"})
     on = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_h") == F.col("_lh")]
     by = lambda x, y: F.when(x["s"] != y["s"], F.signum(x["s"] - y["s"])).when(x["k"] != y["k"], F.signum(x["k"] - y["k"])).otherwise(F.signum(x["e"] - y["e"])).cast("int")
