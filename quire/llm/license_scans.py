@@ -1,9 +1,10 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-The terms are those of the templates; a term's inverse document frequency is taken over every line of every text, and
-a term that more than ``COMMON`` of the lines have weighs nothing. Words outside the templates weigh as much as a term
-that no line has, so a sentence that merely mentions a licence stays far from its template. A line without any weighty
-term has a cosine of 0, so only lines with one are compared, each different line once however many documents have it.
+The terms are those of the templates; a term's inverse document frequency is taken over every line of every text, and is
+at least ``FLOOR``, so that every term of a template counts however common it is. Words outside the templates weigh as
+much as a term that no line has, so a sentence that merely mentions a licence stays far from its template. A cosine is
+at most the share of the template's length that its terms in the line have; the ``key_terms`` are those without which no
+line gets to the threshold, so only lines with one are compared, each different line once however many documents have it.
 
 A file's licence is that of its closest line. A directory has the licence of its closest licence file. A file without
 a licence of its own takes the one of the nearest directory above it: each directory's ancestors are joined by path
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from quire.llm.storage import cut, stored
 
 THRESHOLD = 0.6
-COMMON = 0.01
+#: The share of the lines beyond which a term would weigh nothing: none is.
+COMMON = 1.0
+FLOOR = 0.1
 
 # Short notices of public licences, by SPDX identifier.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
@@ -64,17 +67,32 @@ def idf(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     quoted = ", ".join(f"'{t}'" for t in sorted(vocabulary))
     own = F.expr(f"array_distinct(filter(ts, t -> t IN ({quoted})))")
     found = _lines(docs).select(terms(F.col("line")).alias("ts")).where(F.size("ts") > 0).select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(found.groupBy("term").agg(F.count("*").alias("df")))  # read twice
     n = df.where("term = ''").select(F.col("df").alias("n"))
     known = docs.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary)] + [("",)], "term string")
     counts = known.join(df, "term", "left").crossJoin(F.broadcast(n))  # n is one row, or none in an empty table
     seen = F.when(F.col("term") == "", 0).otherwise(F.coalesce("df", F.lit(0)))
-    return counts.select("term", F.when(seen > F.col("n") * COMMON, 0.0).otherwise(F.log((1.0 + F.col("n")) / (1.0 + seen))).alias("w"))
+    return counts.select("term", F.greatest(F.lit(FLOOR), F.log((1.0 + F.col("n")) / (1.0 + seen))).alias("w"))
 
 
-def lines_worth_comparing(docs: DataFrame, weighty: list[str]) -> DataFrame:
-    """``docs`` without text, a row for each different ``line`` of a text that has a weighty term."""
-    term = r"(?<![a-z0-9])(?:" + "|".join(weighty) + r")(?![a-z0-9])" if weighty else r"(?!)"
+def key_terms(template: Mapping[str, float], threshold: float) -> set[str]:
+    """The weightiest terms of a template (term, weight times count): the others together leave a cosine below the threshold.
+
+    By Cauchy and Schwarz a cosine is at most the norm of the shared terms over that of the template.
+    """
+    left = (max(threshold - 1e-4, 0.0) ** 2) * sum(x * x for x in template.values())  # cosines are rounded to four digits
+    keys = set(template)
+    for term, x in sorted(template.items(), key=lambda e: (e[1], e[0])):
+        left -= x * x
+        if left <= 0:
+            break
+        keys.remove(term)
+    return keys
+
+
+def lines_worth_comparing(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` without text, a row for each different ``line`` of a text that has a key term."""
+    term = r"(?<![a-z0-9])(?:" + "|".join(keys) + r")(?![a-z0-9])" if keys else r"(?!)"
     rest = [c for c in docs.columns if c != "text"]
     lower = docs.select(*rest, F.lower("text").alias("text")).where(F.col("text").rlike(term))
     lines = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: x.rlike(term))
@@ -114,9 +132,13 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     """doc_id, path, license, similarity, found (``own``, ``inherited`` or null) and licensed_by, for ``docs`` with doc_id, text, path, is_license_file."""
     slim = docs.select("doc_id", "text", "path", "is_license_file", F.xxhash64("path", "text", "is_license_file").alias("_h"))
     tt = cut(template_terms(docs, templates))
-    vocabulary = [r["term"] for r in tt.select("term").distinct().collect()]  # the templates' own terms
-    weights = {r["term"]: r["w"] for r in idf(docs, vocabulary).collect()}
-    lines = stored(lines_worth_comparing(slim, sorted(t for t, w in weights.items() if t and w > 0)), "licence-lines")
+    known = tt.collect()  # the templates' own terms
+    weights = {r["term"]: r["w"] for r in idf(docs, sorted({r["term"] for r in known})).collect()}
+    vectors: dict[tuple[str, int], dict[str, float]] = {}
+    for r in known if weights else ():
+        vectors.setdefault((r["license"], r["template"]), {})[r["term"]] = r["tf"] * weights[r["term"]]
+    keys = set().union(*(key_terms(v, threshold) for v in vectors.values()))
+    lines = stored(lines_worth_comparing(slim, sorted(keys)), "licence-lines")
     own = lines.join(closest(lines, tt, weights, threshold), "line").groupBy("doc_id", "_h", "path", "is_license_file").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b"))
     own = cut(own.select("doc_id", "_h", "path", "is_license_file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("similarity")))
     files = own.where("is_license_file").groupBy(parent(F.col("path")).alias("licensed_dir")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license", "path")).alias("f"))

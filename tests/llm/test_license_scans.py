@@ -71,5 +71,21 @@ def test_inheritance(spark):
     assert got[13]["found"] == "inherited" and got[14]["license"] is None and got[17]["license"] == "MIT"
 
 
+def test_frequent_licence_is_found(spark):
+    # Every third text of few lines has the notice: its words are in far more than 1 % of the lines.
+    hot = [(i, "some plain words\nReleased under the MIT License.\nmore words" if i % 3 == 0 else f"plain text {i}\nand more", f"h/{i}/f", False, "x") for i in range(90)]
+    rows = hot + [(100, "Released under the MIT License.", "k/LICENSE", True, "x"), (101, "nothing here", "k/s/f", False, "x")]
+    out = L.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: r["license"] for r in out} == {r[0]: "MIT" if r[0] % 3 == 0 and r[0] < 100 or r[0] >= 100 else None for r in rows}
+    assert sorted(str(tuple(r)) for r in out) == brute(rows)
+
+
+def test_key_terms_lose_no_line():
+    template = {"released": 3.0, "under": 2.0, "the": 0.5, "mit": 4.0, "license": 3.0}
+    keys, whole = L.key_terms(template, 0.6), sum(x * x for x in template.values())
+    assert sum(x * x for t, x in template.items() if t not in keys) < 0.36 * whole and keys < set(template)
+    assert L.key_terms(template, 0.0) == set(template)
+
+
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).count() == 0
