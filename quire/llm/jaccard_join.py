@@ -6,9 +6,9 @@ domain of shingles is partitioned by hash, and a set's signatures are what it ha
 or in each choice of n2 - k2 of n2 parts of a partition (level 2). A linked pair is joined in the band of its larger
 set, where both emit:
 
-* level 1 has more non-empty partitions in the larger set than the pair can differ in, so at least one that is not empty
-  is equal in both; sets without that property (a few small ones) also emit their empty partitions, so that two of them
-  meet there;
+* level 1 has more non-empty partitions in one of the sets than the pair can differ in, so at least one that is not empty
+  is equal in both; sets that cannot be sure of that with every partner of the instance (a few small ones) also emit their
+  empty partitions, so that two of them meet there;
 * level 2 has so few partitions that one differs in at most k2 shingles, and then some n2 - k2 of its parts are equal.
 
 Level 2 signatures cover more shingles and serve the sets that meet too many others in level 1, as those that share a
@@ -77,6 +77,11 @@ def differ(size: np.ndarray | int):
     return 2 * size * (100 - PERCENT) // (100 + PERCENT)
 
 
+def reach(size: np.ndarray | int, largest: np.ndarray | int):
+    """Most shingles in which a set of this size can differ from any linked one of at most ``largest``, be it larger or not."""
+    return (size + np.minimum(size * 100 // PERCENT, largest)) * (100 - PERCENT) // (100 + PERCENT)
+
+
 def band_of(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(_BANDS, size, "right") - 1
 
@@ -148,6 +153,7 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
         inst = band[sets] + extra
         n = partitions(inst, level)
         total = size[sets]
+        most = reach(total, _BANDS[inst + 1] - 1)
         begin = np.cumsum(total) - total
         take = np.repeat(first[sets] - begin, total) + np.arange(int(total.sum()))
         h = W.mix(g[take] ^ np.repeat(W.mix(inst.astype(np.uint64) + np.uint64(1000 * level.n2)), total))
@@ -161,7 +167,7 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
         label = W.mix(np.repeat(W.mix(inst.astype(np.uint64) * np.uint64(2) + np.uint64(level.n2)), cells) + (np.arange(len(sums)) - np.repeat(offset, cells)).astype(np.uint64))
         if level.n2 == 1:
             full = np.add.reduceat(filled.astype(np.int64), offset)
-            weak = full <= differ(total)
+            weak = full <= most
             keep = filled | np.repeat(weak, cells)
             out.append(W.mix(sums + label)[keep])
             whose.append(np.repeat(sets, cells)[keep])
@@ -175,7 +181,7 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
             empty |= ~some
             sig.append((W.mix(marks[:, chosen].sum(axis=1, dtype=np.uint64) + head * np.uint64(sum(1 << c for c in chosen))), some))
         # A partition that matches only where both are empty is no use: a set with as many of those emits them too.
-        spare = n - (differ(total) // (level.k2 + 1))
+        spare = n - (most // (level.k2 + 1))
         weak = np.repeat(np.add.reduceat(empty.astype(np.int64), np.cumsum(n) - n) >= spare, n)
         for value, some in sig:
             keep = some | weak

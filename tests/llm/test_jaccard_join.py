@@ -1,6 +1,7 @@
 """N-gram Jaccard join against brute force over all pairs."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -80,6 +81,39 @@ def test_linked_pairs_share_a_signature(level):
             assert len(np.intersect1d(sigs[own == 0], sigs[own == 1])), (size, drop)
 
 
+def ways(n, most, largest=None):
+    """The ways n shingles can lie in at most ``most`` cells that are alike: counts, falling."""
+    if not n or not most:
+        return [] if n else [()]
+    return [(x, *rest) for x in range(min(n, largest or n), 0, -1) for rest in ways(n - x, most - 1, x)]
+
+
+@pytest.mark.parametrize("level", J.LEVELS)
+@pytest.mark.parametrize("large,small", [(4, 3), (8, 6)])
+def test_small_pairs_share_a_signature_however_they_fall(large, small, level):
+    inst = int(J.band_of(large))
+    n = int(J.partitions(np.array([inst]), level)[0])
+    g = np.random.default_rng(7).integers(0, 2**63, 20000, dtype=np.uint64)
+    h = W.mix(g ^ W.mix(np.array([inst + 1000 * level.n2], np.uint64)))
+    place, part = (h % np.uint64(n)).astype(int), ((h >> np.uint64(40)) % np.uint64(level.n2)).astype(int)
+    pool = {(p, q): g[(place == p) & (part == q)].tolist() for p in range(n) for q in range(level.n2)}
+    if level.n2 == 1:
+        falls = [[(p, 0) for p, k in enumerate(w) for _ in range(k)] for w in ways(large, n)]
+    else:
+        assert n <= 2
+        falls = [[(p, q) for p, w in enumerate(ws) for q, k in enumerate(w) for _ in range(k)] for first in range(large + 1) if n == 2 or first == large for one in ways(first, level.n2) for ws in ([(one, two) for two in ways(large - first, level.n2)] if n == 2 else [(one,)])]
+    sets = []
+    for cells in falls:
+        base = [pool[c][cells[:i].count(c)] for i, c in enumerate(cells)]
+        for kept in combinations(range(large), small):
+            sets += [np.sort(np.array(base, np.uint64)), np.sort(np.array([base[i] for i in kept], np.uint64))]
+    sigs, own = J.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), level)
+    held = [set() for _ in sets]
+    for x, i in zip(sigs.tolist(), own.tolist()):
+        held[i].add(x)
+    assert len(sets) >= 40 and not [i for i in range(0, len(sets), 2) if not held[i] & held[i + 1]]
+
+
 def test_sketches_rule_no_link_out():
     r = np.random.default_rng(5)
     ruled_out = 0
