@@ -2,11 +2,16 @@
 
 The terms are those of the templates; a term's inverse document frequency is taken over every line of every text, and is
 at least ``FLOOR``, so that every term of a template counts however common it is. Words outside the templates weigh as
-much as a term that no line has, so a sentence that merely mentions a licence stays far from its template. A cosine is
-at most the share of the template's length that its terms in the line have; the ``key_terms`` are those without which no
-line gets to the threshold, so only lines with one are compared, each different line once however many documents have it.
+much as a term that no line has, but at most ``UNKNOWN`` however many lines there are, so a sentence that merely mentions
+a licence stays far from its template.
 
-A file's licence is that of its closest line. A directory has the licence of its closest licence file. A file without
+Compared are each line with all templates, and each window of a text, across its lines, with the templates that have as
+many terms: a notice inside a long line, one with other words around it and one that is broken into lines is such a
+window. A cosine is at most the share of the template's length that its terms in the line have; the ``key_terms`` are
+those without which no line gets to the threshold, so only lines with one are compared, and only windows whose terms
+make the share large enough, each different line or window once however many documents have it.
+
+A file's licence is that of its closest line or window. A directory has the licence of its closest licence file. A file without
 a licence of its own takes the one of the nearest directory above it: each directory's ancestors are joined by path
 with the directories that have one, and the longest path wins. Every document is one output row.
 
@@ -21,12 +26,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.native import let
 from quire.llm.storage import cut, stored
 
 THRESHOLD = 0.6
 #: The share of the lines beyond which a term would weigh nothing: none is.
 COMMON = 1.0
 FLOOR = 0.1
+#: Most weight of a word outside the templates: that of a term in one of a thousand lines.
+UNKNOWN = 6.9
 
 # Short notices of public licences, by SPDX identifier.
 TEMPLATES: Mapping[str, tuple[str, ...]] = {
@@ -72,16 +80,21 @@ def idf(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     known = docs.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary)] + [("",)], "term string")
     counts = known.join(df, "term", "left").crossJoin(F.broadcast(n))  # n is one row, or none in an empty table
     seen = F.when(F.col("term") == "", 0).otherwise(F.coalesce("df", F.lit(0)))
-    return counts.select("term", F.greatest(F.lit(FLOOR), F.log((1.0 + F.col("n")) / (1.0 + seen))).alias("w"))
+    w = F.log((1.0 + F.col("n")) / (1.0 + seen))
+    return counts.select("term", F.when(F.col("term") == "", F.least(F.lit(UNKNOWN), w)).otherwise(F.greatest(F.lit(FLOOR), w)).alias("w"))
 
 
-def key_terms(template: Mapping[str, float], threshold: float) -> set[str]:
-    """The weightiest terms of a template (term, weight times count): the others together leave a cosine below the threshold.
+def least_share(template: Mapping[str, float], threshold: float) -> float:
+    """What the squares of the shared terms of a template (term, weight times count) add up to at least, at the threshold.
 
     By Cauchy and Schwarz a cosine is at most the norm of the shared terms over that of the template.
     """
-    left = (max(threshold - 1e-4, 0.0) ** 2) * sum(x * x for x in template.values())  # cosines are rounded to four digits
-    keys = set(template)
+    return (max(threshold - 1e-4, 0.0) ** 2) * sum(x * x for x in template.values())  # cosines are rounded to four digits
+
+
+def key_terms(template: Mapping[str, float], threshold: float) -> set[str]:
+    """The weightiest terms of a template: the others together leave a cosine below the threshold."""
+    left, keys = least_share(template, threshold), set(template)
     for term, x in sorted(template.items(), key=lambda e: (e[1], e[0])):
         left -= x * x
         if left <= 0:
@@ -90,30 +103,51 @@ def key_terms(template: Mapping[str, float], threshold: float) -> set[str]:
     return keys
 
 
-def lines_worth_comparing(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``docs`` without text, a row for each different ``line`` of a text that has a key term."""
+def _windows(ts: Column, hits: Column, template: Mapping[str, float], size: int, threshold: float) -> Column:
+    """The windows of ``size`` terms that share enough with a template; ``hits`` are the places of key terms."""
+    keys, n = sorted(key_terms(template, threshold)), F.size(ts)
+    own = F.filter(hits, lambda p: F.get(ts, p - 1).isin(keys))
+    begin = lambda p: F.sequence(F.greatest(F.lit(1), p - (size - 1)), F.greatest(F.lit(1), F.least(p, n - (size - 1))))
+    cuts = F.transform(F.array_distinct(F.flatten(F.transform(own, begin))), lambda at: F.slice(ts, at, F.lit(size)))
+    terms_ = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(x * x).alias("x")) for t, x in sorted(template.items())))
+    share = lambda c: F.aggregate(terms_, F.lit(0.0), lambda sum_, e: sum_ + F.when(F.array_contains(c, e["t"]), e["x"]).otherwise(0.0))
+    near = F.filter(cuts, lambda c: share(c) >= least_share(template, threshold) - 1e-9)
+    return F.transform(near, lambda c: F.struct(F.array_join(c, " ").alias("line"), F.lit(size).alias("span")))
+
+
+def lines_worth_comparing(docs: DataFrame, vectors: list[tuple[dict[str, float], int]], threshold: float) -> DataFrame:
+    """``docs`` without text, a row for each different ``line`` (``span`` 0) with a key term and each window of ``span`` terms.
+
+    ``vectors`` are the templates, each with its number of terms.
+    """
+    keys = sorted(set().union(*(key_terms(v, threshold) for v, _ in vectors)))
     term = r"(?<![a-z0-9])(?:" + "|".join(keys) + r")(?![a-z0-9])" if keys else r"(?!)"
     rest = [c for c in docs.columns if c != "text"]
     lower = docs.select(*rest, F.lower("text").alias("text")).where(F.col("text").rlike(term))
-    lines = F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: x.rlike(term))
-    return lower.select(*rest, F.explode(lines).alias("line"))
+    lines = F.transform(F.filter(F.array_distinct(F.split("text", "\n", -1)), lambda x: x.rlike(term)), lambda x: F.struct(x.alias("line"), F.lit(0).alias("span")))
+    hits = lambda ts: F.filter(F.sequence(F.lit(1), F.size(ts)), lambda p: F.get(ts, p - 1).isin(keys))
+    each = lambda ts, at: F.array_distinct(F.flatten(F.array(*(_windows(ts, at, v, size, threshold) for v, size in vectors))))
+    found = F.concat(lines, let(terms(F.col("text")), lambda ts: let(hits(ts), lambda at: each(ts, at)))) if vectors else lines
+    each_ = lower.select(*rest, F.explode_outer(found).alias("u")).where("u IS NOT NULL")  # outer: no filter that computes the array again
+    return each_.select(*rest, "u.line", "u.span")
 
 
 def closest(lines: DataFrame, tt: DataFrame, weights: Mapping[str, float], threshold: float = THRESHOLD) -> DataFrame:
-    """``line``, ``license``, ``similarity`` of the different lines that are close enough to a template."""
+    """``line``, ``span``, ``license``, ``similarity`` of the different lines and windows that are close enough to a template."""
     spark = lines.sparkSession
-    lines = lines.groupBy("line").agg(F.count("*").alias("n_lines")).select("line")
+    lines = lines.groupBy("line", "span").agg(F.count("*").alias("n_lines")).select("line", "span")
     w = spark.createDataFrame([(t, x) for t, x in sorted(weights.items()) if t], "term string, w double")
-    tv = tt.join(w, "term").where("w > 0").select("license", "template", "term", (F.col("tf") * F.col("w")).alias("tw"))
-    norms = tv.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    tv = cut(tv.join(norms, ["license", "template"]))
-    at = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    lw = at.join(w, "term", "left").select("line", "term", (F.col("tf") * F.coalesce("w", F.lit(weights.get("", 0.0)))).alias("lw"))
-    size = lw.groupBy("line").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
-    dots = lw.join(tv, "term").groupBy("line", "license", "template").agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.first("tn").alias("tn"))
+    tv = tt.join(w, "term").select("license", "template", "term", "tf", (F.col("tf") * F.col("w")).alias("tw"))
+    norms = tv.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"), F.sum("tf").cast("int").alias("size"))
+    tv = cut(tv.drop("tf").join(norms, ["license", "template"]))
+    at = lines.select("line", "span", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "span", "term").agg(F.count("*").alias("tf"))
+    lw = at.join(w, "term", "left").select("line", "span", "term", (F.col("tf") * F.coalesce("w", F.lit(weights.get("", 0.0)))).alias("lw"))
+    size = lw.groupBy("line", "span").agg(F.sqrt(F.sum(F.col("lw") * F.col("lw"))).alias("ln"))
+    met = lw.join(tv, "term").where((F.col("span") == 0) | (F.col("span") == F.col("size")))
+    dots = met.groupBy("line", "span", "license", "template").agg(F.sum(F.col("lw") * F.col("tw")).alias("dot"), F.first("tn").alias("tn"))
     cosine = F.round(F.col("dot") / (F.col("ln") * F.col("tn")), 4)
-    best = dots.join(size, "line").withColumn("similarity", cosine).where(F.col("similarity") >= threshold).groupBy("line")
-    return best.agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b")).select("line", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("similarity"))
+    best = dots.join(size, ["line", "span"]).withColumn("similarity", cosine).where(F.col("similarity") >= threshold).groupBy("line", "span")
+    return best.agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b")).select("line", "span", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("similarity"))
 
 
 def parent(path: Column) -> Column:
@@ -134,12 +168,12 @@ def scan(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES,
     tt = cut(template_terms(docs, templates))
     known = tt.collect()  # the templates' own terms
     weights = {r["term"]: r["w"] for r in idf(docs, sorted({r["term"] for r in known})).collect()}
-    vectors: dict[tuple[str, int], dict[str, float]] = {}
+    vectors: dict[tuple[str, int], tuple[dict[str, float], int]] = {}
     for r in known if weights else ():
-        vectors.setdefault((r["license"], r["template"]), {})[r["term"]] = r["tf"] * weights[r["term"]]
-    keys = set().union(*(key_terms(v, threshold) for v in vectors.values()))
-    lines = stored(lines_worth_comparing(slim, sorted(keys)), "licence-lines")
-    own = lines.join(closest(lines, tt, weights, threshold), "line").groupBy("doc_id", "_h", "path", "is_license_file").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b"))
+        vector, size = vectors.get((r["license"], r["template"]), ({}, 0))
+        vectors[r["license"], r["template"]] = ({**vector, r["term"]: r["tf"] * weights[r["term"]]}, size + r["tf"])
+    lines = stored(lines_worth_comparing(slim, [vectors[k] for k in sorted(vectors)], threshold), "licence-lines")
+    own = lines.join(closest(lines, tt, weights, threshold), ["line", "span"]).groupBy("doc_id", "_h", "path", "is_license_file").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("b"))
     own = cut(own.select("doc_id", "_h", "path", "is_license_file", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("similarity")))
     files = own.where("is_license_file").groupBy(parent(F.col("path")).alias("licensed_dir")).agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license", "path")).alias("f"))
     dirs = slim.select(parent(F.col("path")).alias("dir")).distinct().withColumn("up", F.explode(ancestors(F.col("dir"))))

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from quire.llm import license_scans as L
 
 SCHEMA = "doc_id long, text string, path string, is_license_file boolean, line string"
@@ -87,5 +89,22 @@ def test_key_terms_lose_no_line():
     assert L.key_terms(template, 0.0) == set(template)
 
 
+def test_notices_with_other_words_and_broken_lines(spark):
+    words = " ".join(f"word{i}" for i in range(300))
+    header = "# Licensed under the Apache License,\n# Version 2.0 (the \"License\"); you may not use\n# this file except in compliance with the License."
+    texts = ["Acme: released under the MIT License.", "Copyright 2020 Acme Corp. Released under the MIT License. See there.", f"{words} Released under the MIT License. {words}", f"{words}\n{header}\n{words}", "a word that is known to license nobody"]
+    rows = [(i, t, f"t{i}/f", False, "x") for i, t in enumerate(texts)]
+    for filler in (10, 4000):  # lines without licence words: the corpus grows, the answers stay
+        grown = rows + [(100 + i, "\n".join(f"plain{j} text{i}" for j in range(filler // 10)), f"p/{i}", False, "x") for i in range(10)]
+        got = {r["doc_id"]: r["license"] for r in L.scan(spark.createDataFrame(grown, SCHEMA)).collect()}
+        assert [got[i] for i in range(5)] == ["MIT", "MIT", "MIT", "Apache-2.0", None]
+
+
+def test_unknown_words_weigh_no_more_in_a_larger_corpus(spark):
+    docs = lambda n: spark.range(n).select(F.concat(F.lit("plain words"), F.when(F.col("id") % 200 == 0, "\nmit").otherwise("")).alias("text")).union(spark.range(n).select(F.lit("other")))
+    small, large = ({r["term"]: r["w"] for r in L.idf(docs(n), ["mit"]).collect()} for n in (2000, 200000))
+    assert small[""] == large[""] == L.UNKNOWN
+
+
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).count() == 0
