@@ -2,27 +2,28 @@
 
 A document's set holds its distinct shingles of ``SHINGLE`` words. Two sets link when their Jaccard similarity is at
 least 75 %. Then they differ in at most (|r| + |s|) / 7 shingles. Sizes fall into bands; in the instance of a band the
-domain of shingles is partitioned by hash, and a set's signatures are what it has in each of the partitions (level 1),
-or in each choice of n2 - k2 of n2 parts of a partition (level 2). A linked pair is joined in the band of its larger
-set, where both emit:
-
-* level 1 has more non-empty partitions in one of the sets than the pair can differ in, so at least one that is not empty
-  is equal in both; sets that cannot be sure of that with every partner of the instance (a few small ones) also emit their
-  empty partitions, so that two of them meet there;
-* level 2 has so few partitions that one differs in at most k2 shingles, and then some n2 - k2 of its parts are equal.
-
-Level 2 signatures cover more shingles and serve the sets that meet too many others in level 1, as those that share a
-passage that a great many documents have. Of these, sets with fewer than 75 % of their shingles in any other of them
-have no link that is still open, and leave before level 2.
-
-Who meets whom: signatures are dealt to buckets in packed form. Of the sets that share a signature the least leads; a
-set is first compared with the one leader it shares most signatures with, and the links so found make components. What
-the copies of a text, or a group of near copies, have in common thus costs a comparison a member and not a pair. Then
-each set is compared with its other leaders in other components, and for each group that still lies in several, the
-pairs between different components are compared, directly if the group has at most ``GROUP`` members, through level 2 if
-it is larger, and block by block, sketches first, where a group is as large even there. Links inside a component are never needed, so no link that matters is lost. Every comparison counts the
-shingles of whole texts; pairs that cannot link by their sizes, or by how many shingles they have in each cell of a
-partition of the domain (sets differ in at least as many as those counts do), are not compared at all.
+domain of shingles is partitioned by hash, each partition into n2 parts, and a set's signatures are what it has in each
+choice of n2 - k2 parts of a partition. There are so many partitions that one of them differs in at most k2 shingles, so
+some choice is equal in both. A linked pair meets in the band of its larger set, where both emit; small sets for which
+such a choice might be empty also emit their empty ones.
+
+The work goes in five steps, each a table or some in the shared folder:
+
+1. Support (``LEVELS[0]``, partitions as they are). A pair that links differs in few partitions, so all but those must be
+   shared. Each set counts how many of its signatures any other set has too; one with too few has no link and is done.
+   Nothing but counts leaves this step, so a signature that a third of the corpus has is one entry a task.
+2. Signatures by subsets (``LEVELS[1]``) of the sets that are left, each different set once. Of the sets that share a
+   signature the least leads, within a task first and then over all, so a hot signature sends one entry a task. Leaders
+   and members are the edges of crowds: a linked pair shares a signature and hence lies in one crowd.
+3. Large crowds. Passages that many texts share hold unlike sets together, so a crowd beyond ``GROUP`` sets is parted
+   further: linked sets also share one of their rarest shingles (``_rare``).
+4. Crowds that are still large. Each set is compared with the leader it shares most signatures with. What is linked by
+   now is one component; crowds of one component are done, as groups of near copies are.
+5. Blocks. What is left of a crowd is dealt to blocks of about ``GROUP`` sets, in a large crowd by bands of sizes that can
+   link; two blocks meet at a time, and all their pairs are compared. A crowd of at most ``GROUP`` sets is one block.
+
+Every comparison counts the shingles of whole texts, as a product of block matrices. Step 5 is quadratic in what is left
+of a crowd that has several components, and nothing is dropped there.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are components of their own; texts
 of fewer than ``SHINGLE`` words have one shingle, the whole; equal sets link; a null id reaches the ids of its
@@ -36,27 +37,30 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm import words as W
-from quire.llm.components import components
+from quire.llm.components import components, contracted
 from quire.llm.storage import sized_broadcast, stored, text_batches
 from quire.llm.substring_dedup import checksum
 
 SHINGLE = 5
 PERCENT = 75
-GROUP = 32
+GROUP = 256
 BAND = 1.8
-BLOCK = 256
+#: Shingles of a block; a block of long texts has fewer sets.
+LOAD = 1 << 20
 BROADCAST_BYTES = 48 << 20
-#: Signatures a task packs before it sends them to the buckets.
+#: Signatures a task packs before it sends them to the buckets, and counts or edges it holds before it adds them up.
 PACK = 1 << 20
-ROWS = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, bucket int, flush long, sigs binary, own binary, sketch binary"
-MET = "kind int, doc_id long, sum int, n long, sid long, s2 long, g long, a long, b long, key long, ids array<long>, sketch binary"
-_DOC, _BLOB, _EDGE, _LIST, _HOT, _COUNT = range(6)
+_DOC, _BLOB, _LOCAL, _COUNT, _EDGE = range(5)
+#: Owner of a signature whose owners in its own pack have been counted already.
+_MARK = 0xFFFF
+SUPPORT_ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sum", pa.int32()), ("n", pa.int64()), ("sid", pa.int64()), ("s2", pa.int64()), ("g", pa.int64()), ("need0", pa.int64()), ("need1", pa.int64()), ("bucket", pa.int32()), ("flush", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+JOIN_ROWS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -67,9 +71,7 @@ class Level:
     n2: int
 
 
-LEVELS = (Level(0, 1), Level(3, 7))
-#: Not a level: every shingle on its own, to count how many of a set's shingles any other set has.
-SUPPORT = Level(0, 0)
+LEVELS = (Level(0, 1), Level(1, 3))
 
 
 def differ(size: np.ndarray | int):
@@ -137,15 +139,17 @@ def _sums(values: np.ndarray, cell: np.ndarray, cells: int) -> tuple[np.ndarray,
     return low + (high << np.uint64(32)), np.bincount(cell, minlength=cells) > 0
 
 
-def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set: hashes, and the number of the set."""
+def enumerated(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of each set: hashes, the number of the set, and 0 or 1 for its own band or the next.
+
+    Then, by set and band, how many of its signatures a linked set of that instance must share; -1 where it emits none.
+    """
     size = np.diff(first)
     own = np.arange(len(size))
-    if level == SUPPORT:
-        return W.mix(g), np.repeat(own, size)
+    need = np.full((len(size), 2), -1, np.int64)
     band = band_of(np.maximum(size, 1))
     up = (size > 0) & (size * 100 >= PERCENT * _BANDS[band + 1])  # can link to a set of the next band
-    out, whose = [], []
+    out, whose, extras = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for extra in (0, 1):
         sets = own[(up if extra else size > 0) & (differ(_BANDS[band + extra + 1] - 1) > 0)]
         if not len(sets):
@@ -167,11 +171,13 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
         label = W.mix(np.repeat(W.mix(inst.astype(np.uint64) * np.uint64(2) + np.uint64(level.n2)), cells) + (np.arange(len(sums)) - np.repeat(offset, cells)).astype(np.uint64))
         if level.n2 == 1:
             full = np.add.reduceat(filled.astype(np.int64), offset)
-            weak = full <= most
-            keep = filled | np.repeat(weak, cells)
+            need[sets, extra] = np.maximum(1, full - most)
+            keep = filled | np.repeat(full <= most, cells)
             out.append(W.mix(sums + label)[keep])
             whose.append(np.repeat(sets, cells)[keep])
+            extras.append(np.full(len(whose[-1]), extra))
             continue
+        need[sets, extra] = 1
         marks = np.where(filled, W.mix(sums + label), np.uint64(0)).reshape(-1, level.n2)
         full, head, sig = filled.reshape(-1, level.n2), label.reshape(-1, level.n2)[:, 0], []
         part_of = np.repeat(sets, n)
@@ -187,37 +193,58 @@ def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarr
             keep = some | weak
             out.append(value[keep])
             whose.append(part_of[keep])
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(whose)
+            extras.append(np.full(len(whose[-1]), extra))
+    return np.concatenate(out), np.concatenate(whose), np.concatenate(extras), need
+
+
+def signatures(g: np.ndarray, first: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    return enumerated(g, first, level)[:2]
+
 
+def _batch(schema: pa.Schema, count: int, **given) -> pa.RecordBatch:
+    """``count`` rows of ``schema``; columns that are not given are null."""
+    of = lambda x, kind: x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([of(given[c.name], c.type) if c.name in given else pa.nulls(count, c.type) for c in schema], schema=schema)
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many of a set's shingles lie in each of 2^t cells, one or two in a cell; counts end at 255."""
-    cells = 1 << max(3, min(15, (len(shingles) // 2).bit_length()))
-    return np.minimum(np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
 
+def _by_bucket(sigs: np.ndarray, buckets: int, node: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, signature and, if given, node; the buckets and the other 48 bits in that order."""
+    bucket, low = (sigs >> np.uint64(40)) % np.uint64(buckets), sigs & np.uint64((1 << 48) - 1)
+    key = bucket << np.uint64(48) | low
+    order = np.argsort(key) if node is None else np.lexsort((node, key))
+    return order, bucket[order].astype(np.int32), low[order]
 
-def may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes) -> bool:
-    """False only if sizes or sketches show that two sets cannot link."""
-    if 100 * min(n1, n2) < PERCENT * max(n1, n2):
-        return False
-    x, y = (np.frombuffer(z, np.uint8).astype(np.int32) for z in (sketch1, sketch2))
-    cells = min(len(x), len(y))
-    x, y = (z.reshape(-1, cells) for z in (x, y))
-    if (x == 255).any() or (y == 255).any():
-        return True  # an ended count says too little once cells are added up
-    apart = int(np.abs(x.sum(axis=0) - y.sum(axis=0)).sum())
-    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n1 + n2)
 
+def _six(low: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6])
 
-def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
-    """A row per document (its set), and the signatures of each task's sets, packed by bucket."""
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def batch_of(count: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, t) for c, t in zip(names, types)], names=names)
+def _wide(six: bytes) -> np.ndarray:
+    wide = np.zeros((len(six) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view(np.uint64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    new = np.zeros(len(keys[0]) + 1, bool)
+    new[0] = new[-1] = True
+    for k in keys:
+        new[1:-1] |= k[1:] != k[:-1]
+    return np.flatnonzero(new) if len(keys[0]) else np.zeros(1, np.int64)
+
+
+def _blobs(schema: pa.Schema, bucket: np.ndarray, left: np.ndarray, right: np.ndarray, **given) -> Iterator[pa.RecordBatch]:
+    """``left`` and ``right`` as one row a bucket, some at a time."""
+    cuts = _runs(bucket)
+    for i in range(0, len(cuts) - 1, 64):
+        part = list(zip(cuts[i : i + 64], cuts[i + 1 : i + 65]))
+        columns = {"kind": [_BLOB] * len(part), "bucket": bucket[[x for x, _ in part]], "x": [left[x:y].tobytes() for x, y in part], "y": [right[x:y].tobytes() for x, y in part]}
+        yield _batch(schema, len(part), **columns, **{k: [v] * len(part) for k, v in given.items()})
+
+
+def _support_scan(docs: DataFrame, buckets: int) -> DataFrame:
+    """A row per document (its set), and the signatures of each task's sets, packed by bucket, with what they share within a pack."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -226,19 +253,17 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
 
         def packed() -> Iterator[pa.RecordBatch]:
             sigs, own = (np.concatenate(x) for x in zip(*held))
-            if not len(sigs):
-                return
-            bucket = (sigs >> np.uint64(48)) % np.uint64(buckets)
-            order = np.argsort(bucket << np.uint64(48) | sigs & np.uint64((1 << 48) - 1))
-            sigs, own, bucket = sigs[order], own[order].astype(np.uint16), bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            six = np.ascontiguousarray(sigs.view(np.uint8).reshape(-1, 8)[:, :6])
-            for i in range(0, len(cuts) - 1, 64):
-                part = [(cuts[j], cuts[j + 1]) for j in range(i, min(i + 64, len(cuts) - 1))]
-                yield batch_of(
-                    len(part), kind=pa.array([_BLOB] * len(part), pa.int32()), bucket=pa.array(bucket[[x for x, _ in part]].astype(np.int32)),
-                    flush=pa.array([task << 22 | flush] * len(part), pa.int64()), sigs=pa.array([six[x:y].tobytes() for x, y in part]), own=pa.array([own[x:y].tobytes() for x, y in part]),
-                )
+            order, bucket, low = _by_bucket(sigs, buckets)
+            own = own[order]
+            cuts = _runs(bucket, low)
+            several = np.diff(cuts) > 1
+            times = np.bincount(own[np.repeat(several, np.diff(cuts))], minlength=1)
+            who = np.flatnonzero(times)
+            name = task << 22 | flush
+            if len(who):
+                yield _batch(SUPPORT_ROWS, 1, kind=[_LOCAL], bucket=[name % buckets], flush=[name], x=[who.astype(np.uint16).tobytes()], y=[times[who].astype(np.int32).tobytes()])
+            at = cuts[:-1]
+            yield from _blobs(SUPPORT_ROWS, bucket[at], _six(low[at]), np.where(several, _MARK, own[at]).astype(np.uint16), flush=name)
 
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
@@ -246,30 +271,31 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
                 g, first = shingle_sets(s)
                 one, two = set_hashes(g, first)
                 size = np.diff(first)
-                fresh, numbers, sketches = [], [None] * len(size), [None] * len(size)
+                fresh = []
                 for j, sid in enumerate(one.tolist()):
                     if size[j] and sid not in seen:
                         if len(seen) >= 1 << 20:
                             seen.clear()
                         seen.add(sid)
                         fresh.append(j)
+                numbers, need = np.full(len(size), -1, np.int64), np.full((len(size), 2), -1, np.int64)
                 if fresh:
-                    if used + len(fresh) >= 1 << 16:
+                    if used + len(fresh) >= _MARK >> 1:
                         if held:
                             yield from packed()
                         held, used, flush = [], 0, flush + 1
                     for i, j in enumerate(fresh):
-                        numbers[j] = (task << 22 | flush) << 16 | used + i
-                        sketches[j] = sketch(g[first[j] : first[j + 1]])
+                        numbers[j] = (task << 22 | flush) << 16 | (used + i) << 1
                     fresh = np.array(fresh)
                     sub = np.cumsum(np.concatenate(([0], size[fresh])))
                     pick = np.repeat(first[fresh] - sub[:-1], size[fresh]) + np.arange(int(sub[-1]))
-                    sigs, own = signatures(g[pick], sub, level)
-                    held.append((sigs, own + used))
+                    sigs, own, extra, need[fresh] = enumerated(g[pick], sub, LEVELS[0])
+                    if len(sigs):
+                        held.append((sigs, (own + used) << 1 | extra))
                     used += len(fresh)
-                yield batch_of(
-                    len(size), kind=pa.array([_DOC] * len(size), pa.int32()), doc_id=ids.take(pa.array(s.rows)), sum=pa.array([checksum(texts[i]) for i in s.rows], pa.int32()),
-                    n=pa.array(size), sid=pa.array(one.view(np.int64)), s2=pa.array(two.view(np.int64)), g=pa.array(numbers, pa.int64()), bucket=pa.array((s.rows % buckets).astype(np.int32)), sketch=pa.array(sketches, pa.binary()),
+                yield _batch(
+                    SUPPORT_ROWS, len(size), kind=np.full(len(size), _DOC, np.int32), doc_id=ids.take(pa.array(s.rows)), sum=[checksum(texts[i]) for i in s.rows],
+                    n=size, sid=one.view(np.int64), s2=two.view(np.int64), g=numbers, need0=need[:, 0], need1=need[:, 1], bucket=(s.rows % buckets).astype(np.int32), flush=np.full(len(size), task << 22 | flush),
                 )
                 if sum(len(x) for x, _ in held) >= PACK:
                     yield from packed()
@@ -277,254 +303,380 @@ def _scan(docs: DataFrame, level: Level, buckets: int) -> DataFrame:
         if held:
             yield from packed()
 
-    return text_batches(docs.select("doc_id", "text")).mapInArrow(parse, ROWS)
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(parse, _ddl(SUPPORT_ROWS))
 
 
-def _meet(rows: DataFrame, support: bool = False) -> DataFrame:
-    """Documents as they are; of each bucket the sets that share a signature: pairs with the least of them, and the groups."""
+def _ddl(schema: pa.Schema) -> str:
+    names = {"int32": "int", "int64": "long", "binary": "binary"}
+    return ", ".join(f"{c.name} {names[str(c.type)]}" for c in schema)
+
+
+def _support(rows: DataFrame) -> DataFrame:
+    """Documents as they are, and how many of the signatures of each set others have, a row for each task's pack."""
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    names = [x.split()[0] for x in MET.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-
-    def batch_of(count: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(count, t) for c, t in zip(names, types)], names=names)
-
-    def groups(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        sigs, ids = [], []
-        for flush, six, own in held:
-            wide = np.zeros((len(six) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
-            sigs.append(wide.reshape(-1).view(np.uint64))
-            ids.append((flush << 16) + np.frombuffer(own, np.uint16).astype(np.int64))
-        sigs, ids = np.concatenate(sigs), np.concatenate(ids)
-        order = np.argsort(sigs)
-        sigs, ids = sigs[order], ids[order]
-        same = sigs[1:] == sigs[:-1]
-        several = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
-        if not len(several):
-            return
-        sigs, ids = sigs[several], ids[several]
-        if support:
-            who, times = np.unique(ids, return_counts=True)
-            yield batch_of(len(who), kind=pa.array(np.full(len(who), _COUNT, np.int32)), g=pa.array(who), n=pa.array(times))
-            return
-        order = np.lexsort((ids, sigs))
-        sigs, ids = sigs[order], ids[order]
-        cuts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1], [True])))
-        lengths = np.diff(cuts)
-        many = np.arange(len(lengths))
-        # The least of a group is its first; the others are paired with it.
-        rest = np.concatenate([np.arange(cuts[i] + 1, cuts[i + 1]) for i in many])
-        lead, other = np.repeat(ids[cuts[many]], lengths[many] - 1), ids[rest]
-        order = np.lexsort((other, lead))
-        lead, other = lead[order], other[order]
-        new = np.flatnonzero(np.concatenate(([True], (lead[1:] != lead[:-1]) | (other[1:] != other[:-1]))))
-        times = np.diff(np.concatenate((new, [len(lead)])))
-        lead, other, ok = lead[new], other[new], lead[new] != other[new]
-        yield batch_of(int(ok.sum()), kind=pa.array(np.full(int(ok.sum()), _EDGE, np.int32)), a=pa.array(lead[ok]), b=pa.array(other[ok]), n=pa.array(times[ok]))
-        lists, hot = {}, []
-        for i in np.flatnonzero(lengths > 2):
-            members = np.unique(ids[cuts[i] : cuts[i + 1]])
-            key = int(W.mix(np.array([W.mix(members.astype(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(members))], np.uint64)).view(np.int64)[0])
-            if len(members) > 2:
-                (lists.__setitem__(key, (_LIST, members)) if len(members) <= GROUP else lists.__setitem__(key, (_HOT, members)))
-        for key, (kind, members) in lists.items():
-            for at in range(0, len(members), 1000):
-                hot.append((kind, key, members[at : at + 1000].tolist()))
-        for at in range(0, len(hot), 2000):
-            part = hot[at : at + 2000]
-            yield batch_of(len(part), kind=pa.array([x[0] for x in part], pa.int32()), key=pa.array([x[1] for x in part], pa.int64()), ids=pa.array([x[2] for x in part], pa.list_(pa.int64())))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
+        held, bucket, found = [], None, _Sums(1)
+
+        def shared() -> None:
+            sigs = np.concatenate([_wide(x) for _, x, _ in held])
+            own = np.concatenate([np.where((o := np.frombuffer(y, np.uint16).astype(np.int64)) == _MARK, -1, (flush << 16) + o) for flush, _, y in held])
+            order = np.argsort(sigs)
+            cuts = _runs(sigs[order])
+            who = own[order][np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
+            who = who[who >= 0]
+            found.add(np.ones(len(who), np.int64), who)
+
+        def rows(sums) -> Iterator[pa.RecordBatch]:
+            for n, g in sums:
+                flush, own, n = g >> 16, (g & 0xFFFF).astype(np.uint16), n.astype(np.int32)
+                cuts = _runs(flush)
+                for i in range(0, len(cuts) - 1, 64):
+                    part = list(zip(cuts[i : i + 64], cuts[i + 1 : i + 65]))
+                    yield _batch(SUPPORT_ROWS, len(part), kind=[_COUNT] * len(part), flush=flush[[x for x, _ in part]], x=[own[x:y].tobytes() for x, y in part], y=[n[x:y].tobytes() for x, y in part])
+
         for batch in batches:
-            docs = batch.filter(pa.compute.equal(batch.column("kind"), _DOC))
-            if len(docs):
-                yield batch_of(len(docs), **{c: docs.column(c) for c in ("kind", "doc_id", "sum", "n", "sid", "s2", "g", "sketch")})
-            blobs = batch.filter(pa.compute.equal(batch.column("kind"), _BLOB))
-            for at, flush, six, own in zip(*(blobs.column(c).to_pylist() for c in ("bucket", "flush", "sigs", "own"))):
+            kind = batch.column("kind").to_numpy()
+            if (kind == _DOC).any():
+                yield batch.filter(pa.array(kind == _DOC))
+            rest = batch.filter(pa.array(kind != _DOC))
+            for what, at, flush, x, y in zip(*(rest.column(c).to_pylist() for c in ("kind", "bucket", "flush", "x", "y"))):
+                if what == _LOCAL:
+                    found.add(np.frombuffer(y, np.int32).astype(np.int64), (flush << 16) + np.frombuffer(x, np.uint16).astype(np.int64))
+                    continue
                 if at != bucket and held:
-                    yield from groups(held)
+                    shared()
                     held = []
                 bucket = at
-                held.append((flush, six, own))
+                held.append((flush, x, y))
+                if found.many():
+                    yield from rows(found.out())
         if held:
-            yield from groups(held)
+            shared()
+        yield from rows(found.out())
+
+    return dealt.mapInArrow(meet, _ddl(SUPPORT_ROWS))
+
 
-    import pyarrow.compute  # noqa: F401
+def _judged(rows: DataFrame) -> DataFrame:
+    """The documents (doc_id, sum, n, sid, s2, g: null or the number of a set), and whether enough signatures of the set are shared."""
+    dealt = rows.repartition("flush").sortWithinPartitions("flush", "kind")
+    names = ["doc_id", "sum", "n", "sid", "s2", "g"]
 
-    return dealt.mapInArrow(meet, MET)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush, held, shared = None, [], np.zeros(_MARK + 1, np.int64)
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for b in held:
+                g = b.column("g").to_numpy()
+                own = np.where(g < 0, 0, g & 0xFFFF)
+                found = [(need > 0) & (shared[own | e] >= need) for e in (0, 1) for need in (b.column(f"need{e}").to_numpy(),)]
+                columns = [b.column(c) for c in names[:-1]] + [pa.array(np.maximum(g, 0), pa.int64(), mask=g < 0), pa.array((found[0] | found[1]) & (g >= 0))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "open"])
 
-def _likely(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that sizes and sketches leave open."""
-    @F.pandas_udf("boolean")
-    def open_(n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series) -> pd.Series:
-        return pd.Series([may_link(*x) for x in zip(n1, s1, n2, s2)], dtype=bool)
+        for batch in batches:
+            flushes = batch.column("flush").to_numpy()
+            cuts = _runs(flushes)
+            for x, y in zip(cuts, cuts[1:]):
+                if flushes[x] != flush:
+                    yield from out()
+                    flush, held = flushes[x], []
+                    shared[:] = 0
+                part = batch.slice(x, y - x)
+                kind = part.column("kind").to_numpy()
+                if (kind == _DOC).any():
+                    held.append(part.filter(pa.array(kind == _DOC)))
+                for own, n in zip(*(part.filter(pa.array(kind == _COUNT)).column(c).to_pylist() for c in ("x", "y"))):
+                    shared[np.frombuffer(own, np.uint16)] += np.frombuffer(n, np.int32)
+        yield from out()
+
+    return dealt.mapInArrow(judge, "doc_id long, sum int, n long, sid long, s2 long, g long, open boolean")
+
+
+class _Sums:
+    """Adds up numbers by one or two keys, a bounded number of entries at a time."""
+
+    def __init__(self, keys: int):
+        self.held: list[tuple] = []
+        self.keys = keys
+
+    def add(self, n: np.ndarray, *keys: np.ndarray) -> None:
+        if len(n):
+            self.held.append((n, *keys))
+
+    def many(self) -> bool:
+        return sum(len(x[0]) for x in self.held) >= PACK
+
+    def out(self) -> Iterator[tuple]:
+        if not self.held:
+            return
+        n, *keys = (np.concatenate(x) for x in zip(*self.held))
+        self.held = []
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        cuts = _runs(*keys)
+        yield (np.add.reduceat(n[order], cuts[:-1]), *(k[cuts[:-1]] for k in keys))
 
-    one, two = (known.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"sketch{c}")) for c in "ab")
-    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return sized.join(one.drop("na"), "a").join(two.drop("nb"), "b").where(open_("na", "sketcha", "nb", "sketchb")).select("a", "b")
 
+def _join_scan(texts: DataFrame, buckets: int) -> DataFrame:
+    """Signatures of the sets in ``texts`` (node, text), one entry each and pack; its owners there are edges already."""
 
-def _within_crowds(known: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``members`` (sid, root) that may link, across roots, each pair once however many groups it shares.
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = _Sums(2)
 
-    Sets that signatures hold together are a crowd; ``edges`` has each set with the leaders of its groups. A crowd is cut
-    into blocks of about ``BLOCK`` sets; two blocks at a time, the sketches are compared as matrices, and only what they
-    leave open is a pair.
-    """
-    members = stored(members, "crowd-members")
-    own = lambda c: members.select(F.col("sid").alias(c))
-    crowds = components(edges.select("a", "b").join(own("a"), "a", "left_semi").join(own("b"), "b", "left_semi"))
-    who = members.select("sid", F.col("root").alias("component")).join(crowds, F.col("sid") == F.col("node"), "left").select("sid", "component", F.coalesce("root", "sid").alias("crowd"))
-    blocks = who.groupBy(F.col("crowd").alias("_crowd")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    who = who.join(known, "sid").join(blocks, F.col("crowd") == F.col("_crowd")).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    each = who.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("crowd", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "sid", "component", "n", "sketch")
-    dealt = each.repartition("crowd", "x", "y").sortWithinPartitions("crowd", "x", "y")
+        def packed() -> Iterator[pa.RecordBatch]:
+            sigs, node = (np.concatenate(x) for x in zip(*held))
+            order, bucket, low = _by_bucket(sigs, buckets, node)
+            node = node[order]
+            cuts = _runs(bucket, low)
+            _lead(cuts, node, edges)
+            for n, a, b in edges.out():
+                yield _batch(JOIN_ROWS, 1, kind=[_EDGE], bucket=[int(a[0] & 0x7FFFFFFF) % buckets], x=[a.tobytes()], y=[b.tobytes()], z=[n.tobytes()])
+            yield from _blobs(JOIN_ROWS, bucket[cuts[:-1]], _six(low[cuts[:-1]]), node[cuts[:-1]])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(rows: list[tuple]) -> pa.RecordBatch:
-            one, two, own, sids, component, n, sketches = (np.array(c) if i != 6 else c for i, c in enumerate(zip(*(r[1:] for r in rows))))
-            same, found, widths = one[0] == two[0], [], np.array([len(k) for k in sketches])
-            for wide in np.unique(widths):
-                for width in np.unique(widths):
-                    p, q = np.flatnonzero((widths == wide) & (own == one[0])), np.flatnonzero((widths == width) & (own == two[0]))
-                    if not len(p) or not len(q):
-                        continue
-                    cells = int(min(wide, width))
-                    fold = lambda at: np.stack([np.frombuffer(sketches[i], np.uint8) for i in at]).astype(np.int32).reshape(len(at), -1, cells).sum(axis=1)  # noqa: B023, E731
-                    ended = np.array([255 in sketches[i] for i in q])
-                    left, right = fold(p), fold(q)
-                    for i, own_cells in zip(p, left):
-                        apart = np.abs(right - own_cells).sum(axis=1)
-                        near = ended | (255 in sketches[i]) | ((100 + PERCENT) * apart <= (100 - PERCENT) * (n[q] + n[i]))
-                        sized = 100 * np.minimum(n[q], n[i]) >= PERCENT * np.maximum(n[q], n[i])
-                        ok = near & sized & (component[q] != component[i]) & ((sids[q] > sids[i]) if same else True)
-                        found += [(min(sids[i], z), max(sids[i], z)) for z in sids[q[ok]]]
-            return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in found], pa.int64()), pa.array([int(x) for _, x in found], pa.int64())], names=["a", "b"])
-
-        held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("crowd", "x", "y", "own", "sid", "component", "n", "sketch"))):
-                if held and held[0][:3] != row[:3]:
-                    yield pairs_of(held)
+            nodes = batch.column("node").to_numpy()
+            for s in W.slices(batch.column("text").to_pylist(), lower=True):
+                g, first = shingle_sets(s)
+                sigs, own = signatures(g, first, LEVELS[1])
+                if len(sigs):
+                    held.append((sigs, nodes[s.rows][own]))
+                if sum(len(x) for x, _ in held) >= PACK:
+                    yield from packed()
                     held = []
-                held.append(row)
         if held:
-            yield pairs_of(held)
+            yield from packed()
 
-    return text_batches(dealt).mapInArrow(compare, "a long, b long")
+    return text_batches(texts.select("node", "text")).mapInArrow(parse, _ddl(JOIN_ROWS))
 
 
-def _verified(docs: DataFrame, sets: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: set ids) whose sets link, by counting the shingles of whole texts.
+def _lead(cuts: np.ndarray, node: np.ndarray, edges: _Sums) -> None:
+    """Adds the pairs of the first in each run with the others in it."""
+    lengths = np.diff(cuts)
+    lead = np.repeat(node[cuts[:-1]], lengths)
+    ok = lead != node
+    edges.add(np.ones(int(ok.sum()), np.int64), lead[ok], node[ok])
 
-    A pair sends the text of ``b`` to where the set of ``a`` is; a set with many partners is sent to several places.
-    """
-    pairs = stored(_likely(known, pairs), "pairs")
-    places = pairs.groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 256)).cast("int").alias("places"))
-    dealt = pairs.join(places, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"))
-    dealt = stored(dealt, "dealt-pairs")
-    wanted = dealt.select(F.col("a").alias("sid"), "a", "place", F.lit(0).alias("role")).distinct().unionByName(dealt.select(F.col("b").alias("sid"), "a", "place", F.lit(1).alias("role")))
-    reps = sets.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("one"))
-    jobs = wanted.join(reps, "sid").groupBy("sid", "one.doc_id", "one.sum").agg(F.collect_list(F.struct("a", "place", "role")).alias("jobs"))
-    side = sized_broadcast(stored(jobs.withColumnRenamed("doc_id", "_id"), "jobs"), BROADCAST_BYTES)
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``n``: sets with the leaders of their signatures, and the number of signatures that lead them there."""
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket, edges = [], None, _Sums(2)
+
+        def lead() -> None:
+            sigs, node = np.concatenate([_wide(x) for x, _ in held]), np.concatenate([np.frombuffer(y, np.int64) for _, y in held])
+            order = np.lexsort((node, sigs))
+            _lead(_runs(sigs[order]), node[order], edges)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for n, a, b in edges.out():
+                yield _batch(schema, len(a), a=a, b=b, n=n)
+
+        for batch in batches:
+            for kind, at, x, y, z in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "x", "y", "z"))):
+                if kind == _EDGE:
+                    edges.add(*(np.frombuffer(v, np.int64) for v in (z, x, y)))
+                else:
+                    if at != bucket and held:
+                        lead()
+                        held = []
+                    bucket = at
+                    held.append((x, y))
+                if edges.many():
+                    yield from rows()
+        if held:
+            lead()
+        yield from rows()
+
+    return dealt.mapInArrow(meet, _ddl(schema)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def links_of(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of ``sets`` that link, as nodes: counts of common shingles by products of matrices of 0 and 1."""
+    size = np.array([len(s) for s in sets], np.int64)
+    both = np.zeros((len(sets), len(sets)), np.float32)  # exact: no count comes near 2^24
+    if len(sets) == 2:
+        both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        every, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        every, own = every[order], own[order]
+        cuts = _runs(every)
+        several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+        column = np.cumsum(np.concatenate(([False], every[several][1:] != every[several][:-1]))) if several.any() else np.zeros(0, np.int64)
+        own = own[several]
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            x, y = np.searchsorted(column, (start, start + 4096))
+            has = np.zeros((len(sets), 4096), np.float32)
+            has[own[x:y], column[x:y] - start] = 1
+            both += has @ has.T
+    union = size[:, None] + size[None, :] - both
+    i, j = np.nonzero(np.triu(100 * both.astype(np.int64) >= PERCENT * union.astype(np.int64), 1))
+    return nodes[i], nodes[j]
+
+
+def _texts(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the columns of the stored ``side`` (_id, sum, ...), where document and checksum are equal."""
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31) == F.col("sum"))
-    texts = docs.select("doc_id", "text").join(side, on)
-    sent = texts.select("sid", "text", F.explode("jobs").alias("job")).select("job.a", "job.place", "job.role", "sid", "text")
-    sent = sent.repartition("a", "place").sortWithinPartitions("a", "place", "role")
+    return docs.select("doc_id", "text").join(sized_broadcast(side, BROADCAST_BYTES), on)
+
+
+def _linked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links (a, b) that make the components within each group of ``wanted`` (node, _id, sum, and its group: k, lane, x, y)."""
+    group = ["k", "lane", "x", "y"]
+    jobs = stored(wanted.groupBy("node", "_id", "sum").agg(F.collect_list(F.struct(*group)).alias("jobs")), "jobs")
+    sent = _texts(docs, jobs).select("node", "text", F.explode("jobs").alias("job")).select("job.*", "node", "text")
+    sent = sent.repartition(*group).sortWithinPartitions(*group)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                a, b = contracted(*links_of(np.array(list(held), np.int64), list(held.values())))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, base = None, None
         for batch in batches:
-            a, place, role, sid = (batch.column(c).to_pylist() for c in ("a", "place", "role", "sid"))
-            texts, found = batch.column("text").to_pylist(), []
-            for s in W.slices(texts, lower=True):
+            keys, nodes = list(zip(*(batch.column(c).to_pylist() for c in group))), batch.column("node").to_pylist()
+            for s in W.slices(batch.column("text").to_pylist(), lower=True):
                 g, first = shingle_sets(s)
                 for j, i in enumerate(s.rows):
-                    own = g[first[j] : first[j + 1]]
-                    if role[i] == 0:
-                        key, base = (a[i], place[i]), own
-                    elif key == (a[i], place[i]):
-                        both = len(np.intersect1d(base, own, assume_unique=True))
-                        if 100 * both >= PERCENT * (len(base) + len(own) - both):
-                            found.append((a[i], sid[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+                    if keys[i] != key:
+                        yield from found()
+                        key, held = keys[i], {}
+                    held[nodes[i]] = g[first[j] : first[j + 1]].copy()
+        yield from found()
 
-    return stored(sent.mapInArrow(verify, "a long, b long").distinct(), "links")
+    return text_batches(sent).mapInArrow(compare, "a long, b long")
 
 
 def _buckets(spark) -> int:
-    return 8 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def set_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``sets`` (doc_id, sum, n, sid) of all documents, and ``links`` (a, b) between set ids that make all components."""
-    spark = docs.sparkSession
-    met = stored(_meet(_scan(docs, LEVELS[0], _buckets(spark))), "met")
-    all_sets = met.where(F.col("kind") == _DOC)
-    sets = stored(all_sets.select("doc_id", "sum", "n", "sid", "s2", "g"), "sets")  # small beside what it is read from
-    known = stored(all_sets.where("sketch IS NOT NULL").groupBy("sid").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")), "sketches")
-    names = sets.where("g IS NOT NULL").select("g", "sid")
-    clash = sets.groupBy("sid").agg(F.min("s2").alias("x"), F.max("s2").alias("y")).where("x <> y")
-    if clash.head(1):
-        raise ValueError("two sets have one 64-bit id: change the constants of set_hashes")
-    links, level = None, 0
-    while True:
-        of = lambda c: names.select(F.col("g").alias(c), F.col("sid").alias(f"s{c}"))  # noqa: B023, E731
-        edges = met.where(F.col("kind") == _EDGE).groupBy("a", "b").agg(F.sum("n").alias("n")).join(of("a"), "a").join(of("b"), "b")
-        edges = stored(edges.where("sa <> sb").groupBy(F.col("sa").alias("a"), F.col("sb").alias("b")).agg(F.sum("n").alias("n")), "leaders")
-        found = _verified(docs, sets, known, edges.groupBy("b").agg(F.max(F.struct("n", "a")).alias("one")).select("one.a", "b"))
-        links = found if links is None else stored(links.unionByName(found).distinct(), "links")
-        roots = stored(components(links), "roots")
-        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-        rest = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(docs, sets, known, rest)), "links")
-        roots = stored(components(links), "roots")
-        groups = met.where(F.col("kind").isin(_LIST, _HOT)).select("key", (F.col("kind") == _HOT).alias("hot"), "ids").distinct().select("key", "hot", F.explode("ids").alias("g"))
-        tagged = names.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
-        placed = groups.join(tagged, "g").select("key", "hot", "sid", "root")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        left = stored(placed.join(mixed, "key"), "mixed-groups")
-        last = level + 1 == len(LEVELS)
-        near = left.where("NOT hot")
-        pairs = near.alias("p").join(near.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.root") < F.col("q.root")))
-        pairs = pairs.select(F.least("p.sid", "q.sid").alias("a"), F.greatest("p.sid", "q.sid").alias("b")).distinct()
-        if last:
-            pairs = pairs.unionByName(_within_crowds(known, left.where("hot").select("sid", "root").distinct(), edges)).distinct()
-        links = stored(links.unionByName(_verified(docs, sets, known, pairs.join(rest, ["a", "b"], "left_anti"))), "links")
-        crowd = left.where("hot").select("sid").distinct()
-        if last or not crowd.head(1):
-            return sets, links
-        level += 1
-        few = _texts_of(docs, sets, crowd)
-        held = stored(_meet(_scan(few, SUPPORT, _buckets(spark)), support=True), "support")
-        named = held.where(F.col("kind") == _DOC).select("g", "sid", F.col("n").alias("size"))
-        times = held.where(F.col("kind") == _COUNT).groupBy("g").agg(F.sum("n").alias("n"))
-        crowd = named.join(times, "g").where(100 * F.col("n") >= PERCENT * F.col("size")).select("sid")
-        met = stored(_meet(_scan(_texts_of(docs, sets, crowd), LEVELS[level], _buckets(spark))), "met")
-        names = stored(met.where((F.col("kind") == _DOC) & F.col("g").isNotNull()).select("g", "sid"), "names")
-
-
-def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A document of each set in ``wanted`` (sid)."""
-    one = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "sum")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.sum").alias("sum"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31) == F.col("sum"))
-    return docs.select("doc_id", "text").join(sized_broadcast(stored(one.distinct(), "crowd"), BROADCAST_BYTES), on, "left_semi")
+    return min(1 << 16, 8 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _supported(docs: DataFrame) -> DataFrame:
+    """doc_id, sum, n, sid, s2, g and ``open`` of every document; a set is open that shares as many signatures as a link takes."""
+    buckets = _buckets(docs.sparkSession)
+    return stored(_judged(_support(_support_scan(docs, buckets))), "support")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """Each different set: sid, s2, ``node`` (its number), n, one of its documents, its least id, and whether it may have a link."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("one")
+    return rows.where("n > 0").groupBy("sid", "s2").agg(F.min("g").alias("node"), F.max("n").alias("n"), one, F.bool_or("open").alias("open"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` (node, _id, sum, n, crowd, large), each with the groups (k, lane, x, y) of its crowd in which it is compared."""
+    place = ["node", "_id", "sum"]
+    small = members.where("NOT large").select(*place, F.col("crowd").alias("k"), *(F.lit(0).alias(c) for c in ("lane", "x", "y")))
+    # Linked sets differ in size by a third at most, so they lie in one band or in two that adjoin.
+    large = members.where("large").withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int"))
+    parts = large.groupBy("crowd", "band").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / LOAD)).cast("int").alias("parts"))
+    parts = stored(parts, "block-counts")
+    of = lambda shift, name: parts.select(F.col("crowd").alias("_c"), (F.col("band") - shift).alias("_b"), F.col("parts").alias(name))
+    for shift, name in ((0, "here"), (1, "above"), (-1, "below")):
+        large = large.join(of(shift, name), (F.col("crowd") == F.col("_c")) & (F.col("band") == F.col("_b")), "left").drop("_c", "_b")
+    large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("here")).cast("int"))
+
+    def each(n: str, lane: Column, x, y) -> Column:
+        meets = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda q: F.struct(lane.cast("int").alias("lane"), x(q).alias("x"), y(q).alias("y")))
+        return F.when(F.col(n) > 0, meets).otherwise(F.array().cast("array<struct<lane:int,x:int,y:int>>"))
+
+    own, band = F.col("own"), F.col("band")
+    meets = F.concat(
+        each("here", band * 2, lambda q: F.least(own, q), lambda q: F.greatest(own, q)),
+        each("above", band * 2 + 1, lambda q: own, lambda q: q),
+        each("below", band * 2 - 1, lambda q: q, lambda q: own),
+    )
+    dealt = large.select(*place, F.col("crowd").alias("k"), F.explode(meets).alias("m")).select(*place, "k", "m.*")
+    return small.unionByName(dealt)
+
+
+def _crowds(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``sets`` (node, _id, sum, n, crowd) that have others in their crowd and under their root; ``crowd`` becomes the least of those."""
+    joined = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "_node")
+    placed = sets.join(joined, F.col("node") == F.col("_node")).withColumnRenamed("crowd", "_old").select("node", "_id", "sum", "n", "_old", "root")
+    count = [F.count("*").alias("_m"), F.min("node").alias("crowd"), ((F.count("*") > GROUP) | (F.sum("n") > LOAD)).alias("large")]
+    sizes = placed.groupBy(F.col("_old").alias("_o"), F.col("root").alias("_r")).agg(*count).where("_m > 1")
+    return placed.join(sizes, (F.col("_old") == F.col("_o")) & (F.col("root") == F.col("_r"))).select("node", "_id", "sum", "n", "crowd", "large")
+
+
+def _rare(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of ``texts`` (node, n, text) that share one of their rare shingles.
+
+    Linked sets share three in four of their shingles, so of those that occur least, in one order for all, the first
+    quarter and one more of each have one in common. Passages that a great many texts have are hardly ever among them.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            for s in W.slices(batch.column("text").to_pylist(), lower=True):
+                g, first = shingle_sets(s)
+                at = np.repeat(s.rows, np.diff(first))
+                for i in range(0, len(g), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[at[part]]), pa.array(n[at[part]]), pa.array(g[part].view(np.int64))], names=["node", "n", "t"])
+
+    each = stored(text_batches(texts.select("node", "n", "text")).mapInArrow(parse, "node long, n long, t long"), "shingles")
+    often = each.groupBy(F.col("t").alias("_t")).agg(F.count("*").alias("often"), F.min("node").alias("p"), F.max("node").alias("q")).where("p <> q")
+    shared = each.join(often, F.col("t") == F.col("_t")).select("node", "n", "t", "often")
+    own = Window.partitionBy("node")
+    placed = shared.withColumn("place", F.dense_rank().over(own.orderBy("often", "t"))).withColumn("alike", F.max("place").over(own))
+    # The shingles that no other set has come first of all.
+    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("alike")))
+    rare = stored(rare.select("node", "t"), "rare-shingles")
+    lead = rare.groupBy(F.col("t").alias("_t")).agg(F.min("node").alias("a"))
+    return rare.join(lead, F.col("t") == F.col("_t")).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _with_leaders(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each of ``members`` and the leader it shares most signatures with, in one group; a leader of many is in several."""
+    best = edges.join(members.select(F.col("node").alias("b")), "b").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("m")).select("b", (-F.col("m.minus")).alias("a"))
+    best = stored(best, "best-leaders")
+    places = best.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("places"))
+    follow = best.join(places, F.col("a") == F.col("_a")).select(F.col("b").alias("node"), F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("x"))
+    lead = places.select(F.col("_a").alias("node"), F.col("_a").alias("k"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("x"))
+    groups = follow.unionByName(lead).select("node", "k", F.lit(0).alias("lane"), "x", F.lit(0).alias("y"))
+    return groups.join(members.select("node", "_id", "sum"), "node")
+
+
+def classes_of_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the documents (doc_id, sum, n, sid, s2), the different sets, and ``node`` and ``root`` of the sets with links."""
+    rows = _supported(docs)
+    sets = stored(_sets(rows), "sets")
+    open_ = stored(sets.where("open").select("node", F.col("one.doc_id").alias("_id"), F.col("one.sum").alias("sum"), "n"), "open-sets")
+    edges = stored(_edges(_join_scan(_texts(docs, open_), _buckets(docs.sparkSession))), "leaders")
+    members = stored(_crowds(open_.withColumn("crowd", F.lit(0)), components(edges)), "crowds")
+    large = members.where("large")
+    links = None
+    if large.head(1):
+        finer = stored(_crowds(large.drop("large"), components(_rare(_texts(docs, stored(large.drop("large"), "large-crowds"))))), "finer-crowds")
+        members, large = members.where("NOT large").unionByName(finer.where("NOT large")), finer.where("large")
+        links = stored(_linked(docs, _with_leaders(large, edges)), "links-of-leaders")
+        roots = components(links)
+        placed = large.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
+        apart = placed.groupBy(F.col("crowd").alias("_crowd")).agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("_crowd")
+        members = members.unionByName(large.join(apart, F.col("crowd") == F.col("_crowd"), "left_semi"))
+    found = _linked(docs, _blocks(members))
+    links = found if links is None else links.unionByName(found)
+    return rows.select("doc_id", "sum", "n", "sid", "s2"), sets, components(links)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, sum, n_shingles and component_id of every row of ``docs``."""
-    sets, links = set_links(docs.select("doc_id", "text"))
-    roots = components(links)
-    placed = sets.join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "sum", "n", F.coalesce("root", "sid").alias("root"))
-    alone = F.col("n") == 0
-    least = placed.where(~alone).groupBy("root").agg(F.min("doc_id").alias("_least")).withColumnRenamed("root", "_root")
-    out = placed.join(least, F.when(~alone, F.col("root")) == F.col("_root"), "left")
-    return out.select("doc_id", "sum", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+    rows, sets, roots = classes_of_sets(docs.select("doc_id", "text"))
+    placed = sets.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("sid", "s2", F.coalesce("root", "node").alias("root"), F.col("one.doc_id").alias("least"))
+    least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
+    answers = stored(placed.join(least, F.col("root") == F.col("_root")).select(F.col("sid").alias("_sid"), F.col("s2").alias("_s2"), "component_id"), "components")
+    linked = rows.where("n > 0").join(sized_broadcast(answers, BROADCAST_BYTES), (F.col("sid") == F.col("_sid")) & (F.col("s2") == F.col("_s2")))
+    out = linked.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
+    return out.select("doc_id", "sum", F.col("n").alias("n_shingles"), "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -532,6 +684,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component; rows without an id stay."""
-    gone = classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each component: that of the smallest id, of equal ids that of the least checksum.
+
+    A row without an id stays. Of rows that repeat id and text one stays, the least of their other columns.
+    """
+    found = stored(classes(docs).where("doc_id IS NOT NULL"), "classes")
+    first = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("_c")).agg(F.min("sum").alias("_s"))
+    gone = found.join(first, F.col("component_id") == F.col("_c")).where("doc_id <> component_id OR sum <> _s").select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).distinct()
+    gone = stored(gone, "gone")
+    check = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31)
+    of = lambda side, how: docs.join(sized_broadcast(side, BROADCAST_BYTES), (F.col("doc_id") == F.col("_id")) & (check == F.col("_sum")), how)
+    kept = of(gone, "left_anti")
+    again = stored(found.groupBy(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).agg(F.count("*").alias("n")).where("n > 1").drop("n").join(gone, ["_id", "_sum"], "left_anti"), "repeated")
+    if not again.head(1):
+        return kept
+    once = of(again, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("_rest"))
+    rest = [F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns]
+    return kept.join(sized_broadcast(again, BROADCAST_BYTES), (F.col("doc_id") == F.col("_id")) & (check == F.col("_sum")), "left_anti").select(*docs.columns).unionByName(once.select(*rest))

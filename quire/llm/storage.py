@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _own(spark: SparkSession) -> str:
     found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"file://{tempfile.mkdtemp(prefix='quire-')}"
 
 
@@ -35,40 +36,44 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by column.
 
-
-_released = 0.0
-
-
-def release(spark: SparkSession, every: float = 3.0) -> None:
-    """Lets Spark delete the shuffle files of steps that are done with, at most once in ``every`` seconds.
-
-    They go once the driver's JVM collects its garbage, which in a driver that holds little may take hours; many short steps
-    would leave all their files until then.
+    What was shuffled for it goes once it is written, instead of when the driver happens to collect its garbage.
     """
-    global _released
-    if time.monotonic() - _released >= every:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _released = time.monotonic()
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Size of the files that a stored table reads."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in map(path, df.inputFiles()))
+    path = fresh_dir(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that a broadcast holds of a row beside its columns, and of a column that is neither array nor string.
+ROW_BYTES, COLUMN_BYTES = 32, 8
+
+
+def held_bytes(df: DataFrame) -> int:
+    """About what ``df``, a stored table, takes in memory: rows, columns and what arrays and strings hold."""
+    fixed, measured = ROW_BYTES, [F.lit(0)]
+    for f in df.schema.fields:
+        fixed += COLUMN_BYTES
+        if isinstance(f.dataType, ArrayType):
+            inner = f.dataType.elementType
+            width = COLUMN_BYTES * (1 + len(inner.fields)) if isinstance(inner, StructType) else COLUMN_BYTES
+            measured.append(F.coalesce(F.size(f.name), F.lit(0)) * width)
+        elif isinstance(f.dataType, (StringType, BinaryType)):
+            measured.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+    rows, more = df.agg(F.count("*"), F.sum(sum(measured[1:], measured[0]).cast("long"))).first()
+    return rows * fixed + (more or 0)
 
 
 def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
-    """A stored table, to be broadcast if its files have at most ``most`` bytes and left to a shuffle otherwise."""
-    return F.broadcast(df) if stored_bytes(df) <= most else df.hint("shuffle_merge")
+    """A stored table, to be broadcast if it holds at most ``most`` bytes in memory and left to a shuffle otherwise."""
+    return F.broadcast(df) if held_bytes(df) <= most else df.hint("shuffle_merge")
 
 
 #: Rows of an Arrow batch of whole texts: with the usual 10,000 a batch would take hundreds of MB of a worker.
