@@ -2,11 +2,15 @@
 
 The n-grams of a benchmark of at most ``max_windows`` windows travel with the plan as hash sets, so documents are
 scanned where they lie and nothing is shuffled. A window is looked up by its first word, then by a 64-bit hash of its
-words, and is verified word for word. A larger benchmark is not broadcast: its windows are joined by a shuffle.
+words, and is verified word for word. The windows of a larger benchmark are a table of hashes: the hashes of the
+documents' windows are joined with it, by a broadcast as long as it holds at most ``BROADCAST_BYTES`` in memory and by a
+shuffle of (document, place, hash) beyond; only what is met goes back to the documents and is verified word for word
+there. The result is the same in all three ways.
 
 Defined results: null and empty texts have no words, hit nothing and are hit by nothing; an item of fewer words than
-the window, but not none, is one window of its own length; equal items count each; rows with equal ids are kept apart
-by a hash of the text; other columns of the documents pass through ``clean``.
+the window, but not none, is one window of its own length; equal items count each, items with a null id not; an id is
+taken as a string and may be empty or hold commas; rows with equal ids are kept apart by a hash of the text; other columns
+of the documents pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.native import ascii_lower, let, window_starts
+from quire.llm.storage import sized_broadcast, stored
 
 WINDOW = 10
-#: Most benchmark windows that are sent to every task; beyond it they are joined by a shuffle.
+#: Most benchmark windows that travel with the plan; beyond it they are joined.
 MAX_WINDOWS = 40_000
+BROADCAST_BYTES = 256 << 20
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HITS = "array<struct<i:int,n:int,k:string>>"
 
@@ -61,15 +67,16 @@ def _hits_by_set(words: str, windows: list) -> Column:
 
 def _place(n: int):
     """A function of a start: the window of ``n`` words there. (A default argument would pass for an index.)"""
-    return lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i + 1, n), " ").alias("k"))
+    return lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice("_w", i + 1, n)).alias("h"))
 
 
 def _hits_by_join(docs: DataFrame, windows: DataFrame, widths: list[int]) -> DataFrame:
-    """``doc_id``, ``_h``, ``_hits`` of the documents that have benchmark windows; nothing is broadcast by hand."""
-    starts = F.flatten(F.array(*(F.transform(window_starts(F.size("_w"), n), _place(n)) for n in widths))) if widths else F.array().cast(_HITS)
-    met = docs.select("doc_id", "_h", F.explode(starts).alias("p")).select("doc_id", "_h", "p.n", "p.i", "p.k").join(windows.select("n", "k", "items"), ["n", "k"])
-    hits = F.array_distinct(F.collect_list(F.struct("i", "n", "k")))
-    return met.groupBy("doc_id", "_h").agg(hits.alias("_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
+    """``doc_id``, ``_h``, ``_met``: windows that may stand in a document, by their hashes, with the words and items to verify."""
+    starts = F.flatten(F.array(*(F.transform(window_starts(F.size("_w"), n), _place(n)) for n in widths)))
+    each = docs.select("doc_id", "_h", F.explode(starts).alias("p")).select("doc_id", "_h", "p.n", "p.i", "p.h")
+    side = sized_broadcast(windows.select("n", "h", "k", "items"), BROADCAST_BYTES)
+    met = each.join(side, ["n", "h"]).groupBy("doc_id", "_h")
+    return met.agg(F.collect_set(F.struct("i", "n", "k", "items")).alias("_met"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, text: str = "text") -> DataFrame:
@@ -81,14 +88,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
         docs = docs.withColumn("_hits", _hits_by_set("_w", rows))
         if not rows:
             return docs.withColumn("_items", F.array().cast("array<string>"))
-        sql = lambda values: "array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")"
-        items = F.expr(f"map_from_arrays({sql(r['k'] for r in rows)}, {sql(','.join(r['items']) for r in rows)})")
-        return docs.withColumn("_items", F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("_hits", lambda x: x["k"])), lambda k: F.array_remove(F.split(F.element_at(items, k), ","), "")))))
+        quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        array = lambda values: f"CAST(array({', '.join(values)}) AS array<string>)"
+        items = F.expr(f"map_from_arrays({array(quoted(r['k']) for r in rows)}, array({', '.join(array(map(quoted, r['items'])) for r in rows)}))")
+        return docs.withColumn("_items", F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("_hits", lambda x: x["k"])), lambda k: F.element_at(items, k)))))
+    windows = stored(windows, "benchmark-windows")
     widths = [r["n"] for r in windows.select("n").distinct().collect()]  # at most ``window`` of them
     docs = docs.withColumn("_h", F.xxhash64(text, F.length(text)))
-    met = _hits_by_join(docs, windows, widths).withColumnsRenamed({"doc_id": "_id", "_h": "_mh"})
-    joined = docs.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mh")), "left").drop("_id", "_mh", "_h")
-    return joined.withColumns({"_hits": F.coalesce("_hits", F.array().cast(_HITS)), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
+    met = stored(_hits_by_join(docs, windows, widths).withColumnsRenamed({"doc_id": "_id", "_h": "_mh"}), "benchmark-hits")
+    joined = docs.join(sized_broadcast(met, BROADCAST_BYTES), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_mh")), "left").drop("_id", "_mh", "_h")
+    true = F.filter(F.coalesce("_met", F.array().cast("array<struct<i:int,n:int,k:string,items:array<string>>>")), lambda x: F.array_join(F.slice("_w", x["i"] + 1, x["n"]), " ") == x["k"])
+    hits = F.array_sort(F.transform("_met", lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["k"].alias("k"))))
+    return joined.withColumn("_met", true).withColumns({"_hits": hits, "_items": F.array_distinct(F.flatten(F.transform("_met", lambda x: x["items"])))}).drop("_met")
 
 
 def hit_positions(hits: Column) -> Column:
@@ -113,12 +124,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", wind
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    found = scan(docs, benchmark, window, max_windows)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    own = {c: F.col(f"_row.`{c}`").alias(c) for c in docs.columns}
+    found = scan(packed, benchmark, window, max_windows)
     if remove == "documents":
-        return found.where(F.size("_hits") == 0).select(*docs.columns)
+        return found.where(F.size("_hits") == 0).select(*own.values())
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     rebuilt = let(
         F.struct(hit_positions(F.col("_hits")).alias("hit"), F.split("text", word, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(word), F.lit(0)).alias("w")),
         lambda p: F.concat(F.get(p["gaps"], 0), F.array_join(F.transform(p["w"], lambda x, i: F.when(F.array_contains(p["hit"], i), F.when(F.array_contains(p["hit"], i + 1), "").otherwise(F.get(p["gaps"], i + 1))).otherwise(F.concat(x, F.get(p["gaps"], i + 1)))), "")),
     )
-    return found.withColumn("text", F.when(F.size("_hits") > 0, rebuilt).otherwise(F.col("text"))).select(*docs.columns)
+    return found.select(*(own | {"text": F.when(F.size("_hits") > 0, rebuilt).otherwise(F.col("text")).alias("text")}).values())

@@ -32,3 +32,11 @@ def ascii_lower(text: Column) -> Column:
 def window_starts(n: Column, width: int) -> Column:
     """0-based starts of the windows of ``width`` among ``n`` words."""
     return F.when(n >= width, F.sequence(F.lit(0), n - F.lit(width))).otherwise(F.array().cast("array<int>"))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

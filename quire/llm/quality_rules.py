@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade whose order comes from measured cost and selectivity.
 
 Each rule rejects a text on a few counts. A sample of the corpus gives every rule's cost (the time its
-counts take) and selectivity (the share it rejects); rules then run in descending rejection per cost, and a
-text that one rule rejects is not put to the later ones. The order changes the work, never the verdict: a text
+counts take, beyond that of a job that does nothing) and selectivity (the share it rejects); rules then run in descending
+rejection per cost, and a text that one rule rejects is not put to the later ones. ``verdicts`` has to report the base counts
+of every text, so there the rules on counts cost nothing more; the others run only on texts that the base lets pass. The order changes the work, never the verdict: a text
 is kept if and only if no rule rejects it.
 
 Defined results: a null or empty text has no words and fails the base rule; a null id is carried along; repeated
@@ -19,13 +20,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.native import let, window_starts, words_of
-from quire.llm.storage import cut
+from quire.llm.native import let, unused, window_starts, words_of
+from quire.llm.storage import stored
 
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Rows that cost and selectivity are estimated on; verdicts never depend on it.
+#: About as many rows, chosen by a hash of the text, as cost and selectivity are estimated on; verdicts never depend on it.
 SAMPLE_ROWS = 2000
+ELLIPSIS = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
+BULLET = r"\A[\x20\x09-\x0D]*[-*\x{2022}]"
 
 
 def word_count(text: Column) -> Column:
@@ -91,20 +94,29 @@ def repeated_words(words: Column, width: int = REPEAT_WINDOW) -> Column:
     return let(words, of).cast("long")
 
 
+def lines_like(text: Column, pattern: str) -> Column:
+    """Lines with a word in which ``pattern`` is found."""
+    return F.size(F.filter(lines_with_words(text), lambda x: x.rlike(pattern)))
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long")
+
+
 def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the counts that the rules read, as the struct ``_m``."""
-    t = F.col(text)
-    return docs.withColumn("_w", words_of(t)).withColumn(
+    t, w = F.col(text), unused(docs.columns, "_w")
+    return docs.withColumn(w, words_of(t)).withColumn(
         "_m",
         F.struct(
-            F.size("_w").cast("long").alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             word_chars(t).alias("word_chars"),
             symbol_count(t).alias("n_symbols"),
             F.size(lines_with_words(t)).cast("long").alias("n_lines"),
             duplicate_lines(t).alias("n_dup_lines"),
-            repeated_words(F.col("_w")).alias("n_repeat_words"),
+            repeated_words(F.col(w)).alias("n_repeat_words"),
         ),
-    ).drop("_w")
+    ).drop(w)
 
 
 @dataclass(frozen=True)
@@ -126,6 +138,9 @@ RULES: tuple[Rule, ...] = (
     Rule("symbols", lambda t: _per(t, symbol_count, word_count, 50)),
     Rule("duplicate_lines", lambda t: _per(t, duplicate_lines, lambda x: F.size(lines_with_words(x)), 50)),
     Rule("word_length", lambda t: let(word_count(t), lambda n: let(word_chars(t), lambda c: (n > 0) & ((c < n * 2) | (c > n * 20))))),
+    Rule("ellipsis_lines", lambda t: _per(t, lambda x: lines_like(x, ELLIPSIS), lambda x: F.size(lines_with_words(x)), 30)),
+    Rule("bullet_lines", lambda t: _per(t, lambda x: lines_like(x, BULLET), lambda x: F.size(lines_with_words(x)), 90)),
+    Rule("letters", lambda t: letters(t) * 100 < word_chars(t) * 50),
 )
 
 
@@ -136,15 +151,31 @@ class RuleCost:
     rejected: float
 
 
+def sampled(docs: DataFrame, text: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, the same ones whenever the table is the same: those whose text hashes to a multiple."""
+    every = max(1, docs.count() // rows)
+    return docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0)
+
+
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[RuleCost]:
-    """Every rule's time over, and rejected share of, at most ``sample_rows`` rows."""
-    sample = cut(docs.select(text).limit(sample_rows))
-    n = max(1, sample.count())
+    """Every rule's time over, and rejected share of, a sample of about ``sample_rows`` rows.
+
+    A rule runs twice, and the second time counts: in the first its code is compiled.
+    """
+    sample = stored(sampled(docs.select(F.coalesce(text, F.lit("")).alias(text)), text, sample_rows), "rule-sample")
+
+    def timed(rejects: Column) -> tuple[float, int, int]:
+        job = sample.select(F.count("*"), F.count_if(rejects))
+        job.first()
+        began = time.perf_counter()
+        n, rejected = job.first()
+        return time.perf_counter() - began, n, rejected
+
+    idle = timed(F.col(text).isNull())[0]
     out = []
     for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.select(F.count_if(F.coalesce(rule.rejects(F.col(text)), F.lit(True)))).first()[0]
-        out.append(RuleCost(rule.name, max(1e-6, time.perf_counter() - began), rejected / n))
+        seconds, n, rejected = timed(rule.rejects(F.col(text)))
+        out.append(RuleCost(rule.name, max(1e-3, seconds - idle), rejected / max(1, n)))
     return out
 
 
@@ -169,25 +200,31 @@ def apply_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
 
 
 def measured_rules() -> tuple[Rule, ...]:
-    """RULES over the struct ``_m`` of ``base_measures`` in place of a text."""
+    """RULES over a struct of the counts of ``base_measures`` and of the text; those that counts decide read no text."""
     per = lambda m, part, whole, percent: m[part] * 100 > m[whole] * percent
-    return (
-        Rule("few_words", lambda m: m["n_words"] < 10),
-        Rule("repeated_windows", lambda m: per(m, "n_repeat_words", "n_words", 20)),
-        Rule("symbols", lambda m: per(m, "n_symbols", "n_words", 50)),
-        Rule("duplicate_lines", lambda m: per(m, "n_dup_lines", "n_lines", 50)),
-        Rule("word_length", lambda m: (m["n_words"] > 0) & ((m["word_chars"] < m["n_words"] * 2) | (m["word_chars"] > m["n_words"] * 20))),
-    )
+    on_counts = {
+        "few_words": lambda m: m["n_words"] < 10,
+        "repeated_windows": lambda m: per(m, "n_repeat_words", "n_words", 20),
+        "symbols": lambda m: per(m, "n_symbols", "n_words", 50),
+        "duplicate_lines": lambda m: per(m, "n_dup_lines", "n_lines", 50),
+        "word_length": lambda m: (m["n_words"] > 0) & ((m["word_chars"] < m["n_words"] * 2) | (m["word_chars"] > m["n_words"] * 20)),
+    }
+    of_text = lambda rule: lambda m: rule.rejects(m["text"])
+    return tuple(Rule(r.name, on_counts.get(r.name) or of_text(r)) for r in RULES)
 
 
 def verdicts(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, kept and the rule that rejected it."""
-    costs = estimate(docs, RULES, text, sample_rows)
-    order = ordered(measured_rules(), costs)
-    m = base_measures(docs.select("doc_id", text), text)
-    return m.select(
+    """One row per document: doc_id, the base counts, base_failed, kept and the first rule in RULES that rejects it."""
+    base, rest = ("few_words", "repeated_windows"), [r for r in RULES if r.name not in ("few_words", "repeated_windows")]
+    order = ordered(rest, estimate(docs, rest, text, sample_rows))
+    by_name = {r.name: r for r in measured_rules()}
+    m = base_measures(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")))
+    m = m.withColumn("_m", F.struct("_m.*", "text"))
+    row = F.col("_m")
+    failed = by_name[base[0]].rejects(row) | by_name[base[1]].rejects(row)
+    kept = F.when(failed, False).otherwise(first_rejection(row, [by_name[r.name] for r in order]).isNull())
+    out = m.withColumns({"base_failed": failed, "kept": kept})
+    return out.select(
         "doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words",
-        ((F.col("_m.n_words") < 10) | (F.col("_m.n_repeat_words") * 100 > F.col("_m.n_words") * 20)).alias("base_failed"),
-        first_rejection(F.col("_m"), order).isNull().alias("kept"),
-        first_rejection(F.col("_m"), measured_rules()).alias("rejected_by"),
+        "base_failed", "kept", F.when(~F.col("kept"), first_rejection(row, list(by_name.values()))).alias("rejected_by"),
     )

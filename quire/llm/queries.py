@@ -119,12 +119,17 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 m AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
-    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|\x{{2026}})[\x20\x09-\x0D]*\z'))) AS n_ellipsis,
+    len(list_filter(l, lambda x: regexp_matches(x, '\A[\x20\x09-\x0D]*[-*\x{{2022}}]'))) AS n_bullets,
+    length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters
   FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS (
   SELECT *, CASE WHEN n_words < 10 THEN 'few_words' WHEN n_repeat_words * 100 > n_words * 20 THEN 'repeated_windows'
     WHEN n_symbols * 100 > n_words * 50 THEN 'symbols' WHEN n_dup_lines * 100 > n_lines * 50 THEN 'duplicate_lines'
-    WHEN n_words > 0 AND (word_chars < n_words * 2 OR word_chars > n_words * 20) THEN 'word_length' END AS rejected_by
+    WHEN n_words > 0 AND (word_chars < n_words * 2 OR word_chars > n_words * 20) THEN 'word_length'
+    WHEN n_ellipsis * 100 > n_lines * 30 THEN 'ellipsis_lines' WHEN n_bullets * 100 > n_lines * 90 THEN 'bullet_lines'
+    WHEN n_letters * 100 < word_chars * 50 THEN 'letters' END AS rejected_by
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed, rejected_by IS NULL AS kept, rejected_by

@@ -172,7 +172,7 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
         ).otherwise(F.array_append(acc, F.struct(x["s"].alias("s"), x["e"].alias("e")))),
     )
     cuts = found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh"), merged.alias("_cuts"))
-    keyed = docs.withColumn("_h", F.xxhash64(text, F.length(text)))
+    keyed = docs.select("doc_id", text, F.xxhash64(text, F.length(text)).alias("_h"), F.struct(*docs.columns).alias("_row"))
     joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["_id"]) & (keyed["_h"] == cuts["_fh"]), "left")
     pieces = F.transform(
         F.col("_cuts"),
@@ -180,4 +180,4 @@ def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str =
     )
     tail = F.substring(F.col(text), F.element_at("_cuts", -1)["e"] + 1, F.length(text))
     clean = F.when(F.coalesce(F.size("_cuts"), F.lit(0)) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
-    return joined.withColumn(text, clean).select(*docs.columns)
+    return joined.select(*((clean if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

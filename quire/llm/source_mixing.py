@@ -3,7 +3,7 @@
 A tree of levels (domain, language, source) gets a budget of tokens at its root. Each node deals its budget out among
 its children by weight; a child that cannot take its share, because its documents times ``max_epochs`` are fewer,
 takes all it has, and what is short goes to its siblings by weight, so it reaches the ancestors only when all siblings
-are full. A leaf reads whole epochs while its budget lasts, then the prefix of one more, whose order is a seeded hash.
+are full. A closed node, and so all below it, can take nothing, and a parent's capacity is that of its open leaves. A leaf reads whole epochs while its budget lasts, then the prefix of one more, whose order is a seeded hash.
 
 Dealing is a water-filling in closed form: sorted by capacity per weight, the full children are a prefix, which
 running sums find, so a level of the tree is one window over its nodes and no loop. A leaf's prefix is found in two
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +76,9 @@ def _dealt(nodes: DataFrame, parent: list[str], level: str, weights: Mapping[str
 def leaf_budgets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """``sizes`` (levels..., tokens, one row per leaf) with ``budget``, in whole tokens."""
     levels = list(mix.levels)
-    caps = sizes.withColumn("cap", F.col("tokens") * mix.max_epochs)
+    closed = [_weight(level, mix.weights) <= 0 for level in levels]
+    takes = F.when(reduce(Column.__or__, closed), 0).otherwise(F.col("tokens") * mix.max_epochs).cast("long")
+    caps = sizes.withColumn("cap", takes)
     root = sizes.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(mix.share)).cast("double").alias("budget"))
     budgets, key = root.withColumn("_root", F.lit(0)), ["_root"]
     for i, level in enumerate(levels):
@@ -125,11 +128,27 @@ def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of ``docs``, all its columns, that the mix has, with ``epoch``; a row for each epoch.
+    """The rows of ``docs``, all its columns but an ``epoch`` of their own, that the mix has, with ``epoch``; a row for each epoch.
 
     What is joined to the texts is their choice, broadcast only if its stored size is at most ``BROADCAST_BYTES``.
     """
-    slim = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("_h"))
-    chosen = select(cut(slim), mix).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_ch"), "epoch").distinct()
-    side = sized_broadcast(stored(chosen, "chosen"), BROADCAST_BYTES)
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_ch"))).select(*docs.columns, "epoch")
+    docs = docs.drop("epoch")
+    packed = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text", F.length("text")).alias("_h"), F.struct(*docs.columns).alias("_row"))
+    key = ["doc_id", "lang", "source", "_h"]
+    slim = packed.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", token_count(F.col("text")).alias("n_tokens"), "_h")
+    slim = cut(slim)
+    chosen = select(slim, mix).groupBy(*key, "epoch").agg(F.count("*").alias("_chosen"))
+    rows = slim.groupBy(*(F.col(k).alias(f"_n_{k}") for k in key)).agg(F.count("*").alias("_rows"))
+    chosen = chosen.join(rows, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in key))).drop(*(f"_n_{k}" for k in key))
+    chosen = stored(chosen.withColumnsRenamed({k: f"_c_{k}" for k in key} | {"epoch": "_epoch"}), "chosen")
+    on = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in key))
+    out = [*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), F.col("_epoch").alias("epoch")]
+    alone = packed.join(sized_broadcast(chosen.where("_rows = 1"), BROADCAST_BYTES), on).select(*out)
+    again = chosen.where("_rows > 1")
+    if not again.head(1):
+        return alone
+    # Rows that repeat id, text, language and source are numbered, and of each group as many come along as were chosen.
+    same = packed.join(sized_broadcast(stored(again.select(*(f"_c_{k}" for k in key)).distinct(), "repeated"), BROADCAST_BYTES), on, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_row")))
+    numbered = same.withColumn("_place", place).join(again, on).where("_place <= _chosen")
+    return alone.unionByName(numbered.select(*out))

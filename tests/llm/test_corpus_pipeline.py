@@ -6,7 +6,7 @@ import re
 import corpus_pipeline as P
 from quire.llm import quality_rules, secret_scans
 
-from tests.llm import test_jaccard_join as jaccard, test_secret_scans as secrets
+from tests.llm import test_jaccard_join as jaccard, test_quality_rules as quality, test_secret_scans as secrets
 
 KEY = "AKIA" + "Q" * 16
 ITEM = "what is the answer to the question about the seven red lamps in the hall"
@@ -22,7 +22,7 @@ def verdict(text):
     wins = [tuple(w[i : i + 5]) for i in range(n - 4)]
     again = {p for i, x in enumerate(wins) if wins.count(x) > 1 for p in range(i, i + 5)}
     symbols, chars = sum(c in "#*$%&|<>" for c in text or ""), sum(map(len, w))
-    return not (n < 10 or len(again) * 100 > n * 20 or symbols * 100 > n * 50 or (len(lines) - len(set(lines))) * 100 > len(lines) * 50 or chars < 2 * n or chars > 20 * n)
+    return not (n < 10 or len(again) * 100 > n * 20 or symbols * 100 > n * 50 or (len(lines) - len(set(lines))) * 100 > len(lines) * 50 or chars < 2 * n or chars > 20 * n or quality.prose_fails(text or ""))
 
 
 def tables(spark, tmp_path):

@@ -62,3 +62,21 @@ def test_clean(spark):
     assert spans == {1: "intro ! outro", 2: "a , b short item é", 5: "clean text with nothing to find"}
     with pytest.raises(ValueError):
         D.clean(docs, bench, "all")
+
+
+@pytest.mark.parametrize("most,held", [(40_000, 256 << 20), (0, 256 << 20), (0, 0)])
+def test_ids_with_commas_and_empty_ids(spark, most, held, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", held)
+    items = [("a,b", "one two three", "x"), ("", "four five six seven", "x"), ("it's \\", "one two three", "x"), (None, "eight nine", "x")]
+    docs = [(1, "one two three four five six seven", "x"), (2, "four five six seven", "x"), (3, "eight nine", "x")]
+    bench = spark.createDataFrame(items, "item_id string, text string, k string")
+    assert sorted(str(tuple(r)) for r in D.digest(spark.createDataFrame(docs, DOC), bench, max_windows=most).collect()) == brute(docs, items)
+
+
+@pytest.mark.parametrize("most", [40_000, 0])
+def test_clean_passes_columns_of_any_name(spark, most):
+    names = ["_w", "_h", "_hits", "_items", "_met", "n", "k"]
+    df = spark.createDataFrame([(1, "clean words", *names), (2, LONG, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = D.clean(df, spark.createDataFrame(ITEMS, BENCH), max_windows=most)
+    assert [tuple(r) for r in kept.collect()] == [(1, "clean words", *names)] and kept.columns == df.columns
+    assert {r["doc_id"]: r["_w"] for r in D.clean(df, spark.createDataFrame(ITEMS, BENCH), "spans", max_windows=most).collect()} == {1: "_w", 2: "_w"}

@@ -48,7 +48,8 @@ def brute(data, mix):
     for depth, level in enumerate(mix.levels, 1):
         caps = defaultdict(int)
         for leaf, n in tokens.items():
-            caps[leaf[:depth]] += n * mix.max_epochs
+            shut = any(mix.weights.get(x, {}).get(v, 1.0) == 0 for x, v in zip(mix.levels, leaf))
+            caps[leaf[:depth]] += 0 if shut else n * mix.max_epochs
         now = {}
         for parent, budget in budgets.items():
             kids = {k: c for k, c in caps.items() if k[:-1] == parent}
@@ -78,3 +79,27 @@ def test_against_brute_force(spark, share, epochs, digits, monkeypatch):
 
 def test_empty_table(spark):
     assert S.mixed(spark.createDataFrame([], SCHEMA), S.Mix()).count() == 0
+
+
+def test_what_a_closed_subtree_cannot_take_goes_to_its_siblings(spark):
+    data = [(i, "w " * 50, "xx", "src1", "x") for i in range(10)] + [(i, "w " * 50, "en", "src20", "x") for i in range(10, 20)]
+    mix = S.Mix(weights={"lang": {"xx": 0.0}}, share=0.5, max_epochs=1)
+    got = S.mixed(spark.createDataFrame(data, SCHEMA), mix).collect()
+    assert sum(r["n_tokens"] for r in got) == 500 and {r["domain"] for r in got} == {"web"}
+
+
+def test_mixed_documents_has_the_rows_that_mixed_has(spark):
+    data = [(1, "one two three four five", "en", "src1", "x")] * 4
+    df = spark.createDataFrame(data, SCHEMA)
+    mix = S.Mix(share=0.5, max_epochs=1)
+    assert S.mixed(df, mix).count() == 2 == S.mixed_documents(df, mix).count()
+    mix, df = S.Mix(weights={"lang": {"en": 2.0}}, share=0.9, max_epochs=2), spark.createDataFrame(rows(), SCHEMA)
+    key = lambda r: (str(r["doc_id"]), str(r["lang"]), str(r["source"]), r["epoch"])
+    got = S.mixed_documents(df, mix)
+    assert sorted(map(key, S.mixed(df, mix).collect())) == sorted(map(key, got.collect()))
+    assert got.columns == ["doc_id", "text", "lang", "source", "epoch"]
+
+
+def test_mixed_documents_passes_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d", "en", "src1", "h", "r", "d")], "doc_id long, text string, lang string, source string, _h string, _row string, domain string")
+    assert [tuple(r) for r in S.mixed_documents(df, S.Mix(share=1.0)).collect()] == [(1, "a b c d", "en", "src1", "h", "r", "d", 0)]
