@@ -5,6 +5,9 @@ doubling: round k joins every message with its ancestor 2^k replies up, so a pat
 and a path's score is the sum along it. Branches are ranked by score; the messages of a chosen path are found by
 walking the same ancestor tables from the leaf, the longest strides first, so that every ancestor is met once.
 
+Besides the control strings of common templates, a text's own copies of the template's ``open`` are escaped; a template
+whose strings could not be told apart from what stands around them is refused.
+
 Defined results: null text and role are empty; null turns come last; equal turns are ordered by role, then text; a
 message whose parent is missing is a root; messages in or below a cycle have no root and are left out; a null
 conversation id is a conversation of its own. One conversation is one output row, so its turns meet in one task.
@@ -32,26 +35,62 @@ class Template:
     loss_role: str = "assistant"
 
 
-TEMPLATE = Template()
+    def __post_init__(self):
+        """Refuses templates that cannot be read back: ``open`` must not arise where strings and texts meet."""
+        parts = lambda x: [x[i:] for i in range(1, len(x))]
+        meets = lambda x, y: any(y.startswith(p) for p in parts(x))
+        if len(self.open) < 2 or not self.sep or "\\" in self.open or "%" in self.sep:
+            raise ValueError("open needs two characters and no backslash, sep one and no percent sign")
+        if meets(self.open, self.open) or meets(self.sep, self.open) or meets(self.open, self.sep) or meets(self.open, self.close) or self.open in self.sep + self.close:
+            raise ValueError(f"{self.open!r} could arise where strings of the template meet")
+        if not self.is_known() and any(meets(self.open, k) or meets(k, self.open) or k in self.open for k in _KNOWN):
+            raise ValueError(f"{self.open!r} overlaps with a control string that is escaped in any case")
+
+    def is_known(self) -> bool:
+        return self.open.startswith(_KNOWN)
+
+    def pattern(self, marks: str) -> str:
+        """First character, backslashes and rest of a control string; ``marks`` are the backslashes before the third group."""
+        known = rf"(?<a>[<\[]){marks}(?=\\*(?:\||/?s>|/?INST\]|</?SYS>))"
+        return known if self.is_known() else rf"{known}|(?<b>{_literal(self.open[0])}){marks}(?=\\*{_literal(self.open[1:])})"
+
+
 # Control strings of common templates. A text that has one gets a backslash after its first character, and one more if it
 # had backslashes there already, so no control string is left and taking one backslash away gives the text back.
-_ESCAPE, _ESCAPED = r"([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>)", r"([<\[])\\(\\*)(\||/?s>|/?INST\]|</?SYS>)"
+_KNOWN = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>", "<</SYS>")
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPE, r"$1\\$2$3")
+def _literal(s: str) -> str:
+    return r"\Q" + s + r"\E"
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPED, "$1$2$3")
+TEMPLATE = Template()
+
 
+def escape(text: Column, template: Template = TEMPLATE) -> Column:
+    return F.regexp_replace(text, template.pattern(""), r"$0\\")
 
-def _escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
 
+def unescape(text: Column, template: Template = TEMPLATE) -> Column:
+    return F.regexp_replace(text, template.pattern(r"\\"), "${a}" if template.is_known() else "${a}${b}")
 
-def _unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+def _coded(template: Template) -> list[tuple[str, str]]:
+    """Characters that a role cannot have as they are, and their codes."""
+    return [(c, "".join(f"%{b:02X}" for b in c.encode())) for c in dict.fromkeys("%" + template.sep)]
+
+
+def _escape_role(role: Column, template: Template) -> Column:
+    for c, code in _coded(template):
+        role = F.replace(role, F.lit(c), F.lit(code))
+    return escape(role, template)
+
+
+def _unescape_role(role: Column, template: Template) -> Column:
+    role = unescape(role, template)
+    for c, code in reversed(_coded(template)):
+        role = F.replace(role, F.lit(code), F.lit(c))
+    return role
 
 
 def reply_chain(conversations: DataFrame) -> DataFrame:
@@ -110,7 +149,7 @@ def format_trees(messages: DataFrame, template: Template = TEMPLATE, top: int =
     path = ranked_paths(messages, top).withColumnsRenamed({"tree": "_t", "node": "_n"})
     rows = messages.join(path, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
     turns = rows.groupBy("tree", "path").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-    safe = F.transform("turns", lambda x: F.struct((x["role"] == template.loss_role).alias("learned"), F.concat(F.lit(template.open), _escape_role(x["role"]), F.lit(template.sep)).alias("head"), escape(x["text"]).alias("text")))
+    safe = F.transform("turns", lambda x: F.struct((x["role"] == template.loss_role).alias("learned"), F.concat(F.lit(template.open), _escape_role(x["role"], template), F.lit(template.sep)).alias("head"), escape(x["text"], template).alias("text")))
     return turns.withColumn("turns", safe).select(
         "tree", "path",
         F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["text"], F.lit(template.close))), "").alias("formatted"),
@@ -134,15 +173,11 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """``turns`` (role, text) and ``learned`` (the unescaped texts under the mask) from the output alone."""
     parts = let(F.split("formatted", _literal(template.open), -1), lambda x: F.slice(x, F.lit(2), F.size(x) - 1))
     body = lambda x: F.substring(x, F.lit(1), F.length(x) - len(template.close))
-    turn = lambda x: let(F.instr(x, template.sep), lambda at: F.struct(_unescape_role(F.substring(x, F.lit(1), at - 1)).alias("role"), unescape(F.substring(x, at + len(template.sep), F.length(x))).alias("text")))
-    learned = F.transform("mask", lambda m: unescape(F.substring("formatted", m["s"] + 1, m["e"] - m["s"])))
+    turn = lambda x: let(F.instr(x, template.sep), lambda at: F.struct(_unescape_role(F.substring(x, F.lit(1), at - 1), template).alias("role"), unescape(F.substring(x, at + len(template.sep), F.length(x)), template).alias("text")))
+    learned = F.transform("mask", lambda m: unescape(F.substring("formatted", m["s"] + 1, m["e"] - m["s"]), template))
     return formatted.withColumns({"turns": F.transform(F.transform(parts, body), turn), "learned": learned})
 
 
-def _literal(s: str) -> str:
-    return r"\Q" + s + r"\E"
-
-
 def digest(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """One row per conversation, from what is read back: see the contract of the query."""
     messages = cut(reply_chain(conversations))

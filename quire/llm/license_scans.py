@@ -75,7 +75,7 @@ def idf(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     quoted = ", ".join(f"'{t}'" for t in sorted(vocabulary))
     own = F.expr(f"array_distinct(filter(ts, t -> t IN ({quoted})))")
     found = _lines(docs).select(terms(F.col("line")).alias("ts")).where(F.size("ts") > 0).select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term"))
-    df = cut(found.groupBy("term").agg(F.count("*").alias("df")))  # read twice
+    df = stored(found.groupBy("term").agg(F.count("*").alias("df")), "term-lines")  # read twice
     n = df.where("term = ''").select(F.col("df").alias("n"))
     known = docs.sparkSession.createDataFrame([(t,) for t in sorted(vocabulary)] + [("",)], "term string")
     counts = known.join(df, "term", "left").crossJoin(F.broadcast(n))  # n is one row, or none in an empty table

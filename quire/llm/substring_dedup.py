@@ -130,6 +130,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     """doc_id, sum, ``spans``: packed runs of windows that also start elsewhere, one row per document that has any."""
     index = stored(phrases(docs), "phrases")
     shared = index.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("a", (F.col("c0") == F.col("c1")).alias("same"))
+    shared = stored(shared, "shared-anchors")  # as a table, so that the rows of a hot anchor can be split in the join
     met = stored(index.join(shared, "a"), "shared-phrases")
     mixed = met.where("NOT same").groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sum", "p")).alias("one"))
     mixed = stored(mixed, "boundary-phrases")

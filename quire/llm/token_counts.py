@@ -3,8 +3,10 @@
 A batch is a set of signed changes: an insert adds a document's counts, a delete takes them away, a revision takes the
 old counts away and adds the new ones. A batch is summed by source, language and tokenizer version, its sums are
 written under a name of this attempt's own, and one marker file, created only if no such file exists, makes them count.
-So a batch that is committed twice, or by two drivers at once, counts once, and one that broke off counts not at all.
-Totals are the sum of the committed deltas; ``compact`` folds them into one.
+So a batch that is committed twice, or by two drivers at once, counts once, and one that broke off counts not at all (a
+marker that was created and not written does not count, and the next attempt takes its place).
+Totals are the sum of the live deltas. ``compact`` folds the live ones into one that replaces them; a replacement counts only
+if all that it replaces is live when its turn comes, so of two that fold the same batch one counts and the other is void.
 
 Defined results: null and empty texts have no tokens but count as documents; a null source or language is a group of
 its own; repeated rows are each a document; a group whose documents are all gone stays out of the totals.
@@ -17,6 +19,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,46 +84,73 @@ class Rollup:
 
     def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> bool:
         """Makes ``changes`` (source, lang, tokenizer, n_docs, n_tokens, signed) count as ``batch``; False if they do already."""
-        if self._fs.exists(self._path(f"commits/{batch}")):
+        marker = self._path(f"commits/{batch}")
+        if self._fs.exists(marker) and self._read(marker) is not None:
             return False
         attempt = f"deltas/{batch}-{uuid.uuid4().hex}"
         summed(changes).write.parquet(f"{self.folder}/{attempt}")
         return self._mark(batch, {"data": attempt, "replaces": replaces or []})
 
     def _mark(self, batch: str, what: dict) -> bool:
-        draft = self._path(f"drafts/{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps(what).encode()))
-        out.close()
+        marker = self._path(f"commits/{batch}")
         self._fs.mkdirs(self._path("commits"))
-        try:  # a rename onto a marker that is there already fails or is refused, so the first attempt wins
-            if self._fs.exists(self._path(f"commits/{batch}")):
+        if self._fs.exists(marker) and self._read(marker) is None:
+            self._fs.delete(marker, False)
+        try:
+            out = self._fs.create(marker, False)
+        except Py4JJavaError as refused:  # there is one by now: the first attempt wins
+            if self._fs.exists(marker):
                 return False
-            return bool(self._fs.rename(draft, self._path(f"commits/{batch}")))
+            raise refused
+        out.write(bytearray(json.dumps(what).encode()))
+        out.close()
+        return True
+
+    def _read(self, marker) -> dict | None:
+        """What a marker says; None if its writing broke off."""
+        stream = self._fs.open(marker)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
         finally:
-            self._fs.delete(draft, False)
+            stream.close()
 
     def committed(self) -> dict[str, dict]:
+        """Every committed batch by name, replaced ones too."""
         if not self._fs.exists(self._path("commits")):
             return {}
-        found = {}
-        for status in self._fs.listStatus(self._path("commits")):
-            name = status.getPath().getName()
-            text = self.spark.read.text(f"{self.folder}/commits/{name}", wholetext=True).first()[0]
-            found[name] = json.loads(text)
-        return found
+        files = [status.getPath() for status in self._fs.listStatus(self._path("commits"))]
+        found = {f.getName(): self._read(f) for f in files if not f.getName().startswith(".")}
+        return {name: what for name, what in sorted(found.items()) if what is not None}
 
-    def totals(self) -> DataFrame:
+    def live(self) -> dict[str, dict]:
+        """The committed batches that count: neither replaced nor a replacement that came second."""
         found = self.committed()
-        gone = {x for c in found.values() for x in c["replaces"]}
-        paths = [f"{self.folder}/{c['data']}" for name, c in sorted(found.items()) if name not in gone]
+        out = {name: what for name, what in found.items() if not what["replaces"]}
+        waiting = {name: what for name, what in found.items() if what["replaces"]}
+        done = set(out)
+        while waiting:
+            ready = [n for n, what in waiting.items() if all(x in done or x not in waiting for x in what["replaces"])]
+            if not ready:
+                break
+            name = ready[0]
+            what = waiting.pop(name)
+            done.add(name)
+            if all(x in out for x in what["replaces"]):
+                out = {n: w for n, w in out.items() if n not in what["replaces"]} | {name: what}
+        return dict(sorted(out.items()))
+
+    def totals(self) -> DataFrame:
+        paths = [f"{self.folder}/{what['data']}" for what in self.live().values()]
         deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         return summed(deltas).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, name: str) -> bool:
-        """Folds every committed batch into one called ``name``; the folded names stay taken."""
-        done = sorted(self.committed())
-        return self.commit(name, self.totals(), done)
+        """Folds every live batch into one called ``name``; the folded names stay taken."""
+        live = self.live()
+        paths = [f"{self.folder}/{what['data']}" for what in live.values()]
+        return bool(live) and self.commit(name, self.spark.read.schema(DELTA).parquet(*paths), list(live))
 
 
 def revised(docs: DataFrame) -> DataFrame:
@@ -139,8 +169,9 @@ def digest(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFr
     copies = first.join(least.where("_sha IS NOT NULL").withColumnRenamed("_sha", "_s"), F.col("_sha") == F.col("_s")).where(F.col("doc_id") > F.col("_least"))
     roll.commit("delete-copies", signed(copies, -1))
     old = docs.where(F.regexp_replace("text", r" {2,}", " ") != F.col("text"))
-    gone = copies.select(F.col("doc_id").alias("_gone"))
-    keep = lambda x: x.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    roll.commit("collapse-blanks", signed(counted(keep(old), vocabulary), -1).unionByName(signed(counted(keep(revised(docs)), vocabulary), 1)))
+    gone = copies.select(F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gs")).distinct()
+    keep = lambda x: x.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_sha") == F.col("_gs")), "left_anti").drop("_sha")
+    old = old.withColumn("_sha", F.sha2("text", 256))
+    roll.commit("collapse-blanks", signed(counted(keep(old), vocabulary), -1).unionByName(signed(counted(keep(revised(old)), vocabulary), 1)))
     roll.commit("delete-copies", signed(copies, -1))
     return roll.totals()

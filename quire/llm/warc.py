@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import fresh_dir, stored, text_batches
+from quire.llm.storage import fresh_dir, sized_broadcast, stored, text_batches
 
 MIN_DEDUP = 100
+BROADCAST_BYTES = 48 << 20
 GAP = 64 << 10
 MOST = 8 << 20
+#: Archive bytes a task reads, by the index: their number sets the number of tasks, as the index itself is small.
+TASK_BYTES = 128 << 20
 #: Payload bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
@@ -46,10 +49,13 @@ def plan(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select("page_id", "url", payload.alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = p.where(F.col("payload_bytes") >= min_dedup).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL")
+    keys = pages.select("page_id", payload.alias("payload")).select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    first = keys.where(F.col("payload_bytes") >= min_dedup).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 AND _first IS NOT NULL")
     # Small payloads have no group; their keys differ, so that they don't meet in one task.
     p = p.withColumn("_key", F.when(F.col("payload_bytes") >= min_dedup, F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))))
-    p = p.join(first.select(F.col("digest").alias("_key"), "_first"), "_key", "left")
+    # What is joined to the payloads are the first ids of repeated digests; while they fit, no payload moves.
+    first = stored(first.select(F.col("digest").alias("_key"), "_first"), "warc-first")
+    p = p.join(sized_broadcast(first, BROADCAST_BYTES), "_key", "left")
     revisit = F.col("_first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("_first")))
     kind = F.when(revisit, "revisit").otherwise("response")
     return p.select("page_id", "url", F.when(kind == "response", F.col("payload")).alias("payload"), "digest", "payload_bytes", kind.alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
@@ -145,7 +151,8 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP, most: int = MOST) -
 
 def read(index: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, most: int = MOST) -> DataFrame:
     """The records that ``index`` names, as RECORD; ``payloads=False`` leaves the payload out once its digest is checked."""
-    dealt = index.select("file", "offset", "length").repartition(F.col("file"), F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
+    parts = max(int(index.sparkSession.sparkContext.defaultParallelism), -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    dealt = index.select("file", "offset", "length").repartition(parts, F.col("file"), F.floor(F.col("offset") / most)).sortWithinPartitions("file", "offset")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _file_system(folder)

@@ -1,7 +1,9 @@
 """Chat formatting: exact round trips, branch ranking, cycles and odd rows."""
 
 import hashlib
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,3 +66,22 @@ def test_branches_rank_by_score_and_cycles_go(spark):
     assert [t.split("\n")[1].removesuffix("<|im_end|>") for t in texts[1].split("<|im_start|>")[1:]] == ["q", "good", "more", "end"]
     both = C.format_trees(spark.createDataFrame(rows, MSG), top=2).where("tree = 1").orderBy("path").collect()
     assert [r["path"] for r in both] == [1, 2] and "bad" in both[1]["formatted"]
+
+
+OTHERS = [C.Template(open="### ", sep=": ", close="\n"), C.Template(open="<|start_header_id|>", sep="<|end_header_id|>\n\n", close="<|eot_id|>"), C.Template(open="ab#", sep="=>", close="$")]
+
+
+@pytest.mark.parametrize("template", OTHERS)
+def test_other_templates_read_back(spark, template):
+    texts = [*(t or "" for t in NASTY), template.open, template.open * 3, "x" + template.sep + "y" + template.close, template.open[:-1], "#" * 9 + " ", template.open[0] + "\\" + template.open[1:], "ab" * 4 + "#=>$ab"]
+    roles = ["user", "assistant", template.sep + "%3A" + template.open, "###"]
+    rows = [(k, i, i - 1 if i else None, r.choice(roles), r.choice(texts), 0.0) for r in [random.Random(4)] for k in range(8) for i in range(9)]
+    back = C.read_back(C.format_trees(spark.createDataFrame(rows, MSG), template), template)
+    got = {r["tree"]: [tuple(t) for t in r["turns"]] for r in back.collect()}
+    assert got == {k: [(role, text) for t, _, _, role, text, _ in rows if t == k] for k in range(8)}
+
+
+@pytest.mark.parametrize("bad", [{"open": "#"}, {"open": "aa"}, {"open": "a\\b"}, {"sep": ""}, {"open": "ab", "sep": "xa"}, {"open": "xab", "close": "b"}, {"open": "a<", "sep": ":"}])
+def test_templates_that_cannot_be_read_back_are_refused(bad):
+    with pytest.raises(ValueError):
+        C.Template(**bad)

@@ -43,3 +43,27 @@ def test_commits(spark):
 
 def test_empty_table(spark):
     assert T.digest(spark.createDataFrame([], SCHEMA), storage.fresh_dir(spark, "roll")).count() == 0
+
+
+def test_of_two_compactions_that_fold_the_same_batch_one_counts(spark):
+    delta = lambda n: spark.createDataFrame([("s", "en", "words", 1, n)], T.DELTA)
+    total = lambda roll: [tuple(r)[3:] for r in roll.totals().collect()]
+    roll = T.Rollup(spark, storage.fresh_dir(spark, "roll"))
+    roll.commit("a", delta(5))
+    roll.commit("z1", roll.totals(), ["a"])
+    roll.commit("z2", roll.totals(), ["a"])  # as by a second driver that began before the first was done
+    assert total(roll) == [(1, 5)]
+    roll.commit("b", delta(2))
+    assert roll.compact("early") and total(roll) == [(2, 7)] and list(roll.live()) == ["early"]
+    roll.commit("later", delta(1), ["z2"])  # replaces what is void
+    assert total(roll) == [(2, 7)]
+
+
+def test_a_marker_that_was_not_written_does_not_count(spark):
+    delta = lambda n: spark.createDataFrame([("s", "en", "words", 1, n)], T.DELTA)
+    roll = T.Rollup(spark, storage.fresh_dir(spark, "roll"))
+    roll.commit("a", delta(5))
+    roll._fs.create(roll._path("commits/b"), False).close()
+    assert [tuple(r)[3:] for r in roll.totals().collect()] == [(1, 5)]
+    assert roll.commit("b", delta(3)) and [tuple(r)[3:] for r in roll.totals().collect()] == [(2, 8)]
+    assert not roll._mark("b", {"data": "x", "replaces": []})
