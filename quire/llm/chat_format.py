@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.native import let
-from quire.llm.storage import cut
+from quire.llm.storage import stored
 
 
 @dataclass(frozen=True)
@@ -109,16 +109,15 @@ def _strides(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     there = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     first = nodes.join(there, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
-    now = cut(first.select("tree", "node", F.col("_n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
-    rooted, out = now.where("up IS NULL"), []
-    for _ in range(messages.count().bit_length()):  # longer than any path; only a cycle goes that far
-        active = now.where("up IS NOT NULL")
-        if not active.head(1):
-            break
+    now = stored(first.select("tree", "node", F.col("_n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")), "strides")
+    rooted, out, before = now.where("up IS NULL"), [], None
+    # Paths have all lengths up to the longest, so each round ends some; when none ends, what is left are cycles.
+    while (left := now.where("up IS NOT NULL").count()) and left != before:
+        before, active = left, now.where("up IS NOT NULL")
         out.append(active)
         above = active.unionByName(rooted).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("steps").alias("_steps"))
         met = active.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")))
-        now = cut(met.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        now = stored(met.select("tree", "node", F.col("_up").alias("up"), (F.col("total") + F.col("_total")).alias("total"), (F.col("steps") + F.col("_steps")).alias("steps")), "strides")
         rooted = rooted.unionByName(now.where("up IS NULL"))
     return out, rooted
 
@@ -140,7 +139,8 @@ def ranked_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     for k in range(len(strides) - 1, -1, -1):
         up = strides[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         more = path.join(up, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")))
-        path = cut(path.unionByName(more.select("tree", "path", F.col("up").alias("node"), (F.col("position") - 2**k).alias("position"))))
+        path = path.unionByName(more.select("tree", "path", F.col("up").alias("node"), (F.col("position") - 2**k).alias("position")))
+        path = stored(path, "paths") if k % 2 == 0 else path
     return path
 
 
@@ -180,7 +180,7 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
 def digest(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """One row per conversation, from what is read back: see the contract of the query."""
-    messages = cut(reply_chain(conversations))
+    messages = stored(reply_chain(conversations), "messages")
     back = read_back(format_trees(messages, template), template)
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
