@@ -41,7 +41,8 @@ def word_chars(text: Column) -> Column:
 
 
 def symbol_count(text: Column) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), F.lit(0)).cast("long")
+    found = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.when(text.rlike(f"[{SYMBOLS}]"), found).otherwise(F.lit(0)).cast("long")
 
 
 def lines_with_words(text: Column) -> Column:
@@ -85,9 +86,9 @@ def repeated_words(words: Column, width: int = REPEAT_WINDOW) -> Column:
     """
 
     def of(w: Column) -> Column:
-        hashed = F.transform(window_starts(F.size(w), width), lambda i: F.xxhash64(F.slice(w, i + 1, width)))
+        windows = lambda each: F.transform(window_starts(F.size(w), width), lambda i: F.xxhash64(*(F.get(each, i + k) for k in range(width))))
         return let(
-            hashed,
+            let(F.transform(w, lambda x: F.xxhash64(x)), windows),  # a word is hashed once, not in each of its windows
             lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(_repeat_starts(w, window_starts(F.size(w), width), width), width)),
         )
 
