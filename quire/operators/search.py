@@ -33,9 +33,9 @@ def nearest_of_each(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> Da
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bands(width: int = 64, most: int = 6) -> list[tuple[int, int]]:
-    """(first bit, bits) of most + 1 bands: two hashes that differ in at most ``most`` bits are equal in one of them."""
-    n, at, out = most + 1, 0, []
+def bands(width: int = 64, most: int = 6, within: int = 0) -> list[tuple[int, int]]:
+    """(first bit, bits) of so many bands that two hashes at most ``most`` bits apart differ in at most ``within`` bits of one."""
+    n, at, out = most // (within + 1) + 1, 0, []
     for i in range(n):
         size = width // n + (i < width % n)
         out.append((at, size))
@@ -43,20 +43,36 @@ def bands(width: int = 64, most: int = 6) -> list[tuple[int, int]]:
     return out
 
 
+#: Distances from which bands are joined with their one-bit neighbours: exact bands would have too few bits to tell hashes apart.
+NEIGHBOURS_FROM = 8
+
+
 def hamming_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """(left id, right id, distance) of all hashes at most ``most`` bits apart: an equi-join of bands, then the count.
 
-    A pair is reported by the first band it shares, so nothing is removed afterwards.
+    A pair is reported by the first band in which it meets, so nothing is removed afterwards. For large distances the left
+    hashes also look up each band with one bit turned, which halves the number of bands and doubles their bits.
     """
-    cut = bands(64, most)
-    value = lambda c, b: F.shiftrightunsigned(c, b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    keyed = lambda df, i, h: df.select(F.col(i), F.col(h), F.posexplode(F.array(*(value(F.col(h), b) for b in cut))).alias("band", "part"))
-    met = keyed(left.select(F.col("id").alias("left_id"), F.col("hash").alias("_l")), "left_id", "_l").join(keyed(right.select(F.col("id").alias("right_id"), F.col("hash").alias("_r")), "right_id", "_r"), ["band", "part"])
-    first = F.array_position(F.array(*(value(F.col("_l"), b) == value(F.col("_r"), b) for b in cut)), True) - 1
+    within = int(most >= NEIGHBOURS_FROM)
+    cut = bands(64, most, within)
+    value = lambda c, b: F.shiftrightunsigned(c, b[0]).bitwiseAND(F.lit((1 << b[1]) - 1 if b[1] < 64 else -1))
+    part = lambda c, b: F.array(value(c, b))
+    near = lambda c, b: F.array(value(c, b), *(value(c, b).bitwiseXOR(F.lit(1 << i)) for i in range(b[1] * within)))
+    keyed = lambda df, i, h, of: df.select(F.col(i), F.col(h), F.posexplode(F.array(*(of(F.col(h), b) for b in cut))).alias("band", "parts")).select(i, h, "band", F.explode("parts").alias("part"))
+    ours = keyed(left.select(F.col("id").alias("left_id"), F.col("hash").alias("_l")), "left_id", "_l", near)
+    met = ours.join(keyed(right.select(F.col("id").alias("right_id"), F.col("hash").alias("_r")), "right_id", "_r", part), ["band", "part"])
+    first = F.array_position(F.array(*(F.bit_count(value(F.col("_l"), b).bitwiseXOR(value(F.col("_r"), b))) <= within for b in cut)), True) - 1
     apart = G.hamming(F.col("_l"), F.col("_r"))
     return met.where((first == F.col("band")) & (apart <= most)).select("left_id", "right_id", apart.alias("distance"))
 
 
+def hamming_of_each(hashes: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """As ``hamming_join`` for a stated, small set of queries, whatever the distance: they are broadcast, and bits counted."""
+    q = F.broadcast(queries.select(F.col("id").alias("left_id"), F.col("hash").alias("_l")))
+    apart = G.hamming(F.col("_l"), F.col("hash"))
+    return hashes.crossJoin(q).select("left_id", F.col("id").alias("right_id"), apart.alias("distance")).where(F.col("distance") <= most)  # a stated set against all rows
+
+
 def top_templates(matches: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("left_id").orderBy("distance", "right_id")
     return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -32,24 +32,39 @@ def h45_nearest_of_each(spark, sf_dir):
     return S.nearest_of_each(e, e.where("embedding_id % 100 = 0").select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("vector")))
 
 
-_HASH = "hashes AS (SELECT embedding_id AS id, [x > 0 FOR x IN embedding[1:64]] AS bits FROM embedding)"
+# The signs of embeddings stand in for hashes; every third one occurs again with one or two bits turned.
+_HASH = """hashes AS (SELECT embedding_id AS id, [x > 0 FOR x IN embedding[1:64]] AS bits FROM embedding UNION ALL
+SELECT embedding_id + 1000000, [CASE WHEN i - 1 = embedding_id % 64 OR (embedding_id % 2 = 0 AND i - 1 = (embedding_id + 7) % 64) THEN NOT (x > 0) ELSE x > 0 END FOR x, i IN embedding[1:64]] FROM embedding WHERE embedding_id % 3 = 0)"""
+_APART = "len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2]))::INTEGER"
+#: Bits that a page and a sample may differ in, and the wider distance that is tried when none does.
+STRICT, ADAPTIVE = 5, 12
 
 
 def _hashes(spark, sf_dir):
-    return B.embedding(spark, sf_dir).select(F.col("embedding_id").alias("id"), G.sign_hash(F.col("embedding")).alias("hash"))
+    e = B.embedding(spark, sf_dir).select(F.col("embedding_id").alias("id"), "embedding")
+    turned = lambda x, i: F.when((i == F.col("id") % 64) | ((F.col("id") % 2 == 0) & (i == (F.col("id") + 7) % 64)), -x).otherwise(x)
+    again = e.where("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), F.transform("embedding", turned).alias("embedding"))
+    return e.unionByName(again).select("id", G.sign_hash(F.col("embedding")).alias("hash"))
 
 
-@query(with_sql("embedding", f"""WITH {_HASH} SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2]))::INTEGER AS distance FROM hashes a, hashes b WHERE a.id < b.id) WHERE distance <= 14"""))
+@query(with_sql("embedding", f"""WITH {_HASH} SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, hashes b WHERE a.id < b.id) WHERE distance <= {STRICT}"""))
 def c10_hamming_join(spark, sf_dir):
     h = _hashes(spark, sf_dir)
-    return S.hamming_join(h, h, 14).where("left_id < right_id")
+    return S.hamming_join(h, h, STRICT).where("left_id < right_id")
+
+
+@query(with_sql("embedding", f"""WITH {_HASH} SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, hashes b WHERE a.id < b.id) WHERE distance <= {ADAPTIVE}"""))
+def c10_adaptive_hamming_join(spark, sf_dir):
+    h = _hashes(spark, sf_dir)
+    return S.hamming_join(h, h, ADAPTIVE).where("left_id < right_id")
 
 
 @query(with_sql("embedding", f"""WITH {_HASH} SELECT left_id, right_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id)::INTEGER AS rank FROM (
-SELECT a.id AS left_id, b.id AS right_id, len(list_filter(list_zip(a.bits, b.bits), lambda z: z[1] <> z[2]))::INTEGER AS distance FROM hashes a, hashes b WHERE b.id % 50 = 0) WHERE distance <= 24) WHERE rank <= 5"""))
+SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, hashes b WHERE a.id % 100 = 0) WHERE distance <= 24) WHERE rank <= 5"""))
 def f4_top_templates(spark, sf_dir):
+    """The five nearest of all hashes for every hash whose id is divisible by 100."""
     h = _hashes(spark, sf_dir)
-    return S.top_templates(S.hamming_join(h, h.where("id % 50 = 0"), 24))
+    return S.top_templates(S.hamming_of_each(h, h.where("id % 100 = 0"), 24))
 
 
 @query("SELECT p_partkey, round(0.7 * (p_size / 50.0::DOUBLE) + 0.3 * greatest(1 - (p_partkey % 20) / (2.0 * 6), 0), 6) AS score FROM part")
