@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.operators import analytics as A
+from quire.operators import views as V
 from quire.plans.registry import query
 
 #: 2001-01-01 and 2024-02-01 UTC: just after the stand-ins' last days.
@@ -152,10 +153,33 @@ def m2_payer_breakdown(spark, sf_dir):
 
 @query(with_sql("feedback", """SELECT field_key, count(*) AS total, count(*) FILTER (feedback_type = 'correction') AS corrected, round(1 - count(*) FILTER (feedback_type = 'correction') / count(*), 4) AS accuracy FROM feedback GROUP BY 1"""))
 def m3_field_accuracy(spark, sf_dir):
-    g = B.feedback(spark, sf_dir).groupBy("field_key").agg(F.count("*").alias("total"), F.count_if(F.col("feedback_type") == "correction").alias("corrected"))
-    return g.withColumn("accuracy", F.round(1 - F.col("corrected") / F.col("total"), 4))
+    return V.field_accuracy(B.feedback(spark, sf_dir))
 
 
 @query(with_sql("feedback", "SELECT created_s // 3600 AS hour, count(*) AS n, count(*) FILTER (feedback_type = 'correction') AS corrections FROM feedback GROUP BY 1"))
 def m5_hourly_trend(spark, sf_dir):
-    return B.feedback(spark, sf_dir).groupBy(F.expr("created_s div 3600").alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.col("feedback_type") == "correction").alias("corrections"))
+    return V.hourly_trend(B.feedback(spark, sf_dir))
+
+
+@query(with_sql("job feedback", """SELECT * FROM (SELECT count(*) AS jobs, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (needs_review) AS in_review, round(avg(overall_conf), 4) AS avg_confidence FROM job),
+(SELECT count(*) AS feedback, count(*) FILTER (feedback_type = 'correction') AS corrections, count(DISTINCT field_key) AS fields FROM feedback)"""))
+def m1_summary(spark, sf_dir):
+    return V.summary(B.job(spark, sf_dir), B.feedback(spark, sf_dir))
+
+
+@query(with_sql("feedback", "SELECT field_key, substr(original_value, 1, 3) AS original_value, substr(corrected_value, 1, 3) AS corrected_value, count(*) AS n, max(created_s) AS last_s FROM feedback WHERE feedback_type = 'correction' AND substr(original_value, 1, 3) <> substr(corrected_value, 1, 3) GROUP BY ALL HAVING count(*) >= 2"))
+def m4_mismatches(spark, sf_dir):
+    f = B.feedback(spark, sf_dir).withColumns({c: F.substring(c, 1, 3) for c in ("original_value", "corrected_value")})
+    return V.mismatches(f)
+
+
+@query(with_sql("job candidate", "SELECT job_id, status, created_s, found_in FROM (SELECT job_id, status, created_s, tenant_id FROM job) JOIN (SELECT job_id, string_agg(DISTINCT field_key, ',' ORDER BY field_key) AS found_in FROM candidate WHERE contains(lower(value), 'v3') GROUP BY 1) USING (job_id) WHERE tenant_id = 'MACHINERY' ORDER BY created_s DESC, job_id LIMIT 50"))
+def m6_job_search(spark, sf_dir):
+    found = V.job_search(B.job(spark, sf_dir), B.candidate(spark, sf_dir), "V3", "MACHINERY")
+    return found.select("job_id", "status", "created_s", F.array_join("found_in", ",").alias("found_in"))
+
+
+@query(with_sql("feedback", "SELECT event_id, review_id, field_key FROM feedback WHERE field_key = 'view' AND feedback_type = 'confirmation' ORDER BY created_s DESC, event_id LIMIT 10000"))
+def b18_training_filter(spark, sf_dir):
+    labels = B.feedback(spark, sf_dir).select(F.col("event_id").alias("label_id"), F.lit("all").alias("payer"), "review_id", "field_key", (F.col("feedback_type") == "confirmation").alias("is_verified"), "created_s")
+    return V.training_filter(labels, payer="all", field_key="view").select(F.col("label_id").alias("event_id"), "review_id", "field_key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.operators import corrections as C
+from quire.operators import views as V
 from quire.plans.registry import query
 
 # A job per part; every rule meets parts that it holds for and parts that it does not.
@@ -85,18 +86,17 @@ def i25_roi_suggestion(spark, sf_dir):
 @query("SELECT s_nationkey, count(*) AS templates, n_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL")
 def c5_template_lookup(spark, sf_dir):
     s, n = B.table(spark, sf_dir, "supplier"), B.table(spark, sf_dir, "nation")
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("s_nationkey", "n_name").agg(F.count("*").alias("templates"))
+    return V.with_parent(s, n, "s_nationkey", "n_nationkey").groupBy("s_nationkey", "n_name").agg(F.count("*").alias("templates"))
 
 
 @query("SELECT doc_id, len(list_distinct(list_transform(string_split(lang || ',' || upper(lang) || ',' || source, ','), lambda x: lower(x))))::INTEGER AS aliases FROM documents")
 def g4_alias_union(spark, sf_dir):
-    both = F.split(F.concat_ws(",", "lang", F.upper("lang"), "source"), ",")
-    return B.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.transform(both, F.lower))).alias("aliases"))
+    both = V.alias_union(F.array("lang"), F.array(F.upper("lang"), "source"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.size(both).alias("aliases"))
 
 
 @query(with_sql("ocr_token", "SELECT page_id, line_number, min(word_number) AS first_word, count(*) AS n FROM ocr_token WHERE ends_with(token_text, ':') OR lower(token_text) IN ('the', 'and', 'license') GROUP BY ALL"))
 def h26_label_lines(spark, sf_dir):
-    t = B.ocr_token(spark, sf_dir).where(F.col("token_text").endswith(":") | F.lower("token_text").isin("the", "and", "license"))
-    return t.groupBy("page_id", "line_number").agg(F.min("word_number").alias("first_word"), F.count("*").alias("n"))
+    return V.label_lines(B.ocr_token(spark, sf_dir), ("the", "and", "license"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.functions.text import inline_value, storage_key, strip_label
+from quire.operators import views as V
 from quire.plans.registry import query
 from quire.sources import files as S
 
@@ -47,28 +48,23 @@ def a13_count_and_range(spark, sf_dir):
 
 @query(with_sql("candidate", """SELECT job_id, field_key, value, round(max(confidence), 4) AS confidence, CASE method WHEN 'TEMPLATE_OCR' THEN 'Template' WHEN 'LAYOUTLM' THEN 'LayoutLM' ELSE method END AS source, coalesce(trim(value), '') = '' AS not_present FROM candidate GROUP BY job_id, field_key, value, method"""))
 def b21_client_projection(spark, sf_dir):
-    shown = F.when(F.col("method") == "TEMPLATE_OCR", "Template").when(F.col("method") == "LAYOUTLM", "LayoutLM").otherwise(F.col("method"))
-    g = B.candidate(spark, sf_dir).groupBy("job_id", "field_key", "value", "method").agg(F.round(F.max("confidence"), 4).alias("confidence"))
-    return g.select("job_id", "field_key", "value", "confidence", shown.alias("source"), (F.coalesce(F.trim("value"), F.lit("")) == "").alias("not_present"))
+    return V.client_projection(B.candidate(spark, sf_dir))
 
 
 @query(with_sql("candidate", """SELECT job_id, count(*) AS total, count(*) FILTER (c >= 0.85::DOUBLE) AS high, count(*) FILTER (c < 0.70::DOUBLE) AS low, count(*) FILTER (v = '') AS not_present FROM (
 SELECT job_id, field_key, max(confidence) AS c, max(trim(value)) AS v FROM candidate GROUP BY ALL) GROUP BY 1"""))
 def d19_field_metrics(spark, sf_dir):
-    f = B.candidate(spark, sf_dir).groupBy("job_id", "field_key").agg(F.max("confidence").alias("c"), F.max(F.trim("value")).alias("v"))
-    return f.groupBy("job_id").agg(F.count("*").alias("total"), F.count_if(F.col("c") >= 0.85).alias("high"), F.count_if(F.col("c") < 0.70).alias("low"), F.count_if(F.col("v") == "").alias("not_present"))
+    return V.field_metrics(B.candidate(spark, sf_dir))
 
 
 @query(with_sql("candidate", "SELECT job_id, value, count(DISTINCT field_key) AS fields FROM candidate WHERE method = 'LAYOUTLM' AND value <> '' GROUP BY ALL HAVING count(DISTINCT field_key) >= 3"))
 def d25_date_confusion(spark, sf_dir):
-    c = B.candidate(spark, sf_dir).where("method = 'LAYOUTLM' AND value <> ''")
-    return c.groupBy("job_id", "value").agg(F.countDistinct("field_key").alias("fields")).where("fields >= 3")
+    return V.repeated_values(B.candidate(spark, sf_dir), "LAYOUTLM")
 
 
 @query(with_sql("candidate", "SELECT job_id, field_key, string_agg(DISTINCT value, ' | ' ORDER BY value) AS evidence FROM candidate WHERE value <> '' GROUP BY ALL"))
 def d24_merged_evidence(spark, sf_dir):
-    c = B.candidate(spark, sf_dir).where("value <> ''")
-    return c.groupBy("job_id", "field_key").agg(F.array_join(F.array_sort(F.collect_set("value")), " | ").alias("evidence"))
+    return V.merged_evidence(B.candidate(spark, sf_dir))
 
 
 @query("SELECT p_partkey, trim(regexp_replace('Member ID: ' || p_name, '(?i)^\\s*(?:member id)\\s*[:#|=.\\-]*\\s*', '')) AS stripped, trim(p_brand[7:]) AS inline FROM part")
@@ -79,7 +75,7 @@ def h20_label_strip(spark, sf_dir):
 
 @query(r"SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS codes FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]{4}') AS l FROM documents)")
 def e12_code_dedup(spark, sf_dir):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4}"), F.lit(0)))
+    found = V.distinct_codes(F.col("text"), "[A-Z][a-z]{4}")
     return B.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("codes"))
 
 
@@ -87,25 +83,22 @@ def e12_code_dedup(spark, sf_dir):
 def g6_word_sets(spark, sf_dir):
     name = F.split("p_name", " ")
     known = F.split(F.concat(F.lower("p_type"), F.lit(" red bolt ring")), " ")
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.size(F.filter(name, lambda x: ~F.array_contains(known, x))).alias("outside"), (F.size(F.array_except(name, F.split(F.lit("red blue small large bolt ring"), " "))) == 0).alias("subset"))
+    return B.table(spark, sf_dir, "part").select("p_partkey", F.size(V.outside(name, known)).alias("outside"), V.is_subset(name, F.split(F.lit("red blue small large bolt ring"), " ")).alias("subset"))
 
 
 @query("SELECT p_partkey, p_size > 25 AS landscape, round(p_size / 25.0::DOUBLE, 4) AS aspect, p_retailprice < 950 AS low_quality FROM part")
 def b23_page_predicates(spark, sf_dir):
     p = B.table(spark, sf_dir, "part")
-    return p.select("p_partkey", (F.col("p_size") > 25).alias("landscape"), F.round(F.coalesce(F.try_divide(F.col("p_size").cast("double"), F.lit(25.0)), F.lit(0.0)), 4).alias("aspect"), F.coalesce(F.col("p_retailprice") < 950, F.lit(False)).alias("low_quality"))
+    return p.withColumns(V.page_predicates(F.col("p_size"), F.lit(25), F.col("p_retailprice"), 950)).select("p_partkey", "landscape", "aspect", "low_quality")
 
 
 @query("SELECT r_name, n_name, s_name, count(*) OVER (PARTITION BY n_name) AS samples FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey")
 def c6_template_tree(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    n = B.table(spark, sf_dir, "nation").join(F.broadcast(B.table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # five rows
-    t = n.join(B.table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return t.select("r_name", "n_name", "s_name", F.count("*").over(Window.partitionBy("n_name")).alias("samples"))
+    roots, leaves = F.broadcast(B.table(spark, sf_dir, "region")), B.table(spark, sf_dir, "supplier")  # five regions
+    t = V.tree(roots, B.table(spark, sf_dir, "nation"), leaves, ("n_regionkey", "r_regionkey"), ("n_nationkey", "s_nationkey"), "n_name")
+    return t.select("r_name", "n_name", "s_name", "samples")
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS items, coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber), '') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def c8_job_tokens(spark, sf_dir):
-    j = B.table(spark, sf_dir, "orders").select("o_orderkey").join(B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("items"), F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",").alias("lines"))
+    return V.items_of_each(B.table(spark, sf_dir, "orders").select("o_orderkey"), B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "o_orderkey", "l_orderkey", "l_linenumber")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import bindings as B
 from quire.bindings import with_sql
-from quire.operators import state as S
+from quire.operators import state as S, views as V
 from quire.plans.registry import query
 
 _EV = """ev AS (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'NEEDS_REVIEW' END AS status, created_s AS t, event_id AS seq FROM (SELECT *, floor(epoch(ts))::BIGINT AS created_s FROM events))"""
@@ -110,45 +110,39 @@ def _few(df):
 
 @query(with_sql("job", f"SELECT {_JOB} FROM job WHERE tenant_id = 'MACHINERY' AND status = 'COMPLETED' ORDER BY created_s DESC, job_id LIMIT 100 OFFSET 50"))
 def b1_jobs_page(spark, sf_dir):
-    j = _jobs(spark, sf_dir).where("tenant_id = 'MACHINERY' AND status = 'COMPLETED'")
-    return _few(j.orderBy(F.col("created_s").desc(), "job_id").offset(50).limit(100))
+    return _few(V.jobs_page(_jobs(spark, sf_dir), "MACHINERY", "COMPLETED", 50, 100))
 
 
 @query(with_sql("job", "SELECT sha256, tenant_id, min(job_id) AS first_job, count(*) AS n FROM job GROUP BY ALL HAVING count(*) > 1"))
 def b2_duplicate_uploads(spark, sf_dir):
-    g = _jobs(spark, sf_dir).groupBy("sha256", "tenant_id").agg(F.min("job_id").alias("first_job"), F.count("*").alias("n"))
-    return g.where("n > 1")
+    return V.duplicate_uploads(_jobs(spark, sf_dir))
 
 
 @query(with_sql("job", f"SELECT {_JOB} FROM job WHERE status = 'FAILED' ORDER BY created_s, job_id LIMIT 50"))
 def b3_oldest_failed(spark, sf_dir):
-    return _few(_jobs(spark, sf_dir).where("status = 'FAILED'").orderBy("created_s", "job_id").limit(50))
+    return _few(V.oldest(_jobs(spark, sf_dir), "FAILED"))
 
 
 @query(with_sql("job", f"SELECT {_JOB} FROM job WHERE needs_review AND tenant_id = 'BUILDING'"))
 def b4_needing_review(spark, sf_dir):
-    return _few(_jobs(spark, sf_dir).where("needs_review AND tenant_id = 'BUILDING'").orderBy("created_s", "job_id"))
+    return _few(V.needing_review(_jobs(spark, sf_dir), "BUILDING"))
 
 
 @query(with_sql("job", f"SELECT {_JOB} FROM job WHERE template_id = 7"))
 def b5_jobs_of_template(spark, sf_dir):
-    return _few(_jobs(spark, sf_dir).where("template_id = 7").orderBy(F.col("created_s").desc(), "job_id"))
+    return _few(V.jobs_of_template(_jobs(spark, sf_dir), 7))
 
 
 @query(with_sql("page", "SELECT job_id, page_number FROM page WHERE NOT is_cover"))
 def b6_content_pages(spark, sf_dir):
-    return B.page(spark, sf_dir).where("NOT is_cover").select("job_id", "page_number").orderBy("job_id", "page_number")
+    return V.content_pages(B.page(spark, sf_dir)).select("job_id", "page_number")
 
 
 @query(with_sql("page", "SELECT job_id, min(page_number) AS first_page, min(page_number) FILTER (NOT is_cover) AS label_page, count(*) AS pages FROM page GROUP BY 1"))
 def j8_label_pages(spark, sf_dir):
-    return B.page(spark, sf_dir).groupBy("job_id").agg(F.min("page_number").alias("first_page"), F.min(F.when(~F.col("is_cover"), F.col("page_number"))).alias("label_page"), F.count("*").alias("pages"))
+    return V.label_pages(B.page(spark, sf_dir))
 
 
 @query(with_sql("candidate", "SELECT job_id, field_key, ord, confidence, place FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY field_key, ord)::INTEGER AS place FROM candidate WHERE confidence < 0.75::DOUBLE) WHERE place <= 8"))
 def f7_model_worklist(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    c = B.candidate(spark, sf_dir).where(F.col("confidence") < 0.75)
-    w = Window.partitionBy("job_id").orderBy("field_key", "ord")
-    return c.withColumn("place", F.row_number().over(w)).where("place <= 8").select("job_id", "field_key", "ord", "confidence", "place")
+    return V.model_worklist(B.candidate(spark, sf_dir)).select("job_id", "field_key", "ord", "confidence", "place")
