@@ -1,17 +1,21 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
+"""Substring dedup: every window of words that starts elsewhere too, found through an index of phrases.
 
 A window is ``WINDOW`` consecutive words; every word that a window covers whose words also start anywhere else, in the
-same document or another, is a duplicate. Each document is parsed against reference blocks that hold the phrases of
-all documents:
+same document or another, is a duplicate.
+
+The method dealt out was relative Lempel-Ziv parsing of each document against every block of reference text. That meets
+every text with every block, so its work grows with the square of the corpus; the README has the figures. It is replaced
+here: the reference is not cut into blocks of text but into phrases between anchors that the words themselves choose, so
+that a document meets only the entries that can match. What is left of the method is that runs of known phrases are
+longest factors of a document, and that their ends are checked window by window.
 
 1. Phrases. The least hash among the ``ANCHOR``-word runs of a window is its anchor. Consecutive windows with one anchor
    form a phrase. Equal windows choose equal anchors, so a window can occur elsewhere only in a phrase with an equal
    anchor, and no window is missed.
-2. Reference blocks. The phrases are indexed by anchor, dealt out over blocks by its hash; each block counts its
-   phrases before anything moves, so a passage that a third of the documents have is a handful of rows a task.
-3. Factors. A document looks all its phrases up; runs of phrases that the index has twice or more are its factors,
-   which the greedy parse extends as far as phrases go on matching. Every word of a factor is a duplicate.
-4. Factor boundaries. Where an anchor is shared but the phrases around it differ, a factor ends inside a phrase. One
+2. Index. The phrases are counted by anchor, partly before anything moves; phrases of anchors that occur once are done.
+   The join back to the phrases has a table on either side, so that Spark can split the rows of a hot anchor.
+3. Factors. Phrases that the index has twice or more are duplicates as a whole, and so is every run of them.
+4. Ends of factors. Where an anchor is shared but the phrases around it differ, a factor ends inside a phrase. One
    occurrence of each such phrase gives its single windows, which are counted by 128-bit hashes; those that occur
    elsewhere make the factor reach up to the last word that is shared.
 
