@@ -52,6 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most bytes that a broadcast may hold in memory; a driver and executors with a gigabyte of heap have room for it.
+BROADCAST_BYTES = 128 << 20
 #: Bytes that a broadcast holds of a row beside its columns, and of a column that is neither array nor string.
 ROW_BYTES, COLUMN_BYTES = 32, 8
 
@@ -71,9 +73,9 @@ def held_bytes(df: DataFrame) -> int:
     return rows * fixed + (more or 0)
 
 
-def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
+def sized_broadcast(df: DataFrame, most: int | None = None) -> DataFrame:
     """A stored table, to be broadcast if it holds at most ``most`` bytes in memory and left to a shuffle otherwise."""
-    return F.broadcast(df) if held_bytes(df) <= most else df.hint("shuffle_merge")
+    return F.broadcast(df) if held_bytes(df) <= (BROADCAST_BYTES if most is None else most) else df.hint("shuffle_merge")
 
 
 #: Rows of an Arrow batch of whole texts: with the usual 10,000 a batch would take hundreds of MB of a worker.

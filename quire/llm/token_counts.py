@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.native import words_of
-from quire.llm.storage import stored, text_batches
+from quire.llm.storage import sized_broadcast, stored, text_batches
 
 GROUP = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -168,10 +168,11 @@ def digest(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFr
     least = first.groupBy("_sha").agg(F.min("doc_id").alias("_least"))
     copies = first.join(least.where("_sha IS NOT NULL").withColumnRenamed("_sha", "_s"), F.col("_sha") == F.col("_s")).where(F.col("doc_id") > F.col("_least"))
     roll.commit("delete-copies", signed(copies, -1))
-    old = docs.where(F.regexp_replace("text", r" {2,}", " ") != F.col("text"))
-    gone = copies.select(F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gs")).distinct()
-    keep = lambda x: x.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_sha") == F.col("_gs")), "left_anti").drop("_sha")
-    old = old.withColumn("_sha", F.sha2("text", 256))
-    roll.commit("collapse-blanks", signed(counted(keep(old), vocabulary), -1).unionByName(signed(counted(keep(revised(old)), vocabulary), 1)))
+    gone = stored(copies.select(F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gs")).distinct(), "deleted")
+    # Texts are counted where they lie; what meets the deleted rows are their counts.
+    keep = lambda x: x.join(sized_broadcast(gone), (F.col("doc_id") == F.col("_gone")) & (F.col("_sha") == F.col("_gs")), "left_anti")
+    changed = docs.where(F.regexp_replace("text", r" {2,}", " ") != F.col("text")).withColumn("_sha", F.sha2("text", 256))
+    old, new = (stored(counted(x, vocabulary), "revised-counts") for x in (changed, revised(changed)))
+    roll.commit("collapse-blanks", signed(keep(old), -1).unionByName(signed(keep(new), 1)))
     roll.commit("delete-copies", signed(copies, -1))
     return roll.totals()
