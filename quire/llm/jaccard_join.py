@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 
 from quire.llm import words as W
 from quire.llm.components import components, contracted
-from quire.llm.storage import sized_broadcast, stored, text_batches
+from quire.llm.storage import BROADCAST_BYTES, sized_broadcast, stored, text_batches
 from quire.llm.substring_dedup import checksum
 
 SHINGLE = 5
@@ -53,7 +53,6 @@ GROUP = 256
 BAND = 1.8
 #: Shingles of a block; a block of long texts has fewer sets.
 LOAD = 1 << 20
-BROADCAST_BYTES = 48 << 20
 #: Signatures a task packs before it sends them to the buckets, and counts or edges it holds before it adds them up.
 PACK = 1 << 20
 _DOC, _BLOB, _LOCAL, _COUNT, _EDGE = range(5)

@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.native import words_of
-from quire.llm.storage import cut, sized_broadcast, stored
+from quire.llm.storage import BROADCAST_BYTES, cut, sized_broadcast, stored
 
 #: Hex digits of the order hash that name a cell: at most 16^4 cells a leaf.
 CELL_DIGITS = 4
-BROADCAST_BYTES = 48 << 20
 
 
 @dataclass(frozen=True)

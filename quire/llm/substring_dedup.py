@@ -40,11 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words as W
-from quire.llm.storage import sized_broadcast, stored, text_batches
+from quire.llm.storage import BROADCAST_BYTES, sized_broadcast, stored, text_batches
 
 WINDOW = 35
 ANCHOR = 8
-BROADCAST_BYTES = 48 << 20
 _BITS = 6  # of a packed span: first window << _BITS | number of windows
 PHRASE = "a long, c long, doc_id long, sum int, p long"
 WINDOWS = "w1 long, w2 long, doc_id long, sum int, p long, weight int"

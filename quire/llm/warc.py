@@ -23,10 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.storage import fresh_dir, sized_broadcast, stored, text_batches
+from quire.llm.storage import BROADCAST_BYTES, fresh_dir, sized_broadcast, stored, text_batches
 
 MIN_DEDUP = 100
-BROADCAST_BYTES = 48 << 20
 GAP = 64 << 10
 MOST = 8 << 20
 #: Archive bytes a task reads, by the index: their number sets the number of tasks, as the index itself is small.
