@@ -32,6 +32,16 @@ def _stream(df: DataFrame, folder: str, closing: DataFrame | None = None) -> Dat
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
+def _in_pieces(df: DataFrame, folder: str, at: str, pieces: int = 4) -> DataFrame:
+    """``df`` as a stream of files in the order of ``at``, one a micro-batch, so that state passes from batch to batch."""
+    ends = [*df.approxQuantile(at, [i / pieces for i in range(1, pieces)], 0.01), float("inf")]
+    start = float("-inf")
+    for end in ends:
+        df.where((F.col(at) > start) & (F.col(at) <= end)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        start = end
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
 def _feedback(spark, sf_dir):
     return B.feedback(spark, sf_dir).select("job_id", "review_id", "field_key", "feedback_type", "created_at")
 
@@ -74,13 +84,13 @@ def k5_claim_stream(spark, sf_dir):
     folder = _folder(spark)
     e = B.table(spark, sf_dir, "events")
     a = e.select((F.col("event_id") % 40).alias("review_id"), (F.col("user_id") % 7).cast("long").alias("user_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
-    out = J.run_available(J.claims(_stream(a, folder)), f"{folder}/out", f"{folder}/state")
+    out = J.run_available(J.claims(_in_pieces(a, folder, "at")), f"{folder}/out", f"{folder}/state", timers=True)
     return out.groupBy("review_id", "user_id").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("refused"))
 
 
 _BUCKET = """WITH RECURSIVE e AS (SELECT (user_id % 20)::BIGINT AS client, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY floor(epoch(ts))::BIGINT, event_id) AS i FROM events),
 walk AS (SELECT *, 3.0::DOUBLE - 1.0::DOUBLE AS tokens, true AS passed FROM e WHERE i = 1
-UNION ALL SELECT a.client, a.t, a.i, have - (have >= 1)::INTEGER, have >= 1 FROM (SELECT e.*, least(3.0::DOUBLE, tokens + (e.t - walk.t) * 0.03::DOUBLE / 60.0::DOUBLE) AS have FROM walk JOIN e ON e.client = walk.client AND e.i = walk.i + 1) a)"""
+UNION ALL SELECT a.client, a.t, a.i, have - (have >= 1)::INTEGER, have >= 1 FROM (SELECT e.*, CASE WHEN e.t - walk.t > 6000 THEN 3.0::DOUBLE ELSE least(3.0::DOUBLE, tokens + (e.t - walk.t) * 0.03::DOUBLE / 60.0::DOUBLE) END AS have FROM walk JOIN e ON e.client = walk.client AND e.i = walk.i + 1) a)"""
 
 
 @query(f"{_BUCKET} SELECT client, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS refused FROM walk GROUP BY 1")
@@ -88,5 +98,5 @@ def k6_rate_limit_stream(spark, sf_dir):
     folder = _folder(spark)
     e = B.table(spark, sf_dir, "events")
     r = e.select((F.col("user_id") % 20).cast("long").alias("client"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"))
-    out = J.run_available(J.limited(_stream(r, folder), per_minute=0.03, burst=3), f"{folder}/out", f"{folder}/state")
+    out = J.run_available(J.limited(_in_pieces(r, folder, "at"), per_minute=0.03, burst=3, evict=6000), f"{folder}/out", f"{folder}/state", timers=True)
     return out.groupBy("client").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("refused"))

@@ -31,9 +31,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def claims(attempts: DataFrame, expiry: int = 1800) -> DataFrame:
-    """Claim attempts (review_id, user_id, at in seconds) as a stream of grants and refusals; the state is who holds a review since when."""
+    """Claim attempts (review_id, user_id, at in seconds) as a stream of grants and refusals; the state is who holds a review since when.
+
+    A claim that nobody renews is dropped by a timer, so that state is kept of open claims only.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         holder, since = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         granted = []
@@ -43,28 +49,37 @@ def claims(attempts: DataFrame, expiry: int = 1800) -> DataFrame:
             if ok:
                 holder, since = int(user), int(at)
         state.update((holder, since))
+        state.setTimeoutDuration((expiry + 1) * 1000)
         yield pd.DataFrame({"review_id": key[0], "user_id": rows["user_id"], "at": rows["at"], "seq": rows["seq"], "granted": granted})
 
     out = "review_id long, user_id long, at long, seq long, granted boolean"
-    return attempts.groupBy("review_id").applyInPandasWithState(step, out, "holder long, since long", "append", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("review_id").applyInPandasWithState(step, out, "holder long, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+def limited(requests: DataFrame, per_minute: float = 60, burst: int = 10, evict: int = 300) -> DataFrame:
+    """Requests (client, at in seconds, seq) with whether a token bucket lets them pass.
 
-def limited(requests: DataFrame, per_minute: int = 60, burst: int = 10) -> DataFrame:
-    """Requests (client, at in seconds, seq) with whether a token bucket lets them pass."""
+    The bucket of a client that is silent for more than ``evict`` seconds is forgotten, and the client's next one is full.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (float(burst), None)
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         passed = []
         for at in rows["at"]:
-            tokens = min(float(burst), tokens + (0 if last is None else at - last) * per_minute / 60.0)
+            silent = 0 if last is None else at - last
+            tokens = float(burst) if silent > evict else min(float(burst), tokens + silent * per_minute / 60.0)
             last = float(at)
             passed.append(tokens >= 1.0)
             tokens -= passed[-1]
         state.update((tokens, last))
+        state.setTimeoutDuration((evict + 1) * 1000)
         yield pd.DataFrame({"client": key[0], "at": rows["at"], "seq": rows["seq"], "passed": passed})
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client long, at long, seq long, passed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("client").applyInPandasWithState(step, "client long, at long, seq long, passed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def idempotent_sink(path: str, key: str = "batch_id"):
@@ -76,8 +91,18 @@ def idempotent_sink(path: str, key: str = "batch_id"):
     return write
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(idempotent_sink(path)).start()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", timers: bool = False) -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote.
+
+    ``timers`` says that it has timers by the clock, which would ask for batches without data without end: those are off then.
+    """
+    spark, key = df.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(idempotent_sink(path))
+    try:
+        spark.conf.set(key, str(not timers).lower())
+        q = writer.start()
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(path).drop("batch_id")
+    return spark.read.schema(df.schema).parquet(path).drop("batch_id")
