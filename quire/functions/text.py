@@ -76,15 +76,6 @@ def comparison_key(value: Column, kind: Column, payer: Column) -> Column:
     return F.regexp_replace(F.lower(canonicalize(value, kind, payer)), "[^a-z0-9]", "")
 
 
-def apply_rules(value: Column, trim: bool = True, case: str | None = None, spaces: bool = False, dashes: bool = False, special: bool = False) -> Column:
-    """A payer's canonicalization flags, in order: trim, case, and what is taken out."""
-    out = strip(value) if trim else value
-    out = F.upper(out) if case == "upper" else F.lower(out) if case == "lower" else out
-    for on, pattern in ((spaces, r"\s+"), (dashes, "-"), (special, r"[^A-Za-z0-9\s]")):
-        out = F.regexp_replace(out, pattern, "") if on else out
-    return out
-
-
 def field_kind(key: Column) -> Column:
     k = F.lower(key)
     has = lambda *words: F.lit(False) if not words else _any(k, words)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,22 +39,6 @@ def errors(key: Column, value: Column, as_of: Column, required=DEFAULT_REQUIRED)
     return F.array_compact(F.array(F.when(is_blank_trim(value), missing).otherwise(bad)))
 
 
-def rule_errors(value: Column, rule: Mapping, other: Column | None = None, as_of: Column | None = None) -> Column:
-    """Errors of one payer rule: pattern (from the start), min_length, max_length, not_future, after_effective."""
-    found = []
-    if rule.get("pattern"):
-        found.append(F.when(~value.rlike("^(?:" + rule["pattern"] + ")"), "PATTERN"))
-    if rule.get("min_length"):
-        found.append(F.when(F.length(value) < rule["min_length"], "TOO_SHORT"))
-    if rule.get("max_length"):
-        found.append(F.when(F.length(value) > rule["max_length"], "TOO_LONG"))
-    if rule.get("not_future") and as_of is not None:
-        found.append(F.when(parsed(value) > as_of, "IN_FUTURE"))
-    if rule.get("after_effective") and other is not None:
-        found.append(F.when(parsed(value) <= parsed(other), "NOT_AFTER_EFFECTIVE"))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-
-
 def date_order(effective: Column, expiration: Column) -> Column:
     a, b = parsed(F.trim(effective)), parsed(F.trim(expiration))
     return F.when(b < a, "ERROR").when(b == a, "WARNING").otherwise("")

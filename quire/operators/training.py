@@ -66,3 +66,46 @@ def questions(labels: DataFrame, asked: Mapping[str, Sequence[str]]) -> DataFram
     """A row for each label and each way to ask for its field."""
     table = labels.sparkSession.createDataFrame([(k, q) for k, qs in sorted(asked.items()) for q in qs], "field_key string, question string")
     return labels.join(table, "field_key")
+
+
+# The states of jobs, the methods and the marks of file names that the training set goes by.
+TRAINING_STATES = ("COMPLETED", "NEEDS_REVIEW", "REVIEW_REQUIRED")
+TRAINING_METHODS = ("TEMPLATE_OCR", "OCR_LABEL", "LAYOUTLM", "HUMAN_REVIEW")
+TEMPLATE_FILES = ("humana", "anthem", "molina", "caresource", "buckeye", "amerihealth", "paramount", "promedica")
+
+
+def best_pages(pages: DataFrame, target: int = 1) -> DataFrame:
+    """Per job the page to learn from: no cover if there is another page, the target page if it is there, else the first.
+
+    ``pages``: job_id, page_id, page_number, is_cover, raw_key, preprocessed_key; the result has ``page_key``, the
+    preprocessed image's if there is one. Of equal page numbers the smallest page_id is taken.
+    """
+    rank = F.struct(F.coalesce("is_cover", F.lit(False)).alias("cover"), (F.col("page_number") != target).alias("other"), "page_number", "page_id")
+    key = F.coalesce(F.nullif("preprocessed_key", F.lit("")), F.nullif("raw_key", F.lit("")))
+    one = pages.withColumn("_key", key).groupBy("job_id").agg(F.min_by(F.struct("page_id", "page_number", F.col("_key").alias("page_key")), rank).alias("p"))
+    return one.select("job_id", "p.*")
+
+
+def is_template_file(name: Column, marks: Sequence[str] = TEMPLATE_FILES) -> Column:
+    return F.coalesce(F.lower(name).rlike("|".join(marks)), F.lit(False))
+
+
+def training_labels(jobs: DataFrame, fields: DataFrame, pages: DataFrame, existing: DataFrame, keys: Sequence[str], least: float, source: str = "all") -> DataFrame:
+    """The labels to add to the training set (J11): one for each field fit to learn from and not labelled yet.
+
+    ``jobs``: job_id, filename, payer, doc_type, status; those in a final state with a known payer count. ``fields``: job_id,
+    field_key, value, confidence, method, one row for each key of a job. ``existing``: job_id, field_key. ``source`` is
+    all, templates or batch3 (what is no template's file). Jobs without a page, and pages without an image, give nothing.
+    """
+    template = is_template_file(F.col("filename"))
+    j = jobs.where(F.col("status").isin(*TRAINING_STATES) & ~F.col("payer").isin("UNKNOWN", "")).withColumn("_template", template)
+    j = j.where(F.col("_template") == (source == "templates")) if source != "all" else j
+    value, sure = F.trim(F.coalesce("value", F.lit(""))), F.coalesce("confidence", F.lit(0.0))
+    method = F.upper(F.coalesce("method", F.lit("")))
+    good = F.col("field_key").isin(*keys) & ~F.lower(value).isin(*PLACEHOLDERS) & (sure >= least) & (method.isin("", *TRAINING_METHODS) | (sure >= 0.80))
+    f = fields.where(good).select("job_id", "field_key", value.alias("value"))
+    f = f.join(existing.select("job_id", "field_key").distinct(), ["job_id", "field_key"], "left_anti")
+    page = best_pages(pages).where("page_key IS NOT NULL").drop("page_number")
+    made = f.join(j.select("job_id", F.upper("payer").alias("payer"), F.upper("doc_type").alias("doc_type"), "_template"), "job_id").join(page, "job_id")
+    origin = F.when(F.col("_template"), "synthetic_template").otherwise("batch3_extraction")
+    return made.select("job_id", "page_id", "field_key", "value", "page_key", "payer", "doc_type", origin.alias("source"))

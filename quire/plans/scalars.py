@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire import bindings as B
 from quire.bindings import with_sql
-from quire.functions import dates, geometry as G, text as T, validators as V
+from quire.functions import dates, geometry as G, payer_rules as P, text as T, validators as V
 from quire.plans.registry import query
 
 _MONTHS = ("January", "Feb", "Mar", "April", "May", "June", "July", "Aug", "September", "Oct", "Nov", "December")
@@ -84,6 +84,13 @@ def h13_npi_luhn(spark, sf_dir):
 
 
 _KEYS = {"date": "service_date", "phone": "provider_phone", "ssn": "member_ssn", "member_id": "member_id", "npi": "provider_npi", "text": "note"}
+def _keyed(spark, sf_dir):
+    key = F.lit(None).cast("string")
+    for kind, name in _KEYS.items():
+        key = F.when(F.col("kind") == kind, name).otherwise(key)
+    return _raw(spark, sf_dir).withColumn("field_key", key)
+
+
 _KEY_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KEYS.items()) + " END"
 
 
@@ -93,14 +100,44 @@ SELECT k, {_KEY_SQL} AS field_key, CASE kind WHEN 'date' THEN CASE WHEN coalesce
   WHEN 'ssn' THEN CASE WHEN length(digits) = 9 AND digits[1:3] <> '000' AND digits[4:5] <> '00' AND digits[6:9] <> '0000' THEN '' ELSE 'INVALID_SSN' END
   WHEN 'npi' THEN CASE WHEN {_LUHN} THEN '' ELSE 'INVALID_NPI' END ELSE '' END AS errors FROM t""")
 def h16_field_errors(spark, sf_dir):
-    raw = _raw(spark, sf_dir)
-    key = F.lit(None).cast("string")
-    for kind, name in _KEYS.items():
-        key = F.when(F.col("kind") == kind, name).otherwise(key)
-    raw = raw.withColumn("field_key", key)
+    raw = _keyed(spark, sf_dir)
     return raw.select("k", "field_key", F.array_join(V.errors(F.col("field_key"), F.col("value"), F.lit("2024-06-30").cast("date")), ",").alias("errors"))
 
 
+#: Rules of two payers, with every flag; the third has none.
+_RULES = {
+    "ANTHEM": {
+        "field_validations": {"member_id": {"regex": "^[A-Z0-9]{8,14}$", "min_length": 8, "max_length": 14}, "service_date": {"format": "MM/DD/YYYY", "validate_not_future": True, "validate_after_effective": True}},
+        "canonicalization": {"member_id": {"uppercase": True, "remove_spaces": True, "remove_dashes": True}, "dates": {"standard_format": "YYYY-MM-DD", "accept_formats": ["MM/DD/YYYY", "MM-DD-YYYY", "YYYY-MM-DD", "MM/DD/YY"]}},
+    },
+    "MOLINA": {
+        "field_validations": {"provider_npi": {"regex": "[1-5]"}, "note": {"min_length": 18, "max_length": 19}},
+        "canonicalization": {"note": {"trim": False, "lowercase": True, "remove_special": True}, "member_id": {"trim": True, "lowercase": True}},
+    },
+}
+_AT = r"CASE WHEN regexp_full_match(value, '\d{1,2}/\d{1,2}/\d{4}') THEN try_strptime(value, '%m/%d/%Y') END"
+
+
+@query(rf"""WITH {_RAW_SQL}, t AS (SELECT *, {_KEY_SQL} AS field_key, {_AT} AS day FROM raw)
+SELECT k, field_key, CASE WHEN payer = 'ANTHEM' AND kind = 'member_id' THEN concat_ws(',', CASE WHEN NOT regexp_full_match(value, '[A-Z0-9]{{8,14}}') THEN 'PATTERN' END, CASE WHEN length(value) < 8 THEN 'TOO_SHORT' END, CASE WHEN length(value) > 14 THEN 'TOO_LONG' END)
+  WHEN payer = 'ANTHEM' AND kind = 'date' THEN concat_ws(',', CASE WHEN day > DATE '2010-06-30' THEN 'IN_FUTURE' END, CASE WHEN day <= DATE '1980-01-31' THEN 'NOT_AFTER_EFFECTIVE' END)
+  WHEN payer = 'MOLINA' AND kind = 'npi' AND value[1] NOT BETWEEN '1' AND '5' THEN 'PATTERN' WHEN payer = 'MOLINA' AND kind = 'text' AND length(value) < 18 THEN 'TOO_SHORT' WHEN payer = 'MOLINA' AND kind = 'text' AND length(value) > 19 THEN 'TOO_LONG' ELSE '' END AS errors FROM t""")
+def h15_rule_errors(spark, sf_dir):
+    raw = _keyed(spark, sf_dir)
+    found = P.rule_errors(F.col("payer"), F.col("field_key"), F.col("value"), F.lit("1/31/1980"), F.lit("2010-06-30").cast("date"), _RULES)
+    return raw.select("k", "field_key", F.array_join(found, ",").alias("errors"))
+
+
+@query(rf"""WITH {_RAW_SQL}, t AS (SELECT *, {_KEY_SQL} AS field_key, trim(value) AS v FROM raw) SELECT k, field_key,
+CASE WHEN payer = 'ANTHEM' AND kind = 'member_id' THEN upper(replace(replace(v, ' ', ''), '-', '')) WHEN payer = 'ANTHEM' AND kind = 'date' THEN coalesce(strftime(coalesce(
+    CASE WHEN regexp_full_match(v, '\d{{1,2}}/\d{{1,2}}/\d{{4}}') THEN try_strptime(v, '%m/%d/%Y') END, CASE WHEN regexp_full_match(v, '\d{{1,2}}-\d{{1,2}}-\d{{4}}') THEN try_strptime(v, '%m-%d-%Y') END,
+    CASE WHEN regexp_full_match(v, '\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN try_strptime(v, '%Y-%m-%d') END), '%Y-%m-%d'), v)
+  WHEN payer = 'MOLINA' AND kind = 'text' THEN regexp_replace(lower(value), '[^a-z0-9]', '', 'g') WHEN payer = 'MOLINA' AND kind = 'member_id' THEN lower(v) ELSE v END AS canonical FROM t""")
+def h9_rule_canonical(spark, sf_dir):
+    raw = _keyed(spark, sf_dir)
+    return raw.select("k", "field_key", P.rule_canonical(F.col("payer"), F.col("field_key"), F.col("value"), _RULES).alias("canonical"))
+
+
 _PAIRS = "SELECT k, a.value AS one, b.value AS two FROM raw a JOIN raw b ON b.k = a.k + 6 WHERE a.kind = 'date' AND b.kind = 'date'"
 
 

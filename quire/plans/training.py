@@ -73,6 +73,28 @@ def j11_training_set(spark, sf_dir):
     return T.trainable(B.candidate(spark, sf_dir), _KEYS).join(jobs, "job_id").groupBy("payer", "field_key").agg(F.count("*").alias("n"))
 
 
+_J11_PAGES = """pages AS (SELECT l_orderkey AS job_id, min(l_linenumber) AS page_number, bool_or(l_returnflag = 'A') AS is_cover FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+@query(with_sql("job candidate", f"""WITH {_J11_PAGES}, best AS (SELECT job_id, page_number, CASE WHEN page_number % 3 > 0 THEN 'pre/' ELSE 'raw/' END || job_id || '/' || page_number AS page_key FROM pages WHERE page_number % 5 <> 0 OR page_number % 3 > 0), one AS (SELECT job_id, arg_min(page_number, (is_cover::INTEGER, (page_number <> 1)::INTEGER, page_number)) AS page_number FROM pages GROUP BY 1),
+field AS (SELECT job_id, field_key, arg_min(trim(value), ord) AS value, arg_min(confidence, ord) AS confidence, arg_min(method, ord) AS method FROM candidate GROUP BY ALL),
+seen AS (SELECT DISTINCT job_id, field_key FROM candidate WHERE job_id % 11 = 0 AND NOT validation_passed)
+SELECT job_id, page_number AS page_id, field_key, value, page_key, upper(payer) AS payer, doc_type, CASE WHEN template_id % 5 = 0 THEN 'synthetic_template' ELSE 'batch3_extraction' END AS source
+FROM field JOIN job USING (job_id) JOIN one USING (job_id) JOIN best USING (job_id, page_number)
+WHERE status IN ('COMPLETED', 'NEEDS_REVIEW') AND field_key IN ('member_id', 'decision', 'patient_name') AND value <> '' AND confidence >= 0.30::DOUBLE
+  AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.job_id = field.job_id AND seen.field_key = field.field_key)"""))
+def j11_training_labels(spark, sf_dir):
+    c = B.candidate(spark, sf_dir)
+    fields = c.groupBy("job_id", "field_key").agg(*(F.min_by(x, "ord").alias(x) for x in ("value", "confidence", "method")))
+    jobs = B.job(spark, sf_dir).withColumn("filename", F.when(F.col("template_id") % 5 == 0, "Old-HUMANA.pdf").otherwise("scan.pdf"))
+    p = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("page_number")).agg(F.bool_or(F.col("l_returnflag") == "A").alias("is_cover"))
+    key = lambda kind: F.concat(F.lit(kind), "job_id", F.lit("/"), "page_number")
+    n = F.col("page_number")
+    pages = p.withColumns({"page_id": n, "preprocessed_key": F.when(n % 3 > 0, key("pre/")), "raw_key": F.when(n % 5 != 0, key("raw/")).otherwise("")})
+    existing = c.where("job_id % 11 = 0 AND NOT validation_passed")
+    return T.training_labels(jobs, fields, pages, existing, _KEYS, 0.30)
+
+
 @query("SELECT 'q' || quality || 't' || toxic AS label, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
 def b18_label_counts(spark, sf_dir):
     m = B.table(spark, sf_dir, "labels").join(B.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
