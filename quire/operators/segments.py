@@ -1,14 +1,17 @@
-"""Composite documents: boundaries, segments and their payers (E3, E4, D18, I21, N4). Pages: job_id, page_number, payer, payer_confidence, is_cover, word_count."""
+"""Composite documents: boundaries, segments and their payers (E3, E4, D18, I21, N4), and all of it from page texts (I24). Pages: job_id, page_number, payer, payer_confidence, is_cover, word_count."""
 
 from __future__ import annotations
 
-
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import classify
+from quire.rules import PAYER_SIGNATURES
+
 SPARSE = 20
 BOUNDARIES = "job_id long, page_number long, reason string"
 
@@ -104,3 +107,24 @@ def content_pages(segments: DataFrame) -> DataFrame:
     return segments.withColumn("_drop", first & F.col("is_cover") & (F.count("*").over(w) > 1)).where("NOT _drop").drop("_drop")
 
 
+def described(texts: DataFrame, cover_keywords: Sequence[str], signatures: Mapping = PAYER_SIGNATURES) -> DataFrame:
+    """Pages as ``boundaries`` takes them, from job_id, page_number, text and known_cover. A null text names nothing and has no words."""
+    text = F.coalesce("text", F.lit(""))
+    payer, sure = classify.page_payer(text, signatures)
+    cover = F.coalesce("known_cover", F.lit(False)) | classify.is_cover(text, cover_keywords)
+    words = F.size(F.array_remove(F.split(text, r"(?U)\s+", -1), ""))
+    return texts.select("job_id", "page_number", payer.alias("payer"), sure.alias("payer_confidence"), cover.alias("is_cover"), words.alias("word_count"))
+
+
+def detected(texts: DataFrame, cover_keywords: Sequence[str], signatures: Mapping = PAYER_SIGNATURES, least: int = 1, threshold: float = 0.50) -> DataFrame:
+    """One row for each document within a job: segment, page_numbers, payer, payer_confidence, has_cover, reason, composite.
+
+    Segments of fewer than ``least`` pages add their pages to the one before, which keeps its own payer and confidence.
+    """
+    first = numbered(boundaries(described(texts, cover_keywords, signatures), threshold))
+    known = payer_votes(first).join(first.where("reason IS NOT NULL").select("job_id", "segment", "reason"), ["job_id", "segment"])
+    pages = merged(first.withColumn("_before", F.col("segment")), least) if least > 1 else first.withColumn("_before", F.col("segment"))
+    lists = pages.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list("page_number")).alias("page_numbers"), F.min("_before").alias("_before"))
+    out = lists.join(known.withColumnRenamed("segment", "_before"), ["job_id", "_before"])
+    composite = F.count("*").over(Window.partitionBy("job_id")) > 1
+    return out.select("job_id", "segment", "page_numbers", "payer", "payer_confidence", "has_cover", "reason", composite.alias("composite"))

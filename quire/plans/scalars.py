@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.functions import dates, geometry as G, payer_rules as P, text as T, validators as V
+from quire.operators import routing
 from quire.plans.registry import query
 
 _MONTHS = ("January", "Feb", "Mar", "April", "May", "June", "July", "Aug", "September", "Oct", "Nov", "December")
@@ -162,6 +163,18 @@ def h36_diagnosis_codes(spark, sf_dir):
     return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(V.bad_codes(codes, V.ICD10), ",").alias("bad"))
 
 
+_BAD_SQL = "list_aggregate(list_filter(regexp_split_to_array(codes, '[,;\\s]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '{}')), 'string_agg', ',')"
+
+
+@query(rf"""SELECT p_partkey, coalesce({_BAD_SQL.format(r"(?i)[A-Z]\d{2}(\.\d{1,4})?")}, '') AS diagnosis, coalesce({_BAD_SQL.format(r"(?i)(\d{5}|[A-Z]\d{4})")}, '') AS procedure
+FROM (SELECT p_partkey, 'f' || p_partkey % 100 || '.' || p_size || ';J' || p_partkey % 100 || 'B,' || chr(9) || 'G0' || p_partkey % 1000 || ' 9' || p_partkey % 10000 AS codes FROM part)""")
+def h36_code_forms(spark, sf_dir):
+    k = F.col("p_partkey")
+    codes = F.concat(F.lit("f"), k % 100, F.lit("."), F.col("p_size"), F.lit(";J"), k % 100, F.lit("B,\tG0"), k % 1000, F.lit(" 9"), k % 10000)
+    bad = lambda form: F.array_join(V.bad_codes(codes, form), ",")
+    return B.table(spark, sf_dir, "part").select("p_partkey", bad(routing.DIAGNOSIS).alias("diagnosis"), bad(routing.PROCEDURE).alias("procedure"))
+
+
 @query(r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))::BIGINT AS n, sha256(trim(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS sha FROM documents")
 def h18_clean_text(spark, sf_dir):
     t = F.regexp_replace(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\s+", " ")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.operators import segments as S
+from quire.plans.merge import SIGNATURES, _payer_sql
 from quire.plans.registry import query
 
 
@@ -65,3 +66,19 @@ def i21_active_segment(spark, sf_dir):
 @query(with_sql("page", f"""WITH {_BOUNDED} SELECT job_id, page_number, segment FROM seg QUALIFY NOT (page_number = min(page_number) OVER (PARTITION BY job_id, segment) AND is_cover AND count(*) OVER (PARTITION BY job_id, segment) > 1)"""))
 def n4_content_pages(spark, sf_dir):
     return S.content_pages(S.numbered(S.boundaries(_pages(spark, sf_dir)))).select("job_id", "page_number", "segment")
+
+
+_COVER_WORDS = ("license", "the", "and")
+_TEXT_PAGES = f"""documents AS (SELECT conv_id::VARCHAR || ':' || turn AS doc_id, coalesce(text, '') AS text FROM conversations), named AS ({_payer_sql(0.3, "NULL")}),
+pages AS (SELECT job_id, page_number, is_cover OR ({" + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INTEGER" for w in _COVER_WORDS)}) >= 2 AS is_cover, coalesce(word_count, 0) < 20 AS sparse, score::DOUBLE AS payer_confidence, named.payer AS payer
+  FROM page JOIN named ON doc_id = job_id::VARCHAR || ':' || page_number)"""
+
+
+@query(with_sql("page", f"""WITH {_VOTES.replace(_PAGES, _TEXT_PAGES)}, moved AS (SELECT job_id, page_number, segment AS before, reason,
+  (sum((reason IS NOT NULL AND (n >= 2 OR i = 1))::INTEGER) OVER (PARTITION BY job_id ORDER BY page_number ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS segment FROM (SELECT *, count(*) OVER (PARTITION BY job_id, segment) AS n FROM seg)),
+made AS (SELECT job_id, segment, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers, min(before) AS before, arg_min(reason, page_number) AS reason FROM moved GROUP BY ALL)
+SELECT made.job_id, made.segment, made.page_numbers, payer, payer_confidence, has_cover, reason, count(*) OVER (PARTITION BY made.job_id) > 1 AS composite FROM made JOIN votes ON votes.job_id = made.job_id AND votes.segment = made.before"""))
+def i24_document_segments(spark, sf_dir):
+    texts = B.page(spark, sf_dir).select("job_id", "page_number", "text", F.col("is_cover").alias("known_cover"))
+    out = S.detected(texts, _COVER_WORDS, SIGNATURES, least=2)
+    return out.withColumn("page_numbers", F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ","))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# How often mismatches are gathered, and how often training again is looked into.
+HOURLY, WEEKLY = "1 hour", "7 days"
+
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Per hour and field: feedback, and the different jobs among its corrections. ``events`` has created_at, a timestamp.
@@ -106,3 +110,12 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
         spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path).drop("batch_id")
+
+
+def scheduled(arrivals: DataFrame, check: Callable[[DataFrame, int], None], checkpoint: str, period: str = WEEKLY) -> StreamingQuery:
+    """Runs ``check(new rows, batch)`` once a period over what has arrived in it (K3); the caller stops the query.
+
+    A period without arrivals runs nothing. After a failure a batch is sent again under its number, so ``check`` has to be
+    one that may run twice, as a look at ``training.retrain_due`` is.
+    """
+    return arrivals.writeStream.trigger(processingTime=period).option("checkpointLocation", checkpoint).foreachBatch(check).start()
