@@ -42,39 +42,35 @@ def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
 
 
-def service_code(fields: Column, text: Column) -> Column:
+def service_code(fields: Column, codes: Column) -> Column:
     """The first procedure code of the text, where the field has none; the first three different ones are the evidence."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(SERVICE_CODE), F.lit(1)))
     seen = F.concat(F.lit("OCR scan: "), F.array_join(F.slice(codes, 1, 3), " "))
     return F.when(_value(fields, "service_code").isNull() & (F.size(codes) > 0), _found("service_code", F.get(codes, F.lit(0)), 0.65, seen))
 
 
-def expiration_of_range(fields: Column, text: Column) -> Column:
+def expiration_of_range(fields: Column, ranges: Column) -> Column:
     """The end of the first range that starts on the known effective date, where the expiration is missing."""
     start = digits(_value(fields, "auth_effective_date"))
-    ranges = F.filter(F.regexp_extract_all(text, F.lit(DATE_RANGE), F.lit(0)), lambda m: digits(F.regexp_extract(m, DATE_RANGE, 1)) == start)
-    one = F.get(ranges, F.lit(0))
+    one = F.get(F.filter(ranges, lambda m: digits(F.regexp_extract(m, DATE_RANGE, 1)) == start), F.lit(0))
     missing = _value(fields, "auth_effective_date").isNotNull() & _value(fields, "auth_expiration_date").isNull()
     return F.when(missing & one.isNotNull(), _found("auth_expiration_date", F.regexp_extract(one, DATE_RANGE, 2), 0.70, F.concat(F.lit("OCR range: "), one)))
 
 
-def service_dates(fields: Column, text: Column) -> tuple[Column, Column]:
+def service_dates(fields: Column, one: Column) -> tuple[Column, Column]:
     """Effective date and, where it is missing too, expiration, from the first labelled range, if no effective date is known."""
-    one = _first(text, SERVICE_DATES)
     known = one.isNotNull() & _value(fields, "auth_effective_date").isNull()
     seen = F.concat(F.lit("OCR: "), one)
     start = F.when(known, _found("auth_effective_date", F.regexp_extract(one, SERVICE_DATES, 1), 0.65, seen))
     return start, F.when(known & _value(fields, "auth_expiration_date").isNull(), _found("auth_expiration_date", F.regexp_extract(one, SERVICE_DATES, 2), 0.65, seen))
 
 
-def units(fields: Column, text: Column) -> Column:
+def units(fields: Column, one: Column) -> Column:
     """The first stated number of units or visits, if it is from 1 to 9999 and the field is missing."""
-    one = _first(text, UNITS)
     n = F.regexp_extract(one, UNITS, 1)
     return F.when(_value(fields, "units_requested").isNull() & n.rlike(r"^0*[1-9]\d{0,3}$"), _found("units_requested", n, 0.65, F.concat(F.lit("OCR: "), one)))
 
 
-def prior_auth_number(fields: Column, text: Column) -> Column:
+def prior_auth_number(fields: Column, one: Column) -> Column:
     """A replacement of a number that cannot be one: its first fitting candidate, else a reference number, else null (cleared).
 
     A number cannot be one if it has a blank, fewer than five characters, or a hyphen and little confidence from the model.
@@ -90,7 +86,6 @@ def prior_auth_number(fields: Column, text: Column) -> Column:
 
     other = F.get(F.filter(field["candidates"], fits), F.lit(0))
     sure = F.coalesce(F.nullif(other["confidence"], F.lit(0.0)), F.lit(0.65))
-    one = _first(text, REFERENCE)
     read = _found("prior_auth_number", F.regexp_extract(one, REFERENCE, 1), 0.65, F.concat(F.lit("OCR: "), one))
     none = F.lit(None).cast("string")
     taken = _found("prior_auth_number", other["value"], sure, none, F.coalesce(other["method"], F.lit(READ)))
@@ -106,7 +101,23 @@ def _named(value: Column) -> Column:
     return F.when((F.length(value) >= 3) & value.rlike(r"\p{L}"), value)
 
 
-def patient_name(fields: Column, text: Column, cleared: Column) -> Column:
+def labelled_name(text: Column) -> Column:
+    """The first name on a line that starts with its label, and the line; null if there is none."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x.rlike(MEMBER_NAME))
+
+    def named(x):
+        said = _before_digits(F.regexp_replace(F.regexp_extract(x, MEMBER_NAME, 1), NAME_ENDS, ""))
+        return F.struct(_named(strip(F.regexp_replace(said, "^,+|,+$", ""))).alias("name"), x.alias("line"))
+
+    return F.get(F.filter(F.transform(lines, named), lambda x: x["name"].isNotNull()), F.lit(0))
+
+
+def following_name(text: Column) -> Column:
+    """The name on the line after "following member:", null if there is none."""
+    return _named(_before_digits(F.regexp_replace(strip(F.regexp_extract(text, FOLLOWING_MEMBER, 1)), ",+$", "")))
+
+
+def patient_name(fields: Column, line: Column, follows: Column, cleared: Column) -> Column:
     """The name after "following member:", which outranks a different one; where there is none, a candidate or a labelled name.
 
     ``cleared``: the field as it was before it was taken for somebody else's name, null if it was not. Its first candidate
@@ -124,19 +135,9 @@ def patient_name(fields: Column, text: Column, cleared: Column) -> Column:
     other = F.get(F.filter(cleared["candidates"], own), F.lit(0))
     sure = F.coalesce(F.nullif(other["confidence"], F.lit(0.0)), F.lit(0.60))
     taken = F.when(other.isNotNull(), _found("patient_name", strip(other["value"]), sure, none, F.coalesce(other["method"], F.lit(READ))))
-
-    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x.rlike(MEMBER_NAME))
-
-    def named(x):
-        said = _before_digits(F.regexp_replace(F.regexp_extract(x, MEMBER_NAME, 1), NAME_ENDS, ""))
-        return F.struct(_named(strip(F.regexp_replace(said, "^,+|,+$", ""))).alias("name"), x.alias("line"))
-
-    labelled = F.transform(lines, named)
-    line = F.get(F.filter(labelled, lambda x: x["name"].isNotNull()), F.lit(0))
     read = F.when(line.isNotNull(), _found("patient_name", line["name"], 0.60, F.concat(F.lit("OCR: "), line["line"])))
     missing = F.when(now.isNull(), F.coalesce(taken, read))
 
-    follows = _named(_before_digits(F.regexp_replace(strip(F.regexp_extract(text, FOLLOWING_MEMBER, 1)), ",+$", "")))
     standing = F.coalesce(missing["value"], now, F.lit(""))
     return F.when(follows.isNotNull() & (F.upper(standing) != F.upper(follows)), _found("patient_name", follows, 0.85, F.concat(F.lit("OCR: following member: "), follows))).otherwise(missing)
 
@@ -148,10 +149,16 @@ def recoveries(jobs: DataFrame) -> DataFrame:
     (map of key to ``FIELD``) and ``cleared_name`` (a ``FIELD`` or null). Null texts and absent fields find nothing. A
     null value says that the field is to be removed.
     """
-    fields, text = F.col("fields"), F.coalesce("text", F.lit(""))
-    start, end = service_dates(fields, text)
+    text = F.coalesce("text", F.lit(""))
+    read = jobs.select(  # each pattern runs once over a text; what it finds is used several times below
+        "job_id", "fields", "cleared_name", F.array_distinct(F.regexp_extract_all(F.coalesce("scanned", F.lit("")), F.lit(SERVICE_CODE), F.lit(1))).alias("codes"),
+        F.regexp_extract_all(text, F.lit(DATE_RANGE), F.lit(0)).alias("ranges"), _first(text, SERVICE_DATES).alias("dates"), _first(text, UNITS).alias("units"),
+        _first(text, REFERENCE).alias("reference"), labelled_name(text).alias("line"), following_name(text).alias("follows"),
+    )
+    fields, of = F.col("fields"), F.col
+    start, end = service_dates(fields, of("dates"))
     scans = F.array(
-        service_code(fields, F.coalesce("scanned", F.lit(""))), expiration_of_range(fields, text), start, end, units(fields, text),
-        prior_auth_number(fields, text), patient_name(fields, text, F.col("cleared_name")),
+        service_code(fields, of("codes")), expiration_of_range(fields, of("ranges")), start, end, units(fields, of("units")),
+        prior_auth_number(fields, of("reference")), patient_name(fields, of("line"), of("follows"), of("cleared_name")),
     )
-    return jobs.select("job_id", F.inline(F.array_compact(scans)))
+    return read.select("job_id", F.inline(F.array_compact(scans)))

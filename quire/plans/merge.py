@@ -15,15 +15,15 @@ SIGNATURES = {"FIRST": (("license", "with from"), ("the", "and", "que", "der"),
 PATTERNS = {"A": ((r"license", r"\d{4}\s\d"), (r"the\s+and", r"que"), (r"apache",)), "B": ((r"\|",), (r"un[ad]\s", r"\sder\s"), ()), "C": ((r"@\w+",), (r"\d{2,}", r"re\s+the"), (r"\smit\s",))}
 
 
-def _payer_sql(least: float, none: str) -> str:
+def _payer_sql(least: float, none: str, signatures=SIGNATURES) -> str:
     def one(name):
-        primary, secondary, negative = SIGNATURES[name]
+        primary, secondary, negative = signatures[name]
         has = lambda ks: " OR ".join(f"contains(t, '{k}')" for k in ks) or "false"
         hits = " + ".join(f"contains(t, '{k}')::INTEGER" for k in secondary) or "0"
         return f"round(CASE WHEN {has(negative)} THEN 0.0 ELSE CASE WHEN {has(primary)} THEN 0.65::DOUBLE ELSE 0.0 END + least(({hits}) * 0.10::DOUBLE, 0.30::DOUBLE) END, 4)"
 
-    cols = ", ".join(f"{one(n)} AS s{i}" for i, n in enumerate(SIGNATURES))
-    pick = " ".join(f"WHEN s{i} = top THEN '{n}'" for i, n in enumerate(SIGNATURES))
+    cols = ", ".join(f"{one(n)} AS s{i}" for i, n in enumerate(signatures))
+    pick = " ".join(f"WHEN s{i} = top THEN '{n}'" for i, n in enumerate(signatures))
     return f"SELECT doc_id, CASE WHEN NOT (top > 0 AND top >= {least}) THEN {none} {pick} END AS payer, CASE WHEN top > 0 AND top >= {least} THEN top ELSE 0.0 END AS score FROM (SELECT *, greatest(s0, s1, s2, 0.0) AS top FROM (SELECT doc_id, {cols} FROM (SELECT doc_id, lower(text) AS t FROM documents)))"
 
 

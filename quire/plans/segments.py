@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.operators import segments as S
-from quire.plans.merge import SIGNATURES, _payer_sql
+from quire.plans.merge import _payer_sql
 from quire.plans.registry import query
 
 
@@ -68,8 +68,10 @@ def n4_content_pages(spark, sf_dir):
     return S.content_pages(S.numbered(S.boundaries(_pages(spark, sf_dir)))).select("job_id", "page_number", "segment")
 
 
-_COVER_WORDS = ("license", "the", "and")
-_TEXT_PAGES = f"""documents AS (SELECT conv_id::VARCHAR || ':' || turn AS doc_id, coalesce(text, '') AS text FROM conversations), named AS ({_payer_sql(0.3, "NULL")}),
+#: Words that occur in the stand-in texts, often enough for changes of payer.
+_COVER_WORDS = ("with", "from", "and.")
+_SIGNATURES = {"FIRST": (("this", "tion"), ("with", "that"), ("license",)), "SECOND": (("ther",), ("from", "eron", "erin", "the,"), ()), "THIRD": ((), ("than", "und", "les", "the."), ("this",))}
+_TEXT_PAGES = f"""documents AS (SELECT conv_id::VARCHAR || ':' || turn AS doc_id, coalesce(text, '') AS text FROM conversations), named AS ({_payer_sql(0.3, "NULL", _SIGNATURES)}),
 pages AS (SELECT job_id, page_number, is_cover OR ({" + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INTEGER" for w in _COVER_WORDS)}) >= 2 AS is_cover, coalesce(word_count, 0) < 20 AS sparse, score::DOUBLE AS payer_confidence, named.payer AS payer
   FROM page JOIN named ON doc_id = job_id::VARCHAR || ':' || page_number)"""
 
@@ -80,5 +82,5 @@ made AS (SELECT job_id, segment, string_agg(page_number::VARCHAR, ',' ORDER BY p
 SELECT made.job_id, made.segment, made.page_numbers, payer, payer_confidence, has_cover, reason, count(*) OVER (PARTITION BY made.job_id) > 1 AS composite FROM made JOIN votes ON votes.job_id = made.job_id AND votes.segment = made.before"""))
 def i24_document_segments(spark, sf_dir):
     texts = B.page(spark, sf_dir).select("job_id", "page_number", "text", F.col("is_cover").alias("known_cover"))
-    out = S.detected(texts, _COVER_WORDS, SIGNATURES, least=2)
+    out = S.detected(texts, _COVER_WORDS, _SIGNATURES, least=2)
     return out.withColumn("page_numbers", F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ","))
