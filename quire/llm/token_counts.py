@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.native import words_of
-from quire.llm.storage import sized_broadcast, stored, text_batches
+from quire.llm.storage import files_for, packed, sized_broadcast, text_batches, write_packed
 
 GROUP = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -88,8 +88,8 @@ class Rollup:
         if self._fs.exists(marker) and self._read(marker) is not None:
             return False
         attempt = f"deltas/{batch}-{uuid.uuid4().hex}"
-        summed(changes).write.parquet(f"{self.folder}/{attempt}")
-        return self._mark(batch, {"data": attempt, "replaces": replaces or []})
+        rows = write_packed(summed(changes), f"{self.folder}/{attempt}")
+        return self._mark(batch, {"data": attempt, "rows": rows, "replaces": replaces or []})
 
     def _mark(self, batch: str, what: dict) -> bool:
         marker = self._path(f"commits/{batch}")
@@ -142,9 +142,12 @@ class Rollup:
         return dict(sorted(out.items()))
 
     def totals(self) -> DataFrame:
-        paths = [f"{self.folder}/{what['data']}" for what in self.live().values()]
+        live = self.live().values()
+        paths = [f"{self.folder}/{what['data']}" for what in live]
         deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
-        return summed(deltas).where("n_docs <> 0 OR n_tokens <> 0")
+        out = summed(deltas).where("n_docs <> 0 OR n_tokens <> 0")
+        known = all("rows" in what for what in live)  # older markers do not say
+        return out.coalesce(files_for(sum(what["rows"] for what in live))) if known else out
 
     def compact(self, name: str) -> bool:
         """Folds every live batch into one called ``name``; the folded names stay taken."""
@@ -161,18 +164,19 @@ def revised(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Totals after a load, the deletion of exact copies (all but the smallest id), a revision, and a delete sent twice."""
-    docs = docs.select("doc_id", "source", "lang", "text")
-    first = stored(counted(docs.withColumn("_sha", F.sha2("text", 256)), vocabulary), "token-counts")
+    docs = docs.select("doc_id", "source", "lang", "text").withColumn("_sha", F.sha2("text", 256))
+    first = packed(counted(docs.withColumn("_loose", F.contains("text", F.lit("  "))), vocabulary), "token-counts")
     roll = Rollup(docs.sparkSession, folder)
     roll.commit("load", signed(first, 1))
-    least = first.groupBy("_sha").agg(F.min("doc_id").alias("_least"))
-    copies = first.join(least.where("_sha IS NOT NULL").withColumnRenamed("_sha", "_s"), F.col("_sha") == F.col("_s")).where(F.col("doc_id") > F.col("_least"))
+    # A row for each text that has copies to delete, and not one for each copy.
+    texts = first.where("_sha IS NOT NULL").groupBy(F.col("_sha").alias("_s")).agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"))
+    twice = sized_broadcast(packed(texts.where("_most > _least").drop("_most"), "copied"))
+    of_text = F.col("_sha") == F.col("_s")
+    copies = first.join(twice, of_text).where("doc_id > _least")
     roll.commit("delete-copies", signed(copies, -1))
-    gone = stored(copies.select(F.col("doc_id").alias("_gone"), F.col("_sha").alias("_gs")).distinct(), "deleted")
-    # Texts are counted where they lie; what meets the deleted rows are their counts.
-    keep = lambda x: x.join(sized_broadcast(gone), (F.col("doc_id") == F.col("_gone")) & (F.col("_sha") == F.col("_gs")), "left_anti")
-    changed = docs.where(F.regexp_replace("text", r" {2,}", " ") != F.col("text")).withColumn("_sha", F.sha2("text", 256))
-    old, new = (stored(counted(x, vocabulary), "revised-counts") for x in (changed, revised(changed)))
-    roll.commit("collapse-blanks", signed(keep(old), -1).unionByName(signed(keep(new), 1)))
+    keep = lambda x: x.join(twice, of_text, "left").where("NOT coalesce(doc_id > _least, false)")
+    # A revision takes away what the load counted; new texts are counted where they lie, and their counts meet the copies.
+    new = counted(revised(docs), vocabulary)
+    roll.commit("collapse-blanks", signed(keep(first.where("_loose")), -1).unionByName(signed(keep(new), 1)))
     roll.commit("delete-copies", signed(copies, -1))
     return roll.totals()

@@ -67,3 +67,50 @@ def test_a_marker_that_was_not_written_does_not_count(spark):
     assert [tuple(r)[3:] for r in roll.totals().collect()] == [(1, 5)]
     assert roll.commit("b", delta(3)) and [tuple(r)[3:] for r in roll.totals().collect()] == [(2, 8)]
     assert not roll._mark("b", {"data": "x", "replaces": []})
+
+
+def test_sums_and_keys_are_single_files_however_many_partitions_a_shuffle_has(spark):
+    from pathlib import Path
+
+    docs = spark.createDataFrame([(i, f"s{i % 40}", "en", f"text  {i % 100}") for i in range(300)], "doc_id long, source string, lang string, text string")
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    shared = Path(storage.shared_dir(spark).removeprefix("file://"))
+    held = lambda: set(shared.rglob("part-*.parquet"))
+    there, folder = held(), storage.fresh_dir(spark, "roll")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        totals = T.digest(docs, folder)
+        files = Counter(f.parent.name for f in held() - there)
+        assert len(files) == 5 and set(files.values()) == {1}  # counts, three batches and the texts that have copies
+        assert totals.rdd.getNumPartitions() == 1
+        assert totals.where("tokenizer = 'words'").agg({"n_docs": "sum", "n_tokens": "sum"}).first() == (100, 200)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_packed_tables_of_many_rows_are_several_files(spark, monkeypatch):
+    monkeypatch.setattr(storage, "FILE_ROWS", 100)
+    got = storage.packed(spark.range(1000).repartition(16), "packed")
+    assert len(got.inputFiles()) == 11 and got.agg({"id": "sum"}).first()[0] == 499500
+
+
+def test_repeated_ids_of_a_copied_text_stay_and_markers_may_leave_out_the_rows(spark):
+    docs = spark.createDataFrame([(7, "a", "en", "q  q"), (7, "a", "en", "q  q"), (8, "b", "en", "q  q"), (9, "b", "en", "r")], "doc_id long, source string, lang string, text string")
+    words = lambda df: sorted((r["source"], r["n_docs"], r["n_tokens"]) for r in df.where("tokenizer = 'words'").collect())
+    folder = storage.fresh_dir(spark, "roll")
+    assert words(T.digest(docs, folder)) == [("a", 2, 4), ("b", 1, 1)]
+    roll = T.Rollup(spark, folder)
+    load = roll.live()["load"]
+    roll._mark("load-again", {k: load[k] for k in ("data", "replaces")})  # as written before markers said how many rows there are
+    assert words(roll.totals()) == [("a", 4, 8), ("b", 3, 4)]
+
+
+def test_digest_without_broadcasts(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    rows = lambda: sorted(map(str, T.digest(df, storage.fresh_dir(spark, "roll")).collect()))
+    want = rows()
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
+    assert rows() == want
