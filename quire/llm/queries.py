@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import chat_format, decontamination, jaccard_join, license_scans, quality_rules, secret_scans, source_mixing, substring_dedup, token_counts, warc
+from quire.llm import (
+    chat_format,
+    decontamination,
+    jaccard_join,
+    license_scans,
+    periodic_runs,
+    quality_rules,
+    secret_scans,
+    source_mixing,
+    substring_dedup,
+    token_counts,
+    warc,
+)
 from quire.llm.storage import fresh_dir
 
 
@@ -179,9 +191,46 @@ FROM e GROUP BY conv_id
 """
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of the decimal digits of doc_id.
+_CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295))"""
+
+
+def _op12_sql() -> str:
+    """Windows of 1, 2, 4, 8, ... words, a window's key made of its halves' keys.
+
+    A run of smallest period q has a window length m with q <= m <= 2q (16 for the small ones) whose windows in the run come
+    again first after q words, as anything nearer would be a smaller period; consecutive ones make up the run.
+    """
+    lengths = [16 << i for i in range(13)]
+    keys = "\nk1 AS (SELECT doc_id, unnest(range(0, len(w))) AS i, hash(unnest(w)) AS k FROM p WHERE len(w) >= 24),"
+    for m in [2, 4, 8, *lengths]:
+        keys += f"\nk{m} AS MATERIALIZED (SELECT doc_id, i, hash(k, other) AS k FROM (SELECT *, lead(k, {m // 2}) OVER (PARTITION BY doc_id ORDER BY i) AS other FROM k{m // 2}) WHERE other IS NOT NULL),"
+    again = " UNION ALL ".join(f"SELECT doc_id, i, q, {m} AS m FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, k ORDER BY i) - i AS q FROM k{m}) WHERE q <= {m}{f' AND q > {m // 2}' if m > 16 else ''}" for m in lengths)
+    return rf"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w, {_CRC_SQL} AS h FROM documents),
+g AS (SELECT doc_id, w, len(w) > 0 AND h % 10 = 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS c FROM d),
+p AS MATERIALIZED (SELECT doc_id, CASE WHEN planted THEN list_select(w, list_transform(range(0, len(w)), lambda i: 1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // c) END)) ELSE w END AS w FROM g),{keys}
+again AS ({again}),
+run AS MATERIALIZED (SELECT doc_id, min(i) AS start, count(*) + m - 1 + q AS length, q AS period
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, m, q ORDER BY i) AS island FROM again) GROUP BY doc_id, m, q, island HAVING count(*) + m - 1 + q >= greatest(24, 3 * q)),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM p) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT p.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM p LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op12_periodic_runs": _op12_sql()}
