@@ -9,6 +9,7 @@ from quire.llm import (
     decontamination,
     jaccard_join,
     license_scans,
+    merkle_manifest,
     periodic_runs,
     quality_rules,
     secret_scans,
@@ -191,6 +192,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents"))
 
@@ -200,6 +205,36 @@ _CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VA
   lambda c, b: list_reduce(range(8), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295))"""
 
 
+def _op11_sql() -> str:
+    """One level after the other: of each node the run it is in and its place there; a tree of one node goes on as it is."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    of = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars']))} || {field(text)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""
+WITH d AS (SELECT doc_id, source, {of('text')} AS leaf, CASE WHEN {_CRC_SQL} % 5 = 0 THEN {of(lower)} ELSE {of('text')} END AS folded FROM documents),
+a0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+n0 AS MATERIALIZED (SELECT source AS tree, i, leaf AS h FROM a0),"""
+    walk, joins, proof, folded = 5, "", [], "a0.folded"
+    for k in range(walk + 3):
+        if k == walk:
+            sql += f"\nsub AS MATERIALIZED (SELECT tree AS source, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS s FROM n{k}),\nu{k} AS (SELECT '' AS tree, s AS i, subroot AS h FROM sub),"
+            joins += " JOIN sub ON sub.source IS NOT DISTINCT FROM a0.source"
+        of_k = f"u{k}" if k == walk else f"n{k}"
+        sql += f"""
+r{k} AS MATERIALIZED (SELECT tree, i // 16 AS run, string_agg(h, '' ORDER BY i) AS cat, any_value(c) AS c FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {of_k}) GROUP BY tree, i // 16),
+n{k + 1} AS MATERIALIZED (SELECT tree, run AS i, CASE WHEN c = 1 THEN cat ELSE sha256(cat) END AS h FROM r{k}),"""
+        at, tree = ("a0.i", "a0.source") if k < walk else ("sub.s", "''")
+        place = f"({at} // {16 ** (k if k < walk else k - walk)})"
+        joins += f" JOIN r{k} ON r{k}.tree IS NOT DISTINCT FROM {tree} AND r{k}.run = {place} // 16"
+        before, after = f"left(r{k}.cat, 64 * ({place} % 16))", f"substring(r{k}.cat, 64 * ({place} % 16) + 65)"
+        proof.append(f"CASE WHEN r{k}.c = 1 THEN '' ELSE {before} || {after} END")
+        folded = f"CASE WHEN r{k}.c = 1 THEN {folded} ELSE sha256({before} || {folded} || {after}) END"
+    return sql + f"""
+f AS (SELECT a0.doc_id, a0.leaf, subroot, sha256({' || '.join(proof)}) AS proof_sha256, {folded} AS folded_root FROM a0{joins})
+SELECT doc_id, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified FROM f, (SELECT h FROM n{walk + 3})
+"""
+
+
 def _op12_sql() -> str:
     """Windows of 1, 2, 4, 8, ... words, a window's key made of its halves' keys.
 
@@ -229,8 +264,8 @@ FROM p LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kep
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op12_periodic_runs": _op12_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op11_merkle_manifest": _op11_sql(), "op12_periodic_runs": _op12_sql()}
