@@ -494,27 +494,32 @@ def _edges(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, _ddl(schema)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def links_of(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of ``sets`` that link, as nodes: counts of common shingles by products of matrices of 0 and 1."""
-    size = np.array([len(s) for s in sets], np.int64)
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of ``sets`` have in common: products of matrices of 0 and 1."""
     both = np.zeros((len(sets), len(sets)), np.float32)  # exact: no count comes near 2^24
     if len(sets) == 2:
         both[0, 1] = both[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
-    else:
-        every, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(every, kind="stable")
-        every, own = every[order], own[order]
-        cuts = _runs(every)
-        several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
-        column = np.cumsum(np.concatenate(([False], every[several][1:] != every[several][:-1]))) if several.any() else np.zeros(0, np.int64)
-        own = own[several]
-        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            x, y = np.searchsorted(column, (start, start + 4096))
-            has = np.zeros((len(sets), 4096), np.float32)
-            has[own[x:y], column[x:y] - start] = 1
-            both += has @ has.T
+        return both
+    every, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, own = every[order], own[order]
+    cuts = _runs(every)
+    several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+    column = np.cumsum(np.concatenate(([False], every[several][1:] != every[several][:-1]))) if several.any() else np.zeros(0, np.int64)
+    own = own[several]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        x, y = np.searchsorted(column, (start, start + 4096))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[own[x:y], column[x:y] - start] = 1
+        both += has @ has.T
+    return both
+
+
+def links_of(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of ``sets`` that link, as nodes."""
+    size, both = np.array([len(s) for s in sets], np.int64), overlaps(sets)
     union = size[:, None] + size[None, :] - both
-    i, j = np.nonzero(np.triu(100 * both.astype(np.int64) >= PERCENT * union.astype(np.int64), 1))
+    i, j = np.nonzero(np.triu(100 * both.astype(np.int64) >= percent * union.astype(np.int64), 1))
     return nodes[i], nodes[j]
 
 
@@ -682,21 +687,30 @@ def digest(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest id, of equal ids that of the least checksum.
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``found`` (what ``classes`` returned): that of the smallest id, of equal
+    ids that of the least checksum.
 
-    A row without an id stays. Of rows that repeat id and text one stays, the least of their other columns.
+    A row without an id stays. Of rows that repeat id and text one stays, the least of their other columns. Other columns
+    may have any names.
     """
-    found = stored(classes(docs).where("doc_id IS NOT NULL"), "classes")
+    found = stored(found.where("doc_id IS NOT NULL"), "classes")
     first = found.where("doc_id = component_id").groupBy(F.col("component_id").alias("_c")).agg(F.min("sum").alias("_s"))
     gone = found.join(first, F.col("component_id") == F.col("_c")).where("doc_id <> component_id OR sum <> _s").select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).distinct()
     gone = stored(gone, "gone")
-    check = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) - F.lit(1 << 31)
-    of = lambda side, how: docs.join(sized_broadcast(side, BROADCAST_BYTES), (F.col("doc_id") == F.col("_id")) & (check == F.col("_sum")), how)
-    kept = of(gone, "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"))
+    check = F.crc32(F.encode(F.coalesce("_row.text", F.lit("")), "UTF-8")) - F.lit(1 << 31)
+    of = lambda rows, side, how: rows.join(sized_broadcast(side, BROADCAST_BYTES), (F.col("_row.doc_id") == F.col("_id")) & (check == F.col("_sum")), how)
+    kept = of(packed, gone, "left_anti")
     again = stored(found.groupBy(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum")).agg(F.count("*").alias("n")).where("n > 1").drop("n").join(gone, ["_id", "_sum"], "left_anti"), "repeated")
-    if not again.head(1):
-        return kept
-    once = of(again, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))).alias("_rest"))
-    rest = [F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns]
-    return kept.join(sized_broadcast(again, BROADCAST_BYTES), (F.col("doc_id") == F.col("_id")) & (check == F.col("_sum")), "left_anti").select(*docs.columns).unionByName(once.select(*rest))
+    if again.head(1):
+        rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+        least = F.min(F.struct(F.struct(*rest) if rest else F.lit(0), "_row")).alias("_least")
+        once = of(packed, again, "left_semi").groupBy("_row.doc_id", "_row.text").agg(least).select("_least._row")
+        kept = of(kept, again, "left_anti").unionByName(once)
+    return kept.select("_row.*")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of linked sets (``one_of_each``)."""
+    return one_of_each(docs, classes(docs))

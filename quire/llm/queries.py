@@ -10,6 +10,7 @@ from quire.llm import (
     jaccard_join,
     license_scans,
     merkle_manifest,
+    minhash_dedup,
     periodic_runs,
     quality_rules,
     secret_scans,
@@ -75,9 +76,11 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGI
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-#: Sets of shingles; pairs of different sets that share one of their rarest shingles, as each pair that links must; links by
-#: the whole sets; components by the smallest id handed on along the links.
-OP2_SQL = r"""
+def _near_sql(percent: int, more: str = "") -> str:
+    """Sets of shingles; pairs of different sets that share one of their rarest shingles, as each pair that links must; links by
+    the whole sets; components by the smallest id handed on along the links.
+    """
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 k AS MATERIALIZED (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(list_zip(w[:-5], w[2:-4], w[3:-3], w[4:-2], w[5:]), lambda z: concat_ws(' ', z[1], z[2], z[3], z[4], z[5]))) END) AS s FROM w),
@@ -85,16 +88,17 @@ g AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n, CASE WHEN len(s) > 0 THEN
 node AS MATERIALIZED (SELECT node, any_value(n) AS n, any_value(s) AS s FROM g GROUP BY node),
 item AS MATERIALIZED (SELECT node, n, md5_number(t) AS t FROM (SELECT node, n, unnest(s) AS t FROM node)),
 ranked AS (SELECT node, n, t, row_number() OVER (PARTITION BY node ORDER BY df, t) AS r FROM item JOIN (SELECT t, count(*) AS df FROM item GROUP BY t) USING (t)),
-prefix AS MATERIALIZED (SELECT node, n, t FROM ranked WHERE r <= n - (3 * n + 3) // 4 + 1),
-pair AS MATERIALIZED (SELECT DISTINCT a.node AS a, b.node AS b, a.n AS an, b.n AS bn FROM prefix a JOIN prefix b ON a.t = b.t AND a.node < b.node AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
-link AS MATERIALIZED (SELECT a, b FROM pair JOIN item x ON x.node = a JOIN item y ON y.node = b AND y.t = x.t GROUP BY a, b, an, bn HAVING 100 * count(*) >= 75 * (an + bn - count(*))),
+prefix AS MATERIALIZED (SELECT node, n, t FROM ranked WHERE r <= n - ({percent} * n + 99) // 100 + 1),
+pair AS MATERIALIZED (SELECT DISTINCT a.node AS a, b.node AS b, a.n AS an, b.n AS bn FROM prefix a JOIN prefix b ON a.t = b.t AND a.node < b.node AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+link AS MATERIALIZED (SELECT a, b FROM pair JOIN item x ON x.node = a JOIN item y ON y.node = b AND y.t = x.t GROUP BY a, b, an, bn HAVING 100 * count(*) >= {percent} * (an + bn - count(*))),
 edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 low AS MATERIALIZED (SELECT node, min(doc_id) AS c FROM g GROUP BY node),
 walk(node, c) USING KEY (node) AS (SELECT node, c FROM low
   UNION SELECT e.b, min(walk.c) FROM walk JOIN edge e ON e.a = walk.node JOIN recurring.walk r ON r.node = e.b WHERE walk.c < r.c GROUP BY e.b)
-SELECT doc_id, n AS n_shingles, walk.c AS component_id FROM g JOIN walk ON walk.node = g.node
+SELECT doc_id, n AS n_shingles, walk.c AS component_id{more} FROM g JOIN walk ON walk.node = g.node
 """
 
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -200,6 +204,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 #: CRC-32 of the decimal digits of doc_id.
 _CRC_SQL = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
   lambda c, b: list_reduce(range(8), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295))"""
@@ -264,8 +272,8 @@ FROM p LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kep
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_jaccard_join, op3_decontamination, op4_warc, op5_source_mixing, op6_license_scans, op7_token_counts, op8_quality_rules, op9_chat_formatting, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, op13_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op11_merkle_manifest": _op11_sql(), "op12_periodic_runs": _op12_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": _near_sql(75), "op3_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op5_source_mixing": _op5_sql(), "op8_quality_rules": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op11_merkle_manifest": _op11_sql(), "op12_periodic_runs": _op12_sql(), "op13_minhash_dedup": _near_sql(85, ", doc_id = walk.c AS kept")}

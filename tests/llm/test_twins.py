@@ -29,9 +29,10 @@ def test_query_agrees_with_its_twin(spark, name):
     agree(spark, SF, name, [f[: -len(".parquet")] for f in os.listdir(SF)])
 
 
-def test_jaccard_twin_on_odd_texts(spark, tmp_path):
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op13_minhash_dedup"])
+def test_near_duplicate_twins_on_odd_texts(spark, tmp_path, name):
     eight = "a b c d e f g h"
     texts = [None, "", " \t", "One", "one", "a b c d", "A b\tc  d", eight, eight[:-2], eight[2:], eight + " i", "Ä b c d e", "ä b c d e", "x\x0by", "x y", "x y", *[" ".join(f"w{(i * k) % 91}" for i in range(40)) for k in (1, 1, 2, 3)]]
     rows = [(i, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    agree(spark, str(tmp_path), "op2_jaccard_join", ["documents"])
+    agree(spark, str(tmp_path), name, ["documents"])
