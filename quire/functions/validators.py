@@ -58,9 +58,6 @@ def bad_codes(value: Column, pattern: str) -> Column:
     return F.filter(F.split(value, r"[,;\s]+", -1), lambda x: (x != "") & ~x.rlike(pattern))
 
 
-ICD10, CPT = r"^[A-Z]\d[0-9A-Z](\.[0-9A-Z]{1,4})?$", r"^(\d{5}|[A-Z]\d{4})$"
-
-
 def same_digits(a: Column, b: Column, least: int = 1) -> Column:
     return (digits(a) == digits(b)) & (F.length(digits(a)) >= least)
 

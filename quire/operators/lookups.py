@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.state import last_of_each
+
 # The queue of each kind of task; others go to the default one.
 TASK_QUEUES = {"process_fax": "fax_processing", "ocr_page": "fax_processing", "template_match": "default", "extract_fields": "fax_processing", "validate_extraction": "default", "create_review": "default"}
 DEFAULT_QUEUE, NORMAL_PRIORITY = "default", 6
@@ -55,14 +57,14 @@ def models(versions: DataFrame, kind: str | None = None, active: bool | None = N
 
 
 def registered(versions: DataFrame, new: DataFrame) -> DataFrame:
-    """``versions`` with ``new`` (version_id, kind, metrics) added, inactive; a version that is there already stays as it is."""
-    fresh = new.join(versions.select("version_id"), "version_id", "left_anti").select("version_id", F.upper("kind").alias("kind"), "metrics", F.lit(False).alias("is_active"))
+    """``versions`` with ``new`` (version_id, kind, metrics) added, inactive; a version that is there already stays as it is, and one comes once."""
+    fresh = last_of_each(new, ["version_id"]).join(versions.select("version_id"), "version_id", "left_anti").select("version_id", F.upper("kind").alias("kind"), "metrics", F.lit(False).alias("is_active"))
     return versions.unionByName(fresh)
 
 
-def with_metrics(versions: DataFrame, measured: DataFrame) -> DataFrame:
-    """``versions`` with the metrics of ``measured`` (version_id, metrics) where there are any: new entries win over old."""
-    m = measured.select("version_id", F.col("metrics").alias("_new"))
+def with_metrics(versions: DataFrame, measured: DataFrame, *order: str) -> DataFrame:
+    """``versions`` with the last metrics of ``measured`` (version_id, metrics) by ``order``, where there are any: new entries win over old."""
+    m = last_of_each(measured, ["version_id"], *order).select("version_id", F.col("metrics").alias("_new"))
     return versions.join(m, "version_id", "left").withColumn("metrics", _merged(F.col("metrics"), F.col("_new"))).drop("_new")
 
 
@@ -141,9 +143,9 @@ def routed_task(name: Column, priority: Column | None = None) -> Column:
     return F.struct(queue.alias("queue"), given.cast("int").alias("priority"))
 
 
-def with_validation(fields: DataFrame, results: DataFrame) -> DataFrame:
-    """``fields`` (job_id, field_key, method, ...) with the outcome of a validation in every method's row of a field."""
-    r = results.select("job_id", "field_key", F.col("passed").alias("_p"), F.coalesce("errors", F.array().cast("array<string>")).alias("_e"))
+def with_validation(fields: DataFrame, results: DataFrame, *order: str) -> DataFrame:
+    """``fields`` (job_id, field_key, method, ...) with the outcome of the last validation, by ``order``, in every method's row of a field."""
+    r = last_of_each(results, ["job_id", "field_key"], *order).select("job_id", "field_key", F.col("passed").alias("_p"), F.coalesce("errors", F.array().cast("array<string>")).alias("_e"))
     met = fields.join(r, ["job_id", "field_key"], "left")
     hit = F.col("_p").isNotNull()
     return met.withColumns({"validation_passed": F.when(hit, F.col("_p")).otherwise(F.col("validation_passed")), "validation_errors": F.when(hit, F.col("_e")).otherwise(F.col("validation_errors"))}).drop("_p", "_e")

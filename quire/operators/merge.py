@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quire import rules as R
 from quire.functions.text import digits, is_blank_strict, is_blank_trim
+from quire.operators.state import last_of_each
 
 MESSAGE_NUMBER = r"^\d{7,}-\d{3}-\d+$"
 
@@ -129,9 +130,12 @@ def review_flags(fields: DataFrame) -> DataFrame:
     return f.withColumn("place", F.row_number().over(w))
 
 
-def apply_corrections(fields: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Corrected values replace the fields' own with full confidence; a value that changed is kept as ``previous``."""
-    c = corrections.select("job_id", "field_key", F.col("corrected_value").alias("_new"))
+def apply_corrections(fields: DataFrame, corrections: DataFrame, *order: str) -> DataFrame:
+    """Corrected values replace the fields' own with full confidence; a value that changed is kept as ``previous``.
+
+    Of several corrections of a field the last by ``order`` (columns of ``corrections``) holds.
+    """
+    c = last_of_each(corrections.select("job_id", "field_key", "corrected_value", *order), ["job_id", "field_key"], *order).select("job_id", "field_key", F.col("corrected_value").alias("_new"))
     met = fields.join(c, ["job_id", "field_key"], "left")
     hit = F.col("_new").isNotNull()
     return met.select(

@@ -1,10 +1,9 @@
-"""Structured search (B13), vector search (F5) and Hamming joins of perceptual hashes."""
+"""Structured search (B13), vector search for one query (F5) and the Hamming join of perceptual hashes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import geometry as G
 
@@ -25,14 +24,6 @@ def nearest(embeddings: DataFrame, query: list[float], k: int = 10, job: int | N
     return scored.orderBy(F.col("similarity").desc_nulls_last(), "embedding_id").limit(k)
 
 
-def nearest_of_each(embeddings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """For each query of a stated, small set (query_id, vector) its k closest embeddings."""
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    scored = embeddings.crossJoin(q).select("query_id", "embedding_id", F.round(G.cosine(F.col("embedding"), F.col("_q")), 6).alias("similarity"))  # a stated set against all rows
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "embedding_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def bands(width: int = 64, most: int = 6, within: int = 0) -> list[tuple[int, int]]:
     """(first bit, bits) of so many bands that two hashes at most ``most`` bits apart differ in at most ``within`` bits of one."""
     n, at, out = most // (within + 1) + 1, 0, []
@@ -66,18 +57,6 @@ def hamming_join(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     return met.where((first == F.col("band")) & (apart <= most)).select("left_id", "right_id", apart.alias("distance"))
 
 
-def hamming_of_each(hashes: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """As ``hamming_join`` for a stated, small set of queries, whatever the distance: they are broadcast, and bits counted."""
-    q = F.broadcast(queries.select(F.col("id").alias("left_id"), F.col("hash").alias("_l")))
-    apart = G.hamming(F.col("_l"), F.col("hash"))
-    return hashes.crossJoin(q).select("left_id", F.col("id").alias("right_id"), apart.alias("distance")).where(F.col("distance") <= most)  # a stated set against all rows
-
-
-def top_templates(matches: DataFrame, k: int = 5) -> DataFrame:
-    w = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def match_score(orb, distance, threshold):
     """0.7 of the feature score and 0.3 of how near the hashes are."""
     return 0.7 * orb + 0.3 * F.greatest(1 - distance / (2.0 * threshold), F.lit(0.0))

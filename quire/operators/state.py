@@ -16,9 +16,25 @@ def job_state(events: DataFrame) -> DataFrame:
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` whose keys are not among them."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def last_of_each(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """One row of each key: the last by ``order``, and of those that come there together the greatest as JSON. Null is a key too."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    place = F.struct(*order, F.to_json(F.struct(*rest)))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), place).alias("_last")).select(*keys, "_last.*").select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose keys are not among those of ``gone``; null keys are equal."""
+    named = gone.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, on, "left_anti")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """The last row of each key of ``new``, by ``order``, and the rows of ``old`` whose keys are not among them; null keys are equal."""
+    return without(old, new, keys).unionByName(last_of_each(new, keys, *order))
 
 
 def delete_by(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +89,7 @@ def missing_fields(jobs: DataFrame, fields: DataFrame, required: list[str]) -> D
     return want.join(fields.select("job_id", "field_key"), ["job_id", "field_key"], "left_anti")
 
 
-def coalesce_update(rows: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``rows`` with the columns that an update sets; a null leaves the old value."""
-    u = updates.select(*(F.col(k) for k in keys), *(F.col(c).alias(f"_u_{c}") for c in columns))
+def coalesce_update(rows: DataFrame, updates: DataFrame, keys: list[str], columns: list[str], *order: str | Column) -> DataFrame:
+    """``rows`` with the columns that the last update of their key, by ``order``, sets; a null leaves the old value."""
+    u = last_of_each(updates, keys, *order).select(*(F.col(k) for k in keys), *(F.col(c).alias(f"_u_{c}") for c in columns))
     return rows.join(u, keys, "left").withColumns({c: F.coalesce(f"_u_{c}", c) for c in columns}).drop(*(f"_u_{c}" for c in columns))

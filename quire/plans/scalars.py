@@ -155,12 +155,12 @@ def h33_date_order(spark, sf_dir):
     return p.select("k", V.date_order(F.col("one"), F.col("two")).alias("order"), V.dob_in_past(F.col("one"), F.lit("1990-01-01").cast("date")).alias("dob"))
 
 
-@query(r"""SELECT p_partkey, list_aggregate(list_filter(string_split(replace(replace(codes, ';', ','), ' ', ','), ','), lambda x: x <> '' AND NOT regexp_full_match(x, '[A-Z]\d[0-9A-Z](\.[0-9A-Z]{1,4})?')), 'string_agg', ',') AS bad
+@query(r"""SELECT p_partkey, list_aggregate(list_filter(regexp_split_to_array(codes, '[,;\s]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '(?i)[A-Z]\d{2}(\.\d{1,4})?')), 'string_agg', ',') AS bad
 FROM (SELECT p_partkey, 'A' || p_partkey % 100 || 'B; J' || p_partkey % 1000 || '.' || p_size || ' x' || p_size AS codes FROM part)""")
 def h36_diagnosis_codes(spark, sf_dir):
     k = F.col("p_partkey")
     codes = F.concat(F.lit("A"), k % 100, F.lit("B; J"), k % 1000, F.lit("."), F.col("p_size"), F.lit(" x"), F.col("p_size"))
-    return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(V.bad_codes(codes, V.ICD10), ",").alias("bad"))
+    return B.table(spark, sf_dir, "part").select("p_partkey", F.array_join(V.bad_codes(codes, routing.DIAGNOSIS), ",").alias("bad"))
 
 
 _BAD_SQL = "list_aggregate(list_filter(regexp_split_to_array(codes, '[,;\\s]+'), lambda x: x <> '' AND NOT regexp_full_match(x, '{}')), 'string_agg', ',')"

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.functions import geometry as G
+from quire.operators import hash_index as H
 from quire.operators import search as S
+from quire.operators import vector_index as V
 from quire.plans.registry import query
+from quire.sources.scratch import folder
 
 
 @query(with_sql("candidate", "SELECT job_id, field_key, ord, value, method, confidence FROM candidate WHERE lower(field_key) = 'member_id' OR lower(value) LIKE '%member_id%' ORDER BY confidence DESC NULLS LAST, job_id, field_key, ord LIMIT 100"))
@@ -25,11 +28,35 @@ def f5_vector_top_k(spark, sf_dir):
     return S.nearest(B.embedding(spark, sf_dir), _Q).select("embedding_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(with_sql("embedding", """SELECT query_id, embedding_id, similarity, rank FROM (SELECT query_id, e.embedding_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, e.embedding_id)::INTEGER AS rank FROM (
-SELECT q.embedding_id AS query_id, e.embedding_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embedding e, embedding q WHERE q.embedding_id % 100 = 0) e) WHERE rank <= 5"""))
+def _asked(e):
+    return e.where("embedding_id % 100 = 0").select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _nearest_sql(k):
+    return f"""SELECT query_id, embedding_id, similarity, rank FROM (SELECT query_id, e.embedding_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, e.embedding_id)::INTEGER AS rank FROM (
+SELECT q.embedding_id AS query_id, e.embedding_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embedding e, embedding q WHERE q.embedding_id % 100 = 0) e) WHERE rank <= {k}"""
+
+
+@query()
+def f5_ivf_search(spark, sf_dir):
+    """The ten nearest of all rows for every id divisible by 100, by an index whose lists are probed for a recall of 0.95."""
+    e = B.embedding(spark, sf_dir)
+    index = V.build(e, folder(spark, "vector-index"))
+    return V.search(spark, index, _asked(e), 10, V.tuned(spark, index))
+
+
+@query(with_sql("embedding", _nearest_sql(10)))
+def f5_ivf_all_lists(spark, sf_dir):
+    """The same index with every list probed, which is exact."""
+    e = B.embedding(spark, sf_dir)
+    index = V.build(e, folder(spark, "vector-index"))
+    return V.search(spark, index, _asked(e), 10, index.lists)
+
+
+@query(with_sql("embedding", _nearest_sql(5)))
 def h45_nearest_of_each(spark, sf_dir):
     e = B.embedding(spark, sf_dir)
-    return S.nearest_of_each(e, e.where("embedding_id % 100 = 0").select(F.col("embedding_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return V.nearest_of_each(e, _asked(e))
 
 
 # The signs of embeddings stand in for hashes; every third one occurs again with one or two bits turned.
@@ -47,16 +74,20 @@ def _hashes(spark, sf_dir):
     return e.unionByName(again).select("id", G.sign_hash(F.col("embedding")).alias("hash"))
 
 
-@query(with_sql("embedding", f"""WITH {_HASH} SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, hashes b WHERE a.id < b.id) WHERE distance <= {STRICT}"""))
+# Equal hashes form a class with its least id, and pairs are between classes.
+_LINKS = f"""class AS (SELECT bits, min(id) AS id FROM hashes GROUP BY bits)
+SELECT c.id AS left_id, h.id AS right_id, 0 AS distance FROM hashes h JOIN class c USING (bits) WHERE h.id <> c.id
+UNION ALL SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM class a, class b WHERE a.id < b.id)"""
+
+
+@query(with_sql("embedding", f"WITH {_HASH}, {_LINKS} WHERE distance <= {STRICT}"))
 def c10_hamming_join(spark, sf_dir):
-    h = _hashes(spark, sf_dir)
-    return S.hamming_join(h, h, STRICT).where("left_id < right_id")
+    return H.links(_hashes(spark, sf_dir), STRICT)
 
 
-@query(with_sql("embedding", f"""WITH {_HASH} SELECT * FROM (SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, hashes b WHERE a.id < b.id) WHERE distance <= {ADAPTIVE}"""))
+@query(with_sql("embedding", f"WITH {_HASH}, {_LINKS} WHERE distance <= {ADAPTIVE}"))
 def c10_adaptive_hamming_join(spark, sf_dir):
-    h = _hashes(spark, sf_dir)
-    return S.hamming_join(h, h, ADAPTIVE).where("left_id < right_id")
+    return H.links(_hashes(spark, sf_dir), ADAPTIVE)
 
 
 @query(with_sql("embedding", f"""WITH {_HASH} SELECT left_id, right_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id)::INTEGER AS rank FROM (
@@ -64,7 +95,7 @@ SELECT a.id AS left_id, b.id AS right_id, {_APART} AS distance FROM hashes a, ha
 def f4_top_templates(spark, sf_dir):
     """The five nearest of all hashes for every hash whose id is divisible by 100."""
     h = _hashes(spark, sf_dir)
-    return S.top_templates(S.hamming_of_each(h, h.where("id % 100 = 0"), 24))
+    return H.nearest(h, h.where("id % 100 = 0"), 5, 24)
 
 
 @query("SELECT p_partkey, round(0.7 * (p_size / 50.0::DOUBLE) + 0.3 * greatest(1 - (p_partkey % 20) / (2.0 * 6), 0), 6) AS score FROM part")
