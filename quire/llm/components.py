@@ -113,11 +113,11 @@ def _dealt(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node of ``links`` (a, b; 0 or more) but the roots."""
-    edges = stored(links.select("a", "b").where("a <> b").mapInArrow(_contract, LINKS), "edges")
+    edges = stored(links.select("a", "b").where("a <> b").mapInArrow(_contract, LINKS), "edges", few=True)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _dealt(both).mapInArrow(_star(True), LINKS)
-        after = stored(_dealt(large).mapInArrow(_star(False), LINKS), "edges")
+        after = stored(_dealt(large).mapInArrow(_star(False), LINKS), "edges", few=True)
         least = after.agg(F.min("u")).first()[0]
         if least is None or least != _OPEN:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()

@@ -78,7 +78,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     """Each different set: sid, s2, n, sketch, one of its documents, its least id, and a number, which holds once the rows are stored."""
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sum")).alias("one")
     sets = rows.where("n > 0").groupBy("sid", "s2").agg(F.max("n").alias("n"), one, F.min("sketch").alias("sketch"))
-    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    return stored(sets.withColumn("node", F.monotonically_increasing_id()), "sets", few=True)
 
 
 def needed(n: Column) -> Column:
@@ -103,7 +103,7 @@ def _rare(sets: DataFrame) -> DataFrame:
     placed = shared.withColumn("place", F.row_number().over(own.orderBy("often", "v"))).withColumn("alike", F.count("*").over(own))
     held = F.least("n", F.lit(K))
     # Values that no other set has come first of all.
-    return stored(placed.where(F.col("place") <= held - needed(F.col("n")) + 1 - (held - F.col("alike"))).select("node", "v"), "rare-retained")
+    return stored(placed.where(F.col("place") <= held - needed(F.col("n")) + 1 - (held - F.col("alike"))).select("node", "v"), "rare-retained", few=True)
 
 
 def common(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +139,10 @@ def _overlapping(sets: DataFrame, lists: DataFrame) -> DataFrame:
 def _edges(sets: DataFrame) -> DataFrame:
     """``a``, ``b``, ``n``: pairs that overlap enough, and the sets of long lists with their leaders."""
     rare = _rare(sets)
-    lists = stored(rare.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("many"), F.min("node").alias("lead")).where("many > 1"), "lists")
+    lists = stored(rare.groupBy(F.col("v").alias("_v")).agg(F.count("*").alias("many"), F.min("node").alias("lead")).where("many > 1"), "lists", few=True)
     listed = rare.join(lists, F.col("v") == F.col("_v"))
     led = listed.where((F.col("many") > LIST) & (F.col("node") != F.col("lead"))).groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
-    return stored(_overlapping(sets, listed.where(F.col("many") <= LIST).select("v", "node")).unionByName(led), "overlaps")
+    return stored(_overlapping(sets, listed.where(F.col("many") <= LIST).select("v", "node")).unionByName(led), "overlaps", few=True)
 
 
 def links_of(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def links_of(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.
 def _confirmed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Links (a, b) that make the components within each group of ``wanted`` (node, _id, sum, and its group: k, lane, x, y)."""
     group = ["k", "lane", "x", "y"]
-    jobs = stored(wanted.groupBy("node", "_id", "sum").agg(F.collect_list(F.struct(*group)).alias("jobs")), "jobs")
+    jobs = stored(wanted.groupBy("node", "_id", "sum").agg(F.collect_list(F.struct(*group)).alias("jobs")), "jobs", few=True)
     sent = J._texts(docs, jobs).select("node", "text", F.explode("jobs").alias("job")).select("job.*", "node", "text")
     sent = sent.repartition(*group).sortWithinPartitions(*group)
 
@@ -190,11 +190,11 @@ def _roots(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``node`` and ``root`` of the sets that have links."""
     edges = _edges(sets)
     places = sets.select("node", F.col("one.doc_id").alias("_id"), F.col("one.sum").alias("sum"), "n", F.lit(0).alias("crowd"))
-    members = stored(J._crowds(places, components(edges)), "crowds")
+    members = stored(J._crowds(places, components(edges)), "crowds", few=True)
     large = members.where("large")
     if not large.head(1):
         return components(_confirmed(docs, J._blocks(members)))
-    led = stored(_confirmed(docs, J._with_leaders(large, edges)), "links-of-leaders")
+    led = stored(_confirmed(docs, J._with_leaders(large, edges)), "links-of-leaders", few=True)
     placed = large.join(components(led).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy(F.col("crowd").alias("_crowd")).agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("_crowd")
     rest = members.where("NOT large").unionByName(large.join(apart, F.col("crowd") == F.col("_crowd"), "left_semi"))
@@ -208,7 +208,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = _sets(rows)
     placed = sets.join(_roots(docs, sets).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("sid", "s2", F.coalesce("root", "node").alias("root"), F.col("one.doc_id").alias("least"))
     least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    answers = stored(placed.join(least, F.col("root") == F.col("_root")).select(F.col("sid").alias("_sid"), F.col("s2").alias("_s2"), "component_id"), "components")
+    answers = stored(placed.join(least, F.col("root") == F.col("_root")).select(F.col("sid").alias("_sid"), F.col("s2").alias("_s2"), "component_id"), "components", few=True)
     rows = rows.drop("sketch")
     linked = rows.where("n > 0").join(sized_broadcast(answers, BROADCAST_BYTES), (F.col("sid") == F.col("_sid")) & (F.col("s2") == F.col("_s2")))
     out = linked.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)

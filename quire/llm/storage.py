@@ -36,12 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, and read by column.
 
-    What was shuffled for it goes once it is written, instead of when the driver happens to collect its garbage.
+    What was shuffled for it goes once it is written, instead of when the driver happens to collect its garbage. ``few`` is
+    for tables of ids, links and counts: a task for each core writes a file of several partitions, as they have few rows each.
     """
     spark = df.sparkSession
+    df = df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df
     path = fresh_dir(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
