@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.quantiles import percentiles
+
 
 def rate(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, 0.0 where whole is 0 or null."""
@@ -65,8 +67,10 @@ def feedback_summary(feedback: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def processing_time(jobs: DataFrame, as_of: int, days: int) -> DataFrame:
+    """One row: mean, median and 95th percentile of the seconds that jobs took, and how many there are; the percentiles are found at once."""
     d = jobs.where(in_window(as_of, days)).select(duration().alias("d")).where("d IS NOT NULL")
-    return d.agg(F.round(F.avg("d"), 1).alias("avg_seconds"), F.round(F.percentile("d", 0.5), 1).alias("p50_seconds"), F.round(F.percentile("d", 0.95), 1).alias("p95_seconds"), F.count("*").alias("n"))
+    half, most = (F.round(F.lit(p).cast("double"), 1) for p in percentiles(d, "d", (0.5, 0.95)))
+    return d.agg(F.round(F.avg("d"), 1).alias("avg_seconds"), half.alias("p50_seconds"), most.alias("p95_seconds"), F.count("*").alias("n"))
 
 
 def doc_type_distribution(jobs: DataFrame, as_of: int, days: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import inline_value, ocr_fold
+from quire.sources.scratch import stored
 
 #: Share of a label's words that must be found, and how many tokens beyond them are looked at.
 SHARE, SLACK = 0.6, 5
@@ -17,35 +18,68 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), ":+$", ""), "#+$", "")
 
 
-def _alike(word: Column, token: Column) -> Column:
+def _same(token: Column, word: Column) -> Column:
     """Either contains the other, as read or with the digits that OCR takes for letters."""
     a, b = ocr_fold(word), ocr_fold(token)
     return token.contains(word) | word.contains(token) | b.contains(a) | a.contains(b)
 
 
-def _walk(tokens: Column, words: Column, start: Column) -> Column:
-    """Matches of a label's words, in order, from a token on: ``found`` words, and the tokens' indexes ``at``.
+def _parts(text: Column, least: int, most: Column) -> Column:
+    """All parts of a text of ``least`` to ``most`` characters."""
+    upto = F.least(F.length(text), most)
+    sizes = F.when(upto >= least, F.sequence(F.lit(least), upto)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+
+#: Characters of a gram: a word has to share one with each token that contains it, shorter words themselves.
+GRAM = 3
+
 
-    A token takes as many of the next words as it is like; one that takes none is passed over once a word is found; the
-    walk ends beyond the next line.
+def _alike(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(t, w) of the different ``tokens`` and ``words`` that are alike, found by an index of both readings of either.
+
+    A token inside a word is one of the word's parts. A word inside a token shares its first ``GRAM`` characters, or all of
+    a shorter word, with it; the token's grams are looked up. Words are those of a stated set of labels, so they are short.
     """
-    state = F.struct(F.lit(0).alias("found"), F.lit(False).alias("over"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("at"))
+    both = lambda c: F.array_distinct(F.array(F.col(c), ocr_fold(F.col(c))))
+    inside = words.select("w", F.explode(F.array_distinct(F.flatten(F.transform(both("w"), lambda x: F.concat(F.array(F.lit("")), _parts(x, 1, F.length(x))))))).alias("key"))
+    held = tokens.select("t", F.explode(both("t")).alias("key"))
+    heads = words.where("w <> ''").select("w", F.explode(F.transform(both("w"), lambda x: F.substring(x, 1, GRAM))).alias("key"))
+    grams = tokens.select("t", F.explode(F.array_distinct(F.flatten(F.transform(both("t"), lambda x: _parts(x, 1, F.lit(GRAM)))))).alias("key"))
+    met = held.join(inside, "key").select("t", "w").unionByName(grams.join(heads, "key").select("t", "w"))
+    everything = tokens.crossJoin(F.broadcast(words.where("w = ''").limit(1))).select("t", "w")  # an empty word, of which there is one at most, is in all
+    return met.where("w <> ''").where(_same(F.col("t"), F.col("w"))).unionByName(everything).distinct()
+
+
+def _label_words(aliases: DataFrame) -> DataFrame:
+    """field_key, label, n (its words), and its words (k, w, weight). A word that is empty once cleaned is like every token, so the
+    token of the word before it takes it as well: it adds to that word's weight."""
+    words = F.transform(F.split(F.lower(F.trim("label")), r"\s+"), _clean)
+    start = F.array().cast("array<struct<w:string,weight:int>>")
+    last = lambda s: F.element_at(s, -1)
+    longer = lambda s: F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["w"].alias("w"), (last(s)["weight"] + 1).alias("weight"))))
+    step = lambda s, w: F.when((w == "") & (F.size(s) > 0), longer(s)).otherwise(F.concat(s, F.array(F.struct(w.alias("w"), F.lit(1).alias("weight")))))
+    named = aliases.select("field_key", "label").distinct().select("field_key", "label", F.size(words).alias("n"), F.aggregate(words, start, step).alias("words"))
+    return named.select("field_key", "label", "n", F.col("words.weight").alias("weights"), F.posexplode("words").alias("k", "x")).select("field_key", "label", "n", "weights", "k", "x.w")
+
+
+def _walk(ahead: Column, weights: Column, n: Column) -> Column:
+    """Matches of a label's words, in order, from a token on: ``found`` words, and the tokens' indexes ``at``.
 
-    def taken(found: Column, token: Column) -> Column:
-        rest = F.slice(words, found + 1, F.size(words))
-        run = F.aggregate(rest, F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda r, w: F.struct((r["k"] + F.when(r["on"] & _alike(w, token["t"]), 1).otherwise(0)).alias("k"), (r["on"] & _alike(w, token["t"])).alias("on")))
-        return run["k"]
+    ``ahead`` has the tokens from there on that are like some word of the label (i, line, ks: the words). A token takes as
+    many of the next words as it is like; one that takes none is passed over; the walk ends beyond the next line, and
+    ``SLACK`` tokens after as many as the label has words.
+    """
+    first = F.get(ahead, 0)
+    near = F.filter(ahead, lambda x: (x["i"] < first["i"] + n + SLACK) & (F.abs(x["line"] - first["line"]) <= 1))
+    state = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("at"))
 
-    def step(s: Column, token: Column) -> Column:
-        none = F.size(s["at"]) == 0
-        over = s["over"] | (~none & (F.abs(token["line"] - s["line"]) > 1))
-        k = F.when(over, 0).otherwise(taken(s["found"], token))
-        return F.struct(
-            (s["found"] + k).alias("found"), (over | (none & (k == 0))).alias("over"), F.when(none & (k > 0), token["line"]).otherwise(s["line"]).alias("line"),
-            F.when(k > 0, F.array_append(s["at"], token["i"])).otherwise(s["at"]).alias("at"),
-        )
+    def step(s: Column, x: Column) -> Column:
+        run = F.aggregate(F.sequence(F.lit(0), F.size(weights)), s["k"], lambda k, _: F.when(F.array_contains(x["ks"], k), k + 1).otherwise(k))
+        return F.struct(run.alias("k"), F.when(run > s["k"], F.concat(s["at"], F.array(x["i"]))).otherwise(s["at"]).alias("at"))
 
-    return F.aggregate(F.slice(tokens, start + 1, F.size(words) + SLACK), state, step, lambda s: F.struct(s["found"].alias("found"), s["at"].alias("at")))
+    total = lambda s: F.aggregate(F.slice(weights, F.lit(1), s["k"]), F.lit(0), lambda a, w: a + w)
+    return F.aggregate(near, state, step, lambda s: F.struct(total(s).alias("found"), s["at"].alias("at")))
 
 
 def find_labels(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -54,21 +88,34 @@ def find_labels(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     ``aliases``: field_key, label, a small table. A label of one word scores the share of the token it makes up; one of
     several scores the share of its words found, if that is at least ``SHARE``. Ties go to fewer tokens, then to a label
     with a value in its last token, then to the label and the place that come first.
+
+    Words are compared with the different tokens only, by an index (``_alike``). Pages where no token is like the first
+    word of a label are left then, and on the others order and gaps are looked at where tokens are like some word.
     """
-    item = F.struct("line_number", "word_number", "token_text")
-    page = tokens.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("raw"))
-    page = page.withColumn("toks", F.transform("raw", lambda x, i: F.struct(i.alias("i"), x["line_number"].alias("line"), _clean(x["token_text"]).alias("t"))))
-    names = aliases.select("field_key", "label", F.transform(F.split(F.lower(F.trim("label")), r"\s+"), _clean).alias("words"))
-    met = page.crossJoin(F.broadcast(names))  # a stated, small table of labels against all pages
-    first = F.filter("toks", lambda x: _alike(F.get("words", 0), x["t"]))
-    single = F.transform(first, lambda x: F.struct((F.length(F.get("words", 0)) / F.greatest(F.length(x["t"]), F.lit(1))).alias("score"), F.array(x["i"]).alias("at")))
-    several = F.transform(F.transform(first, lambda x: _walk(F.col("toks"), F.col("words"), x["i"])), lambda r: F.struct((r["found"] / F.size("words")).alias("score"), r["at"].alias("at")))
-    hits = F.when(F.size("words") == 1, single).otherwise(F.filter(several, lambda r: r["score"] >= SHARE))
-    each = met.select("page_id", "field_key", "label", "raw", F.explode(hits).alias("h"))
-    last = F.get("raw", F.element_at("h.at", -1))["token_text"]
-    each = each.withColumn("inline", inline_value(last))
-    order = F.struct((-F.col("h.score")).alias("a"), F.size("h.at").alias("b"), (F.col("inline") == "").alias("c"), F.col("label").alias("d"), F.col("h.at").alias("e"))
-    best = each.groupBy("page_id", "field_key").agg(F.min_by(F.struct("label", "h.score", "inline", F.transform("h.at", lambda i: F.get("raw", i)).alias("tokens")), order).alias("m"))
+    named = tokens.select("page_id", "line_number", "word_number", "token_text", _clean(F.col("token_text")).alias("_t"))
+    words = stored(_label_words(aliases), "label-words")
+    like = stored(_alike(named.select(F.col("_t").alias("t")).distinct(), words.select("w").distinct()), "alike")
+    of = like.join(words.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
+    of = of.groupBy("t", "field_key", "label", "n", "weights").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than a label's words
+    of = stored(of.groupBy("t").agg(F.collect_list(F.struct("field_key", "label", "n", "weights", "ks")).alias("labels"), F.bool_or(F.array_contains("ks", 0)).alias("starts")), "label-tokens")
+    pages = named.join(of.where("starts"), F.col("_t") == F.col("t"), "left_semi").select(F.col("page_id").alias("_p")).distinct()
+    here = named.join(pages, F.col("page_id") == F.col("_p"), "left_semi")
+    place = Window.partitionBy("page_id").orderBy("line_number", "word_number", "token_text")
+    placed = here.withColumn("i", F.row_number().over(place) - 1).join(of, F.col("_t") == F.col("t"))
+    each = placed.select("page_id", "i", F.struct("line_number", "word_number", "token_text").alias("raw"), F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
+    reach = (words.agg(F.max("n")).first()[0] or 0) + SLACK
+    ahead = Window.partitionBy("page_id", "field_key", "label").orderBy("i").rowsBetween(0, reach)
+    item = F.struct("i", F.col("raw.line_number").alias("line"), "ks", "raw")
+    start = each.withColumn("ahead", F.when(F.col("n") > 1, F.collect_list(item).over(ahead)).otherwise(F.array(item))).where(F.array_contains("ks", 0))
+    single = F.struct(F.lit(1).alias("found"), F.array("i").alias("at"))
+    start = start.withColumn("h", F.when(F.col("n") > 1, _walk(F.col("ahead"), F.col("weights"), F.col("n"))).otherwise(single))
+    length = F.length(_clean(F.lower(F.trim("label"))))
+    start = start.withColumn("score", F.when(F.col("n") > 1, F.col("h.found") / F.col("n")).otherwise(length / F.greatest(F.col("_size"), F.lit(1)))).where((F.col("n") == 1) | (F.col("score") >= SHARE))
+    at = F.transform("h.at", lambda i: F.element_at(F.filter("ahead", lambda x: x["i"] == i), 1)["raw"])
+    start = start.select("page_id", "field_key", "label", "score", F.col("h.at").alias("at"), at.alias("tokens"))
+    start = start.withColumn("inline", inline_value(F.element_at("tokens", -1)["token_text"]))
+    order = F.struct((-F.col("score")).alias("a"), F.size("at").alias("b"), (F.col("inline") == "").alias("c"), F.col("label").alias("d"), F.col("at").alias("e"))
+    best = start.groupBy("page_id", "field_key").agg(F.min_by(F.struct("label", "score", "inline", "tokens"), order).alias("m"))
     return best.select("page_id", "field_key", "m.label", F.round("m.score", 6).alias("score"), "m.inline", "m.tokens")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import geometry as G
+from quire.sources.scratch import stored
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -116,12 +117,63 @@ def right_of_label(tokens: DataFrame, label: str, most: int = 4, gap: float = 0.
     return run.where((F.col("_stops") == 0) & (F.col("word_number") > F.col("label_word"))).select("page_id", "line_number", "label_word", "word_number", "token_text")
 
 
+#: Longest word that is looked up by its forms with characters deleted; longer ones are looked up by segments.
+LONG = 24
+
+
+def _deleted(word: Column, most: int) -> Column:
+    """The forms of a word with up to ``most`` characters deleted."""
+    forms = F.array(word)
+    for _ in range(most):
+        shorter = F.transform(forms, lambda f: F.transform(F.sequence(F.lit(1), F.greatest(F.length(f), F.lit(1))), lambda i: F.concat(F.substring(f, F.lit(1), i - 1), F.substring(f, i + 1, F.length(f)))))
+        forms = F.array_distinct(F.concat(forms, F.flatten(shorter)))
+    return forms
+
+
+def _segments(word: Column, length: Column, shift: Column, most: int) -> Column:
+    """For words of ``length`` characters, the ``most`` + 1 segments of it that ``word`` has, moved by ``shift``."""
+    parts = most + 1
+    start = lambda i: F.floor(length * i / parts).cast("int")
+    one = lambda i: F.concat_ws(":", F.lit(i), length, F.substring(word, F.greatest(start(i) + 1 + shift, F.lit(1)), start(i + 1) - start(i)))
+    return F.array(*(one(i) for i in range(parts)))
+
+
+def _token_keys(word: Column, most: int) -> Column:
+    steps = F.array(*(F.lit(i) for i in range(-most, most + 1)))
+    long = F.flatten(F.flatten(F.transform(steps, lambda more: F.transform(steps, lambda shift: _segments(word, F.length(word) + more, shift, most)))))
+    return F.when(F.length(word) <= LONG, _deleted(word, most)).when(F.length(word) > LONG + most, long).otherwise(F.concat(_deleted(word, most), long))
+
+
+def _value_keys(word: Column, most: int) -> Column:
+    return F.when(F.length(word) <= LONG, _deleted(word, most)).otherwise(_segments(word, F.length(word), F.lit(0), most))
+
+
+def near_words(tokens: DataFrame, words: DataFrame, most: int = 2) -> DataFrame:
+    """(token, word, distance) of the different ``tokens`` and ``words``, each a column of that name, at most ``most`` edits apart.
+
+    Words that are at most so many edits apart have a form in common, each with at most so many characters deleted, so an
+    equi-join of forms finds them. A long word has too many of those: of its ``most`` + 1 segments one is left untouched by
+    the edits and stands in the token, moved by no more than their number.
+    """
+    if most == 0:
+        return tokens.join(words, F.col("token") == F.col("word")).select("token", "word", F.lit(0).alias("distance"))
+    w = words.where("word IS NOT NULL").distinct()
+    lengths = w.select(F.explode(F.sequence(F.length("word") - most, F.length("word") + most)).alias("n")).agg(F.collect_set("n").alias("_ok"))
+    t = tokens.crossJoin(F.broadcast(lengths)).where(F.array_contains("_ok", F.length("token"))).select("token").distinct()  # one row
+    keyed = lambda df, c, keys: df.select(c, F.explode(F.array_distinct(keys(F.col(c), most))).alias("_key"))
+    met = keyed(t, "token", _token_keys).join(keyed(w, "word", _value_keys), "_key").select("token", "word").distinct()
+    return met.withColumn("distance", F.levenshtein("token", "word")).where(F.col("distance") <= most)
+
+
 def nearest_token(tokens: DataFrame, values: DataFrame, most: int = 2) -> DataFrame:
-    """For each value word of a page the token within ``most`` edits that is closest, the first of equals.
+    """For each value word of a page the token within ``most`` edits that is closest, the first of equals; case does not count.
 
-    Tokens and words meet per page, and only where their lengths allow it.
+    Only different tokens and words are compared (``near_words``); what is near is then found on the pages.
     """
-    v = values.select(F.col("page_id").alias("_p"), F.upper("word").alias("word"))
-    near = (F.col("page_id") == F.col("_p")) & (F.abs(F.length("token_text") - F.length("word")) <= most)
-    met = tokens.join(v, near).withColumn("distance", F.levenshtein(F.upper("token_text"), "word")).where(F.col("distance") <= most)
-    return met.groupBy("page_id", "word").agg(F.min(F.struct("distance", "line_number", "word_number", "token_text")).alias("b")).select("page_id", "word", "b.distance", "b.line_number", "b.word_number", "b.token_text")
+    named = tokens.select("page_id", "line_number", "word_number", "token_text", F.upper("token_text").alias("_t"))
+    wanted = values.select(F.col("page_id").alias("_p"), F.upper("word").alias("word")).distinct()
+    near = stored(near_words(named.select(F.col("_t").alias("token")), wanted.select("word"), most), "near-words")
+    met = named.join(near, F.col("_t") == F.col("token"))
+    best = met.groupBy("page_id", "word").agg(F.min(F.struct("distance", "line_number", "word_number", "token_text")).alias("b"))
+    best = best.join(wanted.withColumnRenamed("word", "_w"), (F.col("page_id") == F.col("_p")) & (F.col("word") == F.col("_w")), "left_semi")
+    return best.select("page_id", "word", "b.distance", "b.line_number", "b.word_number", "b.token_text")

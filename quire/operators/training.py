@@ -44,15 +44,23 @@ def export_lines(groups: DataFrame) -> DataFrame:
 
 
 def balanced(pairs: DataFrame, key: str, order: str, seed: int = 42) -> DataFrame:
-    """Each class as often as the largest: every row once, and the rest drawn again by a seeded hash, the lowest first, round after round."""
-    size = pairs.groupBy(key).agg(F.count("*").alias("_n"))
-    top = size.agg(F.max("_n").alias("_top"))
-    p = pairs.join(size, key).crossJoin(F.broadcast(top))  # one row
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))), order)) - 1
+    """Each class as often as the largest: every row once, and the rest drawn again by a seeded hash, the lowest first, round after round.
+
+    A row's place in its class is the number of rows in the cells of the hash before its own, and its place in the cell, so a
+    class is spread over its 65,536 cells. Rows without a class are left out.
+    """
+    hashed = pairs.where(F.col(key).isNotNull()).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))))
+    hashed = hashed.withColumn("_cell", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    cells = hashed.groupBy(key, "_cell").agg(F.count("*").alias("_c"))
+    every = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_c").over(every.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), before.alias("_before"), F.sum("_c").over(every).alias("_n"))
+    top = hashed.groupBy(key).agg(F.count("*").alias("_c")).agg(F.max("_c").alias("_top"))
+    own = F.row_number().over(Window.partitionBy(key, "_cell").orderBy("_h", order)) - 1
+    p = hashed.withColumn("_own", own).join(cells, (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_at"))).crossJoin(F.broadcast(top))  # one row
     whole = F.floor(F.col("_top") / F.col("_n"))
-    times = whole + F.when(F.col("_rank") < F.col("_top") - whole * F.col("_n"), 1).otherwise(0)
-    p = p.withColumn("_rank", rank).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    return p.drop("_n", "_top", "_rank")
+    times = whole + F.when(F.col("_before") + F.col("_own") < F.col("_top") - whole * F.col("_n"), 1).otherwise(0)
+    return p.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*pairs.columns, "copy")
 
 
 def retrain_due(labels: DataFrame, models: DataFrame, kind: str, least: int = 20) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from quire import bindings as B
 from quire.bindings import with_sql
-from quire.operators import state as S, views as V
+from quire.operators import state as S, templates as A, views as V
 from quire.plans.registry import query
+from quire.sources.committed import CommittedTable, release_claims
+from quire.sources.scratch import folder
 
 _EV = """ev AS (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'NEEDS_REVIEW' END AS status, created_s AS t, event_id AS seq FROM (SELECT *, floor(epoch(ts))::BIGINT AS created_s FROM events))"""
 
@@ -78,6 +80,48 @@ def g2_upsert(spark, sf_dir):
     return S.upsert(old, new, ["c_custkey"])
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'UPDATED 2' ELSE c_mktsegment END AS segment FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 3 = 0
+UNION ALL SELECT NULL, 'NEW'""")
+def g2_committed_upsert(spark, sf_dir):
+    """All customers in a committed table; every third updated twice in a batch that is sent twice, every seventh deleted first, a null key added."""
+    c = B.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    table = CommittedTable.create(c, folder(spark, "customers"), ["c_custkey"], 16)
+    table.apply("deletes", 0, None, c.where("c_custkey % 7 = 0"))
+    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.explode(F.array(F.lit("UPDATED 1"), F.lit("UPDATED 2"))).alias("segment"))
+    for _ in range(2):
+        table.apply("updates", 0, new, None, "segment")
+    for name in ("OLD", "NEW"):
+        table.apply("nulls", int(name == "NEW"), c.limit(1).select(F.lit(None).cast("long").alias("c_custkey"), F.lit(name).alias("segment")))
+    return table.read()
+
+
+@query(f"""WITH {_EV}, {_REV} SELECT review_id, CASE WHEN gone THEN NULL ELSE claimed_by END AS claimed_by, CASE WHEN gone THEN NULL ELSE claimed_at END AS claimed_at, submitted_s
+FROM (SELECT *, submitted_s IS NULL AND 1706659200 - claimed_at > 1800 AS gone FROM rev)""")
+def j5_cleared_claims(spark, sf_dir):
+    """Reviews in a committed table, once claims that ran out are released; the batch is sent twice, the second time with a later clock."""
+    reviews = _reviews(spark, sf_dir).select("review_id", "claimed_by", "claimed_at", "submitted_s")
+    table = CommittedTable.create(reviews, folder(spark, "reviews"), ["review_id"], 16)
+    release_claims(table, "beat", 0, 1706659200)
+    release_claims(table, "beat", 0, 2000000000)
+    return table.read()
+
+
+@query("""SELECT s_suppkey AS template_id, (['AETNA', 'CIGNA', 'HUMANA'])[1 + s_nationkey % 4] AS payer_name, CASE WHEN s_suppkey % 5 = 0 THEN 'renamed' ELSE s_name END AS template_name,
+CASE WHEN s_suppkey % 5 = 0 THEN 'second' END AS description, s_suppkey % 10 <> 0 AS is_active FROM supplier WHERE s_nationkey % 4 < 3 AND s_suppkey % 7 <> 0""")
+def n14_template_admin(spark, sf_dir):
+    """Templates created where the payer is known, every fifth updated twice, every seventh deleted."""
+    s = B.table(spark, sf_dir, "supplier")
+    name = F.get(F.array(*(F.lit(p) for p in ("aetna", "Cigna", "HUMANA", "nobody"))), F.col("s_nationkey") % 4)
+    asked = s.select(F.col("s_suppkey").alias("template_id"), name.alias("payer_name"), F.lit("prior_auth").alias("doc_type"), F.col("s_name").alias("template_name"), F.lit(None).cast("string").alias("description"))
+    new = A.created(A.checked(asked, ("AETNA", "CIGNA", "HUMANA"), ("PRIOR_AUTH",)))
+    table = CommittedTable.create(new.limit(0), folder(spark, "templates"), ["template_id"], 8)
+    table.apply("admin", 0, new)
+    edits = s.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("template_id"), F.lit("renamed").alias("template_name"), (F.col("s_suppkey") % 10 != 0).alias("is_active"), F.explode(F.array(F.lit("first"), F.lit("second"))).alias("description"))
+    table.apply("admin", 1, lambda rows: A.updated(rows, edits, "description"))
+    table.apply("admin", 2, None, s.where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("template_id")))
+    return table.read().drop("doc_type")
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def g3_delete_by_job(spark, sf_dir):
     gone = B.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 # How often mismatches are gathered, and how often training again is looked into.
 HOURLY, WEEKLY = "1 hour", "7 days"
@@ -17,10 +17,13 @@ HOURLY, WEEKLY = "1 hour", "7 days"
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Per hour and field: feedback, and the different jobs among its corrections. ``events`` has created_at, a timestamp.
 
-    Distinct counts are not there for streams, so the jobs of a window are gathered as a set; late rows are taken for an hour.
+    Distinct counts are not there for streams, so a job's first correction in an hour and field stands for all; the state is
+    a row for each of those, dropped with its hour. Late rows are taken for an hour.
     """
-    w = events.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour").alias("w"), "field_key")
-    g = w.agg(F.count("*").alias("n"), F.size(F.collect_set(F.when(F.col("feedback_type") == "correction", F.col("job_id")))).cast("long").alias("corrected_jobs"))
+    timed = events.withWatermark("created_at", late).withColumn("w", F.window("created_at", "1 hour"))
+    first = timed.where("feedback_type = 'correction' AND job_id IS NOT NULL").dropDuplicates(["w", "field_key", "job_id"])
+    each = timed.select("w", "field_key", F.lit(1).alias("n"), F.lit(0).alias("c")).unionByName(first.select("w", "field_key", F.lit(0).alias("n"), F.lit(1).alias("c")))
+    g = each.groupBy("w", "field_key").agg(F.sum("n").alias("n"), F.sum("c").alias("corrected_jobs"))
     return g.select(F.unix_seconds("w.start").alias("hour_s"), "field_key", "n", "corrected_jobs")
 
 
@@ -34,56 +37,99 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return s.agg(F.count("*").alias("n")).select("review_id", F.unix_seconds("w.start").alias("start_s"), "n")
 
 
-def claims(attempts: DataFrame, expiry: int = 1800) -> DataFrame:
-    """Claim attempts (review_id, user_id, at in seconds) as a stream of grants and refusals; the state is who holds a review since when.
+class _InOrder(StatefulProcessor):
+    """Folds each key's rows in the order of event time, however they are dealt to micro-batches.
 
-    A claim that nobody renews is dropped by a timer, so that state is kept of open claims only.
+    A row waits until the watermark has passed its time, so none that counts can come before it any more; then ``fold(state,
+    rows)`` takes what is due, sorted by time and ``seq``, and returns the new state and a column of answers. State that
+    has not been used for ``keep`` seconds of event time is dropped by a timer, which also runs by event time alone.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        holder, since = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+    def __init__(self, row: str, state: str, keep: int, fold: Callable[[tuple | None, list[tuple]], tuple[tuple, list]], answer: str, key: str):
+        self.row, self.state, self.keep, self.fold, self.answer, self.key = row, state, keep, fold, answer, key
+        self.columns = [c.split()[0] for c in row.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.held = handle.getValueState("held", self.state + ", used long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(int(x) for x in r) for part in rows for r in part[self.columns].itertuples(index=False)]
+        self.waiting.appendList(new)
+        self._wake(min(r[0] for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() // 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due, later = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
+        state = tuple(self.held.get()) if self.held.exists() else None
+        if due:
+            state, answers = self.fold(state and state[:-1], due)
+            state = (*state, due[-1][0])
+            self.held.update(state)
+            self.waiting.put(later) if later else self.waiting.clear()
+            yield pd.DataFrame({self.key: key[0], **dict(zip(self.columns, zip(*due))), self.answer: answers})
+        if later:
+            self._wake(min(r[0] for r in later))
+        elif state is not None and now > state[-1] + self.keep:
+            self.held.clear()
+        elif state is not None:
+            self._wake(state[-1] + self.keep + 1)
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(at * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: DataFrame, key: str, columns: str, late: str, **how) -> DataFrame:
+    """The stream ``rows`` (key, ``columns``: at in seconds first, then seq) with the column ``answer``, in the order of time."""
+    timed = rows.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", late)
+    out = f"{key} long, {columns}, {how['answer']} boolean"
+    return timed.groupBy(key).transformWithStateInPandas(_InOrder(columns, key=key, **how), out, "Append", "EventTime")
+
+
+def claims(attempts: DataFrame, expiry: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """Claim attempts (review_id, user_id, at in seconds, seq) as a stream of grants and refusals; the state is who holds a review since when.
+
+    A claim expires by the attempts' own time: it is dropped once the watermark is ``expiry`` seconds past it. Attempts that
+    come later than ``late`` behind the newest are dropped; the others are judged in order, however they are batched.
+    """
+
+    def fold(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list]:
+        holder, since = state or (None, None)
         granted = []
-        for user, at in zip(rows["user_id"], rows["at"]):
+        for at, _, user in rows:
             ok = holder is None or holder == user or at - since > expiry
-            granted.append(bool(ok))
+            granted.append(ok)
             if ok:
-                holder, since = int(user), int(at)
-        state.update((holder, since))
-        state.setTimeoutDuration((expiry + 1) * 1000)
-        yield pd.DataFrame({"review_id": key[0], "user_id": rows["user_id"], "at": rows["at"], "seq": rows["seq"], "granted": granted})
+                holder, since = user, at
+        return (holder, since), granted
 
-    out = "review_id long, user_id long, at long, seq long, granted boolean"
-    return attempts.groupBy("review_id").applyInPandasWithState(step, out, "holder long, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _in_order(attempts, "review_id", "at long, seq long, user_id long", late, state="holder long, since long", keep=expiry, fold=fold, answer="granted")
 
 
-def limited(requests: DataFrame, per_minute: float = 60, burst: int = 10, evict: int = 300) -> DataFrame:
-    """Requests (client, at in seconds, seq) with whether a token bucket lets them pass.
+def limited(requests: DataFrame, per_minute: float = 60, burst: int = 10, evict: int = 300, late: str = "10 minutes") -> DataFrame:
+    """Requests (client, at in seconds, seq) with whether a token bucket lets them pass, in the order of their own time.
 
     The bucket of a client that is silent for more than ``evict`` seconds is forgotten, and the client's next one is full.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tokens, last = state.get if state.exists else (float(burst), None)
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+    def fold(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list]:
+        tokens, last = state or (float(burst), None)
         passed = []
-        for at in rows["at"]:
+        for at, _ in rows:
             silent = 0 if last is None else at - last
             tokens = float(burst) if silent > evict else min(float(burst), tokens + silent * per_minute / 60.0)
-            last = float(at)
+            last = at
             passed.append(tokens >= 1.0)
             tokens -= passed[-1]
-        state.update((tokens, last))
-        state.setTimeoutDuration((evict + 1) * 1000)
-        yield pd.DataFrame({"client": key[0], "at": rows["at"], "seq": rows["seq"], "passed": passed})
+        return (tokens, last), passed
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client long, at long, seq long, passed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _in_order(requests, "client", "at long, seq long", late, state="tokens double, last long", keep=evict, fold=fold, answer="passed")
 
 
 def idempotent_sink(path: str, key: str = "batch_id"):
@@ -95,16 +141,17 @@ def idempotent_sink(path: str, key: str = "batch_id"):
     return write
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", timers: bool = False) -> DataFrame:
-    """Runs a stream over all that is there and returns what it wrote.
+#: Keeps the state of operators with timers on the executors' disks, with changes and snapshots in the checkpoint.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    ``timers`` says that it has timers by the clock, which would ask for batches without data without end: those are off then.
-    """
-    spark, key = df.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and returns what it wrote."""
+    spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(idempotent_sink(path))
     try:
-        spark.conf.set(key, str(not timers).lower())
+        spark.conf.set(key, STATE_STORE)
         q = writer.start()
     finally:
         spark.conf.set(key, before)
