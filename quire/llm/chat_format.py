@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.native import let
+from quire.llm.native import let, parts_of, running
 from quire.llm.storage import stored
 
 
@@ -158,15 +158,10 @@ def format_trees(messages: DataFrame, template: Template = TEMPLATE, top: int =
 
 
 def loss_mask(turns: Column, closing: int) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        return let(
-            F.struct((acc["at"] + F.length(x["head"])).alias("s"), (acc["at"] + F.length(x["head"]) + F.length(x["text"])).alias("e")),
-            lambda span: F.struct((span["e"] + closing).alias("at"), F.when(x["learned"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out")),
-        )
-
-    return F.aggregate("turns", start, step, lambda acc: acc["out"])
+    """[start, end) of the learned texts among ``turns`` (head, text, learned), each followed by ``closing`` characters."""
+    steps = F.transform(turns, lambda x: F.length(x["head"]) + F.length(x["text"]) + closing)
+    spans = lambda after: F.transform(turns, lambda x, i: F.when(x["learned"], F.struct((F.get(after, i) - closing - F.length(x["text"])).alias("s"), (F.get(after, i) - closing).alias("e"))))
+    return let(running(steps, lambda at, x: at + x), lambda after: F.filter(spans(after), lambda x: x.isNotNull()))
 
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
@@ -174,7 +169,7 @@ def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     parts = let(F.split("formatted", _literal(template.open), -1), lambda x: F.slice(x, F.lit(2), F.size(x) - 1))
     body = lambda x: F.substring(x, F.lit(1), F.length(x) - len(template.close))
     turn = lambda x: let(F.instr(x, template.sep), lambda at: F.struct(_unescape_role(F.substring(x, F.lit(1), at - 1), template).alias("role"), unescape(F.substring(x, at + len(template.sep), F.length(x)), template).alias("text")))
-    learned = F.transform("mask", lambda m: unescape(F.substring("formatted", m["s"] + 1, m["e"] - m["s"]), template))
+    learned = F.transform(parts_of(F.col("formatted"), F.col("mask")), lambda x: unescape(x, template))
     return formatted.withColumns({"turns": F.transform(F.transform(parts, body), turn), "learned": learned})
 
 

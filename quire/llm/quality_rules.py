@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade whose order comes from measured cost and selectivity.
 
 Each rule rejects a text on a few counts. A sample of the corpus gives every rule's cost (the time its
-counts take, beyond that of a job that does nothing) and selectivity (the share it rejects); rules then run in descending
-rejection per cost, and a text that one rule rejects is not put to the later ones. ``verdicts`` has to report the base counts
+counts take, beyond that of a job that does nothing) and selectivity (the share it rejects of what the rules before it
+leave); rules then run in descending rejection per cost, and a text that one rule rejects is not put to the later ones. ``verdicts`` has to report the base counts
 of every text, so there the rules on counts cost nothing more; the others run only on texts that the base lets pass. The order changes the work, never the verdict: a text
 is kept if and only if no rule rejects it.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from quire.llm.storage import stored
 
 REPEAT_WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: About as many rows, chosen by a hash of the text, as cost and selectivity are estimated on; verdicts never depend on it.
+#: About as many rows, chosen by a hash of id and text, as cost and selectivity are estimated on; verdicts never depend on it.
 SAMPLE_ROWS = 2000
 ELLIPSIS = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*\z"
 BULLET = r"\A[\x20\x09-\x0D]*[-*\x{2022}]"
@@ -152,38 +153,84 @@ class RuleCost:
     rejected: float
 
 
-def sampled(docs: DataFrame, text: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, the same ones whenever the table is the same: those whose text hashes to a multiple."""
+def sampled(docs: DataFrame, text: str, rows: int, keys: Sequence[str] = ()) -> DataFrame:
+    """About ``rows`` rows, the same ones whenever the table is the same: those whose text and ``keys`` hash to a multiple.
+
+    With an id among the keys, copies of a text are drawn each for itself. Rows that repeat all of it could come together;
+    more than four times as many rows never come.
+    """
     every = max(1, docs.count() // rows)
-    return docs.where(F.pmod(F.xxhash64(text), F.lit(every)) == 0)
+    return docs.where(F.pmod(F.xxhash64(text, *keys), F.lit(every)) == 0).limit(4 * rows)
+
+
+#: Seconds that a rule is timed for at least, beyond a job that does nothing, and most copies of the sample it is put to.
+TIMED_SECONDS, MOST_COPIES = 0.1, 256
+#: Rejection per cost that differs by no more than this factor counts as equal.
+ALIKE = 2.0
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[RuleCost]:
-    """Every rule's time over, and rejected share of, a sample of about ``sample_rows`` rows.
+    """Every rule's time over, and rejected share of, a sample of about ``sample_rows`` rows, in the order that they should run.
 
-    A rule runs twice, and the second time counts: in the first its code is compiled.
+    What a rule costs for a character is measured once in an application, on the first sample that it is asked for: the rule
+    is put to that so often within one job that it takes about ``TIMED_SECONDS`` longer than a job that does nothing, and of
+    two such jobs the faster counts; before anything is timed each rule has run once, so that its code is compiled. Times vary,
+    but the order does not vary with them from one call to the next. ``rejected`` is a share of what the rules before it leave.
     """
-    sample = stored(sampled(docs.select(F.coalesce(text, F.lit("")).alias(text)), text, sample_rows), "rule-sample")
+    keys = [c for c in ("doc_id",) if c in docs.columns and c != text]
+    slim = docs.select(*keys, F.coalesce(text, F.lit("")).alias(text))
+    sample = stored(sampled(slim, text, sample_rows, keys).select(text), "rule-sample")
+    patterns = sample.groupBy(F.array(*(r.rejects(F.col(text)) for r in rules)).alias("hit")).agg(F.count("*").alias("n"), F.sum(F.length(text) + 1).alias("chars")).collect()
+    chars = sum(p.chars for p in patterns) or 1
+    app = docs.sparkSession.sparkContext.applicationId
+    if new := [r for r in rules if (app, r) not in _COSTS]:
+        for rule, seconds in zip(new, _timed(sample, new, text)):
+            _COSTS[app, rule] = seconds / chars
+    return in_order({r.name: _COSTS[app, r] * chars for r in rules}, [(frozenset(r.name for r, hit in zip(rules, p.hit) if hit), p.n) for p in patterns])
+
+
+#: Seconds a character, by application and rule.
+_COSTS: dict[tuple[str, Rule], float] = {}
+
 
-    def timed(rejects: Column) -> tuple[float, int, int]:
-        job = sample.select(F.count("*"), F.count_if(rejects))
-        job.first()
+def _timed(sample: DataFrame, rules: Sequence[Rule], text: str) -> list[float]:
+    """The seconds that each rule takes for the sample."""
+
+    def job(rejects: Column, copies: int) -> float:
         began = time.perf_counter()
-        n, rejected = job.first()
-        return time.perf_counter() - began, n, rejected
-
-    idle = timed(F.col(text).isNull())[0]
-    out = []
-    for rule in rules:
-        seconds, n, rejected = timed(rule.rejects(F.col(text)))
-        out.append(RuleCost(rule.name, max(1e-3, seconds - idle), rejected / max(1, n)))
+        sample.select(text, F.explode(F.sequence(F.lit(1), F.lit(copies)))).agg(F.count_if(rejects)).first()
+        return time.perf_counter() - began
+
+    tests = [r.rejects(F.col(text)) for r in rules]
+    for t in tests:
+        job(t, 1)
+    idle = min(job(F.col(text).isNull(), 1) for _ in range(4))
+    copies = [min(MOST_COPIES, ceil(TIMED_SECONDS / max(1e-6, job(t, 1) - idle))) for t in tests]
+    return [max(1e-6, min(job(t, n) for _ in range(2)) - idle) / n for t, n in zip(tests, copies)]
+
+
+def in_order(seconds: dict[str, float], rejected: Sequence[tuple[frozenset[str], int]]) -> list[RuleCost]:
+    """The rules by rejection per cost, each by what those before it leave; ``rejected`` counts texts by the rules that reject them.
+
+    Times vary, so rules within ``ALIKE`` of the best are ordered by name, as are those that reject nothing more.
+    """
+    left, out = [(names, n) for names, n in rejected], []
+    rest = sorted(seconds)
+    while rest:
+        total = sum(n for _, n in left)
+        share = {r: sum(n for names, n in left if r in names) / total if total else 0.0 for r in rest}
+        most = max(share[r] / seconds[r] for r in rest)
+        best = next(r for r in rest if share[r] / seconds[r] * ALIKE >= most)
+        out.append(RuleCost(best, seconds[best], share[best]))
+        rest.remove(best)
+        left = [(names, n) for names, n in left if best not in names]
     return out
 
 
 def ordered(rules: Sequence[Rule], costs: Sequence[RuleCost]) -> list[Rule]:
-    """The rules by rejection per cost, the best first; ties by name."""
-    rank = {c.name: (-c.rejected / c.seconds, c.seconds, c.name) for c in costs}
-    return sorted(rules, key=lambda r: rank[r.name])
+    """The rules in the order of ``costs``."""
+    place = {c.name: i for i, c in enumerate(costs)}
+    return sorted(rules, key=lambda r: place[r.name])
 
 
 def first_rejection(text: Column, rules: Sequence[Rule]) -> Column:

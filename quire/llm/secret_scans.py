@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.native import let
+from quire.llm.native import let, parts_of, running
 from quire.llm.storage import cut
 
 SCOPE = 200
@@ -50,17 +50,9 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 
     def of(parts: Column) -> Column:
         whole, gaps = parts["whole"], parts["gaps"]
-        ends = F.aggregate(
-            F.sequence(F.lit(0), F.size(whole) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, i: let(
-                acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(whole, i)),
-                lambda e: F.struct(e.alias("at"), F.array_append(acc["out"], e).alias("out")),
-            ),
-            lambda acc: acc["out"],
-        )
+        steps = F.transform(whole, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
         return let(
-            ends,
+            running(steps, lambda at, x: at + x),
             lambda out: F.transform(whole, lambda m, i: F.struct((F.get(out, i) - F.length(m)).alias("s"), F.get(out, i).alias("e"), F.get(parts["of"], i).alias("g"))),
         )
 
@@ -160,24 +152,25 @@ def digest(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted ``spans`` as (s, e), those that overlap or touch as one."""
+    furthest = running(F.transform(spans, lambda x: x["e"]), lambda at, e: F.greatest(at, e))
+
+    def of(upto: Column) -> Column:
+        first = F.filter(F.transform(spans, lambda x, i: F.when((i == 0) | (x["s"] > F.get(upto, i - 1)), i)), lambda i: i.isNotNull())
+        return let(first, lambda at: F.transform(at, lambda i, j: F.struct(F.get(spans, i)["s"].alias("s"), F.get(upto, F.coalesce(F.get(at, j + 1), F.size(spans)) - 1).alias("e"))))
+
+    return let(furthest, of)
+
+
 def redact(docs: DataFrame, text: str = "text", scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every reported span but endpoints replaced by ``mark``; overlapping spans become one mark."""
     found = find(docs, text, scope).where(F.size("spans") > 0).dropDuplicates(["doc_id", "_h"])
-    merged = F.aggregate(
-        F.filter("spans", lambda x: x["k"] != KINDS.index("endpoint")),
-        F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]),
-            F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))),
-        ).otherwise(F.array_append(acc, F.struct(x["s"].alias("s"), x["e"].alias("e")))),
-    )
+    merged = let(F.filter("spans", lambda x: x["k"] != KINDS.index("endpoint")), _merged)
     cuts = found.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_fh"), merged.alias("_cuts"))
     keyed = docs.select("doc_id", text, F.xxhash64(text, F.length(text)).alias("_h"), F.struct(*docs.columns).alias("_row"))
     joined = keyed.join(cuts, keyed["doc_id"].eqNullSafe(cuts["_id"]) & (keyed["_h"] == cuts["_fh"]), "left")
-    pieces = F.transform(
-        F.col("_cuts"),
-        lambda x, i: F.concat(F.substring(F.col(text), F.coalesce(F.get("_cuts", i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get("_cuts", i - 1)["e"], F.lit(0))), F.lit(mark)),
-    )
+    gaps = F.transform("_cuts", lambda x, i: F.struct(F.coalesce(F.get("_cuts", i - 1)["e"], F.lit(0)).alias("s"), x["s"].alias("e")))
     tail = F.substring(F.col(text), F.element_at("_cuts", -1)["e"] + 1, F.length(text))
-    clean = F.when(F.coalesce(F.size("_cuts"), F.lit(0)) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col(text))
+    clean = F.when(F.coalesce(F.size("_cuts"), F.lit(0)) > 0, F.concat(F.array_join(F.transform(parts_of(F.col(text), gaps), lambda p: F.concat(p, F.lit(mark))), ""), tail)).otherwise(F.col(text))
     return joined.select(*((clean if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

@@ -3,13 +3,16 @@
 A batch is a set of signed changes: an insert adds a document's counts, a delete takes them away, a revision takes the
 old counts away and adds the new ones. A batch is summed by source, language and tokenizer version, its sums are
 written under a name of this attempt's own, and one marker file, created only if no such file exists, makes them count.
-So a batch that is committed twice, or by two drivers at once, counts once, and one that broke off counts not at all (a
-marker that was created and not written does not count, and the next attempt takes its place).
+So a batch that is committed twice, or by two drivers at once, counts once, and one that broke off counts not at all. A
+marker is written under another name and renamed, so one that is there is whole. Where a store lets a file take a name that
+is taken (object stores without a conditional put), two drivers must not commit one batch at once.
 Totals are the sum of the live deltas. ``compact`` folds the live ones into one that replaces them; a replacement counts only
 if all that it replaces is live when its turn comes, so of two that fold the same batch one counts and the other is void.
+``tidy`` writes what is live, and the names that are taken, to one manifest, and deletes markers and deltas that it replaces.
 
 Defined results: null and empty texts have no tokens but count as documents; a null source or language is a group of
-its own; repeated rows are each a document; a group whose documents are all gone stays out of the totals.
+its own; repeated rows are each a document; a group whose documents are all gone stays out of the totals; texts of any
+length are counted whole; columns of any names pass through ``counted``, and ``n_words`` and ``n_bpe`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quire.llm.native import words_of
+from quire.llm.native import unused, words_of
 from quire.llm.storage import files_for, packed, sized_broadcast, text_batches, write_packed
 
 GROUP = ("source", "lang", "tokenizer")
@@ -48,16 +51,16 @@ def encoder(vocabulary: str):
 
 
 def counted(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with ``n_bpe`` (tokens of the vocabulary) and ``n_words``."""
-    rest = [c for c in docs.columns if c != text]
-    slim = docs.select(*rest, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.col(text).alias("_text"))
-    schema = slim.drop("_text").schema.add("n_bpe", "long")
+    """``docs`` without ``text``, with ``n_bpe`` (tokens of the vocabulary) and ``n_words``, in place of columns of those names."""
+    rest = [c for c in docs.columns if c not in (text, "n_words", "n_bpe")]
+    slim = docs.select(*rest, F.size(words_of(F.col(text))).cast("long").alias("n_words"), F.col(text).alias(unused(docs.columns, "_text")))
+    schema = StructType([*slim.schema.fields[:-1], StructField("n_bpe", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary).encode_ordinary
         for batch in batches:
-            n = pa.array([len(tokens(x)) if (x := t.as_py()) else 0 for t in batch.column("_text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), n], names=schema.names)
+            n = pa.array([len(tokens(x)) if (x := t.as_py()) else 0 for t in batch.columns[-1]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=schema.names)
 
     return text_batches(slim).mapInArrow(count, schema)
 
@@ -85,7 +88,7 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame, replaces: list[str] | None = None) -> bool:
         """Makes ``changes`` (source, lang, tokenizer, n_docs, n_tokens, signed) count as ``batch``; False if they do already."""
         marker = self._path(f"commits/{batch}")
-        if self._fs.exists(marker) and self._read(marker) is not None:
+        if (self._fs.exists(marker) and self._read(marker) is not None) or batch in self._manifest()["taken"]:
             return False
         attempt = f"deltas/{batch}-{uuid.uuid4().hex}"
         rows = write_packed(summed(changes), f"{self.folder}/{attempt}")
@@ -93,18 +96,49 @@ class Rollup:
 
     def _mark(self, batch: str, what: dict) -> bool:
         marker = self._path(f"commits/{batch}")
-        self._fs.mkdirs(self._path("commits"))
-        if self._fs.exists(marker) and self._read(marker) is None:
+        if self._fs.exists(marker) and self._read(marker) is None:  # older ones were written in place, and may have broken off
             self._fs.delete(marker, False)
-        try:
-            out = self._fs.create(marker, False)
-        except Py4JJavaError as refused:  # there is one by now: the first attempt wins
-            if self._fs.exists(marker):
-                return False
-            raise refused
+        return self._put(f"commits/{batch}", what)
+
+    def _put(self, name: str, what: dict) -> bool:
+        """Whether ``what`` got the name: it is written under another one first, so no one reads the half of it."""
+        draft, final = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(name)
+        out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps(what).encode()))
         out.close()
-        return True
+        self._fs.mkdirs(final.getParent())
+        if not self._fs.exists(final) and self._fs.rename(draft, final):
+            return True
+        self._fs.delete(draft, False)
+        return False
+
+    def _manifests(self) -> list[int]:
+        folder = self._path("manifests")
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self) -> dict:
+        """The newest manifest: ``live`` batches by name, and all names ``taken`` by batches whose markers are gone."""
+        numbers = self._manifests()
+        return self._read(self._path(f"manifests/{numbers[-1]:09d}")) if numbers else {"live": {}, "taken": []}
+
+    def tidy(self, keep: int = 2) -> int:
+        """Puts the live batches and all taken names into a new manifest and deletes their markers, deltas that no live batch
+        names, and all but the last ``keep`` manifests; how many markers went. One driver at a time, and none that commits."""
+        before, live, found = self._manifest(), self.live(), self.committed()
+        numbers = self._manifests()
+        number = numbers[-1] + 1 if numbers else 0
+        if not self._put(f"manifests/{number:09d}", {"live": {n: {**w, "replaces": []} for n, w in live.items()}, "taken": sorted({*before["taken"], *found})}):
+            return 0
+        for name in found:
+            self._fs.delete(self._path(f"commits/{name}"), False)
+        named = {w["data"].split("/")[1] for w in live.values()}
+        for status in self._fs.listStatus(self._path("deltas")):
+            if status.getPath().getName() not in named:
+                self._fs.delete(status.getPath(), True)
+        for old in numbers[: max(0, len(numbers) + 1 - keep)]:
+            self._fs.delete(self._path(f"manifests/{old:09d}"), False)
+        return len(found)
 
     def _read(self, marker) -> dict | None:
         """What a marker says; None if its writing broke off."""
@@ -117,7 +151,7 @@ class Rollup:
             stream.close()
 
     def committed(self) -> dict[str, dict]:
-        """Every committed batch by name, replaced ones too."""
+        """Every batch by name that has been committed since the last manifest, replaced ones too."""
         if not self._fs.exists(self._path("commits")):
             return {}
         files = [status.getPath() for status in self._fs.listStatus(self._path("commits"))]
@@ -126,8 +160,9 @@ class Rollup:
 
     def live(self) -> dict[str, dict]:
         """The committed batches that count: neither replaced nor a replacement that came second."""
-        found = self.committed()
-        out = {name: what for name, what in found.items() if not what["replaces"]}
+        manifest = self._manifest()
+        found = {name: what for name, what in self.committed().items() if name not in manifest["taken"]}
+        out = manifest["live"] | {name: what for name, what in found.items() if not what["replaces"]}
         waiting = {name: what for name, what in found.items() if what["replaces"]}
         done = set(out)
         while waiting:

@@ -85,3 +85,25 @@ def test_other_templates_read_back(spark, template):
 def test_templates_that_cannot_be_read_back_are_refused(bad):
     with pytest.raises(ValueError):
         C.Template(**bad)
+
+
+def test_many_turns_in_one_conversation(spark):
+    """20,000 turns: masks and texts under them are linear in the conversation."""
+    import time
+
+    turns = spark.range(20_000).selectExpr("struct(id % 2 = 1 AS learned, '<h>' AS head, concat('turn ', id) AS text) AS t").groupBy().agg({"t": "collect_list"}).toDF("turns")
+    began = time.perf_counter()
+    masked = turns.select(C.F.array_join(C.F.transform("turns", lambda x: C.F.concat(x["head"], x["text"], C.F.lit("</>"))), "").alias("formatted"), C.loss_mask(C.F.col("turns"), 3).alias("mask"))
+    r = masked.select("mask", C.parts_of(C.F.col("formatted"), C.F.col("mask")).alias("parts")).first()
+    took = time.perf_counter() - began
+    assert len(r.mask) == 10_000 and sorted(r.parts) == sorted(f"turn {i}" for i in range(1, 20_000, 2)) and took < 20, took
+    print("20,000 turns:", took)
+
+
+def test_running_and_parts(spark):
+    from quire.llm.native import running
+
+    df = spark.range(1).selectExpr("transform(sequence(1, 1000), x -> CAST(x % 7 AS int)) AS v", "CAST(array() AS array<int>) AS none", "'0123456789' AS t")
+    r = df.select(running(C.F.col("v"), lambda a, x: a + x), running(C.F.col("v"), lambda a, x: C.F.greatest(a, x)), running(C.F.col("none"), lambda a, x: a + x), C.parts_of(C.F.col("t"), C.F.expr("array(named_struct('s', 1, 'e', 3), named_struct('s', 3, 'e', 3), named_struct('s', 8, 'e', 10))"))).first()
+    values = [i % 7 for i in range(1, 1001)]
+    assert r[0] == [sum(values[: i + 1]) for i in range(1000)] and r[1] == [max(values[: i + 1]) for i in range(1000)] and r[2] == [] and r[3] == ["12", "", "89"]

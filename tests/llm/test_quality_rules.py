@@ -1,8 +1,11 @@
 """Quality rules against brute force; the order of rules follows rejection per cost."""
 
+import os
 import re
 import unicodedata
 
+import pytest
+
 from quire.llm import quality_rules as Q
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -53,9 +56,27 @@ def test_cascade_keeps_the_same(spark):
 
 
 def test_order():
-    rules = [Q.Rule(x, None) for x in "abc"]
-    costs = [Q.RuleCost("a", 2.0, 0.5), Q.RuleCost("b", 1.0, 0.5), Q.RuleCost("c", 0.1, 0.0)]
-    assert [r.name for r in Q.ordered(rules, costs)] == ["b", "a", "c"]
+    """By rejection per cost of what is left: c rejects most, but nothing that b leaves."""
+    seconds = {"a": 2.0, "b": 1.0, "c": 1.0, "d": 0.1}
+    rejected = [(frozenset("bc"), 40), (frozenset("c"), 0), (frozenset("ab"), 10), (frozenset("a"), 5), (frozenset(), 45)]
+    costs = Q.in_order(seconds, rejected)
+    assert [c.name for c in costs] == ["b", "a", "c", "d"]
+    assert [round(c.rejected, 3) for c in costs] == [0.5, 0.1, 0.0, 0.0]
+    assert [r.name for r in Q.ordered([Q.Rule(x, None) for x in "abcd"], costs)] == ["b", "a", "c", "d"]
+    assert [c.name for c in Q.in_order({"z": 1.0, "y": 1.5}, [(frozenset("z"), 5), (frozenset("y"), 5)])] == ["y", "z"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_the_order_is_the_same_in_ten_runs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert len({tuple(c.name for c in Q.estimate(df)) for _ in range(10)}) == 1
+
+
+def test_copies_of_a_text_are_drawn_each_for_itself(spark):
+    df = spark.createDataFrame([(i, "one text") for i in range(2000)], "doc_id long, text string")
+    assert 50 < Q.sampled(df, "text", 100, ["doc_id"]).count() < 200
+    same = spark.createDataFrame([(1, "one row")] * 2000, "doc_id long, text string")
+    assert Q.sampled(same, "text", 100, ["doc_id"]).count() <= 400
 
 
 def test_columns_with_clashing_names_pass_through(spark):

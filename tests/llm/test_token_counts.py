@@ -114,3 +114,25 @@ def test_digest_without_broadcasts(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
     assert rows() == want
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "two words", 9, "t", "b"), (2, "w " * 40_000, 9, "t", "b"), (3, None, 9, "t", "b")], "doc_id long, text string, n_words int, _text string, n_bpe string")
+    got = {r.doc_id: r for r in T.counted(docs).collect()}
+    assert got[1].n_words == 2 and got[1]._text == "t" and got[2].n_words == 40_000 and got[2].n_bpe >= 40_000 and (got[3].n_words, got[3].n_bpe) == (0, 0)
+    assert T.counted(docs).columns == ["doc_id", "_text", "n_words", "n_bpe"]
+
+
+def test_tidy_folds_markers_and_keeps_totals_and_names(spark):
+    delta = lambda n: spark.createDataFrame([("s", "en", "words", 1, n)], T.DELTA)
+    total = lambda roll: [tuple(r)[3:] for r in roll.totals().collect()]
+    roll = T.Rollup(spark, storage.fresh_dir(spark, "roll"))
+    for name, n in (("a", 5), ("b", 2), ("c", 1)):
+        roll.commit(name, delta(n))
+    roll.compact("fold")
+    assert roll.tidy() == 4 and roll.committed() == {} and total(roll) == [(3, 8)]
+    assert len([s for s in roll._fs.listStatus(roll._path("deltas"))]) == 1
+    assert not roll.commit("b", delta(7)) and not roll.commit("fold", delta(7)) and roll.commit("d", delta(4)) and total(roll) == [(4, 12)]
+    again = T.Rollup(spark, roll.folder)
+    assert again.compact("fold-2") and again.tidy() == 2 and total(again) == [(4, 12)] and not again.commit("a", delta(1))
+    assert [n for n in again.live()] == ["fold-2"]
