@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,9 +84,11 @@ def _walk(ahead: Column, weights: Column, n: Column) -> Column:
     return F.aggregate(near, state, step, lambda s: F.struct(total(s).alias("found"), s["at"].alias("at")))
 
 
-def find_labels(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+def find_labels(tokens: DataFrame, aliases: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Per page and field the best place of any of its labels: label, score, line and word of each token, inline value.
 
+    ``more`` names columns of ``tokens`` that come along with each token.
+
     ``aliases``: field_key, label, a small table. A label of one word scores the share of the token it makes up; one of
     several scores the share of its words found, if that is at least ``SHARE``. Ties go to fewer tokens, then to a label
     with a value in its last token, then to the label and the place that come first.
@@ -92,7 +96,7 @@ def find_labels(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     Words are compared with the different tokens only, by an index (``_alike``). Pages where no token is like the first
     word of a label are left then, and on the others order and gaps are looked at where tokens are like some word.
     """
-    named = tokens.select("page_id", "line_number", "word_number", "token_text", _clean(F.col("token_text")).alias("_t"))
+    named = tokens.select("page_id", "line_number", "word_number", "token_text", *more, _clean(F.col("token_text")).alias("_t"))
     words = stored(_label_words(aliases), "label-words")
     like = stored(_alike(named.select(F.col("_t").alias("t")).distinct(), words.select("w").distinct()), "alike")
     of = like.join(words.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
@@ -102,17 +106,16 @@ def find_labels(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     here = named.join(pages, F.col("page_id") == F.col("_p"), "left_semi")
     place = Window.partitionBy("page_id").orderBy("line_number", "word_number", "token_text")
     placed = here.withColumn("i", F.row_number().over(place) - 1).join(of, F.col("_t") == F.col("t"))
-    each = placed.select("page_id", "i", F.struct("line_number", "word_number", "token_text").alias("raw"), F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
+    each = placed.select("page_id", "i", F.struct("line_number", "word_number", "token_text", *more).alias("raw"), F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
+    length = F.length(_clean(F.lower(F.trim("label"))))
+    single = each.where("n = 1").select("page_id", "field_key", "label", (length / F.greatest(F.col("_size"), F.lit(1))).alias("score"), F.array("i").alias("at"), F.array("raw").alias("tokens"))
     reach = (words.agg(F.max("n")).first()[0] or 0) + SLACK
     ahead = Window.partitionBy("page_id", "field_key", "label").orderBy("i").rowsBetween(0, reach)
     item = F.struct("i", F.col("raw.line_number").alias("line"), "ks", "raw")
-    start = each.withColumn("ahead", F.when(F.col("n") > 1, F.collect_list(item).over(ahead)).otherwise(F.array(item))).where(F.array_contains("ks", 0))
-    single = F.struct(F.lit(1).alias("found"), F.array("i").alias("at"))
-    start = start.withColumn("h", F.when(F.col("n") > 1, _walk(F.col("ahead"), F.col("weights"), F.col("n"))).otherwise(single))
-    length = F.length(_clean(F.lower(F.trim("label"))))
-    start = start.withColumn("score", F.when(F.col("n") > 1, F.col("h.found") / F.col("n")).otherwise(length / F.greatest(F.col("_size"), F.lit(1)))).where((F.col("n") == 1) | (F.col("score") >= SHARE))
+    several = each.where("n > 1").withColumn("ahead", F.collect_list(item).over(ahead)).where(F.array_contains("ks", 0))
+    several = several.withColumn("h", _walk(F.col("ahead"), F.col("weights"), F.col("n"))).withColumn("score", F.col("h.found") / F.col("n")).where(F.col("score") >= SHARE)
     at = F.transform("h.at", lambda i: F.element_at(F.filter("ahead", lambda x: x["i"] == i), 1)["raw"])
-    start = start.select("page_id", "field_key", "label", "score", F.col("h.at").alias("at"), at.alias("tokens"))
+    start = single.unionByName(several.select("page_id", "field_key", "label", "score", F.col("h.at").alias("at"), at.alias("tokens")))
     start = start.withColumn("inline", inline_value(F.element_at("tokens", -1)["token_text"]))
     order = F.struct((-F.col("score")).alias("a"), F.size("at").alias("b"), (F.col("inline") == "").alias("c"), F.col("label").alias("d"), F.col("at").alias("e"))
     best = start.groupBy("page_id", "field_key").agg(F.min_by(F.struct("label", "score", "inline", "tokens"), order).alias("m"))

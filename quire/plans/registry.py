@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when imported.
-_MODULES = ("analytics", "scalars", "tokens", "search", "merge", "segments", "state", "training", "streams", "files", "corrections", "labels", "lookups", "recovery")
+_MODULES = ("analytics", "scalars", "tokens", "search", "merge", "segments", "state", "training", "streams", "files", "corrections", "labels", "lookups", "recovery", "drivers")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
