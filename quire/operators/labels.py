@@ -47,7 +47,9 @@ def _alike(tokens: DataFrame, words: DataFrame) -> DataFrame:
     inside = words.select("w", F.explode(F.array_distinct(F.flatten(F.transform(both("w"), lambda x: F.concat(F.array(F.lit("")), _parts(x, 1, F.length(x))))))).alias("key"))
     held = tokens.select("t", F.explode(both("t")).alias("key"))
     heads = words.where("w <> ''").select("w", F.explode(F.transform(both("w"), lambda x: F.substring(x, 1, GRAM))).alias("key"))
-    grams = tokens.select("t", F.explode(F.array_distinct(F.flatten(F.transform(both("t"), lambda x: _parts(x, 1, F.lit(GRAM)))))).alias("key"))
+    known = heads.agg(F.collect_set("key").alias("_known"))
+    parts = F.array_distinct(F.flatten(F.transform(both("t"), lambda x: _parts(x, 1, F.lit(GRAM)))))
+    grams = tokens.crossJoin(F.broadcast(known)).select("t", F.explode(F.array_intersect(parts, "_known")).alias("key"))  # one row
     met = held.join(inside, "key").select("t", "w").unionByName(grams.join(heads, "key").select("t", "w"))
     everything = tokens.crossJoin(F.broadcast(words.where("w = ''").limit(1))).select("t", "w")  # an empty word, of which there is one at most, is in all
     return met.where("w <> ''").where(_same(F.col("t"), F.col("w"))).unionByName(everything).distinct()
@@ -105,7 +107,7 @@ def find_labels(tokens: DataFrame, aliases: DataFrame, more: Sequence[str] = ())
     pages = named.join(of.where("starts"), F.col("_t") == F.col("t"), "left_semi").select(F.col("page_id").alias("_p")).distinct()
     here = named.join(pages, F.col("page_id") == F.col("_p"), "left_semi")
     place = Window.partitionBy("page_id").orderBy("line_number", "word_number", "token_text")
-    placed = here.withColumn("i", F.row_number().over(place) - 1).join(of, F.col("_t") == F.col("t"))
+    placed = stored(here.withColumn("i", F.row_number().over(place) - 1).join(of, F.col("_t") == F.col("t")), "label-candidates")
     each = placed.select("page_id", "i", F.struct("line_number", "word_number", "token_text", *more).alias("raw"), F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
     length = F.length(_clean(F.lower(F.trim("label"))))
     single = each.where("n = 1").select("page_id", "field_key", "label", (length / F.greatest(F.col("_size"), F.lit(1))).alias("score"), F.array("i").alias("at"), F.array("raw").alias("tokens"))
