@@ -16,7 +16,8 @@ a licence of its own takes the one of the nearest directory above it: each direc
 with the directories that have one, and the longest path wins. Every document is one output row.
 
 Defined results: null and empty texts have no lines; a null path lies in the root directory; ties in similarity go to
-the licence that sorts first; repeated rows each get their own row.
+the licence that sorts first; repeated rows each get their own row; columns beside doc_id, text, path and is_license_file
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ from quire.llm.native import let
 from quire.llm.storage import cut, stored
 
 THRESHOLD = 0.6
-#: The share of the lines beyond which a term would weigh nothing: none is.
-COMMON = 1.0
 FLOOR = 0.1
 #: Most weight of a word outside the templates: that of a term in one of a thousand lines.
 UNKNOWN = 6.9

@@ -25,20 +25,28 @@ def brute(rows):
     vocab = {t for texts in L.TEMPLATES.values() for x in texts for t in terms(x)}
     df = Counter(t for ln in lines for t in set(terms(ln)) & vocab)
     n = len(lines)
-    w = {t: 0.0 if df[t] > n * L.COMMON else math.log((1 + n) / (1 + df[t])) for t in vocab}
-    vec = lambda text: {t: c * w.get(t, math.log(1 + n)) for t, c in Counter(terms(text)).items()}
+    w = {t: max(L.FLOOR, math.log((1 + n) / (1 + df[t]))) for t in vocab}
+    other = min(L.UNKNOWN, math.log(1 + n))
+    vec = lambda ts: {t: c * w.get(t, other) for t, c in Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    templates = [(name, vec(terms(x)), len(terms(x))) for name, texts in L.TEMPLATES.items() for x in texts]
+    known = {}
+
+    def close(ts, size):
+        """The closest of all templates, or of those of ``size`` terms."""
+        key = (tuple(ts), size)
+        if key not in known:
+            v = vec(ts)
+            near = [(-round(sum(v.get(a, 0) * b for a, b in t.items()) / (norm(v) * norm(t)), 4), name) for name, t, k in templates if norm(v) and norm(t) and size in (0, k) and not v.keys().isdisjoint(t)]
+            known[key] = min((f for f in near if f[0] <= -L.THRESHOLD), default=None)
+        return known[key]
 
     def best(text):
-        found = []
-        for ln in (text or "").split("\n"):
-            v = vec(ln)
-            for name, texts in L.TEMPLATES.items():
-                for x in texts:
-                    t = {a: b for a, b in vec(x).items() if b}
-                    if norm(v) and norm(t):
-                        found.append((-round(sum(v.get(a, 0) * b for a, b in t.items()) / (norm(v) * norm(t)), 4), name))
-        return min((f for f in found if f[0] <= -L.THRESHOLD), default=None)
+        """Of every line, and of every window of as many terms as a template has, across lines."""
+        ts = terms(text or "")
+        found = [close(terms(ln), 0) for ln in (text or "").split("\n") if terms(ln)]
+        found += [close(ts[i : i + k], k) for k in {k for _, _, k in templates} for i in range(max(1, len(ts) - k + 1)) if ts]
+        return min((f for f in found if f), default=None)
 
     up = lambda p: (p or "").rpartition("/")[0]
     files = {}
@@ -59,9 +67,29 @@ def brute(rows):
     return sorted(map(str, out))
 
 
+APACHE = L.TEMPLATES["Apache-2.0"][1]
+#: Notices within other words, broken into lines, with words inserted, one after the other, and shorter than their template.
+NOTICES = [
+    f"some words before it {APACHE} and some after it that no template has",
+    APACHE.replace(" ", "\n"),
+    " ".join(f"{w} uh" if i % 6 == 5 else w for i, w in enumerate(APACHE.split())),
+    "\n".join(t for texts in L.TEMPLATES.values() for t in texts),
+    "MIT license",
+    "the the the version version license",
+    "first part of the text " * 5 + "Released under the BSD 3-Clause\nLicense. " + "more of the text here " * 5,
+    "Copyright 2001 somebody\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated files",
+]
+
+
 def test_against_brute_force(spark):
     # Many lines without licence words, so that the licence words are rare.
     rows = ROWS + [(100 + i, "\n".join(f"plain{j} text{i}" for j in range(200)), f"p/{i}", False, "x") for i in range(20)]
+    rows += [(200 + i, t, f"n{i}/f", i % 2 == 0, "x") for i, t in enumerate(NOTICES)] + [(300 + i, "nothing", f"n{i}/sub/g", False, "x") for i in range(len(NOTICES))]
+    assert sorted(str(tuple(r)) for r in L.scan(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
+
+
+def test_against_brute_force_where_licence_words_are_in_most_lines(spark):
+    rows = [(i, "\n".join([APACHE, L.TEMPLATES["MIT"][0], "the license version"] * 3), f"d/{i}", False, "x") for i in range(4)] + [(50 + i, t, f"n{i}/f", False, "x") for i, t in enumerate(NOTICES)]
     assert sorted(str(tuple(r)) for r in L.scan(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
 
 
