@@ -10,7 +10,7 @@ whose strings could not be told apart from what stands around them is refused.
 
 Defined results: null text and role are empty; null turns come last; equal turns are ordered by role, then text; a
 message whose parent is missing is a root; messages in or below a cycle have no root and are left out; a null
-conversation id is a conversation of its own. One conversation is one output row, so its turns meet in one task.
+conversation id is a conversation of its own; other columns are left out. One conversation is one output row, so its turns meet in one task.
 """
 
 from __future__ import annotations

@@ -65,3 +65,22 @@ def test_cascade_is_the_verdict_in_any_order(spark, tmp_path):
         kept = docs.where(quality_rules.first_rejection(docs["text"], rules).isNull() & docs["text"].isNotNull())
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if verdict(r[1]))
     assert secret_scans.KINDS[0] == "assign"
+
+
+def test_nulls_repeats_and_other_columns(spark, tmp_path):
+    prose = lambda k, n=60: " ".join(f"{k}word{i * 7 % 97}x{i}" for i in range(n))
+    rows = [(1, prose("a"), None, None, 0, "x"), (1, prose("a"), None, None, 0, "y"), (None, prose("a"), "en", "src1", 0, "x"), (3, None, None, None, None, "x"), (4, prose("b"), "en", None, None, "x")]
+    folder = str(tmp_path / "some")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, epoch string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    assert sorted(str((r.doc_id, r.lang)) for r in docs.collect()) == ["(1, None)", "(4, 'en')", "(None, 'en')"]
+    assert set(P.run(spark, folder).columns) >= {"doc_id", "text", "epoch"}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
