@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
 ``documents``; the last adds ``epoch``. Stages are written as Parquet and read again in between.
+
+Defined results: null and empty texts fail the quality rules and go; null ids stay, and are never anyone's copy; of rows that
+repeat id and text one stays; null sources and languages are groups of their own in the mix; columns beside those of
+``documents`` are left out, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
