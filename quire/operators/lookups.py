@@ -56,9 +56,12 @@ def models(versions: DataFrame, kind: str | None = None, active: bool | None = N
     return where(versions, kind=kind and kind.upper(), is_active=active)
 
 
-def registered(versions: DataFrame, new: DataFrame) -> DataFrame:
-    """``versions`` with ``new`` (version_id, kind, metrics) added, inactive; a version that is there already stays as it is, and one comes once."""
-    fresh = last_of_each(new, ["version_id"]).join(versions.select("version_id"), "version_id", "left_anti").select("version_id", F.upper("kind").alias("kind"), "metrics", F.lit(False).alias("is_active"))
+def registered(versions: DataFrame, new: DataFrame, once: bool = True) -> DataFrame:
+    """``versions`` with ``new`` (version_id, kind, metrics) added, inactive; a version that is there already stays as it is.
+
+    ``once``: one that comes again in ``new`` is added once; otherwise every row of it is.
+    """
+    fresh = (last_of_each(new, ["version_id"]) if once else new).join(versions.select("version_id"), "version_id", "left_anti").select("version_id", F.upper("kind").alias("kind"), "metrics", F.lit(False).alias("is_active"))
     return versions.unionByName(fresh)
 
 

@@ -143,7 +143,7 @@ def j7_registered_models(spark, sf_dir):
     new = parts.where("version_id % 2 = 0").select(known(1, F.col("version_id") + 1000000), F.lit("layout").alias("kind"), F.create_map(F.lit("f1"), F.lit(0.25)).alias("metrics"))
     again = old.where("version_id.number < 5").select("version_id", "kind", F.create_map(F.lit("f1"), F.lit(9.0)).alias("metrics"))
     measured = old.where("version_id.number % 5 = 0").select("version_id").distinct().withColumn("metrics", F.create_map(F.lit("f1"), F.lit(0.5)))
-    out = L.with_metrics(L.registered(old, new.unionByName(again)), measured)
+    out = L.with_metrics(L.registered(old, new.unionByName(again), once=False), measured)
     return out.select(F.col("version_id.number").alias("version_id"), "kind", F.element_at("metrics", "f1").alias("f1"), "is_active")
 
 
