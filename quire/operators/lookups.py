@@ -15,6 +15,17 @@ TASK_QUEUES = {"process_fax": "fax_processing", "ocr_page": "fax_processing", "t
 DEFAULT_QUEUE, NORMAL_PRIORITY = "default", 6
 
 
+def page_scan(rows: DataFrame, key: str, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of ``rows`` in the order of their key (A13); null keys come first."""
+    return rows.orderBy(F.col(key).asc_nulls_first()).offset(offset).limit(limit)
+
+
+def known(asked: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``asked`` (a column ``key``) with ``exists``: whether ``rows`` have the key. A null key is never there."""
+    there = rows.select(F.col(key).alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_there", F.lit(True))
+    return asked.join(there, F.col(key) == F.col("_k"), "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_k", "_there")
+
+
 def where(rows: DataFrame, **wanted) -> DataFrame:
     """Rows whose columns have the wanted values; a wanted None leaves a column open."""
     for column, value in wanted.items():

@@ -37,6 +37,17 @@ def export_groups(labels: DataFrame) -> DataFrame:
     return truth.join(payer, "page_id")
 
 
+def review_labels(corrections: DataFrame, pages: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A label for each corrected field of a review, on the first page of its job that is no cover.
+
+    corrections: job_id, field_key, corrected_value, reviewer_id; pages: job_id, page_number, is_cover; jobs: job_id, payer,
+    doc_type. Jobs that have only covers, or are not there, give no label; of several corrections of a field each gives one.
+    """
+    first = pages.where(~F.coalesce("is_cover", F.lit(False))).groupBy("job_id").agg(F.min("page_number").alias("page_number"))
+    met = corrections.join(first, "job_id").join(jobs.select("job_id", "payer", "doc_type"), "job_id")
+    return met.select("job_id", "page_number", "field_key", F.col("corrected_value").alias("ground_truth_value"), "payer", "doc_type", F.lit("human_review").alias("source"), F.col("reviewer_id").alias("created_by"))
+
+
 def export_lines(groups: DataFrame) -> DataFrame:
     """One JSON line per page, as the trainer reads them: file_name and ground_truth, itself JSON."""
     truth = F.concat(F.lit('{"gt_parse":'), F.col("gt_parse"), F.lit("}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire import bindings as B
 from quire.bindings import with_sql
 from quire.functions.text import inline_value, storage_key, strip_label
+from quire.operators import lookups as L
 from quire.operators import views as V
 from quire.plans.registry import query
 from quire.sources import files as S
@@ -41,6 +42,28 @@ def a9_audit_rows(spark, sf_dir):
     return S.audit_rows(r, "READ")
 
 
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/tiff' WHEN 2 THEN 'image/tiff' WHEN 3 THEN 'image/png' WHEN 4 THEN 'image/jpeg' END AS kind, (strlen(html) + CASE page_id % 6 WHEN 3 THEN 8 WHEN 4 THEN 3 WHEN 5 THEN 0 ELSE 4 END)::BIGINT AS bytes FROM pages WHERE strlen(html) >= 16""")
+def a2_magic_headers(spark, sf_dir):
+    """The pages behind the first bytes of five kinds of files."""
+    from quire.functions.text import magic_type
+
+    head = F.get(F.array(*(F.unhex(F.lit(h)) for h in ("25504446", "49492A00", "4D4D002A", "89504E470D0A1A0A", "FFD8FF", ""))), (F.col("page_id") % 6).cast("int"))
+    p = B.table(spark, sf_dir, "pages").where("octet_length(html) >= 16").select("page_id", F.concat(head, F.encode("html", "UTF-8")).alias("raw"))
+    return p.select("page_id", magic_type(F.col("raw")).alias("kind"), F.octet_length("raw").cast("long").alias("bytes"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
+def a13_page_scan(spark, sf_dir):
+    return L.page_scan(B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 200, 100)
+
+
+@query("""SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS "exists" FROM customer""")
+def a13_exists(spark, sf_dir):
+    """Customers that have an order."""
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return L.known(B.table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
+
+
 @query("SELECT count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders")
 def a13_count_and_range(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))

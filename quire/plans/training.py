@@ -55,6 +55,16 @@ def d22_balanced(spark, sf_dir):
     return T.balanced(p, "cls", "doc_id").select("doc_id", "cls", "copy")
 
 
+@query(with_sql("page", """SELECT c.job_id, page_number, field_key, job_id || field_key AS ground_truth_value, payer, 'DT' || job_id % 3 AS doc_type, 'human_review' AS source, job_id % 7 AS created_by
+FROM (SELECT job_id, arg_min(payer, page_number) AS payer FROM page GROUP BY 1) c JOIN (SELECT job_id, min(page_number) AS page_number FROM page WHERE NOT is_cover GROUP BY 1) USING (job_id), (SELECT unnest(['f1', 'f2']) AS field_key)"""))
+def j8_review_labels(spark, sf_dir):
+    """Two fields of every job corrected."""
+    p = B.page(spark, sf_dir)
+    jobs = p.groupBy("job_id").agg(F.min_by("payer", "page_number").alias("payer")).withColumn("doc_type", F.concat(F.lit("DT"), F.col("job_id") % 3))
+    c = jobs.select("job_id", F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("field_key")).withColumns({"corrected_value": F.concat("job_id", "field_key"), "reviewer_id": F.col("job_id") % 7})
+    return T.review_labels(c, p, jobs)
+
+
 @query("""SELECT count(*) FILTER (created_s > 883612800) AS new_labels, count(*) FILTER (created_s > 883612800) >= 20 AS due FROM (SELECT epoch(l_shipdate)::BIGINT AS created_s FROM lineitem)""")
 def j12_retrain_due(spark, sf_dir):
     models = spark.createDataFrame([("LAYOUTLM", 883612800), ("layoutlm", 852076800), ("OTHER", 946684800)], "model_type string, created_s long")
