@@ -76,13 +76,22 @@ def ocr_quality(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     return per_page.join(pages.where("NOT is_cover").select("job_id", "page_number"), ["job_id", "page_number"]).groupBy("job_id").agg(F.avg("confidence").alias("quality"))
 
 
-def assign_lines(detections: DataFrame, gap: float = 0.02, ties: tuple[str, ...] = ()) -> DataFrame:
+def seed_lines(detections: DataFrame, gap: float = 0.015, ties: tuple[str, ...] = ()) -> DataFrame:
+    """As ``assign_lines`` does it for the seeds of templates (E2): lines from 1, a smaller gap, and no new line below a centre at 0 or above the page."""
+    lines = assign_lines(detections, gap, ties, below=0.0)
+    return lines.withColumn("line_number", F.col("line_number") + 1)
+
+
+def assign_lines(detections: DataFrame, gap: float = 0.02, ties: tuple[str, ...] = (), below: float | None = None) -> DataFrame:
     """Lines and words of detections (page_id, x0, y0, x1, y1, ...): a new line where the centre is more than ``gap``
-    below that of the detection before it; words by x within a line; ``ties`` order equal boxes."""
+    below that of the detection before it, and, if ``below`` is given, that one's is greater than it; words by x within a
+    line; ``ties`` order equal boxes."""
     cy = (F.col("y0") + F.col("y1")) / 2
     order = Window.partitionBy("page_id").orderBy("_cy", "x0", "x1", *ties)
     d = detections.withColumn("_cy", cy)
-    d = d.withColumn("_new", F.coalesce((F.col("_cy") - F.lag("_cy").over(order) > gap).cast("int"), F.lit(0)))
+    before = F.lag("_cy").over(order)
+    apart = F.col("_cy") - before > gap
+    d = d.withColumn("_new", F.coalesce((apart if below is None else apart & (before > below)).cast("int"), F.lit(0)))
     d = d.withColumn("line_number", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     words = Window.partitionBy("page_id", "line_number").orderBy("x0", "x1", "_cy", *ties)
     return d.withColumn("word_number", F.row_number().over(words) - 1).drop("_cy", "_new")

@@ -13,7 +13,10 @@ MOST_BYTES = 50 << 20
 
 
 def uploads(spark: SparkSession, path: str, tenant: str, at: str, most: int = MOST_BYTES) -> DataFrame:
-    """Files of a folder with their type, a safe name, a hash and a storage key; ``error`` says why one is turned away."""
+    """Files of a folder with their type, a safe name, a hash and a storage key; ``error`` says why one is turned away.
+
+    Spark's reader passes over files without any bytes, so those are not listed.
+    """
     files = spark.read.format("binaryFile").load(path)
     files = files.withColumns({"kind": magic_type(F.col("content")), "name": sanitized_name(F.element_at(F.split("path", "/"), -1)), "sha256": F.sha2("content", 256)})
     error = F.when(F.col("length") == 0, "EMPTY").when(F.col("length") > most, "TOO_LARGE").when(F.col("kind").isNull(), "BAD_TYPE")
@@ -65,8 +68,17 @@ def template_fields(spark: SparkSession, seeds: list[Mapping]) -> DataFrame:
 
 
 def pages_of(files: DataFrame, split: Callable, most: int = 100) -> DataFrame:
-    """Pages of files by a function of your own from an iterator of pandas frames (sha256, content) to (sha256, page_number, image)."""
-    return files.select("sha256", "content").mapInPandas(split, "sha256 string, page_number int, image binary").where(F.col("page_number") <= most)
+    """Pages of files by a function of your own from an iterator of pandas frames (sha256, content) to (sha256, page_number, image).
+
+    ``error`` says why there is no image: an encrypted file is one row without a page, and never reaches the function; pages
+    beyond the ``most`` first ones are told, not kept.
+    """
+    locked = F.coalesce((magic_type(F.col("content")) == "application/pdf") & F.contains("content", F.lit(b"/Encrypt")), F.lit(False))
+    pages = files.where(~locked).select("sha256", "content").mapInPandas(split, "sha256 string, page_number int, image binary")
+    over = F.col("page_number") > most
+    pages = pages.select("sha256", "page_number", F.when(~over, F.col("image")).alias("image"), F.when(over, "BEYOND_PAGE_LIMIT").alias("error"))
+    none = F.lit(None)
+    return pages.unionByName(files.where(locked).select("sha256", none.cast("int").alias("page_number"), none.cast("binary").alias("image"), F.lit("ENCRYPTED").alias("error")))
 
 
 def hook(send: Callable[[list], None], limit: int = 1000):
