@@ -2,7 +2,9 @@
 
 Writing: records with equal payloads of at least ``MIN_DEDUP`` bytes are stored once, by the smallest page id, and the
 others become revisit records. Every task writes archives of its own, under names that no other attempt shares, through
-a file system that both driver and executors reach; each record is a gzip member of its own. What the writing stage
+a file system that both driver and executors reach; each record is a gzip member of its own, and an archive begins with a
+warcinfo record. A record's id comes from its archive and place, so no two are alike, also where page ids repeat or are null;
+the page's id, and that of the page a revisit refers to, are fields of their own. What the writing stage
 returns is the index: file, offset, length, URL, digest, id. It is stored before anything is read, so an attempt that
 was lost leaves at most a file that no index row names.
 
@@ -16,6 +18,7 @@ URLs are written as empty; other columns are not archived.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -60,16 +63,27 @@ def plan(pages: DataFrame, min_dedup: int = MIN_DEDUP) -> DataFrame:
     return p.select("page_id", "url", F.when(kind == "response", F.col("payload")).alias("payload"), "digest", "payload_bytes", kind.alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def _record(row: dict) -> bytes:
+def _record_id(name: str, at: int) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}:{at}').urn}>"
+
+
+def _info(name: str) -> bytes:
+    """The first record of an archive."""
+    body = b"software: quire\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(name, 0)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _record(row: dict, record_id: str) -> bytes:
     page = "" if row["page_id"] is None else str(row["page_id"])
     url = (row["url"] or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:quire:page:{page}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {record_id}", f"X-Page-ID: {page}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{row['digest']}", f"X-Payload-Length: {row['payload_bytes']}",
     ]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     if row["record_type"] == "revisit":
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:quire:page:{row['refers_to']}>"]
+        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page: {row['refers_to']}"]
         body = http
     else:
         body = http + (row["payload"] or b"")
@@ -88,8 +102,8 @@ def parse(member: bytes) -> dict:
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
     body = rest[: int(fields["Content-Length"])]
-    number = lambda k: int(x) if k in fields and (x := fields[k].removeprefix("<urn:quire:page:").removesuffix(">")) else None
-    out = {"page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To")}
+    number = lambda k: int(fields[k]) if fields.get(k) else None
+    out = {"page_id": number("X-Page-ID"), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page")}
     if out["record_type"] == "revisit":
         return out | {"payload": None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
     payload = body.partition(b"\r\n\r\n")[2]
@@ -103,11 +117,10 @@ def write(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Writes ``records`` (as ``plan`` gives them) to archives in ``folder``; returns the stored index."""
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         out, at, name, names = None, 0, "", ["page_id", "url", "digest", "payload_bytes", "record_type", "refers_to"]
         store, root = _file_system(folder)
         store.create_dir(root, recursive=True)
+        squeezed = lambda raw: (z := zlib.compressobj(level, zlib.DEFLATED, 31)).compress(raw) + z.flush()
         try:
             for batch in batches:
                 places = []
@@ -117,8 +130,8 @@ def write(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = squeeze.compress(_record(row)) + squeeze.flush()
+                        at = out.write(squeezed(_info(name)))
+                    member = squeezed(_record(row, _record_id(name, at)))
                     out.write(member)
                     places.append((name, at, len(member)))
                     at += len(member)

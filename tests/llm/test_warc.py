@@ -28,6 +28,18 @@ def test_round_trip(spark):
     assert got == {1: BIG, 8: "y" * 300_000 + "\r\n\r\n"}
 
 
+def test_archives_begin_with_their_info_and_no_two_records_have_one_id(spark):
+    import gzip
+    from pathlib import Path
+
+    rows = [(9, "w", BIG, "k"), (9, "w", BIG, "k"), (None, "u", "a", "k"), (None, "u", "a", "k"), (10, "w", BIG, "k")]
+    folder = storage.fresh_dir(spark, "warc")
+    warc.archive(spark.createDataFrame(rows, SCHEMA), folder).collect()
+    files = [gzip.decompress(f.read_bytes()).decode() for f in Path(folder.removeprefix("file://")).rglob("*.warc.gz")]
+    ids = [x for t in files for x in t.split("\r\n") if x.startswith("WARC-Record-ID: <urn:uuid:")]
+    assert files and all(t.startswith("WARC/1.1\r\nWARC-Type: warcinfo\r\n") for t in files) and len(ids) == len(set(ids)) == len(rows) + len(files)
+
+
 def test_empty_table(spark):
     assert warc.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
