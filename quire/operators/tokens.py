@@ -40,12 +40,13 @@ def center_in_roi(tokens: DataFrame, roi: tuple[float, float, float, float]) ->
 
 
 def is_numeric(text: Column) -> Column:
-    return F.regexp_replace(text, "[,.-]", "").rlike(r"^[0-9]+$")
+    """Digits with commas, points and hyphens among them."""
+    return text.rlike(r"^[,.-]*[0-9][0-9,.-]*$")
 
 
 def is_date_like(text: Column) -> Column:
     """Five loose forms; a number of one or two digits and a month's first letters count."""
-    return text.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}") | text.rlike(r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}") | text.rlike(r"^\d{1,2}$") | text.rlike(r"^(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)") | text.rlike(r"^\d{4}$")
+    return text.rlike(r"^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|\d{1,2}$|\d{4}$|(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))")
 
 
 def page_confidence(tokens: DataFrame) -> DataFrame:
