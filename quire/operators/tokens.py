@@ -61,8 +61,13 @@ def line_text(tokens: DataFrame) -> DataFrame:
 
 def page_text(tokens: DataFrame) -> DataFrame:
     """Lines of a page in order, each on its own line."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"])
-    return line_text(tokens).groupBy("page_id").agg(F.array_join(lines, "\n").alias("text"))
+    return text_of_lines(line_text(tokens))
+
+
+def text_of_lines(lines: DataFrame) -> DataFrame:
+    """``page_text`` of lines (page_id, line_number, line)."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"])
+    return lines.groupBy("page_id").agg(F.array_join(ordered, "\n").alias("text"))
 
 
 def document_text(pages: DataFrame) -> DataFrame:
