@@ -96,12 +96,11 @@ def overall(fields: DataFrame, values: DataFrame, validation: DataFrame, penalty
     weighted = F.round(F.greatest(F.least(weighted, F.lit(1.0)), F.lit(0.0)), 6)
     weight = F.when(is_critical, 2.0).otherwise(1.0)
     f = f.select("job_id", "field_key", weighted.alias("w"), weight.alias("weight"), is_critical.alias("critical"), failed.alias("failed"), is_blank_strict(F.col("value")).alias("blank"))
-    present = f.where("NOT blank")
-    g = present.groupBy("job_id").agg(
-        F.sum(F.round(F.col("w") * 1e6).cast("long") * F.col("weight").cast("long")).alias("sum_w"), F.sum("weight").alias("sum_weight"), F.count_if("critical").alias("have"),
-        F.max(F.col("critical") & F.col("failed") & (F.col("w") < 0.85)).alias("bad_critical"), F.max(F.col("critical") & (F.col("w") < 0.50)).alias("low_critical"), F.max("failed").alias("any_failed"),
+    seen = lambda c: F.when(~F.col("blank"), c)
+    jobs = f.groupBy("job_id").agg(
+        F.sum(seen(F.round(F.col("w") * 1e6).cast("long") * F.col("weight").cast("long"))).alias("sum_w"), F.sum(seen(F.col("weight"))).alias("sum_weight"), F.count_if(~F.col("blank") & F.col("critical")).alias("have"),
+        F.max(seen(F.col("critical") & F.col("failed") & (F.col("w") < 0.85))).alias("bad_critical"), F.max(seen(F.col("critical") & (F.col("w") < 0.50))).alias("low_critical"), F.max(seen(F.col("failed"))).alias("any_failed"),
     )
-    jobs = fields.select("job_id").distinct().join(g, "job_id", "left")
     missing = F.lit(len(critical)) - F.coalesce("have", F.lit(0))
     score = F.coalesce(F.try_divide(F.col("sum_w"), F.col("sum_weight")) / 1e6, F.lit(0.0)) - 0.05 * missing - penalty + 1e-9  # ties round up
     return jobs.select(

@@ -94,7 +94,7 @@ def i6_decision_injection(spark, sf_dir):
 
 
 def _scores(spark, sf_dir):
-    c = B.candidate(spark, sf_dir)
+    c = B.candidate(spark, sf_dir, by_job=True)
     values = c.groupBy("job_id", "field_key").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.trim("value") != "", F.lower(F.trim("value")))).alias("different"))
     passed = c.groupBy("job_id", "field_key").agg(F.min("validation_passed").alias("passed"))
     return M.overall(M.built(c), values, passed)
