@@ -181,7 +181,17 @@ def job_status() -> dict[str, Column]:
 
 
 def raw_ocr(pages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One row per page (job_id, page_number, page_id), also without tokens: their number, mean confidence, and texts in reading order."""
-    token = F.struct("line_number", "word_number", "token_text")
-    read = tokens.groupBy("page_id").agg(F.count("*").alias("n_tokens"), F.avg("confidence").alias("confidence"), F.transform(F.array_sort(F.collect_list(token)), lambda x: x["token_text"]).alias("tokens"))
-    return pages.join(read, "page_id", "left").withColumns({"n_tokens": F.coalesce("n_tokens", F.lit(0)).cast("long"), "text": F.array_join(F.coalesce("tokens", F.array().cast("array<string>")), " ")})
+    """One row per page (job_id, page_number, page_id), also without tokens: their number, mean confidence, and text in reading order."""
+    token = F.struct("word_number", "token_text", "confidence")
+    return raw_ocr_of_lines(pages, tokens.groupBy("page_id", "line_number").agg(F.array_sort(F.collect_list(token)).alias("tokens")))
+
+
+def raw_ocr_of_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``raw_ocr`` of tokens that come by line (page_id, line_number, tokens in order): a line's text, not its tokens, is shuffled."""
+    of = lambda c: F.transform("tokens", lambda t: t[c])
+    line = F.struct("line_number", F.array_join(of("token_text"), " ").alias("text"), F.array_compact(of("confidence")).alias("said"))
+    each = lines.select("page_id", F.size("tokens").alias("n"), line.alias("line")).groupBy("page_id").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list("line")).alias("lines"))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: F.aggregate(x["said"], a, lambda b, c: b + c))  # in reading order, as it decides the last digit
+    number = F.aggregate("lines", F.lit(0), lambda a, x: a + F.size(x["said"]))
+    read = each.select("page_id", "n_tokens", F.try_divide(total, number).alias("confidence"), F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text"))
+    return pages.join(read, "page_id", "left").withColumns({"n_tokens": F.coalesce("n_tokens", F.lit(0)).cast("long"), "text": F.coalesce("text", F.lit(""))})
