@@ -70,3 +70,11 @@ def test_buckets_go_on_after_a_restart_and_a_pause(spark, tmp_path):
         want.append((client, at, seq, tokens >= 1))
         held[client] = (tokens - (tokens >= 1), at)
     assert sorted(tuple(r[c] for c in ("client", "at", "seq", "passed")) for r in got.collect()) == sorted(want)
+
+
+def test_waiting_rows_are_kept_in_blocks():
+    import numpy as np
+
+    rows = np.arange(3 * (J.BLOCK + 5)).reshape(-1, 3)
+    blocks = J._blocks(rows)
+    assert len(blocks) == 2 and (np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for (b,) in blocks]) == rows).all()
