@@ -34,14 +34,17 @@ def corrected(fields: DataFrame, alternatives: DataFrame, verified: DataFrame) -
     ``alternatives``: all candidates of a field with ``ord``, to recover a value from. ``verified``: job_id of jobs whose
     template is verified. Fields outside ``KEYS`` pass unchanged.
     """
+    # Aggregates of structs are sorted before they are sent; rows are sent first, so that an even part is sorted, not a whole file.
+    parts = int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_job = lambda df: df.repartition(parts, "job_id")
     item = F.struct("value", "confidence", "method")
-    wide = fields.where(F.col("field_key").isin(*KEYS)).groupBy("job_id").agg(*(F.max(F.when(F.col("field_key") == k, item)).cast(_FIELD).alias(k) for k in KEYS))
+    wide = by_job(fields.where(F.col("field_key").isin(*KEYS))).groupBy("job_id").agg(*(F.max(F.when(F.col("field_key") == k, item)).cast(_FIELD).alias(k) for k in KEYS))
     choice = F.struct("ord", "value", "confidence", "method")
-    alt = alternatives.where(F.col("value") != "").groupBy("job_id").agg(
+    alt = by_job(alternatives.where(F.col("value") != "")).groupBy("job_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("field_key") == "auth_expiration_date", choice))).alias("_exp"),
         F.min(F.when((F.col("field_key") == "patient_name") & (F.col("method") == "TEMPLATE_OCR"), choice)).alias("_name"),
     )
-    w = wide.join(alt, "job_id", "left").join(verified.select("job_id", F.lit(True).alias("_ok")), "job_id", "left")
+    w = wide.join(alt, "job_id", "left").join(by_job(verified.select("job_id")).withColumn("_ok", F.lit(True)), "job_id", "left")
     plain = lambda k: F.replace(_value(k), F.lit(" "), F.lit(""))
     # Units that repeat the member id; a review date that repeats the date of birth.
     w = _clear(w, (_value("member_id") != "") & (plain("units_requested") == plain("member_id")) & (F.length(plain("units_requested")) >= 6), "units_requested")

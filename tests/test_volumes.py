@@ -28,3 +28,7 @@ def test_raw_ocr_by_tokens_and_by_lines(spark):
     tokens = spark.createDataFrame([(10, 1, 0, "c", 0.5), (10, 0, 1, "b", None), (10, 0, 0, "a", 0.25)], "page_id long, line_number int, word_number int, token_text string, confidence double")
     got = L.raw_ocr(pages, tokens).orderBy("page_id").select("page_id", "n_tokens", "confidence", "text").collect()
     assert list(map(tuple, got)) == [(10, 3, 0.375, "a b c"), (11, 0, None, "")]
+
+
+def test_rows_are_sent_before_they_are_sorted_for_corrections(spark):
+    assert plan(spark, "i5_corrections").count("RepartitionByExpression [job_id") == 3
