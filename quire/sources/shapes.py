@@ -6,6 +6,8 @@ token_text, and whatever of the others there is. Missing places, confidences and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ def normalised(raw: DataFrame, payload: str = "payload") -> DataFrame:
     no text, and numbers that are none.
     """
     rows = once(raw, "_v", F.try_parse_json(payload))
-    rows = once(rows, "_x", F.struct(F.schema_of_variant("_v").alias("kind"), F.try_variant_get("_v", "$", RECORD).alias("s"))).withColumns({"_kind": F.col("_x.kind"), "_s": F.col("_x.s")})
+    opens = F.ltrim(F.col(payload), F.lit(" \t\n\r")).startswith("{")  # what is JSON and begins so is an object
+    rows = once(rows.withColumn("_object", opens), "_s", F.try_variant_get("_v", "$", RECORD))
     given = {**{f"bbox_{c}": F.col(f"_s.bbox_{c}") for c in BOX}, **{f"bbox.{c}": F.col(f"_s.bbox.{c}") for c in BOX}, **{c: F.col(f"_s.{c}") for c in (*BOX, "confidence", "line_number")}}
-    number = {k: v.try_cast("double") for k, v in given.items()}
-    spoilt = F.exists(F.array(*(F.struct(given[k].alias("s"), number[k].alias("n")) for k in given)), lambda x: x["s"].isNotNull() & x["n"].isNull())
+    rows = once(rows, "_n", F.struct(*(v.try_cast("double").alias(k.replace(".", "-")) for k, v in given.items())))
+    number = {k: F.col("_n")[k.replace(".", "-")] for k in given}
+    spoilt = reduce(lambda a, b: a | b, (v.isNotNull() & number[k].isNull() for k, v in given.items()))  # no lambda: those are not compiled
     text = F.coalesce("_s.token_text", "_s.text")
     shape = F.when(F.col("_s.token_text").isNotNull() & given["bbox_x0"].isNotNull(), "stored").when(F.col("_s.text").isNotNull() & given["bbox.x0"].isNotNull(), "detected").when(F.col("_s.text").isNotNull() & given["x0"].isNotNull(), "flat").otherwise("loose")
-    reason = F.when(F.col("_v").isNull(), "no json").when(~F.col("_kind").startswith("OBJECT"), "no object").when(F.col("_s").isNull(), "no such fields").when(text.isNull(), "no text").when(spoilt, "no number")
+    reason = F.when(F.col("_v").isNull(), "no json").when(~F.col("_object"), "no object").when(F.col("_s").isNull(), "no such fields").when(text.isNull(), "no text").when(spoilt, "no number")
     first = lambda *keys: F.coalesce(*(number[k] for k in keys), F.lit(0.0))
     out = {"text": text, **{c: first(f"bbox_{c}", f"bbox.{c}", c) for c in BOX}, "confidence": first("confidence"), "line_number": first("line_number").cast("int"), "shape": shape}
     rows = once(rows, "reason", reason)

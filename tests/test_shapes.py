@@ -131,3 +131,25 @@ def test_staged_matches(spark, seed):
     rows = {x.job_id: (x.version_id, x.sample_id, x.page_number, round(x.score, 9), x.distance, x.wide) for x in got.collect()}
     want = brute(pages, samples, orb)
     assert rows == want and {w[-1] for w in want.values()} == {True, False}
+
+
+def test_objects_and_what_is_none(spark):
+    payloads = [' \t\r\n{"text": "a", "x0": "1e1"}', "{}", ' [{"text": "a"}]', '{"text": "a", "x0": true}', '{"text": "a", "bbox": "left"}', '{"text": 1.10}', '{"text": "a", "text": "b"}', '{"text": "a", "bbox": {"y1": "?"}}', "", " ", "null"]
+    df = spark.createDataFrame(list(enumerate(payloads)), "id long, payload string")
+    got = [(r.text, r.x0, r["shape"], r.reason) for r in N.normalised(df).orderBy("id").collect()]
+    none = (None,) * 3
+    assert got[0] == ("a", 10.0, "flat", None) and got[5][0] == "1.1"
+    assert got[1] == (*none, "no text") and got[2] == (*none, "no object") and got[3] == (*none, "no number") and got[4] == ("a", 0.0, "loose", None)
+    assert got[6] == (*none, "no json") and got[7] == (*none, "no number") and [g[3] for g in got[8:]] == ["no json", "no json", "no object"]
+
+
+def test_records_are_read_by_compiled_code(spark):
+    plan = N.normalised(spark.range(1).selectExpr("id", "'{}' AS payload"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "schema_of_variant" not in plan
+
+
+def test_tokens_are_dealt_by_page(spark):
+    from quire.plans.drivers import n1_token_shapes
+
+    plan = n1_token_shapes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of texts; tokens are not shuffled
