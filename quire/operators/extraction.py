@@ -115,7 +115,7 @@ def label_values(tokens: DataFrame, aliases: DataFrame, words: tuple[str, ...] |
     label where nothing right of it has the type, and the confidence follows how near the value is to the region.
     """
     words = label_words(aliases) if words is None else words
-    pages = form_pages(tokens, aliases)
+    pages = stored(form_pages(tokens, aliases), "form-pages")
     more = ["x0", "y0", "x1", "y1", "confidence"]
     here = tokens.join(pages.select(F.col("page_id").alias("_id")), F.col("page_id") == F.col("_id"), "left_semi")
     named = aliases.groupBy(F.col("field_key").alias("_f")).agg(F.collect_set(F.lower(F.trim("label"))).alias("labels"))

@@ -96,7 +96,8 @@ def find_labels(tokens: DataFrame, aliases: DataFrame, more: Sequence[str] = ())
     with a value in its last token, then to the label and the place that come first.
 
     Words are compared with the different tokens only, by an index (``_alike``). Pages where no token is like the first
-    word of a label are left then, and on the others order and gaps are looked at where tokens are like some word.
+    word of a label are left then, and on the others order and gaps are looked at where tokens are like some word. Tokens that
+    come dealt by page stay where they are.
     """
     named = tokens.select("page_id", "line_number", "word_number", "token_text", *more, _clean(F.col("token_text")).alias("_t"))
     words = stored(_label_words(aliases), "label-words")
@@ -104,11 +105,13 @@ def find_labels(tokens: DataFrame, aliases: DataFrame, more: Sequence[str] = ())
     of = like.join(words.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
     of = of.groupBy("t", "field_key", "label", "n", "weights").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than a label's words
     of = stored(of.groupBy("t").agg(F.collect_list(F.struct("field_key", "label", "n", "weights", "ks")).alias("labels"), F.bool_or(F.array_contains("ks", 0)).alias("starts")), "label-tokens")
-    pages = named.join(of.where("starts"), F.col("_t") == F.col("t"), "left_semi").select(F.col("page_id").alias("_p")).distinct()
-    here = named.join(pages, F.col("page_id") == F.col("_p"), "left_semi")
-    place = Window.partitionBy("page_id").orderBy("line_number", "word_number", "token_text")
-    placed = stored(here.withColumn("i", F.row_number().over(place) - 1).join(of, F.col("_t") == F.col("t")), "label-candidates")
-    each = placed.select("page_id", "i", F.struct("line_number", "word_number", "token_text", *more).alias("raw"), F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
+    page = Window.partitionBy("page_id")
+    placed = named.where("page_id IS NOT NULL").join(of, F.col("_t") == F.col("t"), "left").withColumn("i", F.row_number().over(page.orderBy("line_number", "word_number", "token_text")) - 1)
+    placed = placed.withColumn("_starts", F.bool_or("starts").over(page)).where("_starts AND labels IS NOT NULL")
+    placed = stored(placed.select("page_id", "i", "_t", F.struct("line_number", "word_number", "token_text", *more).alias("raw")), "label-candidates")
+    # Shuffled once, by page, as all that follows is, and before a token has its labels and is there once for each of them.
+    each = placed.repartition("page_id").join(of, F.col("_t") == F.col("t"))
+    each = each.select("page_id", "i", "raw", F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
     length = F.length(_clean(F.lower(F.trim("label"))))
     single = each.where("n = 1").select("page_id", "field_key", "label", (length / F.greatest(F.col("_size"), F.lit(1))).alias("score"), F.array("i").alias("at"), F.array("raw").alias("tokens"))
     reach = (words.agg(F.max("n")).first()[0] or 0) + SLACK

@@ -54,3 +54,19 @@ def test_against_a_plain_scan(spark):
     for x in L.find_labels(df, aliases).collect():
         got.setdefault(x["page_id"], {})[x["field_key"]] = (x["label"], x["score"], x["inline"], [t["token_text"] for t in x["tokens"]])
     assert got == {p: found for p, toks in pages.items() if (found := plain(toks, LABELS))}
+
+
+def test_tokens_dealt_by_page_are_not_shuffled(spark, monkeypatch):
+    from quire import bindings as B
+
+    plans, write = {}, L.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(L, "stored", seen)
+    found = L.find_labels(B.ocr_token(spark, "/root/testdata/sf0.001", by_page=True), spark.createDataFrame(LABELS, "field_key string, label string"))
+    shuffles = lambda plan: [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles(plans["label-candidates"])) == 1  # of the texts
+    assert all("hashpartitioning(page_id" in x for x in shuffles(found._jdf.queryExecution().executedPlan().toString()))  # of candidates, before they are there once a label
