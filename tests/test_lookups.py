@@ -33,3 +33,10 @@ def test_registered_models_beyond_a_million_parts(spark, tmp_path):
     want = con.execute(registry.oracle_sql()["j7_registered_models"]).fetchall()
     got = registry.queries()["j7_registered_models"](spark, str(tmp_path)).select("version_id", "kind", "f1", "is_active").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_orders_are_dealt_before_their_fields_are_checked(spark):
+    from quire.plans.lookups import n6_cross_field
+
+    plan = n6_cross_field(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(o_orderkey") == 1  # of three columns; the checks come after it
