@@ -1,6 +1,7 @@
 """Answer spans for question answering (N21, J13): where a label's value stands among a page's words, by windows of the page.
 
 words: page_id, place (0-based, without gaps), text. labels: page_id, field_key, answer. White space and case do not count.
+Answers that have their page's text with them need neither a join nor the page's words (``text_spans``).
 """
 
 from __future__ import annotations
@@ -22,6 +23,28 @@ def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def _nearest(words: Column, a: Column, errors: float) -> Column:
+    """distance, first and last (indexes of ``words``) of the run of about as many words that is nearest to ``a`` within a band of edits, or null."""
+    most = F.floor(F.length(a) * errors).cast("int")
+    count = F.size(F.split(a, " "))
+    sizes = F.array_distinct(F.array(F.greatest(count - 1, F.lit(1)), count, count + 1))
+    text = lambda i, n: F.array_join(F.slice(words, i + 1, n), " ")
+    about = lambda i, n: (i + n <= F.size(words)) & (F.abs(F.length(text(i, n)) - F.length(a)) <= most)
+    run = lambda i, n: F.when(about(i, n), F.struct(F.levenshtein(text(i, n), a).alias("distance"), i.alias("first"), (i + n - 1).alias("last")))
+    runs = F.flatten(F.transform(words, lambda x, i: F.transform(sizes, lambda n: run(i, n))))
+    return F.when(most > 0, F.array_min(F.filter(runs, lambda r: r["distance"] <= most)))
+
+
+def _span(distance: Column, first: Column, last: Column) -> Column:
+    return F.struct(distance.cast("int").alias("distance"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+
+def _found(met: DataFrame, exact: Column, near: Column) -> DataFrame:
+    """The spans of ``met``, which has _from (where the plain answer stands on the page, or -1); each page is looked at once."""
+    out = once(met, "_s", F.when(F.col("_from") >= 0, exact).otherwise(near)).where("_s IS NOT NULL")
+    return out.select("page_id", "field_key", "answer", "_s.first", "_s.last", "_s.distance")
+
+
 def answer_spans(words: DataFrame, labels: DataFrame, errors: float = ERRORS) -> DataFrame:
     """page_id, field_key, answer, first and last (places of words) and ``distance`` (edits): the best run of words for each answer.
 
@@ -35,23 +58,26 @@ def answer_spans(words: DataFrame, labels: DataFrame, errors: float = ERRORS) ->
     w = w.select("page_id", "place", "t", at.alias("at"))
     asked = labels.select("page_id", "field_key", "answer", _plain(F.col("answer")).alias("a")).where("a <> ''").distinct()
     pages = w.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", "t", "at"))).alias("w"))
-    met = once(asked.join(pages, "page_id"), "_from", F.instr(F.array_join(F.transform("w", lambda x: x["t"]), " "), F.col("a")) - 1)
+    met = once(asked.join(pages, "page_id"), "_from", F.instr(F.array_join(F.col("w.t"), " "), F.col("a")) - 1)
     holds = lambda x, c: (x["at"] <= c) & (c <= x["at"] + F.length(x["t"]))
     place = lambda c: F.get(F.filter("w", lambda x: holds(x, c)), 0)["place"]
-    exact = met.where("_from >= 0").select("page_id", "field_key", "answer", place(F.col("_from")).alias("first"), place(F.col("_from") + F.length("a") - 1).alias("last"), F.lit(0).alias("distance"))
-    most = F.floor(F.length("a") * errors).cast("int")
-    count = F.size(F.split("a", " "))
-    sizes = F.array_distinct(F.array(F.greatest(count - 1, F.lit(1)), count, count + 1))
-    # A run's length follows from offsets, so only runs of about the answer's length are put together.
-    end = lambda i, n: F.get("w", i + n - 1)
-    span = lambda x, i, n: end(i, n)["at"] + F.length(end(i, n)["t"]) - x["at"]
-    text = lambda i, n: F.array_join(F.transform(F.slice("w", i + 1, n), lambda y: y["t"]), " ")
-    run = lambda x, i, n: F.when(F.abs(span(x, i, n) - F.length("a")) <= most, F.struct(x["place"].alias("first"), end(i, n)["place"].alias("last"), text(i, n).alias("t")))
-    runs = F.filter(F.flatten(F.transform("w", lambda x, i: F.transform(sizes, lambda n: run(x, i, n)))), lambda r: r.isNotNull())
-    rest = met.where(F.col("_from") < 0).where(most > 0).select("page_id", "field_key", "answer", "a", most.alias("most"), F.explode(runs).alias("r"))
-    near = rest.select("page_id", "field_key", "answer", "most", "r.first", "r.last", F.levenshtein("r.t", "a").alias("distance")).where(F.col("distance") <= F.col("most"))
-    best = near.groupBy("page_id", "field_key", "answer").agg(F.min(F.struct("distance", "first", "last")).alias("b")).select("page_id", "field_key", "answer", "b.first", "b.last", "b.distance")
-    return exact.unionByName(best)
+    exact = _span(F.lit(0), place(F.col("_from")), place(F.col("_from") + F.length("a") - 1))
+    met = once(met, "_n", F.when(F.col("_from") < 0, _nearest(F.col("w.t"), F.col("a"), errors)))
+    own = lambda c: F.get("w", F.col(f"_n.{c}"))["place"]
+    return _found(met, exact, F.when(F.col("_n").isNotNull(), _span(F.col("_n.distance"), own("first"), own("last"))))
+
+
+def text_spans(asked: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """``answer_spans`` of answers that have their page's text with them (page_id, field_key, answer, text), whose words are parted
+    by white space. Nothing is shuffled, and a text is put into words only where the answer does not stand as it is: the
+    place of a word is the number of blanks before it."""
+    met = once(asked, "_a", _plain(F.col("answer"))).where("_a <> ''")
+    met = once(once(met, "_t", _plain(F.col("text"))), "_from", F.instr("_t", F.col("_a")) - 1)
+    upto = lambda c: F.substring("_t", F.lit(1), c)
+    place = lambda c: F.length(upto(c)) - F.length(F.replace(upto(c), F.lit(" "), F.lit("")))
+    exact = _span(F.lit(0), place(F.col("_from")), place(F.col("_from") + F.length("_a") - 1))
+    near = _nearest(F.array_remove(F.split("_t", " "), ""), F.col("_a"), errors)
+    return _found(met, exact, near)
 
 
 def windows(spans: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
@@ -65,6 +91,11 @@ def windows(spans: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataF
     return placed.withColumns({"start": F.col("first") - F.col("window") * stride, "end": F.col("last") - F.col("window") * stride})
 
 
+def rows_of(spans: DataFrame, asked: Mapping[str, Sequence[str]], size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """A row for each span and each way to ask for its field: question, window, start and end."""
+    return questions(windows(spans, size, stride), asked).select("page_id", "field_key", "question", "answer", "window", "start", "end", "distance")
+
+
 def training_rows(words: DataFrame, labels: DataFrame, asked: Mapping[str, Sequence[str]], size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
-    """A row for each label and each way to ask for its field: question, window, start and end."""
-    return questions(windows(answer_spans(words, labels), size, stride), asked).select("page_id", "field_key", "question", "answer", "window", "start", "end", "distance")
+    """``rows_of`` the spans of labels among a page's words."""
+    return rows_of(answer_spans(words, labels), asked, size, stride)

@@ -84,7 +84,7 @@ def retrain_due(labels: DataFrame, models: DataFrame, kind: str, least: int = 20
 def questions(labels: DataFrame, asked: Mapping[str, Sequence[str]]) -> DataFrame:
     """A row for each label and each way to ask for its field."""
     table = labels.sparkSession.createDataFrame([(k, q) for k, qs in sorted(asked.items()) for q in qs], "field_key string, question string")
-    return labels.join(table, "field_key")
+    return labels.join(F.broadcast(table), "field_key")  # as many rows as there are ways to ask
 
 
 # The states of jobs, the methods and the marks of file names that the training set goes by.

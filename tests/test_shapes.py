@@ -64,6 +64,27 @@ def test_answer_spans(spark):
     assert got == {(p, a): s for p, ws in pages.items() for a in answers if a.strip() and (s := span(ws, a))} and any(v[2] for v in got.values())
 
 
+def test_text_spans_shuffle_no_words(spark):
+    r = random.Random(4)
+    vocabulary = ["Anna", "Smith", "member", "ID:12", "0l/02/1980", "of", "Birth", "x", "provider", "Smyth"]
+    pages = {p: [r.choice(vocabulary) for _ in range(r.randint(0, 40))] for p in range(12)}
+    text = {p: "\n" + " \t".join(ws) + " " for p, ws in pages.items()} | {99: None}
+    answers = ["anna  smith", "Anna Smithe", "01/02/1980", "12", "provider of Birth", "ember", "nowhere at all", "", "  ", None]
+    asked = spark.createDataFrame([(p, f"f{k}", a, t) for p, t in text.items() for k, a in enumerate(answers)], "page_id long, field_key string, answer string, text string")
+    found = P.text_spans(asked)
+    got = {(x.page_id, x.answer): (x.first, x.last, x.distance) for x in found.collect()}
+    assert got == {(p, a): s for p, ws in pages.items() for a in answers if a and a.strip() and (s := span(ws, a))} and any(v[2] for v in got.values())
+    rows = P.rows_of(found, {f"f{k}": ("What?", "Which?") for k in range(len(answers))})
+    assert len(rows.collect()) == 2 * len(got) and "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_n21_shuffles_no_texts(spark):
+    from quire.plans.drivers import n21_answer_spans
+
+    df = n21_answer_spans(spark, "/root/testdata/sf0.001")
+    assert df.count() and "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_windows_hold_the_span(spark):
     spans = spark.createDataFrame([(1, "f", "a", x, x + n, 0) for x in range(0, 900, 13) for n in (0, 5, 380, 400)], "page_id long, field_key string, answer string, first long, last long, distance int")
     rows = P.windows(spans).collect()
