@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.once import once
 from quire.functions.text import inline_value, ocr_fold
 from quire.sources.scratch import stored
 
@@ -16,8 +19,11 @@ SHARE, SLACK = 0.6, 5
 
 
 def _clean(text: Column) -> Column:
-    """Lower case without the colons and hashes at the end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), ":+$", ""), "#+$", "")
+    """Lower case without the colons and hashes at the end, or before an end of line there."""
+    t = F.lower(F.trim(text))
+    ends = lambda *marks: reduce(or_, (F.endswith(t, F.lit(m)) for m in marks))
+    cut = F.regexp_replace(F.regexp_replace(t, ":+$", ""), "#+$", "")
+    return F.when(ends(":", "#", "\n", "\r", "\x85", "\u2028", "\u2029"), cut).otherwise(t)  # few tokens end so
 
 
 def _same(token: Column, word: Column) -> Column:
@@ -86,32 +92,74 @@ def _walk(ahead: Column, weights: Column, n: Column) -> Column:
     return F.aggregate(near, state, step, lambda s: F.struct(total(s).alias("found"), s["at"].alias("at")))
 
 
+#: So many different words of labels are looked for in each token; more are compared with the different tokens only, by an index.
+FEW_WORDS = 32
+
+
+def _by_words(words: list) -> tuple[Column, Column]:
+    """Of a cleaned token ``_f``, as OCR reads it: whether it is like any of the ``words`` (rows of ``_label_words``), and its ``labels``, as of ``_by_index``, but with
+    null for labels that it is not like, and with -1 for such words.
+
+    Both are in lower case, so what one reading holds the other holds as OCR reads it, and one comparison is enough. Parts of
+    the words are looked up, as most tokens are none; nothing but columns that are compiled, as they see every token.
+    """
+    fold = lambda w: w.replace("0", "o").replace("1", "l")
+    t = F.col("_f")
+    folded = sorted({fold(r.w) for r in words})
+    parts = sorted({w[i:j] for w in folded for i in range(len(w) + 1) for j in range(i, len(w) + 1)})
+    like = {w: F.contains(t, F.lit(w)) | t.isin([x for x in parts if x in w]) for w in folded}
+    holds = lambda some: reduce(or_, (F.contains(t, F.lit(w)) for w in some), F.lit(False))
+    by_label = {}
+    for r in sorted(words, key=lambda r: (r.field_key or "", r.label, r.k)):
+        by_label.setdefault((r.field_key, r.label, r.n, tuple(r.weights)), []).append((r.k, fold(r.w)))
+    ints = lambda xs: F.array(*map(F.lit, xs))
+    found = [
+        F.when(reduce(or_, (like[w] for _, w in ks)), F.struct(F.lit(key).cast("string").alias("field_key"), F.lit(label).alias("label"), F.lit(n).alias("n"), ints(weights).alias("weights"), F.array(*(F.when(like[w], k).otherwise(-1) for k, w in ks)).alias("ks")))
+        for (key, label, n, weights), ks in by_label.items()
+    ]
+    return (holds(folded) | t.isin(parts) if words else F.lit(False)), F.array(*found) if words else None
+
+
+def _by_index(named: DataFrame, words: DataFrame) -> DataFrame:
+    """t and ``labels`` of the different tokens of ``named`` that are like some word: the labels, and which of their words (ks)."""
+    like = stored(_alike(named.select(F.col("_t").alias("t")).distinct(), words.select("w").distinct()), "alike")
+    of = like.join(words.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
+    of = of.groupBy("t", "field_key", "label", "n", "weights").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than a label's words
+    return stored(of.groupBy("t").agg(F.collect_list(F.struct("field_key", "label", "n", "weights", "ks")).alias("labels")), "label-tokens")
+
+
 def find_labels(tokens: DataFrame, aliases: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Per page and field the best place of any of its labels: label, score, line and word of each token, inline value.
 
-    ``more`` names columns of ``tokens`` that come along with each token.
+    ``more`` names columns of ``tokens`` that come along with each token. Where ``tokens`` has ``place`` (a token's number on its
+    page, in order), that is taken; else it is counted, which sorts all tokens.
 
     ``aliases``: field_key, label, a small table. A label of one word scores the share of the token it makes up; one of
     several scores the share of its words found, if that is at least ``SHARE``. Ties go to fewer tokens, then to a label
     with a value in its last token, then to the label and the place that come first.
 
-    Words are compared with the different tokens only, by an index (``_alike``). Pages where no token is like the first
-    word of a label are left then, and on the others order and gaps are looked at where tokens are like some word. Tokens that
-    come dealt by page stay where they are.
+    Few words are looked for in every token as it is read (``_by_words``); more are compared with the different tokens only
+    (``_by_index``). Order and gaps are looked at where tokens are like some word. Tokens that come dealt by page stay where they are.
     """
-    named = tokens.select("page_id", "line_number", "word_number", "token_text", *more, _clean(F.col("token_text")).alias("_t"))
+    named = tokens.where("page_id IS NOT NULL").select("page_id", "line_number", "word_number", "token_text", *more, *(["place"] if "place" in tokens.columns else []))
     words = stored(_label_words(aliases), "label-words")
-    like = stored(_alike(named.select(F.col("_t").alias("t")).distinct(), words.select("w").distinct()), "alike")
-    of = like.join(words.withColumnRenamed("w", "_w"), F.col("w") == F.col("_w"))
-    of = of.groupBy("t", "field_key", "label", "n", "weights").agg(F.array_sort(F.collect_set("k")).alias("ks"))  # no more than a label's words
-    of = stored(of.groupBy("t").agg(F.collect_list(F.struct("field_key", "label", "n", "weights", "ks")).alias("labels"), F.bool_or(F.array_contains("ks", 0)).alias("starts")), "label-tokens")
-    page = Window.partitionBy("page_id")
-    placed = named.where("page_id IS NOT NULL").join(of, F.col("_t") == F.col("t"), "left").withColumn("i", F.row_number().over(page.orderBy("line_number", "word_number", "token_text")) - 1)
-    placed = placed.withColumn("_starts", F.bool_or("starts").over(page)).where("_starts AND labels IS NOT NULL")
-    placed = stored(placed.select("page_id", "i", "_t", F.struct("line_number", "word_number", "token_text", *more).alias("raw")), "label-candidates")
+    known = words.limit(FEW_WORDS * FEW_WORDS + 1).collect()  # of a small table
+    few = len(known) <= FEW_WORDS * FEW_WORDS and len({r.w for r in known}) <= FEW_WORDS
+    if "place" not in tokens.columns:
+        named = named.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("line_number", "word_number", "token_text")) - 1)
+    named = once(named, "_t", _clean(F.col("token_text")))
+    if few:
+        any_of, labels = _by_words(known)
+        read = lambda df: once(df, "_f", F.replace(F.replace("_t", F.lit("0"), F.lit("o")), F.lit("1"), F.lit("l")))
+        placed, labelled = read(named).where(any_of), lambda df: read(df).withColumn("labels", labels)
+    else:
+        of = _by_index(named, words)
+        labelled = lambda df: df.join(of, F.col("_t") == F.col("t"))
+        placed = labelled(named)
+    placed = stored(placed.select("page_id", F.col("place").cast("int").alias("i"), "_t", F.struct("line_number", "word_number", "token_text", *more).alias("raw")), "label-candidates")
     # Shuffled once, by page, as all that follows is, and before a token has its labels and is there once for each of them.
-    each = placed.repartition("page_id").join(of, F.col("_t") == F.col("t"))
-    each = each.select("page_id", "i", "raw", F.length("_t").alias("_size"), F.explode("labels").alias("l")).select("page_id", "i", "raw", "_size", "l.*")
+    each = labelled(placed.repartition("page_id"))
+    each = each.select("page_id", "i", "raw", F.length("_t").alias("_size"), F.explode("labels").alias("l")).where("l IS NOT NULL").select("page_id", "i", "raw", "_size", "l.*")
     length = F.length(_clean(F.lower(F.trim("label"))))
     single = each.where("n = 1").select("page_id", "field_key", "label", (length / F.greatest(F.col("_size"), F.lit(1))).alias("score"), F.array("i").alias("at"), F.array("raw").alias("tokens"))
     reach = (words.agg(F.max("n")).first()[0] or 0) + SLACK

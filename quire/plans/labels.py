@@ -16,7 +16,7 @@ ALIASES = (("license", "license"), ("license", "under the license:"), ("version"
 @query()
 def c12_find_labels(spark, sf_dir):
     aliases = spark.createDataFrame(list(ALIASES), "field_key string, label string")
-    found = L.find_labels(B.ocr_token(spark, sf_dir, by_page=True), aliases)
+    found = L.find_labels(B.ocr_token(spark, sf_dir, placed=True), aliases)
     words = F.transform("tokens", lambda x: F.concat_ws(":", x["line_number"].cast("string"), x["word_number"].cast("string")))
     return found.select("page_id", "field_key", "label", "score", "inline", F.array_join(words, ",").alias("tokens"))
 

@@ -70,3 +70,36 @@ def test_tokens_dealt_by_page_are_not_shuffled(spark, monkeypatch):
     shuffles = lambda plan: [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(shuffles(plans["label-candidates"])) == 1  # of the texts
     assert all("hashpartitioning(page_id" in x for x in shuffles(found._jdf.queryExecution().executedPlan().toString()))  # of candidates, before they are there once a label
+
+
+def test_many_words_are_found_by_the_index(spark, monkeypatch):
+    monkeypatch.setattr(L, "FEW_WORDS", 0)
+    test_against_a_plain_scan(spark)
+
+
+def test_placed_tokens_are_read_once_and_not_sorted(spark, monkeypatch):
+    from quire import bindings as B
+
+    plans, write = {}, L.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(L, "stored", seen)
+    aliases = spark.createDataFrame(LABELS, "field_key string, label string")
+    found = L.find_labels(B.ocr_token(spark, "/root/testdata/sf0.001", placed=True), aliases)
+    plan = plans["label-candidates"].splitlines()
+    assert set(plans) == {"label-words", "label-candidates"}  # no pass for the different tokens
+    assert sum("Exchange hashpartitioning" in x for x in plan) == 1 and not any("Sort" in x and "word_number" in x for x in plan)
+    counted = L.find_labels(B.ocr_token(spark, "/root/testdata/sf0.001", by_page=True), aliases)
+    assert sorted(map(str, found.collect())) == sorted(map(str, counted.collect())) != []
+
+
+def test_clean_cuts_marks_at_the_end_of_a_line_too(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["A:", "a::#", "a#:", " B##  ", ":", "", "a:\r", "a#\n", "a:\u2028", "a:b", "\u00e4:#\x85", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim("t")), ":+$", ""), "#+$", "")
+    assert all(r.a == r.b for r in df.select(L._clean(F.col("t")).alias("a"), plain.alias("b")).collect())
