@@ -33,11 +33,6 @@ def first_uploads(uploads: DataFrame, keys: list[str], at: str, late: str = "1 h
     return uploads.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    s = events.withWatermark("created_at", late).groupBy(F.session_window("created_at", gap).alias("w"), "review_id")
-    return s.agg(F.count("*").alias("n")).select("review_id", F.unix_seconds("w.start").alias("start_s"), "n")
-
-
 #: Rows of a piece of state, and of a piece of output.
 BLOCK = 1 << 16
 
@@ -108,6 +103,70 @@ def _in_order(rows: DataFrame, key: str, columns: str, late: str, **how) -> Data
     return timed.groupBy(key).transformWithStateInPandas(_InOrder(columns, key=key, **how), out, "Append", "EventTime")
 
 
+class _Sessions(StatefulProcessor):
+    """Sessions of a bucket of reviews. What waits is kept in blocks, as sessions that are still open (gone, review, start, last, n;
+    times in microseconds, gone: 1 for no review), and merged when the watermark has passed the end of one of them."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "block binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = np.concatenate([part[["gone", "review", "at"]].to_numpy(np.int64) for part in rows])
+        new = np.column_stack([new, new[:, 2], np.ones(len(new), np.int64)])
+        self.waiting.appendList(_blocks(new))
+        self._wake(new)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [np.frombuffer(b, np.int64).reshape(-1, 5) for (b,) in (self.waiting.get() if self.waiting.exists() else ())]
+        if not rows:
+            return
+        found = merged(np.concatenate(rows), self.gap)
+        over = found[:, 3] + self.gap <= now
+        done, open_ = found[over], found[~over]
+        if not len(done):
+            return
+        self.waiting.put(_blocks(open_)) if len(open_) else self.waiting.clear()
+        if len(open_):
+            self._wake(open_)
+        for i in range(0, len(done), BLOCK):
+            part = done[i : i + BLOCK]
+            review = pd.Series(part[:, 1], dtype="Int64").mask(part[:, 0] == 1)
+            yield pd.DataFrame({"review_id": review, "start_s": part[:, 2] // 1_000_000, "n": part[:, 4]})
+
+    def _wake(self, rows: np.ndarray) -> None:
+        self.handle.registerTimer(int(rows[:, 3].min() + self.gap) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def merged(rows: np.ndarray, gap: int) -> np.ndarray:
+    """Pieces of sessions (gone, review, start, last, n) put together where one begins less than ``gap`` after those of its review before it."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    other = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+    until = pd.Series(rows[:, 3]).groupby(np.cumsum(other)).cummax().to_numpy()
+    begins = np.flatnonzero(other | np.concatenate([[True], rows[1:, 2] - until[:-1] >= gap]))
+    return np.column_stack([rows[begins, :3], np.maximum.reduceat(rows[:, 3], begins), np.add.reduceat(rows[:, 4], begins)])
+
+
+def sessions(events: DataFrame, gap: int = 1800, late: str = "1 hour", buckets: int = 128) -> DataFrame:
+    """review_id, start_s and n of sessions: events of a review less than ``gap`` seconds apart. An event that comes later than ``late`` behind the newest is dropped.
+
+    Reviews are dealt to ``buckets``, whose open sessions are merged at once: a session window of Spark's own puts and reads an
+    entry of state for each session in each batch.
+    """
+    at = F.unix_micros("created_at")
+    timed = events.where("created_at IS NOT NULL").withWatermark("created_at", late)
+    rows = timed.select("created_at", F.col("review_id").isNull().cast("long").alias("gone"), F.coalesce("review_id", F.lit(0)).cast("long").alias("review"), at.alias("at"), F.pmod(F.xxhash64("review_id"), F.lit(buckets)).cast("long").alias("_b"))
+    return rows.groupBy("_b").transformWithStateInPandas(_Sessions(gap * 1_000_000), "review_id long, start_s long, n long", "Append", "EventTime")
+
+
 def claims(attempts: DataFrame, expiry: int = 1800, late: str = "10 minutes") -> DataFrame:
     """Claim attempts (review_id, user_id, at in seconds, seq) as a stream of grants and refusals; the state is who holds a review since when.
 

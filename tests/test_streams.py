@@ -78,3 +78,34 @@ def test_waiting_rows_are_kept_in_blocks():
     rows = np.arange(3 * (J.BLOCK + 5)).reshape(-1, 3)
     blocks = J._blocks(rows)
     assert len(blocks) == 2 and (np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 3) for (b,) in blocks]) == rows).all()
+
+
+@pytest.mark.parametrize("batches", [1, 5])
+def test_sessions_do_not_depend_on_batches(spark, tmp_path, batches):
+    from datetime import datetime, timedelta, timezone
+
+    r, schema = random.Random(7), "review_id long, created_at timestamp"
+    at = lambda us: datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=us)
+    rows = [(r.choice([1, 2, 3, -5, None]), 10**12 + i * 400_000_000 + r.choice([0, 0, 1, 399_999_999])) for i in range(300)]
+    rows += [(9, 10**12), (9, 10**12 + 1_799_999_999), (8, 10**12), (8, 10**12 + 1_800_000_000)]  # just under the gap, and the gap
+    rows.sort(key=lambda x: x[1])
+    put(spark, [(i, at(us)) for i, us in rows], str(tmp_path / "in"), schema, batches)
+    put(spark, [(0, at(10**15)), (0, None)], str(tmp_path / "in"), schema, 1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = J.run_available(J.sessions(stream, late="1000 minutes", buckets=3), str(tmp_path / "out"), str(tmp_path / "state"))
+    want, last = {}, {}
+    for i, us in rows:
+        if i not in last or us - last[i][1] >= 1_800_000_000:
+            last[i] = (us, us)
+        last[i] = (last[i][0], us)
+        want[i, last[i][0] // 10**6] = want.get((i, last[i][0] // 10**6), 0) + 1
+    got = [((x.review_id, x.start_s), x.n) for x in out.where("start_s < 900000000").collect()]
+    assert len(got) == len(want) == len(dict(got)) and dict(got) == want and any(i is None for i, _ in want)
+
+
+def test_pieces_of_sessions_are_merged_whatever_their_order():
+    import numpy as np
+
+    rows = np.array([[0, 1, 50, 50, 1], [0, 1, 0, 40, 3], [0, 1, 10, 12, 2], [0, 1, 60, 61, 2], [0, 2, 45, 45, 1], [1, 0, 45, 45, 1]])
+    assert J.merged(rows, 11).tolist() == [[0, 1, 0, 61, 8], [0, 2, 45, 45, 1], [1, 0, 45, 45, 1]]
+    assert J.merged(rows, 10).tolist() == [[0, 1, 0, 40, 5], [0, 1, 50, 50, 1], [0, 1, 60, 61, 2], [0, 2, 45, 45, 1], [1, 0, 45, 45, 1]]
